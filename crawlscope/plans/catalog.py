@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from crawlscope.functions import content as FC
 from crawlscope.operators import extract as X
 from crawlscope.operators import progress as P
+from crawlscope.operators import robots as R
+from crawlscope.operators import urlset as U
 from crawlscope.sources import captures as C
 
 
@@ -65,10 +67,73 @@ def entry_flagship(spark: SparkSession, sf: str) -> DataFrame:
     return ag_scan_counters(spark, sf)
 
 
+def url_target_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """URL-1, URL-2, EX-11: validate scan requests (target and sitemap)."""
+    return U.validate_requests(C.scan_requests(spark, sf)).select(
+        "request_id", "target_reason", "reject_reason", "target_href", "sitemap_href")
+
+
+def url_dedup_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """URL-4..URL-7, SM-7: normalise, skip policy failures, first occurrence, cap."""
+    return U.filter_sitemap_urls(C.discovered(spark, sf), C.scans(spark, sf))
+
+
+def ag_url_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-2: discovered / queued counters from the capped list."""
+    return U.url_counts(U.filter_sitemap_urls(C.discovered(spark, sf), C.scans(spark, sf)))
+
+
+def url_export_names(spark: SparkSession, sf: str) -> DataFrame:
+    """URL-9, URL-10, SNK-9: export basenames per scan and page."""
+    reqs = C.page_requests(spark, sf).join(C.scans(spark, sf).select("scan_id", "target_url"), "scan_id")
+    return U.export_names(reqs, "target_url", "url").select(
+        "scan_id", "url", "host_label", "site_basename", "page_slug", "page_basename")
+
+
+def ex_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """EX-10: settings normalisation (defaults, ranges, half-up rounding, flags)."""
+    out = U.normalize_settings(C.scan_requests(spark, sf), "settings_json")
+    return out.select("request_id", "max_urls", "concurrency", "delay_ms", "timeout_ms", "max_response_bytes",
+                      "max_redirects", "respect_robots", "same_origin_only")
+
+
+def rob_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """ROB-1, ROB-2: grouped allow/disallow rules with their agents."""
+    agents, rules = R.groups(C.robots_docs(spark, sf))
+    names = agents.groupBy("scan_id", "group_id").agg(
+        F.array_join(F.array_sort(F.collect_list("agent")), "|").alias("agents"))
+    return rules.join(names, ["scan_id", "group_id"], "left").select(
+        "scan_id", "group_id", "pos", "path", "allowed", F.coalesce("agents", F.lit("")).alias("agents"))
+
+
+def rob_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
+    """ROB-3: Sitemap directives, de-duplicated, first position."""
+    return R.sitemaps(C.robots_docs(spark, sf))
+
+
+def rob_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """ROB-4..ROB-7: robots verdict per requested page for the crawler's agent."""
+    reqs = C.page_requests(spark, sf)
+    from crawlscope.functions import urls as FU
+    reqs = FU.with_url(reqs, "url", "_u").withColumn("path", F.col("_u.path")).drop("_u")
+    v = R.verdicts(reqs, C.robots_docs(spark, sf), "path")
+    v = v.join(C.scans(spark, sf).select("scan_id", "respect_robots"), "scan_id", "left")
+    return v.select("scan_id", "url", "path", "allowed",
+                    F.when(F.col("respect_robots") & ~F.col("allowed"), F.lit("blocked")).alias("robots_status"))
+
+
 QUERIES = {
     "fe_response_outcomes": fe_response_outcomes,
     "ld_page_status": ld_page_status,
     "ld_blocks": ld_blocks,
     "ld_entities": ld_entities,
     "ag_scan_counters": ag_scan_counters,
+    "url_target_policy": url_target_policy,
+    "url_dedup_cap": url_dedup_cap,
+    "ag_url_counts": ag_url_counts,
+    "url_export_names": url_export_names,
+    "ex_settings": ex_settings,
+    "rob_rules": rob_rules,
+    "rob_sitemaps": rob_sitemaps,
+    "rob_verdicts": rob_verdicts,
 }

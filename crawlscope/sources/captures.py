@@ -85,6 +85,25 @@ SELECT """ + _ORIGIN.format(t="p") + """ AS scan_id, p.url, p.page_id * 2 AS seq
 FROM {pages} p
 """
 
+# URLs as listed by sitemaps, in discovery order: each page, a fragment
+# variant, a private URL for every fifth page and a foreign-origin URL for
+# every seventh.
+DISCOVERED_SQL = """
+SELECT """ + _ORIGIN.format(t="p") + """ AS scan_id, p.url,
+       """ + _ORIGIN.format(t="p") + """ || '/sitemaps/part-' || CAST(p.page_id % 4 AS STRING) || '.xml' AS source,
+       p.page_id * 4 AS seq
+FROM {pages} p
+UNION ALL
+SELECT """ + _ORIGIN.format(t="p") + """, p.url || '#again', """ + _ORIGIN.format(t="p") + """ || '/sitemap_index.xml',
+       p.page_id * 4 + 1 FROM {pages} p
+UNION ALL
+SELECT """ + _ORIGIN.format(t="p") + """, 'http://localhost/' || CAST(p.page_id AS STRING), 'robots', p.page_id * 4 + 2
+FROM {pages} p WHERE p.page_id % 5 = 0
+UNION ALL
+SELECT """ + _ORIGIN.format(t="p") + """, 'https://elsewhere.example.com/' || CAST(p.page_id AS STRING), 'robots',
+       p.page_id * 4 + 3 FROM {pages} p WHERE p.page_id % 7 = 0
+"""
+
 # One scan per origin; settings vary with the origin so caps, byte limits,
 # redirect limits and the same-origin flag are all exercised.
 SCANS_SQL = """
@@ -224,6 +243,10 @@ def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bind(spark, sf_dir, PAGE_REQUESTS_SQL)
 
 
+def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bind(spark, sf_dir, DISCOVERED_SQL)
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bind(spark, sf_dir, SCANS_SQL)
 
@@ -247,7 +270,7 @@ def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duckdb_cte(recursive: bool = False) -> str:
     """The same inputs as DuckDB common table expressions (for oracles)."""
     parts = {
-        "responses": RESPONSES_SQL, "page_requests": PAGE_REQUESTS_SQL, "scans": SCANS_SQL, "dns": DNS_SQL,
+        "responses": RESPONSES_SQL, "page_requests": PAGE_REQUESTS_SQL, "discovered": DISCOVERED_SQL, "scans": SCANS_SQL, "dns": DNS_SQL,
         "robots_docs": ROBOTS_SQL, "sitemap_docs": SITEMAPS_SQL, "scan_requests": REQUESTS_SQL,
     }
     body = ",\n".join(f"{name} AS ({dialect(sql, 'duckdb').format(pages='pages', part='part')})"
