@@ -14,6 +14,7 @@ from crawlscope.functions import content as FC
 from crawlscope.operators import extract as X
 from crawlscope.operators import progress as P
 from crawlscope.operators import robots as R
+from crawlscope.operators import sitemaps as S
 from crawlscope.operators import urlset as U
 from crawlscope.sources import captures as C
 
@@ -122,6 +123,39 @@ def rob_verdicts(spark: SparkSession, sf: str) -> DataFrame:
                     F.when(F.col("respect_robots") & ~F.col("allowed"), F.lit("blocked")).alias("robots_status"))
 
 
+def _discovery(spark: SparkSession, sf: str) -> tuple[S.Discovery, DataFrame]:
+    scans = C.scans(spark, sf)
+    robots = C.robots_docs(spark, sf)
+    queue, robots_err = S.candidates(scans, R.sitemaps(robots), robots)
+    parsed = S.parse_documents(C.sitemap_docs(spark, sf))
+    return S.discover(queue, parsed), robots_err
+
+
+def sm_parse_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """SM-1, SM-2, SM-9: classify sitemap documents and project locations."""
+    p = S.parse_documents(C.sitemap_docs(spark, sf))
+    return p.select("scan_id", "doc_key", "kind", F.size(F.coalesce("locs", F.array())).alias("n_locs"),
+                    F.array_join(F.coalesce("locs", F.array().cast("array<string>")), " ").alias("locs"), "error")
+
+
+def sm_discovered_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """SM-3..SM-5, URL-7: breadth-first discovery of page URLs with sources."""
+    disc, _ = _discovery(spark, sf)
+    return disc.urls
+
+
+def sm_discovery_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """SM-6: per-source discovery errors (robots, policy, missing, bad XML)."""
+    disc, robots_err = _discovery(spark, sf)
+    return disc.errors.unionByName(robots_err.withColumn("order_key", F.lit("")))
+
+
+def sm_scan_sitemap_url(spark: SparkSession, sf: str) -> DataFrame:
+    """SM-8, ST-14: scan sitemap_url from the first source that yielded URLs."""
+    disc, _ = _discovery(spark, sf)
+    return S.scan_sitemap_url(C.scans(spark, sf), disc.urls).select("scan_id", "sitemap_url")
+
+
 QUERIES = {
     "fe_response_outcomes": fe_response_outcomes,
     "ld_page_status": ld_page_status,
@@ -136,4 +170,8 @@ QUERIES = {
     "rob_rules": rob_rules,
     "rob_sitemaps": rob_sitemaps,
     "rob_verdicts": rob_verdicts,
+    "sm_parse_documents": sm_parse_documents,
+    "sm_discovered_urls": sm_discovered_urls,
+    "sm_discovery_errors": sm_discovery_errors,
+    "sm_scan_sitemap_url": sm_scan_sitemap_url,
 }
