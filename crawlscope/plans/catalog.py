@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from crawlscope.functions import content as FC
 from crawlscope.operators import extract as X
+from crawlscope.operators import exports as EX
 from crawlscope.operators import progress as P
+from crawlscope.operators import store as ST
 from crawlscope.operators import robots as R
 from crawlscope.operators import sitemaps as S
 from crawlscope.operators import urlset as U
@@ -156,6 +158,79 @@ def sm_scan_sitemap_url(spark: SparkSession, sf: str) -> DataFrame:
     return S.scan_sitemap_url(C.scans(spark, sf), disc.urls).select("scan_id", "sitemap_url")
 
 
+def ex_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """EX-1..EX-4, SNK-2: CSV export lines (placeholder / raw-block / entity rows)."""
+    t = _scan_tables(spark, sf)
+    return EX.csv_rows(t.pages, t.blocks, t.entities).select("url", "ordinal", "entity_path", "line")
+
+
+def ex_markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """EX-5..EX-7, SNK-3, AG-4: Markdown page sections with fenced raw blocks."""
+    t = _scan_tables(spark, sf, with_entities=False)
+    return EX.md_sections(t.pages, t.blocks).select("url", "section")
+
+
+def st_site_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-10..ST-13, AG-4, AG-6: nested page documents (children per page, empty lists kept)."""
+    t = _scan_tables(spark, sf)
+    d = ST.site_documents(t.pages, t.blocks, t.entities)
+    types = F.array_distinct(F.flatten(F.transform("entities", lambda e: e["types"])))
+    return d.select("scan_id", "url", "status", F.size("blocks").alias("block_count"),
+                    F.array_join(F.transform("blocks", lambda b: b["ordinal"].cast("string")), ",").alias("ordinals"),
+                    F.size("entities").alias("entity_count"), F.array_join(types, "|").alias("schema_types"))
+
+
+def st_upsert_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-4: upsert page writes on (scan_id, normalized_url): first id and
+    creation kept, last write wins for the rest."""
+    from crawlscope.functions import urls as FU
+    w = FU.with_url(C.discovered(spark, sf), "url", "_u")
+    writes = w.select(F.sha2(F.concat_ws("|", "scan_id", "url", F.col("seq").cast("string")), 256).alias("page_id"),
+                      "scan_id", F.coalesce(F.col("_u.href_nofrag"), F.col("url")).alias("normalized_url"),
+                      "seq", F.col("seq").alias("created_seq"), F.col("url"), F.col("source").alias("sitemap_source"))
+    out = ST.upsert_pages(spark.createDataFrame([], writes.schema), writes)
+    n = writes.groupBy("scan_id", "normalized_url").agg(F.count(F.lit(1)).alias("writes"))
+    return out.join(n, ["scan_id", "normalized_url"]).select(
+        "scan_id", "normalized_url", "page_id", "created_seq", "url", "sitemap_source", "writes")
+
+
+def st_latest_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-2: the latest scan (ORDER BY created DESC LIMIT 1)."""
+    return ST.latest_scan(C.scans(spark, sf)).select("scan_id", "target_url", "created_ms")
+
+
+def ag_scan_status(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-3, STR-3 (batch fold): final scan status from control events."""
+    return P.scan_status(C.control_events(spark, sf)).select("scan_id", "status", "error")
+
+
+def snk_export_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-8: terminal scans may export; others get 'Scan is still active'."""
+    st = C.scans(spark, sf).join(P.scan_status(C.control_events(spark, sf)), "scan_id")
+    ok, rejected = EX.export_gate(st)
+    return ok.select("scan_id", F.lit(True).alias("exportable"), F.lit(None).cast("string").alias("error")) \
+        .unionByName(rejected.select("scan_id", F.lit(False).alias("exportable"), "error"))
+
+
+def ex_page_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """EX-9: page listing view with status labels."""
+    return EX.page_listing(_scan_tables(spark, sf, with_entities=False).pages)
+
+
+def ag_scan_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-5, AG-7, AG-8: scan summary rows (title, domain, sitemap label,
+    finished time, counters, flags)."""
+    scans = C.scans(spark, sf)
+    st = P.scan_status(C.control_events(spark, sf))
+    t = _scan_tables(spark, sf, with_entities=False)
+    counters = P.scan_counters(t.pages).join(
+        U.url_counts(U.filter_sitemap_urls(C.discovered(spark, sf), scans)), "scan_id", "left")
+    s = scans.drop("sitemap_url").join(st, "scan_id").withColumn(
+        "updated_ms", F.col("created_ms") + F.col("last_seq") * 1000)
+    s = S.scan_sitemap_url(s.withColumn("sitemap_url", F.lit(None).cast("string")), _discovery(spark, sf)[0].urls)
+    return EX.scan_summary(s, counters)
+
+
 QUERIES = {
     "fe_response_outcomes": fe_response_outcomes,
     "ld_page_status": ld_page_status,
@@ -174,4 +249,13 @@ QUERIES = {
     "sm_discovered_urls": sm_discovered_urls,
     "sm_discovery_errors": sm_discovery_errors,
     "sm_scan_sitemap_url": sm_scan_sitemap_url,
+    "ex_csv_rows": ex_csv_rows,
+    "ex_markdown_sections": ex_markdown_sections,
+    "st_site_documents": st_site_documents,
+    "st_upsert_pages": st_upsert_pages,
+    "st_latest_scan": st_latest_scan,
+    "ag_scan_status": ag_scan_status,
+    "snk_export_gate": snk_export_gate,
+    "ex_page_listing": ex_page_listing,
+    "ag_scan_summary": ag_scan_summary,
 }

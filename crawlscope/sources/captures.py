@@ -104,6 +104,18 @@ SELECT """ + _ORIGIN.format(t="p") + """, 'https://elsewhere.example.com/' || CA
        p.page_id * 4 + 3 FROM {pages} p WHERE p.page_id % 7 = 0
 """
 
+# Scan lifecycle control events per origin (seq orders them): every scan
+# starts and lists its URLs; most complete; some are cancelled (some of those
+# before completing, some after), a few fail, some are still crawling.
+CONTROL_EVENTS_SQL = """
+WITH o AS (SELECT """ + _ORIGIN.format(t="p") + """ AS scan_id, min(p.page_id) AS m FROM {pages} p GROUP BY 1)
+SELECT scan_id, 'started' AS type, 1 AS seq, CAST(NULL AS STRING) AS message FROM o
+UNION ALL SELECT scan_id, 'urls_listed', 2, NULL FROM o WHERE m % 9 <> 4
+UNION ALL SELECT scan_id, 'completed', 10, NULL FROM o WHERE m % 6 <> 2 AND m % 9 <> 4
+UNION ALL SELECT scan_id, 'cancel', CASE WHEN m % 2 = 0 THEN 5 ELSE 12 END, NULL FROM o WHERE m % 5 = 1
+UNION ALL SELECT scan_id, 'error', 11, 'Storage write failed for ' || scan_id FROM o WHERE m % 11 = 3
+"""
+
 # One scan per origin; settings vary with the origin so caps, byte limits,
 # redirect limits and the same-origin flag are all exercised.
 SCANS_SQL = """
@@ -247,6 +259,10 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bind(spark, sf_dir, DISCOVERED_SQL)
 
 
+def control_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bind(spark, sf_dir, CONTROL_EVENTS_SQL)
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bind(spark, sf_dir, SCANS_SQL)
 
@@ -270,7 +286,7 @@ def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duckdb_cte(recursive: bool = False) -> str:
     """The same inputs as DuckDB common table expressions (for oracles)."""
     parts = {
-        "responses": RESPONSES_SQL, "page_requests": PAGE_REQUESTS_SQL, "discovered": DISCOVERED_SQL, "scans": SCANS_SQL, "dns": DNS_SQL,
+        "responses": RESPONSES_SQL, "page_requests": PAGE_REQUESTS_SQL, "discovered": DISCOVERED_SQL, "control_events": CONTROL_EVENTS_SQL, "scans": SCANS_SQL, "dns": DNS_SQL,
         "robots_docs": ROBOTS_SQL, "sitemap_docs": SITEMAPS_SQL, "scan_requests": REQUESTS_SQL,
     }
     body = ",\n".join(f"{name} AS ({dialect(sql, 'duckdb').format(pages='pages', part='part')})"
