@@ -207,7 +207,7 @@ def entities_from_blocks(blocks: DataFrame) -> DataFrame:
     """
     items = blocks.filter(F.col("parse_error").isNull()).select(
         "block_id", "page_id", F.array().cast("array<int>").alias("path"),
-        F.parse_json("raw_text").alias("v"))
+        F.try_parse_json("raw_text").alias("v"))
     leaves = []
     while True:
         kind = FJ.variant_kind("v")
@@ -222,7 +222,7 @@ def entities_from_blocks(blocks: DataFrame) -> DataFrame:
         nxt = containers.select("block_id", "page_id", "path", F.posexplode(members).alias("_pos", "v")) \
             .select("block_id", "page_id", F.concat("path", F.array(F.col("_pos").cast("int"))).alias("path"), "v")
         nxt = materialize(nxt.select("block_id", "page_id", "path", F.to_json("v").alias("_j"))) \
-            .select("block_id", "page_id", "path", F.parse_json("_j").alias("v"))
+            .select("block_id", "page_id", "path", F.try_parse_json("_j").alias("v"))
         if nxt.isEmpty():
             break
         items = nxt

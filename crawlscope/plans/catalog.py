@@ -231,6 +231,22 @@ def ag_scan_summary(spark: SparkSession, sf: str) -> DataFrame:
     return EX.scan_summary(s, counters)
 
 
+def au_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """AU-13, AU-14, AU-15, AU-22: schema/site observations on scan tables."""
+    from crawlscope.operators import audit as A
+    t = _scan_tables(spark, sf)
+    return A.observation_checks(t.pages, t.blocks, t.entities).select("check_id", "severity", "location", "evidence")
+
+
+def au_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-1..3 + SRC-4 + AU-1..AU-17: export JSON/CSV/Markdown per scan, read
+    the artifacts back and audit them; findings counted per check."""
+    from crawlscope.plans.audit_run import audit_exports
+    scans = C.scans(spark, sf).join(P.scan_status(C.control_events(spark, sf)).select("scan_id", "status"), "scan_id")
+    findings = audit_exports(spark, scans, _scan_tables(spark, sf))
+    return findings.groupBy("check_id", "severity", "category").agg(F.count(F.lit(1)).alias("findings"))
+
+
 QUERIES = {
     "fe_response_outcomes": fe_response_outcomes,
     "ld_page_status": ld_page_status,
@@ -258,4 +274,6 @@ QUERIES = {
     "snk_export_gate": snk_export_gate,
     "ex_page_listing": ex_page_listing,
     "ag_scan_summary": ag_scan_summary,
+    "au_observations": au_observations,
+    "au_export_roundtrip": au_export_roundtrip,
 }
