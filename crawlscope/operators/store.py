@@ -153,13 +153,12 @@ def write_scan_tables(spark: SparkSession, root: str, tables: dict[str, DataFram
     rewriting a scan replaces exactly its partitions.  A ``_commit`` marker
     row per scan is written last, so readers can ignore half-written scans.
     """
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("scan_id").parquet(f"{root}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(f"{root}/{name}")
     scans = tables.get("scans")
     if scans is not None:
         scans.select("scan_id", F.current_timestamp().alias("committed_at")).write.mode("overwrite") \
-            .partitionBy("scan_id").parquet(f"{root}/_commit")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(f"{root}/_commit")
 
 
 def read_scan_tables(spark: SparkSession, root: str, committed_only: bool = True) -> dict[str, DataFrame]:

@@ -247,6 +247,45 @@ def au_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return findings.groupBy("check_id", "severity", "category").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def _streamed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    from crawlscope.streaming import pipeline as SP
+    reqs = C.page_requests(spark, sf)
+    req_dir = SP.scratch(spark, "requests")
+    reqs.repartition(4, "url").write.parquet(req_dir)
+    sink = SP.stream_pages(spark, req_dir, reqs.schema, C.responses(spark, sf), C.scans(spark, sf),
+                           C.dns(spark, sf), C.control_events(spark, sf), SP.scratch(spark, "pages"))
+    return spark.read.parquet(sink)
+
+
+def str_incremental_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-1, STR-8: page requests processed micro-batch by micro-batch
+    (idempotent per batch_id); claims after a cancel are not processed."""
+    return _streamed_pages(spark, sf).select("scan_id", "url", "status", "http_status", "error")
+
+
+def str_progress_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-2, STR-7: running counters per scan (streaming aggregate, update mode)."""
+    from crawlscope.streaming import pipeline as SP
+    pages = _streamed_pages(spark, sf).drop("batch_id")
+    pdir = SP.scratch(spark, "page-files")
+    pages.repartition(3, "url").write.parquet(pdir)
+    sink = SP.stream_progress(spark, pdir, pages.schema, SP.scratch(spark, "progress"))
+    return spark.read.parquet(sink).select("scan_id", "completed", "successful", "failed")
+
+
+def str_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-3..STR-6, AG-3: streaming status fold over control and page events;
+    the state table is the reconnect snapshot."""
+    from crawlscope.streaming import pipeline as SP
+    pages = _streamed_pages(spark, sf)
+    events = SP.page_events(pages).unionByName(
+        C.control_events(spark, sf).withColumn("status", F.lit(None).cast("string")))
+    edir = SP.scratch(spark, "events")
+    events.repartition(3, "scan_id", "seq").write.parquet(edir)
+    sink = SP.stream_lifecycle(spark, edir, events.schema, SP.scratch(spark, "lifecycle"))
+    return spark.read.parquet(sink).select("scan_id", "status", "error", "completed", "successful", "failed")
+
+
 QUERIES = {
     "fe_response_outcomes": fe_response_outcomes,
     "ld_page_status": ld_page_status,
@@ -276,4 +315,7 @@ QUERIES = {
     "ag_scan_summary": ag_scan_summary,
     "au_observations": au_observations,
     "au_export_roundtrip": au_export_roundtrip,
+    "str_incremental_pages": str_incremental_pages,
+    "str_progress_counters": str_progress_counters,
+    "str_lifecycle": str_lifecycle,
 }
