@@ -87,23 +87,30 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
     ``requests``: scan_id, url, seq, sitemap_source.  Output: one row per
     request with normalized_url, final fetch_status / message / http_status /
     content_type, summed duration_ms and the final capture's ``scripts``.
+
+    Hop loop: round k joins the still-redirecting requests to the narrow
+    capture summaries, decides done / failed / next for every row in one
+    projection and checkpoints that result; the next frontier holds only the
+    rows that follow another hop, so the loop ends after the longest chain
+    (at most ``max_redirects`` + 1 rounds).
     """
-    verdicts = dns_verdicts(dns) if dns is not None else None
+    verdicts = materialize(dns_verdicts(dns)) if dns is not None else None
     settings = scans.select("scan_id", *SETTINGS_COLS)
     req = requests.join(settings, "scan_id", "left")
     req = _with_target_checks(req, "url", "_t", verdicts)
     req = req.withColumn("normalized_url", F.coalesce(F.col("_t.href_nofrag"), F.col("url")))
     narrow = summaries.select("scan_id", F.col("url_key").alias("cur_key"), "http_status", "content_type",
                               "location", "duration_ms", "fetch_status", "message")
-
-    state = req.select(
+    state = materialize(req.select(
         "scan_id", "url", "seq", "sitemap_source", "normalized_url",
         F.col("_t_reason").alias("reject"),
         F.col("_t.origin").alias("init_origin"),
         F.col("normalized_url").alias("cur_key"),
         F.lit(0).alias("hops"), F.lit(0).alias("dur_acc"),
         F.coalesce("max_redirects", F.lit(5)).alias("max_redirects"),
-        F.coalesce("same_origin_only", F.lit(True)).alias("same_origin_only"))
+        F.coalesce("same_origin_only", F.lit(True)).alias("same_origin_only")))
+    out_cols = ["scan_id", "url", "seq", "sitemap_source", "normalized_url", "final_key", "fetch_status",
+                "message", "http_status", "content_type", "duration_ms"]
     rejected = state.filter(F.col("reject").isNotNull()).select(
         "scan_id", "url", "seq", "sitemap_source", "normalized_url",
         F.col("cur_key").alias("final_key"),
@@ -112,50 +119,47 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
         F.lit(0).alias("duration_ms"))
     frontier = state.filter(F.col("reject").isNull()).drop("reject")
 
-    finished = []
+    finished = [rejected]
     while True:
         j = frontier.join(narrow, ["scan_id", "cur_key"], "left")
         j = j.withColumn("dur_acc", F.col("dur_acc") + F.coalesce("duration_ms", F.lit(0)))
-        is_redirect = FC.http_status_class("http_status") == "redirect"
+        is_redirect = F.coalesce(FC.http_status_class("http_status") == "redirect", F.lit(False))
         loc_missing = F.coalesce(F.col("location"), F.lit("")) == ""
         limit_hit = is_redirect & (loc_missing | (F.col("hops") >= F.col("max_redirects")))
-        done = j.filter(~is_redirect | F.col("http_status").isNull() | limit_hit).select(
-            "scan_id", "url", "seq", "sitemap_source", "normalized_url",
+        follow = is_redirect & ~limit_hit
+        j = j.withColumn("_follow", follow).withColumn("_limit", limit_hit)
+        j = FU.with_url(j, F.when(F.col("_follow"), F.col("cur_key")), "_cur")
+        j = j.withColumn("_next_abs", F.when(F.col("_follow"), FU.resolve_reference("location", "_cur")))
+        j = _with_target_checks(j, "_next_abs", "_n", verdicts)
+        outside = F.col("same_origin_only") & (F.col("_n.origin") != F.col("init_origin"))
+        reason = F.when(F.col("_follow"), F.coalesce(F.col("_n_reason"), F.when(outside, F.lit(FU.MSG_OUTSIDE))))
+        errored = F.col("fetch_status").isin("fetch_error") | F.col("_limit") | reason.isNotNull()
+        step = j.select(
+            "scan_id", "url", "seq", "sitemap_source", "normalized_url", "init_origin", "hops", "dur_acc",
+            "max_redirects", "same_origin_only",
+            F.when(F.col("_follow") & reason.isNull(), F.lit("next")).otherwise(F.lit("done")).alias("_step"),
             F.col("cur_key").alias("final_key"),
-            F.when(limit_hit, F.lit("fetch_error")).otherwise(F.coalesce("fetch_status", F.lit("fetch_error")))
-            .alias("fetch_status"),
-            F.when(limit_hit, F.lit(FC.MSG_REDIRECT_LIMIT))
+            F.col("_n.href_nofrag").alias("next_key"),
+            F.when(F.col("_limit") | reason.isNotNull(), F.lit("fetch_error"))
+            .otherwise(F.coalesce("fetch_status", F.lit("fetch_error"))).alias("fetch_status"),
+            F.when(F.col("_limit"), F.lit(FC.MSG_REDIRECT_LIMIT)).when(reason.isNotNull(), reason)
             .otherwise(F.coalesce("message", F.when(F.col("fetch_status").isNull(), F.lit(FC.MSG_NO_CAPTURE))))
             .alias("message"),
-            F.when(F.col("fetch_status").isin("fetch_error") | limit_hit, F.lit(None).cast("int"))
-            .otherwise(F.col("http_status")).alias("http_status"),
-            F.when(F.col("fetch_status").isin("fetch_error") | limit_hit, F.lit(None).cast("string"))
-            .otherwise(F.col("content_type")).alias("content_type"),
-            F.col("dur_acc").alias("duration_ms"))
-        finished.append(done)
-        hop = j.filter(is_redirect & ~limit_hit)
-        hop = FU.with_url(hop, "cur_key", "_cur")
-        hop = hop.withColumn("_next_abs", FU.resolve_reference("location", "_cur"))
-        hop = _with_target_checks(hop, "_next_abs", "_n", verdicts)
-        outside = F.col("same_origin_only") & (F.col("_n.origin") != F.col("init_origin"))
-        reason = F.coalesce(F.col("_n_reason"), F.when(outside, F.lit(FU.MSG_OUTSIDE)))
-        failed = hop.filter(reason.isNotNull()).select(
-            "scan_id", "url", "seq", "sitemap_source", "normalized_url",
-            F.col("cur_key").alias("final_key"), F.lit("fetch_error").alias("fetch_status"),
-            reason.alias("message"), F.lit(None).cast("int").alias("http_status"),
-            F.lit(None).cast("string").alias("content_type"), F.col("dur_acc").alias("duration_ms"))
-        finished.append(failed)
-        nxt = hop.filter(reason.isNull()).select(
+            F.when(errored, F.lit(None).cast("int")).otherwise(F.col("http_status")).alias("http_status"),
+            F.when(errored, F.lit(None).cast("string")).otherwise(F.col("content_type")).alias("content_type"))
+        step = materialize(step)
+        finished.append(step.filter(F.col("_step") == "done").select(
+            *[c if c != "duration_ms" else F.col("dur_acc").alias("duration_ms") for c in out_cols]))
+        nxt = step.filter(F.col("_step") == "next").select(
             "scan_id", "url", "seq", "sitemap_source", "normalized_url", "init_origin",
-            F.col("_n.href_nofrag").alias("cur_key"), (F.col("hops") + 1).alias("hops"), "dur_acc",
+            F.col("next_key").alias("cur_key"), (F.col("hops") + 1).alias("hops"), "dur_acc",
             "max_redirects", "same_origin_only")
-        nxt = materialize(nxt)
         if nxt.isEmpty():
             break
         frontier = nxt
 
-    resolved = rejected
-    for part in finished:
+    resolved = finished[0]
+    for part in finished[1:]:
         resolved = resolved.unionByName(part)
     scripts = summaries.select("scan_id", F.col("url_key").alias("final_key"), "scripts")
     return resolved.join(scripts, ["scan_id", "final_key"], "left").withColumn(
