@@ -33,12 +33,13 @@ def declared_too_large(content_length, max_bytes) -> Column:
     return F.coalesce((n > _c(max_bytes)) & ~F.isnan(n) & (F.abs(n) != float("inf")), F.lit(False))
 
 
-def actual_too_large(body, max_bytes) -> Column:
-    """FE-4: UTF-8 byte length strictly above the limit."""
-    return F.coalesce(F.octet_length(_c(body)) > _c(max_bytes), F.lit(False))
+def actual_too_large(body, max_bytes, body_bytes=None) -> Column:
+    """FE-4: UTF-8 byte length strictly above the limit (equal is allowed)."""
+    n = body_bytes if body_bytes is not None else F.octet_length(_c(body))
+    return F.coalesce(n > _c(max_bytes), F.lit(False))
 
 
-def fetch_outcome(status, content_type, content_length, body, max_bytes, error=None) -> Column:
+def fetch_outcome(status, content_type, content_length, body, max_bytes, error=None, body_bytes=None) -> Column:
     """FE-5 / FE-7 for a final (non-redirect) response: struct(fetch_status, message).
 
     Precedence: captured transport error -> http_error -> not_html ->
@@ -53,13 +54,13 @@ def fetch_outcome(status, content_type, content_length, body, max_bytes, error=N
           .when(http_status_class(s) == "error", "http_error")
           .when(~ct.contains("html"), "not_html")
           .when(declared_too_large(content_length, max_bytes), "too_large")
-          .when(actual_too_large(body, max_bytes), "too_large")
+          .when(actual_too_large(body, max_bytes, body_bytes), "too_large")
           .otherwise("ok"))
     msg = (F.when(err.isNotNull(), err)
            .when(s.isNull(), F.lit(MSG_NO_CAPTURE))
            .when(http_status_class(s) == "redirect", F.lit(MSG_REDIRECT_LIMIT))
            .when(http_status_class(s) == "error", F.concat(F.lit("HTTP "), s.cast("string")))
            .when(~ct.contains("html"), F.lit(MSG_NOT_HTML))
-           .when(declared_too_large(content_length, max_bytes) | actual_too_large(body, max_bytes),
+           .when(declared_too_large(content_length, max_bytes) | actual_too_large(body, max_bytes, body_bytes),
                  F.lit(MSG_TOO_LARGE)))
     return F.struct(fs.alias("fetch_status"), msg.alias("message"))

@@ -172,12 +172,12 @@ def csv_checks(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return _union(parts)
 
 
-def markdown_checks(texts: DataFrame, expected_pages: DataFrame | None = None) -> DataFrame:
-    """AU-12: page / block section counts against the declared counts, and
-    fence integrity (every opening fence closed by the same fence)."""
+def markdown_checks(texts: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """AU-12: fence integrity per file (every opening fence closed by the same
+    run) and, with ``headers``, declared page count per scan vs sections found
+    across the scan's files."""
     lines = texts.select("artifact", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    fence = F.regexp_extract("line", "^(`{3,})", 1)
-    lines = lines.withColumn("fence", fence)
+    lines = lines.withColumn("fence", F.regexp_extract("line", "^(`{3,})", 1))
     w = Window.partitionBy("artifact").orderBy("pos")
     fences = lines.filter(F.col("fence") != "").withColumn("k", F.row_number().over(w))
     opens = fences.filter(F.col("k") % 2 == 1).select("artifact", "k", F.col("fence").alias("open"))
@@ -188,12 +188,18 @@ def markdown_checks(texts: DataFrame, expected_pages: DataFrame | None = None) -
                       F.col("artifact"), F.concat(F.lit("fence "), F.col("k").cast("string")),
                       F.lit("unclosed or mismatched code fence"), "Later sections render as code",
                       "Close each fence with the same backtick run")]
-    declared = texts.select("artifact", F.regexp_extract("value", "(?m)^Pages: ([0-9]+)$", 1).cast("int").alias("d"),
-                            F.size(F.regexp_extract_all("value", F.lit("(?m)^## "), 0)).alias("n"))
-    parts.append(_finding(declared.filter(F.col("d") != F.col("n")), "AU-12", DEFECT, F.col("artifact"),
-                          F.lit("Pages"), F.concat(F.lit("declared "), F.col("d").cast("string"), F.lit(", sections "),
-                                                    F.col("n").cast("string")),
-                          "Pages are missing from the report", "Render one section per page"))
+    if headers is not None:
+        scan_of = F.regexp_extract("artifact", "scan_id=([^/]*)/", 1)
+        declared = headers.select(scan_of.alias("scan"),
+                                  F.regexp_extract("value", "(?m)^Pages: ([0-9]+)$", 1).cast("int").alias("d"))
+        found = texts.select(scan_of.alias("scan"), F.size(F.regexp_extract_all("value", F.lit("(?m)^## "), 0))
+                             .alias("n")).groupBy("scan").agg(F.sum("n").alias("n"))
+        cmp = declared.join(found, "scan", "full_outer")
+        parts.append(_finding(cmp.filter(F.coalesce("d", F.lit(-1)) != F.coalesce("n", F.lit(0))), "AU-12", DEFECT,
+                              F.col("scan"), F.lit("Pages"),
+                              F.concat(F.lit("declared "), F.coalesce(F.col("d").cast("string"), F.lit("none")),
+                                       F.lit(", sections "), F.coalesce("n", F.lit(0)).cast("string")),
+                              "Pages are missing from the report", "Render one section per page"))
     return _union(parts)
 
 

@@ -1,9 +1,9 @@
 """JSON / CSV / Markdown exports and the view projections (SNK-1..3, SNK-7,
 SNK-8, EX-1..EX-9, AG-5, AG-7, AG-8).
 
-Exports are built per page as rows (one CSV line / Markdown section / JSON
-line per page), so no single task ever holds a whole site; the one-document
-forms concatenate those rows with ``write.text`` in url order.
+Exports are built per page as rows (one CSV row / Markdown section / JSON
+line per page) and written with Spark's writers partitioned by ``scan_id``,
+so no single task or row ever holds a whole site.
 """
 
 from __future__ import annotations
@@ -52,6 +52,21 @@ def csv_rows(pages: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFr
     return rows.select("page_id", "url", "ordinal", "entity_path", F.concat_ws(",", *cells).alias("line"))
 
 
+def csv_cells(pages: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFrame:
+    """SNK-2 (writer form): the six CSV columns as plain values for
+    ``DataFrameWriter.csv`` (quoting is left to the writer)."""
+    b = blocks.select("page_id", "block_id", "ordinal", "raw_text", "parse_error")
+    e = entities.select("block_id", "context", "types", "serialized")
+    rows = pages.select("page_id", "scan_id", "url").join(b, "page_id", "left").join(e, "block_id", "left")
+    status = F.when(F.col("block_id").isNull(), F.lit("")) \
+        .when(F.col("parse_error").isNotNull(), F.lit("invalid")).otherwise(F.lit("valid"))
+    return rows.select(
+        "scan_id", F.col("url").alias("page_url"), F.coalesce(F.col("ordinal").cast("string"), F.lit("")).alias("block_index"),
+        F.coalesce("context", F.lit("")).alias("context"), F.coalesce(F.array_join("types", "|"), F.lit("")).alias("type"),
+        status.alias("parse_status"),
+        F.when(F.col("block_id").isNull(), F.lit("")).otherwise(F.coalesce("serialized", "raw_text")).alias("serialized_json"))
+
+
 def md_escape(value) -> Column:
     """EX-5: pipe -> backslash-pipe, LF -> space."""
     return F.replace(F.replace(_c(value), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
@@ -105,20 +120,6 @@ def json_page_lines(docs: DataFrame) -> DataFrame:
     return docs.select("scan_id", "url", F.to_json(obj, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def json_document(scan_row: DataFrame, docs: DataFrame) -> DataFrame:
-    """SNK-1 (document form): {formatVersion: 1, scan, pages: [...]}, pretty.
-
-    Only for single-scan exports of bounded size (the reference's 500-page
-    cap); large scans use ``json_page_lines``.
-    """
-    pages = docs.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("url", "page_id", "blocks", "entities")))
-                                        .alias("pages"))
-    d = scan_row.join(pages, "scan_id", "left")
-    obj = F.struct(F.lit(1).alias("formatVersion"), F.struct(*[c for c in scan_row.columns]).alias("scan"),
-                   F.coalesce("pages", F.array()).alias("pages"))
-    return d.select("scan_id", F.to_json(obj, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
-
-
 def export_gate(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SNK-8: (exportable scans, rejected scans with message)."""
     ok = scans.filter(F.col("status").isin(*TERMINAL))

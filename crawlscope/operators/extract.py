@@ -36,24 +36,32 @@ def _sha(*cols: Column) -> Column:
 def summarize_responses(responses: DataFrame, scans: DataFrame) -> DataFrame:
     """Classify each captured response and tokenise its JSON-LD scripts.
 
+    The HTML body is consumed by a narrow map first (byte length + script
+    texts, only for 2xx HTML responses); only that compact row meets the
+    per-scan settings, so no join or shuffle ever carries HTML.
     Output: scan_id, url_key (normalised URL without fragment), http_status,
     content_type (normalised), location, duration_ms, fetch_status, message,
     scripts (array<string>, NULL unless fetch_status = 'ok').
     """
-    r = responses.join(scans.select("scan_id", "max_response_bytes"), "scan_id", "left")
+    ct = FC.normalize_content_type("content_type")
+    html_2xx = (FC.http_status_class("http_status") == "ok") & ct.contains("html") & F.col("error").isNull()
+    compact = responses.select(
+        "scan_id", "url", "http_status", "content_type", "content_length", "location", "duration_ms", "error",
+        F.octet_length("body").alias("body_bytes"),
+        F.when(html_2xx, FJ.ld_json_scripts("body")).alias("scripts"))
+    r = compact.join(scans.select("scan_id", "max_response_bytes"), "scan_id", "left")
     r = FU.with_url(r, "url", "_u")
-    outcome = FC.fetch_outcome("http_status", "content_type", "content_length", "body",
-                               F.coalesce("max_response_bytes", F.lit(5_000_000)), "error")
+    outcome = FC.fetch_outcome("http_status", "content_type", "content_length", F.lit(None).cast("string"),
+                               F.coalesce("max_response_bytes", F.lit(5_000_000)), "error",
+                               body_bytes=F.col("body_bytes"))
     r = r.withColumn("_o", outcome)
     return r.select(
         "scan_id",
         F.coalesce(F.col("_u.href_nofrag"), F.col("url")).alias("url_key"),
-        "http_status",
-        FC.normalize_content_type("content_type").alias("content_type"),
-        "location", "duration_ms",
+        "http_status", ct.alias("content_type"), "location", "duration_ms",
         F.col("_o.fetch_status").alias("fetch_status"),
         F.col("_o.message").alias("message"),
-        F.when(F.col("_o.fetch_status") == "ok", FJ.ld_json_scripts("body")).alias("scripts"),
+        F.when(F.col("_o.fetch_status") == "ok", F.col("scripts")).alias("scripts"),
     )
 
 

@@ -43,17 +43,17 @@ def write_artifacts(spark: SparkSession, scans: DataFrame, t: ScanTables, root:
                                                    e["serialized"].alias("serialized"))).alias("entities"))
     paths = {f: f"{root}/{f}" for f in ("json", "csv", "markdown")}
     jl.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("scan_id").json(paths["json"])
-    csv = EX.csv_rows(t.pages, t.blocks, t.entities).join(t.pages.select("page_id", "scan_id"), "page_id")
-    # The data lines are already quoted by EX-1; written as text after the fixed header per file.
-    header = t.pages.select("scan_id").distinct().select("scan_id", F.lit(EX.CSV_HEADER).alias("line"),
-                                                         F.lit(0).alias("o"))
-    csv.select("scan_id", "line", F.lit(1).alias("o")).unionByName(header) \
-        .repartition("scan_id").sortWithinPartitions("scan_id", "o", "line") \
-        .select("scan_id", "line").write.mode("overwrite").partitionBy("scan_id").text(paths["csv"])
-    md_head = EX.md_header(scans, t.pages).select("scan_id", F.col("header").alias("line"), F.lit("").alias("url"))
-    md = EX.md_sections(t.pages, t.blocks).select("scan_id", F.col("section").alias("line"), "url")
-    md_head.unionByName(md).repartition("scan_id").sortWithinPartitions("scan_id", "url") \
-        .select("scan_id", "line").write.mode("overwrite").partitionBy("scan_id").text(paths["markdown"])
+    # CSV: Spark's writer quotes like RFC 4180 (doubled quotes), writes the
+    # fixed header into every part file, and keeps blanks; no repartition, so
+    # a scan holding most rows is still written by many tasks.
+    EX.csv_cells(t.pages, t.blocks, t.entities).write.mode("overwrite").partitionBy("scan_id").options(
+        header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False, lineSep="\n").csv(paths["csv"])
+    # Markdown: one header file per scan, page sections in the input's own partitioning.
+    EX.md_header(scans, t.pages).select("scan_id", F.col("header").alias("value")) \
+        .write.mode("overwrite").partitionBy("scan_id").text(paths["markdown"] + "_header")
+    EX.md_sections(t.pages, t.blocks).select("scan_id", F.col("section").alias("value")) \
+        .write.mode("overwrite").partitionBy("scan_id").text(paths["markdown"])
     return paths
 
 
@@ -89,8 +89,9 @@ def audit_exports(spark: SparkSession, scans: DataFrame, t: ScanTables, progress
     csv_rows = materialize(A.read_csv_rows(spark, paths["csv"]))
     csv_texts = A.read_text_artifacts(spark, paths["csv"])
     md_texts = A.read_text_artifacts(spark, paths["markdown"])
+    md_heads = A.read_text_artifacts(spark, paths["markdown"] + "_header")
     findings = [A.json_checks(jdocs, progress), A.csv_checks(csv_rows, csv_texts)]
-    findings.append(A.markdown_checks(md_texts))
+    findings.append(A.markdown_checks(md_texts, md_heads))
     jkeys = jdocs.filter(F.col("_corrupt_record").isNull()).select(
         F.col("page.url").alias("url"), F.explode_outer("blocks").alias("b")).select(
         "url", F.col("b.ordinal").cast("int").alias("ordinal"),
