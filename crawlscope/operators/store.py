@@ -49,8 +49,8 @@ def replace_children(old_blocks: DataFrame, old_entities: DataFrame, new_pages:
                      new_blocks: DataFrame, new_entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """ST-5: children of re-written pages are replaced, others kept.
 
-    ``new_pages`` carries the surviving ``page_id`` (after ST-4); new blocks
-    and entities are re-keyed onto it through ``normalized_url``.
+    ``new_pages`` carries the surviving ``page_id`` (after ST-4); the new
+    blocks and entities must already reference that id.
     """
     touched = new_pages.select("page_id")
     kept_blocks = old_blocks.join(touched, "page_id", "left_anti")
