@@ -286,6 +286,45 @@ def str_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(sink).select("scan_id", "status", "error", "completed", "successful", "failed")
 
 
+def st_persist_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-4..SNK-6, SRC-3: write scans/pages/blocks/entities as scan_id
+    partitions with a commit marker per scan, read them back (committed scans
+    only) and count rows per scan and table."""
+    import uuid
+
+    from crawlscope.session import checkpoint_dir
+    t = _scan_tables(spark, sf)
+    scans = C.scans(spark, sf)
+    blocks = t.blocks.join(t.pages.select("page_id", "scan_id"), "page_id")
+    ents = t.entities.join(t.pages.select("page_id", "scan_id"), "page_id")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    ST.write_scan_tables(spark, root, {"pages": t.pages, "jsonld_blocks": blocks, "schema_entities": ents,
+                                       "scans": scans})
+    back = ST.read_scan_tables(spark, root)
+    counts = [back[name].groupBy("scan_id").agg(F.count(F.lit(1)).alias(name)) for name in
+              ("pages", "jsonld_blocks", "schema_entities")]
+    out = back["scans"].select("scan_id")
+    for c in counts:
+        out = out.join(c, "scan_id", "left")
+    return out.fillna(0)
+
+
+def st_cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-16: keep only terminal scans; pages, blocks and entities of the
+    other scans are removed through the key chain."""
+    t = _scan_tables(spark, sf)
+    scans = C.scans(spark, sf)
+    keep = P.scan_status(C.control_events(spark, sf)).filter(F.col("status").isin(*ST.TERMINAL)).select("scan_id")
+    s, p, b, e = ST.cascade_delete(scans, t.pages, t.blocks, t.entities, keep)
+    per = [p.groupBy("scan_id").agg(F.count(F.lit(1)).alias("pages")),
+           b.join(p.select("page_id", "scan_id"), "page_id").groupBy("scan_id").agg(F.count(F.lit(1)).alias("blocks")),
+           e.join(p.select("page_id", "scan_id"), "page_id").groupBy("scan_id").agg(F.count(F.lit(1)).alias("entities"))]
+    out = s.select("scan_id")
+    for c in per:
+        out = out.join(c, "scan_id", "left")
+    return out.fillna(0)
+
+
 QUERIES = {
     "fe_response_outcomes": fe_response_outcomes,
     "ld_page_status": ld_page_status,
@@ -315,6 +354,8 @@ QUERIES = {
     "ag_scan_summary": ag_scan_summary,
     "au_observations": au_observations,
     "au_export_roundtrip": au_export_roundtrip,
+    "st_persist_roundtrip": st_persist_roundtrip,
+    "st_cascade_delete": st_cascade_delete,
     "str_incremental_pages": str_incremental_pages,
     "str_progress_counters": str_progress_counters,
     "str_lifecycle": str_lifecycle,
