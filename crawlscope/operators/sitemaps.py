@@ -47,7 +47,7 @@ def fetch_outcomes(docs: DataFrame, max_bytes: int = 5_000_000) -> DataFrame:
     docs: scan_id, url, http_status, location, body.  Adds ``fetch_error``
     (NULL when the body is usable): 3xx without Location -> ``HTTP n``;
     other non-2xx -> ``HTTP n``; body above ``max_bytes`` -> size message.
-    3xx with a Location is left to ``follow_redirects``.
+    3xx with a Location is followed by ``resolve_redirects``.
     """
     s = F.col("http_status")
     err = (F.when((s >= 300) & (s < 400) & (F.coalesce("location", F.lit("")) == ""),
@@ -96,6 +96,55 @@ def parse_documents(docs: DataFrame, max_bytes: int = 5_000_000, decode_entities
                     error.alias("error"))
 
 
+MSG_OUTSIDE = "URL is outside the target origin"
+
+
+def resolve_redirects(parsed: DataFrame, max_redirects: int = 5, same_origin_only: bool = True) -> DataFrame:
+    """SM-9: follow captured 3xx sitemap responses to their final document.
+
+    A chain follows at most ``max_redirects`` hops (the next redirect is
+    ``Redirect limit exceeded``); targets must pass the URL policy and, with
+    ``same_origin_only``, stay on the first document's origin.  Each round is
+    a join of the pending redirects with the parsed documents, checkpointed;
+    the loop ends when no chain is pending.  Returns ``parsed`` with redirect
+    rows replaced by their final outcome.
+    """
+    docs = parsed.select("scan_id", F.col("doc_key").alias("cur_key"), "kind", "locs", "error", "location")
+    start = parsed.filter(F.col("kind") == "redirect").select("scan_id", "doc_key")
+    start = FU.with_url(start, "doc_key", "_d").select("scan_id", "doc_key", F.col("doc_key").alias("cur_key"),
+                                                        F.col("_d.origin").alias("init_origin"),
+                                                        F.lit(0).alias("hops"))
+    frontier = materialize(start)
+    finals = []
+    while not frontier.isEmpty():
+        j = frontier.join(docs, ["scan_id", "cur_key"], "left")
+        j = FU.with_url(j, "cur_key", "_c").withColumn("_abs", FU.resolve_reference("location", "_c"))
+        j = FU.with_url(j, "_abs", "_n")
+        is_redirect = F.coalesce(F.col("kind") == "redirect", F.lit(False))
+        reason = (F.when(~is_redirect, F.lit(None))
+                  .when(F.col("hops") >= max_redirects, F.lit(MSG_REDIRECT_LIMIT))
+                  .when(FU.policy_reason(F.col("_n")).isNotNull(), FU.policy_reason(F.col("_n")))
+                  .when(F.lit(same_origin_only) & (F.col("_n.origin") != F.col("init_origin")), F.lit(MSG_OUTSIDE)))
+        step = materialize(j.select(
+            "scan_id", "doc_key", "init_origin", "hops", "kind", "locs", "error",
+            F.when(is_redirect & reason.isNull(), F.lit("next")).otherwise(F.lit("done")).alias("_step"),
+            reason.alias("_reason"), F.col("_n.href_nofrag").alias("_next")))
+        finals.append(step.filter(F.col("_step") == "done").select(
+            "scan_id", "doc_key",
+            F.when(F.col("_reason").isNotNull() | F.col("kind").isNull(), F.lit("error")).otherwise(F.col("kind"))
+            .alias("kind"),
+            F.when(F.col("_reason").isNotNull() | F.col("kind").isNull(), F.lit(None)).otherwise(F.col("locs"))
+            .alias("locs"),
+            F.when(F.col("_reason").isNotNull(), F.col("_reason"))
+            .when(F.col("kind").isNull(), F.lit(MSG_NO_DOCUMENT)).otherwise(F.col("error")).alias("error")))
+        frontier = step.filter(F.col("_step") == "next").select(
+            "scan_id", "doc_key", F.col("_next").alias("cur_key"), "init_origin", (F.col("hops") + 1).alias("hops"))
+    out = parsed.filter(F.col("kind") != "redirect").select("scan_id", "doc_key", "kind", "locs", "error")
+    for f in finals:
+        out = out.unionByName(f)
+    return out.withColumn("location", F.lit(None).cast("string"))
+
+
 def candidates(scans: DataFrame, robots_sitemaps: DataFrame, robots_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SM-3, SM-4: initial queue per scan, and robots errors.
 
@@ -139,7 +188,8 @@ def discover(queue: DataFrame, parsed: DataFrame, max_redirects: int = 5) -> Dis
                             F.array(F.col("pos").cast("int")).alias("path"))
     visited = None
     url_parts, err_parts = [], []
-    docs = parsed.select("scan_id", F.col("doc_key").alias("canonical"), "kind", "locs", "error", "location")
+    docs = resolve_redirects(parsed, max_redirects).select(
+        "scan_id", F.col("doc_key").alias("canonical"), "kind", "locs", "error")
     level = 0
     while True:
         f = FU.with_url(frontier, "source", "_s")
@@ -153,7 +203,6 @@ def discover(queue: DataFrame, parsed: DataFrame, max_redirects: int = 5) -> Dis
         key = F.concat(_pad(F.col("level"), 4), F.lit("."), F.array_join(F.transform("path", lambda x: _pad(x)), "."))
         message = (F.when(F.col("reason").isNotNull(), F.col("reason"))
                    .when(F.col("kind").isNull(), F.lit(MSG_NO_DOCUMENT))
-                   .when(F.col("kind") == "redirect", F.lit(MSG_REDIRECT_LIMIT))
                    .when(F.col("kind") == "error", F.col("error")))
         err_parts.append(f.filter(message.isNotNull()).select("scan_id", "source", message.alias("message"),
                                                               key.alias("order_key")))
