@@ -63,13 +63,15 @@ def read_json_pages(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV export with quoted newlines; cells keep their blanks."""
+    """CSV export with quoted newlines; cells keep their blanks.  The header
+    line is skipped positionally (its exact text is checked from the whole
+    file by ``csv_checks``), so a wrong header is a finding, not a read error."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in CSV_HEADER]
                           + [T.StructField("_corrupt_record", T.StringType())])
     return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("enforceSchema", False).csv(path).withColumn("artifact", F.input_file_name()))
+            .option("enforceSchema", True).csv(path).withColumn("artifact", F.input_file_name()))
 
 
 def read_text_artifacts(spark: SparkSession, path: str) -> DataFrame:
