@@ -168,13 +168,15 @@ FROM (SELECT """ + _ORIGIN.format(t="p") + """ AS origin,
       FROM {pages} p GROUP BY 1) o
 """
 
-# Sitemap documents per origin: an index listing chunk sitemaps (page_id % 4),
+# Sitemap documents per origin: an index listing chunk sitemaps (page_id % 4
+# within blocks of 40,000 ids, so one document never lists over 10,000 URLs),
 # itself (a cycle), a fragment duplicate and a private URL; chunk 3 is
 # truncated XML for some origins; /sitemap.xml answers 404.  Locations are
 # written with XML escaping (&amp;).
 SITEMAPS_SQL = """
 WITH u AS (
-  SELECT """ + _ORIGIN.format(t="p") + """ AS origin, p.page_id, p.url, p.page_id % 4 AS chunk FROM {pages} p
+  SELECT """ + _ORIGIN.format(t="p") + """ AS origin, p.page_id, p.url,
+         p.page_id % 4 + 4 * CAST(floor(p.page_id / 40000) AS BIGINT) AS chunk FROM {pages} p
 ),
 chunks AS (
   SELECT origin, chunk,

@@ -78,3 +78,10 @@ def test_page_status(spark):
     got = {r.url: r.status for r in X.pages_from_resolved(resolved).collect()}
     assert got == {"https://a/1": "success", "https://a/2": "invalid_jsonld", "https://a/3": "no_jsonld",
                    "https://a/4": "success", "https://a/5": "http_error", "https://a/6": "fetch_error"}
+
+
+def test_tokenizer_large_script_no_stack_overflow(spark):
+    big = '{"a":"' + ("x" * 3_000_000) + '"}'
+    html = "<html><head><!-- c --><script type='application/ld+json'>" + big + "</script></head></html>"
+    got = scripts(spark, html)
+    assert len(got) == 1 and len(got[0]) == len(big)
