@@ -112,12 +112,22 @@ def md_header(scans: DataFrame, pages: DataFrame) -> DataFrame:
                                            F.lit("")).alias("header"))
 
 
-def json_page_lines(docs: DataFrame) -> DataFrame:
-    """SNK-1 (scale form): one JSON object per page document, explicit nulls."""
-    page_cols = ["page_id", "scan_id", "url", "normalized_url", "sitemap_source", "status", "http_status",
-                 "content_type", "duration_ms", "error"]
-    obj = F.struct(F.struct(*page_cols).alias("page"), F.col("blocks"), F.col("entities"))
-    return docs.select("scan_id", "url", F.to_json(obj, {"ignoreNullFields": "false"}).alias("json"))
+def json_page_documents(docs: DataFrame, scans: DataFrame) -> DataFrame:
+    """SNK-1: one JSON page document per row - formatVersion 1, the scan,
+    the page, its blocks and entities - for ``write.json`` (explicit nulls via
+    ``ignoreNullFields=false``).  Rows are per page, never per scan."""
+    scan_obj = scans.select("scan_id", F.struct(F.col("scan_id").alias("id"), "target_url", "status").alias("scan"))
+    return docs.join(scan_obj, "scan_id").select(
+        "scan_id", F.lit(1).alias("formatVersion"), "scan",
+        F.struct("page_id", "scan_id", "url", "normalized_url", "sitemap_source", "status", "http_status",
+                 "content_type", "duration_ms", "error").alias("page"),
+        F.transform("blocks", lambda b: F.struct(b["block_id"].alias("block_id"), F.col("page_id").alias("page_id"),
+                                                 b["ordinal"].alias("ordinal"), b["raw_text"].alias("raw_text"),
+                                                 b["parsed_json"].alias("parsed_json"),
+                                                 b["parse_error"].alias("parse_error"))).alias("blocks"),
+        F.transform("entities", lambda e: F.struct(e["entity_id"].alias("entity_id"), e["block_id"].alias("block_id"),
+                                                   e["context"].alias("context"), e["types"].alias("types"),
+                                                   e["serialized"].alias("serialized"))).alias("entities"))
 
 
 def export_gate(scans: DataFrame) -> tuple[DataFrame, DataFrame]:

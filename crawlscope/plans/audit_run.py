@@ -29,18 +29,7 @@ CHECKS_BY_FORMAT = {
 def write_artifacts(spark: SparkSession, scans: DataFrame, t: ScanTables, root: str) -> dict[str, str]:
     """Write JSON lines, CSV and Markdown exports per scan under ``root``."""
     docs = ST.site_documents(t.pages, t.blocks, t.entities)
-    scan_obj = scans.select("scan_id", F.struct(F.col("scan_id").alias("id"), "target_url", "status").alias("scan"))
-    jl = docs.join(scan_obj, "scan_id").select(
-        "scan_id", F.lit(1).alias("formatVersion"), "scan",
-        F.struct("page_id", "scan_id", "url", "normalized_url", "sitemap_source", "status", "http_status",
-                 "content_type", "duration_ms", "error").alias("page"),
-        F.transform("blocks", lambda b: F.struct(b["block_id"].alias("block_id"), F.col("page_id").alias("page_id"),
-                                                 b["ordinal"].alias("ordinal"), b["raw_text"].alias("raw_text"),
-                                                 b["parsed_json"].alias("parsed_json"),
-                                                 b["parse_error"].alias("parse_error"))).alias("blocks"),
-        F.transform("entities", lambda e: F.struct(e["entity_id"].alias("entity_id"), e["block_id"].alias("block_id"),
-                                                   e["context"].alias("context"), e["types"].alias("types"),
-                                                   e["serialized"].alias("serialized"))).alias("entities"))
+    jl = EX.json_page_documents(docs, scans)
     paths = {f: f"{root}/{f}" for f in ("json", "csv", "markdown")}
     jl.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("scan_id").json(paths["json"])
     # CSV: Spark's writer quotes like RFC 4180 (doubled quotes), writes the
