@@ -141,16 +141,23 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
         j = _with_target_checks(j, "_next_abs", "_n", verdicts)
         outside = F.col("same_origin_only") & (F.col("_n.origin") != F.col("init_origin"))
         reason = F.when(F.col("_follow"), F.coalesce(F.col("_n_reason"), F.when(outside, F.lit(FU.MSG_OUTSIDE))))
-        errored = F.col("fetch_status").isin("fetch_error") | F.col("_limit") | reason.isNotNull()
+        # A redirect to the same URL replays the same capture on every hop, so
+        # its end is known exactly: the limit error after the remaining hops,
+        # each adding this response's duration.
+        self_loop = F.col("_follow") & reason.isNull() & (F.col("_n.href_nofrag") == F.col("cur_key"))
+        limit = F.col("_limit") | self_loop
+        errored = F.col("fetch_status").isin("fetch_error") | limit | reason.isNotNull()
         step = j.select(
-            "scan_id", "url", "seq", "sitemap_source", "normalized_url", "init_origin", "hops", "dur_acc",
+            "scan_id", "url", "seq", "sitemap_source", "normalized_url", "init_origin", "hops",
+            F.when(self_loop, F.col("dur_acc") + (F.col("max_redirects") - F.col("hops"))
+                   * F.coalesce("duration_ms", F.lit(0))).otherwise(F.col("dur_acc")).alias("dur_acc"),
             "max_redirects", "same_origin_only",
-            F.when(F.col("_follow") & reason.isNull(), F.lit("next")).otherwise(F.lit("done")).alias("_step"),
+            F.when(F.col("_follow") & reason.isNull() & ~self_loop, F.lit("next")).otherwise(F.lit("done")).alias("_step"),
             F.col("cur_key").alias("final_key"),
             F.col("_n.href_nofrag").alias("next_key"),
-            F.when(F.col("_limit") | reason.isNotNull(), F.lit("fetch_error"))
+            F.when(limit | reason.isNotNull(), F.lit("fetch_error"))
             .otherwise(F.coalesce("fetch_status", F.lit("fetch_error"))).alias("fetch_status"),
-            F.when(F.col("_limit"), F.lit(FC.MSG_REDIRECT_LIMIT)).when(reason.isNotNull(), reason)
+            F.when(limit, F.lit(FC.MSG_REDIRECT_LIMIT)).when(reason.isNotNull(), reason)
             .otherwise(F.coalesce("message", F.when(F.col("fetch_status").isNull(), F.lit(FC.MSG_NO_CAPTURE))))
             .alias("message"),
             F.when(errored, F.lit(None).cast("int")).otherwise(F.col("http_status")).alias("http_status"),
