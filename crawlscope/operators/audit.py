@@ -284,6 +284,22 @@ def severity_summary(findings: DataFrame) -> DataFrame:
         "severity", "rank", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
+def artifact_inventory(texts: DataFrame) -> DataFrame:
+    """AU-21: format, scope and apparent completeness per artifact file.
+
+    ``texts``: artifact (path), value (whole text).  Format from the folder
+    or extension, scope ``page`` for page exports, complete when the file ends
+    with a newline and (JSON) every line is an object."""
+    path = F.col("artifact")
+    fmt = (F.when(path.rlike("(?i)(/json/|\\.json$)"), "json").when(path.rlike("(?i)(/csv/|\\.csv$)"), "csv")
+           .when(path.rlike("(?i)(/markdown|\\.md$)"), "markdown").otherwise("unknown"))
+    scope = F.when(path.rlike("schema-page"), "page").otherwise("site")
+    lines = F.filter(F.split(F.col("value"), "\n"), lambda x: x != "")
+    json_ok = F.forall(lines, lambda x: x.startswith("{") & x.endswith("}"))
+    complete = F.col("value").endswith("\n") & F.when(fmt == "json", json_ok).otherwise(F.lit(True))
+    return texts.select("artifact", fmt.alias("format"), scope.alias("scope"), complete.alias("complete"))
+
+
 def coverage(artifacts: DataFrame, checks_by_format: dict[str, list[str]]) -> DataFrame:
     """AU-19, AU-21: artifact inventory (format, scope, completeness) crossed
     with the checks that apply to each format (a fixed small table)."""

@@ -60,6 +60,24 @@ def stream_pages(spark: SparkSession, request_dir: str, request_schema, response
     return sink
 
 
+# Control event -> published event type (fixed mapping).
+EVENT_OF_CONTROL = {"started": "scan_state", "urls_listed": "progress", "completed": "scan_completed",
+                    "cancel": "scan_state", "error": "scan_error"}
+
+
+def typed_events(control: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """STR-4: the published event stream: scan_state / progress /
+    page_completed / scan_completed / scan_error (with message), in ``seq``
+    order per scan.  Works on streaming or static inputs."""
+    m = F.create_map(*[x for k, v in EVENT_OF_CONTROL.items() for x in (F.lit(k), F.lit(v))])
+    ev = control.select("scan_id", F.element_at(m, F.col("type")).alias("event"), "seq",
+                        F.when(F.col("type") == "error", F.col("message")).alias("message"))
+    if pages is not None:
+        ev = ev.unionByName(pages.select("scan_id", F.lit("page_completed").alias("event"), "seq",
+                                         F.lit(None).cast("string").alias("message")))
+    return ev
+
+
 def page_events(pages: DataFrame) -> DataFrame:
     """STR-4: one ``page_completed`` event per processed page."""
     return pages.select("scan_id", F.lit("page_completed").alias("type"), F.col("seq"),
