@@ -108,7 +108,7 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
     req = _with_target_checks(req, "url", "_t", verdicts)
     req = req.withColumn("normalized_url", F.coalesce(F.col("_t.href_nofrag"), F.col("url")))
     narrow = summaries.select("scan_id", F.col("url_key").alias("cur_key"), "http_status", "content_type",
-                              "location", "duration_ms", "fetch_status", "message")
+                              "location", "duration_ms", "fetch_status", "message", "scripts")
     state = materialize(req.select(
         "scan_id", "url", "seq", "sitemap_source", "normalized_url",
         F.col("_t_reason").alias("reject"),
@@ -118,13 +118,13 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
         F.coalesce("max_redirects", F.lit(5)).alias("max_redirects"),
         F.coalesce("same_origin_only", F.lit(True)).alias("same_origin_only")))
     out_cols = ["scan_id", "url", "seq", "sitemap_source", "normalized_url", "final_key", "fetch_status",
-                "message", "http_status", "content_type", "duration_ms"]
+                "message", "http_status", "content_type", "duration_ms", "scripts"]
     rejected = state.filter(F.col("reject").isNotNull()).select(
         "scan_id", "url", "seq", "sitemap_source", "normalized_url",
         F.col("cur_key").alias("final_key"),
         F.lit("fetch_error").alias("fetch_status"), F.col("reject").alias("message"),
         F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("content_type"),
-        F.lit(0).alias("duration_ms"))
+        F.lit(0).alias("duration_ms"), F.lit(None).cast("array<string>").alias("scripts"))
     frontier = state.filter(F.col("reject").isNull()).drop("reject")
 
     finished = [rejected]
@@ -161,7 +161,8 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
             .otherwise(F.coalesce("message", F.when(F.col("fetch_status").isNull(), F.lit(FC.MSG_NO_CAPTURE))))
             .alias("message"),
             F.when(errored, F.lit(None).cast("int")).otherwise(F.col("http_status")).alias("http_status"),
-            F.when(errored, F.lit(None).cast("string")).otherwise(F.col("content_type")).alias("content_type"))
+            F.when(errored, F.lit(None).cast("string")).otherwise(F.col("content_type")).alias("content_type"),
+            F.when(~errored & (F.col("fetch_status") == "ok"), F.col("scripts")).alias("scripts"))
         step = materialize(step)
         finished.append(step.filter(F.col("_step") == "done").select(
             *[c if c != "duration_ms" else F.col("dur_acc").alias("duration_ms") for c in out_cols]))
@@ -173,12 +174,11 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
             break
         frontier = nxt
 
+    # Script texts travel with each hop's join, so no final re-join is needed.
     resolved = finished[0]
     for part in finished[1:]:
         resolved = resolved.unionByName(part)
-    scripts = summaries.select("scan_id", F.col("url_key").alias("final_key"), "scripts")
-    return resolved.join(scripts, ["scan_id", "final_key"], "left").withColumn(
-        "scripts", F.when(F.col("fetch_status") == "ok", F.col("scripts")))
+    return resolved
 
 
 def pages_from_resolved(resolved: DataFrame) -> DataFrame:

@@ -43,9 +43,10 @@ def filter_sitemap_urls(discovered: DataFrame, scans: DataFrame, order_col: str
     plans as a WindowGroupLimit (partial top-k before the shuffle), so a scan
     holding most URLs sends at most ``MAX_URLS_BOUND`` rows per task.
     """
-    d = discovered.join(scans.select("scan_id", "target_url", "max_urls"), "scan_id")
-    d = FU.with_url(FU.with_url(d, "url", "_u"), "target_url", "_tgt")
-    d = d.filter(FU.policy_reason(F.col("_u")).isNull() & (F.col("_u.origin") == F.col("_tgt.origin")))
+    targets = FU.with_url(scans.select("scan_id", "target_url", "max_urls"), "target_url", "_tgt").select(
+        "scan_id", "max_urls", F.col("_tgt.origin").alias("target_origin"))
+    d = FU.with_url(discovered.join(targets, "scan_id"), "url", "_u")
+    d = d.filter(FU.policy_reason(F.col("_u")).isNull() & (F.col("_u.origin") == F.col("target_origin")))
     firsts = d.groupBy("scan_id", F.col("_u.href_nofrag").alias("url")).agg(
         F.min(order_col).alias("first_seq"),
         F.min_by("source", order_col).alias("source"),
