@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from crawlscope.operators import extract as X
 from crawlscope.session import checkpoint_dir
 
-EVENT_TYPES = ("scan_state", "progress", "page_completed", "scan_completed", "scan_error")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
