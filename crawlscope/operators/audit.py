@@ -57,7 +57,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def read_json_pages(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON-lines export: one page document per line; malformed lines are kept
     in ``_corrupt_record`` (AU-17) instead of being dropped."""
-    s = schema.add("_corrupt_record", T.StringType()) if "_corrupt_record" not in schema.fieldNames() else schema
+    s = T.StructType(list(schema.fields))
+    if "_corrupt_record" not in s.fieldNames():
+        s = s.add("_corrupt_record", T.StringType())
     return (spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
             .json(path).withColumn("artifact", F.input_file_name()))
 

@@ -26,12 +26,13 @@ CHECKS_BY_FORMAT = {
 }
 
 
-def write_artifacts(spark: SparkSession, scans: DataFrame, t: ScanTables, root: str) -> dict[str, str]:
+def write_artifacts(spark: SparkSession, scans: DataFrame, t: ScanTables, root: str) -> dict:
     """Write JSON lines, CSV and Markdown exports per scan under ``root``."""
     docs = ST.site_documents(t.pages, t.blocks, t.entities)
     jl = EX.json_page_documents(docs, scans)
     paths = {f: f"{root}/{f}" for f in ("json", "csv", "markdown")}
     jl.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("scan_id").json(paths["json"])
+    paths["json_schema"] = jl.schema
     # CSV: Spark's writer quotes like RFC 4180 (doubled quotes), writes the
     # fixed header into every part file, and keeps blanks; no repartition, so
     # a scan holding most rows is still written by many tasks.
@@ -68,10 +69,9 @@ def audit_exports(spark: SparkSession, scans: DataFrame, t: ScanTables, progress
     """Write, read back and audit; returns all findings."""
     root = root or f"{checkpoint_dir(spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
     paths = write_artifacts(spark, scans, t, root)
-    jdocs = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record") \
-        .json(paths["json"]).withColumn("artifact", F.input_file_name())
-    if "_corrupt_record" not in jdocs.columns:
-        jdocs = jdocs.withColumn("_corrupt_record", F.lit(None).cast("string"))
+    # Read back with the schema the documents were written with (no inference
+    # scan); malformed lines land in _corrupt_record.
+    jdocs = A.read_json_pages(spark, paths["json"], paths.pop("json_schema"))
     # Parsed artifacts are checkpointed once: checks then read the corrupt-record
     # column freely (Spark rejects raw-file queries on that column alone).
     jdocs = materialize(jdocs)
