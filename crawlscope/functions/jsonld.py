@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Ordered HTML tokenizer (Java regex).  Alternatives, in document order:
-# a comment (its content is never markup), or a raw-text element whose body
-# runs to its end tag.  Group 1 captures "<tag attrs>body" of the element;
-# comments leave it empty.  Possessive quantifiers keep long bodies off the
+# a comment (its content is never markup), a raw-text element whose body
+# runs to its end tag, or any other start tag consumed whole (so markup
+# inside its quoted attribute values is never seen as a tag).  Group 1
+# captures "<tag attrs>body" of raw-text elements; the others leave it empty.  Possessive quantifiers keep long bodies off the
 # stack; \z accepts an unclosed element at end of input.
 RAW_TEXT_ELEMENTS = "script|style|textarea|title|noscript|xmp|iframe|noembed|noframes"
 TOKEN_RE = ("(?is)<!--.*?(?:-->|\\z)|(<(" + RAW_TEXT_ELEMENTS + ")(?=[\\s/>])"
-            "(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?)(?:</\\2[\\s/>]|\\z)")
+            "(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?)(?:</\\2[\\s/>]|\\z)"
+            "|<[a-zA-Z][^\\s/>\"']*+(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _START_TAG_RE = "^<([a-zA-Z]+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
 _TYPE_ATTR_RE = "(?i)(?:^|[\\s/])type\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
 LD_JSON_TYPE = "application/ld+json"

@@ -85,3 +85,9 @@ def test_tokenizer_large_script_no_stack_overflow(spark):
     html = "<html><head><!-- c --><script type='application/ld+json'>" + big + "</script></head></html>"
     got = scripts(spark, html)
     assert len(got) == 1 and len(got[0]) == len(big)
+
+
+def test_script_inside_attribute_is_not_a_tag(spark):
+    html = ('<div title="<script type=\'application/ld+json\'>{&quot;x&quot;:1}</script>">t</div>'
+            '<script type="application/ld+json">{"real":1}</script>')
+    assert scripts(spark, html) == ['{"real":1}']
