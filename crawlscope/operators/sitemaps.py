@@ -31,8 +31,8 @@ MSG_TOO_LARGE = "Sitemap response exceeds size limit"
 MSG_NO_DOCUMENT = "Sitemap fetch failed: no captured response"
 MSG_REDIRECT_LIMIT = "Redirect limit exceeded"
 
-_XML_SCHEMA = ("url array<struct<loc:string,_VALUE:string>>, "
-               "sitemap array<struct<loc:string,_VALUE:string>>, _corrupt_record string")
+_XML_SCHEMA = ("url array<struct<loc:array<string>,_VALUE:string>>, "
+               "sitemap array<struct<loc:array<string>,_VALUE:string>>, _corrupt_record string")
 _ROOT_RE = ("^\\s*(?:<\\?xml[^>]*\\?>\\s*)?(?:<!--.*?-->\\s*)*(?:<!DOCTYPE[^>]*>\\s*)?(?:<!--.*?-->\\s*)*"
             "<(?:[A-Za-z_][\\w.-]*:)?([A-Za-z_][\\w.-]*)")
 
@@ -77,7 +77,9 @@ def parse_documents(docs: DataFrame, max_bytes: int = 5_000_000, decode_entities
                             "(?:/>|>\\s*</(?:[\\w.-]+:)?(urlset|sitemapindex)\\s*>)\\s*$")
 
     def locs(arr):
-        vals = F.transform(arr, lambda e: F.coalesce(e["loc"], e["_VALUE"]))
+        # An entry with a repeated <loc> is not a string location: dropped.
+        vals = F.transform(arr, lambda e: F.when(F.size(e["loc"]) == 1, F.element_at(e["loc"], 1))
+                           .when(e["loc"].isNull(), e["_VALUE"]))
         return F.transform(F.filter(vals, lambda v: v.isNotNull() & (F.length(v) > 0)), lambda v: F.trim(v))
 
     d = d.withColumn("_chk", checked).withColumn("_doc", parsed).withColumn("_root", root)

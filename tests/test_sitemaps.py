@@ -64,3 +64,11 @@ def test_redirect_to_missing_document(spark):
     rows = [("s", "https://a/r.xml", 301, "/gone.xml", "")]
     urls, errs = discover(spark, rows, [("s", "https://a/r.xml", 0)])
     assert urls == [] and errs["https://a/r.xml"] == S.MSG_NO_DOCUMENT
+
+
+def test_repeated_loc_entry_dropped(spark):
+    rows = [("s", "https://a/m.xml", 200, None,
+             "<urlset><url><loc>https://a/1</loc><loc>https://a/2</loc></url><url><loc>https://a/3</loc></url>"
+             "<url>https://a/plain</url></urlset>")]
+    urls, errs = discover(spark, rows, [("s", "https://a/m.xml", 0)])
+    assert urls == ["https://a/3", "https://a/plain"] and errs == {}
