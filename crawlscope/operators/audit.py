@@ -258,6 +258,29 @@ def observation_checks(pages: DataFrame, blocks: DataFrame, entities: DataFrame)
                                    F.col("prop")),
                           "Incomplete values limit rich results", "Fill the required property",
                           severity=F.when(empty, F.lit("medium")).otherwise(F.lit("low"))))
+    # Offers nested in a Product (object or array under "offers") must carry
+    # the Offer properties too.
+    offer_props = [p for t, p in REQUIRED_PROPERTIES if t == "Offer"]
+    prod = typed.filter(F.col("rtype") == "Product").withColumn(
+        "_o", F.try_variant_get(F.try_parse_json("serialized"), "$.offers", "variant"))
+    offers = prod.filter(F.col("_o").isNotNull()).select(
+        "url", "entity_path", F.posexplode(F.when(F.schema_of_variant("_o").startswith("ARRAY"),
+                                                  F.try_variant_get("_o", "$", "array<variant>"))
+                                           .otherwise(F.array("_o"))).alias("i", "o"))
+    offers = offers.filter(F.schema_of_variant("o").startswith("OBJECT")).withColumn("oj", F.to_json("o"))
+    nested = offers.select("url", "entity_path", "i", "oj", F.explode(F.array(*[F.lit(x) for x in offer_props]))
+                           .alias("prop"))
+    okeys = F.json_object_keys("oj")
+    oval = F.expr("get_json_object(oj, concat('$.', prop))")
+    o_absent = ~F.array_contains(okeys, F.col("prop"))
+    o_empty = ~o_absent & (F.trim(F.coalesce(oval, F.lit(""))) == "")
+    parts.append(_finding(nested.filter(o_absent | o_empty), "AU-14", OBSERVATION, F.lit("entities"),
+                          F.concat(F.col("url"), F.lit("#"), F.col("entity_path"), F.lit("/offers["),
+                                   F.col("i").cast("string"), F.lit("]")),
+                          F.concat(F.lit("Offer "), F.when(o_empty, F.lit("empty ")).otherwise(F.lit("no ")),
+                                   F.col("prop")),
+                          "Incomplete values limit rich results", "Fill the required property",
+                          severity=F.when(o_empty, F.lit("medium")).otherwise(F.lit("low"))))
     failed = pages.filter(~F.col("status").isin("success", "no_jsonld"))
     parts.append(_finding(failed, "AU-15", OBSERVATION, F.lit("pages"), F.col("url"),
                           F.concat(F.lit("status "), F.col("status"), F.lit(": "), F.coalesce("error", F.lit(""))),

@@ -73,3 +73,16 @@ def test_audit_required_properties(spark):
     got = {(r.evidence, r.severity) for r in A.observation_checks(pages, blocks, ents).filter("check_id = 'AU-14'").collect()}
     assert ("Product empty name", "medium") in got and ("Product no image", "low") in got
     assert F is not None
+
+
+def test_audit_nested_offer(spark):
+    pages = spark.createDataFrame([("p", "https://a/", "success", None)], "page_id string, url string, status string, error string")
+    blocks = spark.createDataFrame([("b", "p", 0, None)], "block_id string, page_id string, ordinal int, parse_error string")
+    ser = '{"@type":"Product","image":"i.png","name":"","offers":{"@type":"Offer","price":""}}'
+    ents = spark.createDataFrame([("p", "", "https://schema.org", ["Product"], ser)],
+                                 "page_id string, entity_path string, context string, types array<string>, serialized string")
+    got = {(r.location, r.evidence, r.severity)
+           for r in A.observation_checks(pages, blocks, ents).filter("check_id = 'AU-14'").collect()}
+    assert ("https://a/#/offers[0]", "Offer empty price", "medium") in got
+    assert ("https://a/#/offers[0]", "Offer no availability", "low") in got
+    assert ("https://a/#", "Product empty name", "medium") in got
