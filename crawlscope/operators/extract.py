@@ -136,33 +136,42 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
         limit_hit = is_redirect & (loc_missing | (F.col("hops") >= F.col("max_redirects")))
         follow = is_redirect & ~limit_hit
         j = j.withColumn("_follow", follow).withColumn("_limit", limit_hit)
-        j = FU.with_url(j, F.when(F.col("_follow"), F.col("cur_key")), "_cur")
-        j = j.withColumn("_next_abs", F.when(F.col("_follow"), FU.resolve_reference("location", "_cur")))
-        j = _with_target_checks(j, "_next_abs", "_n", verdicts)
+        keep = ["scan_id", "url", "seq", "sitemap_source", "normalized_url", "init_origin", "hops",
+                "max_redirects", "same_origin_only", F.col("cur_key").alias("final_key")]
+        # Terminal rows (the vast majority) never reach the URL helper or DNS join.
+        stay = j.filter(~F.col("_follow"))
+        errored = F.col("fetch_status").isin("fetch_error") | F.col("_limit")
+        stay = stay.select(
+            *keep, "dur_acc", F.lit("done").alias("_step"), F.lit(None).cast("string").alias("next_key"),
+            F.when(F.col("_limit"), F.lit("fetch_error"))
+            .otherwise(F.coalesce("fetch_status", F.lit("fetch_error"))).alias("fetch_status"),
+            F.when(F.col("_limit"), F.lit(FC.MSG_REDIRECT_LIMIT))
+            .otherwise(F.coalesce("message", F.when(F.col("fetch_status").isNull(), F.lit(FC.MSG_NO_CAPTURE))))
+            .alias("message"),
+            F.when(errored, F.lit(None).cast("int")).otherwise(F.col("http_status")).alias("http_status"),
+            F.when(errored, F.lit(None).cast("string")).otherwise(F.col("content_type")).alias("content_type"),
+            F.when(~errored & (F.col("fetch_status") == "ok"), F.col("scripts")).alias("scripts"))
+        hop = FU.with_url(j.filter(F.col("_follow")), "cur_key", "_cur")
+        hop = hop.withColumn("_next_abs", FU.resolve_reference("location", "_cur"))
+        hop = _with_target_checks(hop, "_next_abs", "_n", verdicts)
         outside = F.col("same_origin_only") & (F.col("_n.origin") != F.col("init_origin"))
-        reason = F.when(F.col("_follow"), F.coalesce(F.col("_n_reason"), F.when(outside, F.lit(FU.MSG_OUTSIDE))))
+        reason = F.coalesce(F.col("_n_reason"), F.when(outside, F.lit(FU.MSG_OUTSIDE)))
         # A redirect to the same URL replays the same capture on every hop, so
         # its end is known exactly: the limit error after the remaining hops,
         # each adding this response's duration.
-        self_loop = F.col("_follow") & reason.isNull() & (F.col("_n.href_nofrag") == F.col("cur_key"))
-        limit = F.col("_limit") | self_loop
-        errored = F.col("fetch_status").isin("fetch_error") | limit | reason.isNotNull()
-        step = j.select(
-            "scan_id", "url", "seq", "sitemap_source", "normalized_url", "init_origin", "hops",
+        self_loop = reason.isNull() & (F.col("_n.href_nofrag") == F.col("cur_key"))
+        stop = reason.isNotNull() | self_loop
+        hop = hop.select(
+            *keep,
             F.when(self_loop, F.col("dur_acc") + (F.col("max_redirects") - F.col("hops"))
                    * F.coalesce("duration_ms", F.lit(0))).otherwise(F.col("dur_acc")).alias("dur_acc"),
-            "max_redirects", "same_origin_only",
-            F.when(F.col("_follow") & reason.isNull() & ~self_loop, F.lit("next")).otherwise(F.lit("done")).alias("_step"),
-            F.col("cur_key").alias("final_key"),
+            F.when(stop, F.lit("done")).otherwise(F.lit("next")).alias("_step"),
             F.col("_n.href_nofrag").alias("next_key"),
-            F.when(limit | reason.isNotNull(), F.lit("fetch_error"))
-            .otherwise(F.coalesce("fetch_status", F.lit("fetch_error"))).alias("fetch_status"),
-            F.when(limit, F.lit(FC.MSG_REDIRECT_LIMIT)).when(reason.isNotNull(), reason)
-            .otherwise(F.coalesce("message", F.when(F.col("fetch_status").isNull(), F.lit(FC.MSG_NO_CAPTURE))))
-            .alias("message"),
-            F.when(errored, F.lit(None).cast("int")).otherwise(F.col("http_status")).alias("http_status"),
-            F.when(errored, F.lit(None).cast("string")).otherwise(F.col("content_type")).alias("content_type"),
-            F.when(~errored & (F.col("fetch_status") == "ok"), F.col("scripts")).alias("scripts"))
+            F.lit("fetch_error").alias("fetch_status"),
+            F.when(self_loop, F.lit(FC.MSG_REDIRECT_LIMIT)).otherwise(reason).alias("message"),
+            F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("content_type"),
+            F.lit(None).cast("array<string>").alias("scripts"))
+        step = stay.unionByName(hop)
         step = materialize(step)
         finished.append(step.filter(F.col("_step") == "done").select(
             *[c if c != "duration_ms" else F.col("dur_acc").alias("duration_ms") for c in out_cols]))
