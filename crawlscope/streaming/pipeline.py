@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlscope.operators import extract as X
-from crawlscope.session import checkpoint_dir
+from crawlscope.session import checkpoint_dir, materialize
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,11 +44,14 @@ def stream_pages(spark: SparkSession, request_dir: str, request_schema, response
               .parquet(request_dir))
     stream = claimable(stream, control)
 
+    # Captures are static: classify and tokenise them once, not per batch.
+    summaries = materialize(X.summarize_responses(responses, scans))
+
     def process(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        tables = X.process_pages(batch, responses, scans, dns, with_entities=False)
-        (tables.pages.withColumn("batch_id", F.lit(batch_id))
+        pages = X.pages_from_resolved(X.resolve_requests(batch, summaries, scans, dns)).drop("scripts")
+        (pages.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
 
     q = (stream.writeStream.foreachBatch(process)
