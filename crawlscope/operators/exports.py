@@ -54,9 +54,10 @@ def csv_rows(pages: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFr
 
 def csv_cells(pages: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFrame:
     """SNK-2 (writer form): the six CSV columns as plain values for
-    ``DataFrameWriter.csv`` (quoting is left to the writer)."""
+    ``DataFrameWriter.csv`` (quoting is left to the writer), plus the
+    ordering keys ``_o`` (block ordinal) and ``_e`` (entity path)."""
     b = blocks.select("page_id", "block_id", "ordinal", "raw_text", "parse_error")
-    e = entities.select("block_id", "context", "types", "serialized")
+    e = entities.select("block_id", "entity_path", "context", "types", "serialized")
     rows = pages.select("page_id", "scan_id", "url").join(b, "page_id", "left").join(e, "block_id", "left")
     status = F.when(F.col("block_id").isNull(), F.lit("")) \
         .when(F.col("parse_error").isNotNull(), F.lit("invalid")).otherwise(F.lit("valid"))
@@ -64,7 +65,8 @@ def csv_cells(pages: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataF
         "scan_id", F.col("url").alias("page_url"), F.coalesce(F.col("ordinal").cast("string"), F.lit("")).alias("block_index"),
         F.coalesce("context", F.lit("")).alias("context"), F.coalesce(F.array_join("types", "|"), F.lit("")).alias("type"),
         status.alias("parse_status"),
-        F.when(F.col("block_id").isNull(), F.lit("")).otherwise(F.coalesce("serialized", "raw_text")).alias("serialized_json"))
+        F.when(F.col("block_id").isNull(), F.lit("")).otherwise(F.coalesce("serialized", "raw_text")).alias("serialized_json"),
+        F.col("ordinal").alias("_o"), F.col("entity_path").alias("_e"))
 
 
 def md_escape(value) -> Column:

@@ -29,20 +29,27 @@ CHECKS_BY_FORMAT = {
 def write_artifacts(spark: SparkSession, scans: DataFrame, t: ScanTables, root: str) -> dict:
     """Write JSON lines, CSV and Markdown exports per scan under ``root``."""
     docs = ST.site_documents(t.pages, t.blocks, t.entities)
-    jl = EX.json_page_documents(docs, scans)
+    # Every artifact is range-partitioned and sorted by (scan_id, url): part
+    # files concatenated in name order give the reference's page order, and a
+    # scan holding most pages is still split across many tasks by URL range.
+    def ordered(df, *keys):
+        return df.repartitionByRange("scan_id", *keys).sortWithinPartitions("scan_id", *keys)
+
+    jl = ordered(EX.json_page_documents(docs, scans).withColumn("_u", F.col("page.url")), "_u").drop("_u")
     paths = {f: f"{root}/{f}" for f in ("json", "csv", "markdown")}
     jl.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("scan_id").json(paths["json"])
     paths["json_schema"] = jl.schema
     # CSV: Spark's writer quotes like RFC 4180 (doubled quotes), writes the
     # fixed header into every part file, and keeps blanks; no repartition, so
     # a scan holding most rows is still written by many tasks.
-    EX.csv_cells(t.pages, t.blocks, t.entities).write.mode("overwrite").partitionBy("scan_id").options(
+    ordered(EX.csv_cells(t.pages, t.blocks, t.entities), "page_url", "_o", "_e").drop("_o", "_e") \
+        .write.mode("overwrite").partitionBy("scan_id").options(
         header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False, lineSep="\n").csv(paths["csv"])
     # Markdown: one header file per scan, page sections in the input's own partitioning.
     EX.md_header(scans, t.pages).select("scan_id", F.col("header").alias("value")) \
         .write.mode("overwrite").partitionBy("scan_id").text(paths["markdown"] + "_header")
-    EX.md_sections(t.pages, t.blocks).select("scan_id", F.col("section").alias("value")) \
+    ordered(EX.md_sections(t.pages, t.blocks), "url").select("scan_id", F.col("section").alias("value")) \
         .write.mode("overwrite").partitionBy("scan_id").text(paths["markdown"])
     return paths
 
