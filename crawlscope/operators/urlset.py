@@ -121,3 +121,16 @@ def export_extension(fmt) -> F.Column:
     """SNK-9: file extension for an export format."""
     c = F.col(fmt) if isinstance(fmt, str) else fmt
     return F.when(c == "markdown", F.lit("md")).otherwise(c)
+
+
+def scans_from_requests(requests: DataFrame, json_col: str = "settings_json") -> DataFrame:
+    """EX-10 + EX-11 -> SNK-4: accepted scan requests become queued scans
+    (target and sitemap as normalised hrefs, typed settings); rejected
+    requests are left out (see ``validate_requests`` for their reasons)."""
+    ok = validate_requests(requests).filter(F.col("reject_reason").isNull())
+    settings = normalize_settings(requests.select("request_id", json_col), json_col).drop(json_col)
+    return ok.join(settings, "request_id").select(
+        F.concat(F.lit("scan-"), F.col("request_id").cast("string")).alias("scan_id"),
+        F.col("target_href").alias("target_url"), F.col("sitemap_href").alias("sitemap_url"),
+        *[_snake(k) for k in SETTINGS_RANGES], *[_snake(k) for k in SETTINGS_FLAGS],
+        F.lit("queued").alias("status"))

@@ -100,6 +100,11 @@ def ex_settings(spark: SparkSession, sf: str) -> DataFrame:
                       "max_redirects", "respect_robots", "same_origin_only")
 
 
+def st_scans_from_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """EX-10, EX-11, SNK-4: accepted scan requests -> queued scan rows."""
+    return U.scans_from_requests(C.scan_requests(spark, sf))
+
+
 def rob_rules(spark: SparkSession, sf: str) -> DataFrame:
     """ROB-1, ROB-2: grouped allow/disallow rules with their agents."""
     agents, rules = R.groups(C.robots_docs(spark, sf))
@@ -336,6 +341,7 @@ QUERIES = {
     "ag_url_counts": ag_url_counts,
     "url_export_names": url_export_names,
     "ex_settings": ex_settings,
+    "st_scans_from_requests": st_scans_from_requests,
     "rob_rules": rob_rules,
     "rob_sitemaps": rob_sitemaps,
     "rob_verdicts": rob_verdicts,
