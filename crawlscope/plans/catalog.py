@@ -65,6 +65,14 @@ def ag_scan_counters(spark: SparkSession, sf: str) -> DataFrame:
     return P.scan_counters(t.pages)
 
 
+def scan_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    """SURVEY §3.1 end to end: discovery -> cap -> fetch resolution -> page status."""
+    from crawlscope.plans.scan import run_scans
+    tables, _ = run_scans(C.scans(spark, sf), C.robots_docs(spark, sf), C.sitemap_docs(spark, sf),
+                          C.responses(spark, sf), C.dns(spark, sf), with_entities=False)
+    return tables.pages.select("scan_id", "url", "status", "http_status", "error", "block_count")
+
+
 def entry_flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Minimum slice: captures -> blocks -> strict parse -> page status -> counters."""
     return ag_scan_counters(spark, sf)
@@ -333,6 +341,7 @@ def st_cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "fe_response_outcomes": fe_response_outcomes,
     "ld_page_status": ld_page_status,
+    "scan_end_to_end": scan_end_to_end,
     "ld_blocks": ld_blocks,
     "ld_entities": ld_entities,
     "ag_scan_counters": ag_scan_counters,
