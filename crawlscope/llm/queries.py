@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import decontaminate
+from crawlscope.llm import decontaminate, packing
 
 QUERIES = {
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
