@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import decontaminate, packing
+from crawlscope.llm import decontaminate, packing, quality
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }

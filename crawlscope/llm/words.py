@@ -38,7 +38,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def class_table(kind: str) -> np.ndarray:
     """Which bytes belong to a word.  ``alnum``: 0-9, letters and every
-    non-ASCII byte.  ``graph``: all bytes but space and tab..carriage return."""
+    non-ASCII byte.  ``graph``: all bytes but space and tab..carriage return.
+    ``symbol``: ``graph`` without ``alnum``."""
     table = np.zeros(256, dtype=bool)
     if kind == "alnum":
         table[0x30:0x3A] = table[0x41:0x5B] = table[0x61:0x7B] = True
@@ -46,6 +47,8 @@ def class_table(kind: str) -> np.ndarray:
     elif kind == "graph":
         table[:] = True
         table[0x20] = table[0x09:0x0E] = False
+    elif kind == "symbol":
+        table = class_table("graph") & ~class_table("alnum")
     else:
         raise ValueError(kind)
     return table
@@ -154,6 +157,16 @@ class Words:
             np.cumsum(values[data] * up[:n], out=total[1:])
             h = (total[self.end] - total[self.start]) * down[self.start]
             self.hash = mix(h + (self.end - self.start).astype(np.uint64))
+        self._total, self._down = total, down
+
+    def prefix_hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the words longer than ``size`` bytes and the hashes of
+        their first ``size`` bytes, apart from every word's own hash."""
+        which = np.flatnonzero(self.end - self.start > size)
+        a = self.start[which]
+        with np.errstate(over="ignore"):
+            h = (self._total[a + size] - self._total[a]) * self._down[a]
+            return which, mix(h + np.uint64(size << 40))
 
     def window_hashes(self, size: int) -> np.ndarray:
         """Hash of each run of ``size`` consecutive words (runs that cross rows
