@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import decontaminate, packing, quality
+from crawlscope.llm import decontaminate, packing, quality, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
