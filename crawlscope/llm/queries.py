@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import decontaminate, packing, quality, toxicity
+from crawlscope.llm import chat, decontaminate, packing, quality, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
+    "op3_chat_formatting": chat.ORACLE_SQL,
     "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
