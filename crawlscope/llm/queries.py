@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import chat, decontaminate, packing, quality, toxicity
+from crawlscope.llm import chat, decontaminate, jaccard, packing, quality, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
@@ -15,4 +16,5 @@ QUERIES = {
 ORACLES = {
     "op3_chat_formatting": chat.ORACLE_SQL,
     "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op7_ngram_jaccard": jaccard.ORACLE_SQL,
 }
