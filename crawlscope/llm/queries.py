@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import chat, decontaminate, jaccard, packing, quality, toxicity
+from crawlscope.llm import chat, decontaminate, jaccard, lines, packing, quality, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,

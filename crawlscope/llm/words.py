@@ -22,6 +22,7 @@ ship_with_tasks(sys.modules[__name__])
 CHUNK_BYTES = 1 << 20
 
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POINT_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,7 +94,7 @@ def worker_state() -> dict:
 def powers(which: str) -> Powers:
     state = worker_state()
     if which not in state:
-        state[which] = Powers(_BYTE_BASE if which == "bytes" else _WORD_BASE)
+        state[which] = Powers({"bytes": _BYTE_BASE, "words": _WORD_BASE, "points": _POINT_BASE}[which])
     return state[which]
 
 
