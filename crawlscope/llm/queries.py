@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import chat, decontaminate, jaccard, lines, packing, quality, toxicity
+from crawlscope.llm import chat, decontaminate, jaccard, lines, packing, quality, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op6_url_filters": urlfilter.op6_url_filters,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+    "op8_exact_topk": topk.op8_exact_topk,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
@@ -17,5 +19,7 @@ QUERIES = {
 ORACLES = {
     "op3_chat_formatting": chat.ORACLE_SQL,
     "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op6_url_filters": urlfilter.ORACLE_SQL,
     "op7_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op8_exact_topk": topk.ORACLE_SQL,
 }
