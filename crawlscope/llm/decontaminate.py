@@ -18,7 +18,6 @@ results are replaced in the report and untouched in the filter's output.
 
 from __future__ import annotations
 
-import hashlib
 import sys
 from collections import defaultdict
 

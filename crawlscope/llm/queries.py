@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import chat, decontaminate, jaccard, lines, packing, quality, topk, toxicity, urlfilter
+from crawlscope.llm import chat, decontaminate, jaccard, lines, packing, quality, suffix, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op5_suffix_array_dedup": suffix.op5_suffix_array_dedup,
     "op6_url_filters": urlfilter.op6_url_filters,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_exact_topk": topk.op8_exact_topk,
