@@ -93,17 +93,18 @@ def json_checks(docs: DataFrame, progress: DataFrame | None = None) -> DataFrame
     bad = docs.filter(F.col("_corrupt_record").isNotNull())
     # (a data column is referenced too: Spark rejects reads of the corrupt column alone)
     parts.append(_finding(bad, "AU-17", DEFECT, F.col("artifact"), F.coalesce(F.col("page.url"), F.lit("line")),
-                          F.substring("_corrupt_record", 1, 120), "Rows in a malformed region cannot be checked",
+                          F.col("_corrupt_record"), "Rows in a malformed region cannot be checked",
                           "Re-export the artifact; do not infer absence from omitted rows"))
     good = docs.filter(F.col("_corrupt_record").isNull())
-    missing = (F.col("formatVersion").isNull() | (F.col("formatVersion") != 1) | F.col("scan").isNull()
-               | F.col("page").isNull())
+    missing = (F.col("formatVersion").isNull() | (F.col("formatVersion") != 1) | F.col("scan.id").isNull()
+               | F.col("page.url").isNull() | F.col("page.status").isNull() | F.col("page.page_id").isNull())
     parts.append(_finding(good.filter(missing), "AU-1", DEFECT, F.col("artifact"), F.coalesce("page.url", F.lit("?")),
                           F.concat(F.lit("formatVersion="), F.coalesce(F.col("formatVersion").cast("string"),
                                                                        F.lit("missing"))),
                           "Consumers cannot trust the document shape", "Export with formatVersion 1 and all fields"))
-    dup = good.groupBy("artifact", "page.url").count().filter("count > 1")
-    parts.append(_finding(dup, "AU-2", DEFECT, F.col("artifact"), F.col("url"),
+    # by scan, so that repeats in different part files are found
+    dup = good.groupBy(F.col("scan.id").alias("scan"), F.col("page.url").alias("url")).count().filter("count > 1")
+    parts.append(_finding(dup, "AU-2", DEFECT, F.col("scan"), F.col("url"),
                           F.concat(F.lit("page URL appears "), F.col("count").cast("string"), F.lit(" times")),
                           "Page counts are inflated", "De-duplicate pages on normalized URL"))
     parts.append(_finding(good.filter(F.col("page.scan_id") != F.col("scan.id")), "AU-3", DEFECT,
@@ -135,7 +136,7 @@ def json_checks(docs: DataFrame, progress: DataFrame | None = None) -> DataFrame
                           "Invalid block presented as parsed", "Null parsed when parseError is set"))
     from crawlscope.functions.jsonld import strict_json_valid
     parts.append(_finding(ents.filter(~F.coalesce(strict_json_valid(F.col("e.serialized")), F.lit(False))), "AU-8",
-                          DEFECT, F.col("artifact"), F.col("url"), F.substring("e.serialized", 1, 120),
+                          DEFECT, F.col("artifact"), F.col("url"), F.col("e.serialized"),
                           "Entity text is not JSON", "Serialize entities with a JSON encoder"))
     if progress is not None:
         counted = good.groupBy(F.col("scan.id").alias("scan_id")).agg(
@@ -161,13 +162,13 @@ def csv_checks(rows: DataFrame, texts: DataFrame) -> DataFrame:
     parts = []
     first_line = F.substring_index("value", "\n", 1)
     parts.append(_finding(texts.filter(first_line != ",".join(CSV_HEADER)), "AU-10", DEFECT, F.col("artifact"),
-                          F.lit("header"), F.substring(first_line, 1, 120), "Columns are misread",
+                          F.lit("header"), first_line, "Columns are misread",
                           "Write the fixed six-column header"))
     parts.append(_finding(texts.filter(~F.col("value").endswith("\n")), "AU-10", DEFECT, F.col("artifact"),
                           F.lit("end of file"), F.lit("missing trailing newline"), "Last row may be truncated",
                           "Terminate the file with a newline"))
     parts.append(_finding(rows.filter(F.col("_corrupt_record").isNotNull()), "AU-10", DEFECT, F.col("artifact"),
-                          F.coalesce("page_url", F.lit("?")), F.substring("_corrupt_record", 1, 120),
+                          F.coalesce("page_url", F.lit("?")), F.col("_corrupt_record"),
                           "Row width is not 6 (unquoted comma, quote or newline)", "Quote cells per RFC 4180"))
     st = F.coalesce("parse_status", F.lit(""))
     parts.append(_finding(rows.filter(F.col("_corrupt_record").isNull() & ~st.isin(*CSV_STATUSES)), "AU-10", DEFECT,
@@ -176,27 +177,28 @@ def csv_checks(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return _union(parts)
 
 
+def outside_fences(texts: DataFrame) -> DataFrame:
+    """Markdown texts without their fenced code: a fence ends at the line that
+    repeats its run of backticks, whatever stands between."""
+    fenced = "(?ms)^(`{3,})(?!`)[^\\n]*\\n(?:.*?\\n)??\\1[ \\t]*$"
+    return texts.withColumn("value", F.regexp_replace("value", fenced, ""))
+
+
 def markdown_checks(texts: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """AU-12: fence integrity per file (every opening fence closed by the same
     run) and, with ``headers``, declared page count per scan vs sections found
     across the scan's files."""
-    lines = texts.select("artifact", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("fence", F.regexp_extract("line", "^(`{3,})", 1))
-    w = Window.partitionBy("artifact").orderBy("pos")
-    fences = lines.filter(F.col("fence") != "").withColumn("k", F.row_number().over(w))
-    opens = fences.filter(F.col("k") % 2 == 1).select("artifact", "k", F.col("fence").alias("open"))
-    closes = fences.filter(F.col("k") % 2 == 0).select("artifact", (F.col("k") - 1).alias("k"),
-                                                       F.regexp_extract("line", "^(`+)\\s*$", 1).alias("close"))
-    pair = opens.join(closes, ["artifact", "k"], "left")
-    parts = [_finding(pair.filter(F.col("close").isNull() | (F.col("close") != F.col("open"))), "AU-12", DEFECT,
-                      F.col("artifact"), F.concat(F.lit("fence "), F.col("k").cast("string")),
+    outside = outside_fences(texts)
+    left = outside.select("artifact", F.posexplode(F.regexp_extract_all("value", F.lit("(?m)^(`{3,}.*)$"), 1)).alias("k", "fence"))
+    parts = [_finding(left, "AU-12", DEFECT,
+                      F.col("artifact"), F.concat(F.lit("fence "), F.col("fence")),
                       F.lit("unclosed or mismatched code fence"), "Later sections render as code",
                       "Close each fence with the same backtick run")]
     if headers is not None:
         scan_of = F.regexp_extract("artifact", "scan_id=([^/]*)/", 1)
         declared = headers.select(scan_of.alias("scan"),
                                   F.regexp_extract("value", "(?m)^Pages: ([0-9]+)$", 1).cast("int").alias("d"))
-        found = texts.select(scan_of.alias("scan"), F.size(F.regexp_extract_all("value", F.lit("(?m)^## "), 0))
+        found = outside.select(scan_of.alias("scan"), F.size(F.regexp_extract_all("value", F.lit("(?m)^## "), 0))
                              .alias("n")).groupBy("scan").agg(F.sum("n").alias("n"))
         cmp = declared.join(found, "scan", "full_outer")
         parts.append(_finding(cmp.filter(F.coalesce("d", F.lit(-1)) != F.coalesce("n", F.lit(0))), "AU-12", DEFECT,

@@ -170,7 +170,7 @@ def scan_summary(scans: DataFrame, counters: DataFrame) -> DataFrame:
         "scan_id",
         F.when(F.col("status") == "queued", F.lit("Scan queued")).otherwise(F.col("status")).alias("title"),
         F.coalesce(F.nullif(F.col("_t.host"), F.lit("")), F.col("target_url")).alias("domain"),
-        F.when(sm.isNull(), F.when(F.col("status") == "discovering", F.lit("discovering")).otherwise("No sitemap"))
+        F.when(sm.isNull(), F.when(F.col("status").isin("discovering", "queued"), F.lit("discovering")).otherwise("No sitemap"))
         .otherwise(F.coalesce(F.when(F.col("_sm.valid") & F.col("_sm.special"), F.col("_sm.path")), sm))
         .alias("sitemap_label"),
         F.when(terminal, F.date_format(F.timestamp_millis("updated_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))

@@ -26,6 +26,7 @@ from crawlscope.functions import jsonld as FJ
 from crawlscope.functions import urls as FU
 from crawlscope.session import materialize
 
+MSG_INVALID_LOCATION = "Invalid URL"
 SETTINGS_COLS = ["max_response_bytes", "max_redirects", "same_origin_only"]
 
 
@@ -46,7 +47,8 @@ def summarize_responses(responses: DataFrame, scans: DataFrame) -> DataFrame:
     ct = FC.normalize_content_type("content_type")
     html_2xx = (FC.http_status_class("http_status") == "ok") & ct.contains("html") & F.col("error").isNull()
     compact = responses.select(
-        "scan_id", "url", "http_status", "content_type", "content_length", "location", "duration_ms", "error",
+        "scan_id", "url", F.when(F.col("error").isNull(), F.col("http_status")).alias("http_status"),  # a failed transfer has no status
+        "content_type", "content_length", "location", "duration_ms", "error",
         F.octet_length("body").alias("body_bytes"),
         F.when(html_2xx, FJ.ld_json_scripts("body")).alias("scripts"))
     r = compact.join(scans.select("scan_id", "max_response_bytes"), "scan_id", "left")
@@ -66,26 +68,24 @@ def summarize_responses(responses: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def dns_verdicts(dns: DataFrame) -> DataFrame:
-    """URL-3 per host: NULL when allowed, else the rejection message."""
+    """URL-3 per captured host: NULL when allowed, else the rejection message
+    (no address at all counts as private, a host without a row as unresolved)."""
     d = FU.with_private(dns, F.col("address"), "_priv")
     return d.groupBy(F.lower("host").alias("host")).agg(
-        F.when(F.count("address") == 0, F.lit(FU.MSG_UNRESOLVED))
-        .when(F.bool_or("_priv"), F.lit(FU.MSG_PRIVATE)).alias("dns_reason"))
+        F.when((F.count("address") == 0) | F.bool_or("_priv"), F.lit(FU.MSG_PRIVATE)).alias("dns_reason"))
 
 
-def _with_target_checks(df: DataFrame, url_col: str, out: str, verdicts: DataFrame | None) -> DataFrame:
-    """Parse ``url_col`` into ``out`` and add ``{out}_reason`` (URL-1 then URL-3)."""
-    df = FU.with_url(df, url_col, out)
-    reason = FU.policy_reason(F.col(out))
+def with_address_check(df: DataFrame, parsed: str, verdicts: DataFrame | None) -> DataFrame:
+    """Add ``{parsed}_address``: why the host of the parsed URL ``parsed`` is
+    rejected by what it resolved to (URL-3); literal addresses are not looked up."""
+    out = parsed + "_address"
     if verdicts is None:
-        return df.withColumn(out + "_reason", reason)
-    df = df.withColumn("_host", F.col(out + ".host"))
+        return df.withColumn(out, F.lit(None).cast("string"))
+    df = df.withColumn("_host", F.col(parsed + ".host"))
     df = df.join(verdicts.withColumnRenamed("host", "_host").withColumn("_known", F.lit(True)), "_host", "left")
     lit_ip = FU.is_ip_literal(F.coalesce(F.col("_host"), F.lit("")))
-    resolved = (F.when(lit_ip, F.lit(None))
-                .when(F.col("_known").isNull(), F.lit(FU.MSG_UNRESOLVED))
-                .otherwise(F.col("dns_reason")))
-    return df.withColumn(out + "_reason", F.coalesce(reason, resolved)).drop("_host", "_known", "dns_reason")
+    resolved = F.when(~lit_ip, F.when(F.col("_known").isNull(), F.lit(FU.MSG_UNRESOLVED)).otherwise(F.col("dns_reason")))
+    return df.withColumn(out, resolved).drop("_host", "_known", "dns_reason")
 
 
 def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame,
@@ -105,7 +105,8 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
     verdicts = materialize(dns_verdicts(dns)) if dns is not None else None
     settings = scans.select("scan_id", *SETTINGS_COLS)
     req = requests.join(settings, "scan_id", "left")
-    req = _with_target_checks(req, "url", "_t", verdicts)
+    req = with_address_check(FU.with_url(req, "url", "_t"), "_t", verdicts)
+    req = req.withColumn("_t_reason", F.coalesce(FU.policy_reason(F.col("_t")), F.col("_t_address")))
     req = req.withColumn("normalized_url", F.coalesce(F.col("_t.href_nofrag"), F.col("url")))
     narrow = summaries.select("scan_id", F.col("url_key").alias("cur_key"), "http_status", "content_type",
                               "location", "duration_ms", "fetch_status", "message", "scripts")
@@ -153,9 +154,12 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
             F.when(~errored & (F.col("fetch_status") == "ok"), F.col("scripts")).alias("scripts"))
         hop = FU.with_url(j.filter(F.col("_follow")), "cur_key", "_cur")
         hop = hop.withColumn("_next_abs", FU.resolve_reference("location", "_cur"))
-        hop = _with_target_checks(hop, "_next_abs", "_n", verdicts)
+        hop = with_address_check(FU.with_url(hop, "_next_abs", "_n"), "_n", verdicts)
         outside = F.col("same_origin_only") & (F.col("_n.origin") != F.col("init_origin"))
-        reason = F.coalesce(F.col("_n_reason"), F.when(outside, F.lit(FU.MSG_OUTSIDE)))
+        # A Location that does not parse fails before any rule is asked; then
+        # URL rule, origin, resolved addresses.
+        reason = (F.when(~F.coalesce(F.col("_n.valid"), F.lit(False)), F.lit(MSG_INVALID_LOCATION))
+                  .otherwise(F.coalesce(FU.policy_reason(F.col("_n")), F.when(outside, F.lit(FU.MSG_OUTSIDE)), F.col("_n_address"))))
         # A redirect to the same URL replays the same capture on every hop, so
         # its end is known exactly: the limit error after the remaining hops,
         # each adding this response's duration.
@@ -257,7 +261,7 @@ def entities_from_blocks(blocks: DataFrame) -> DataFrame:
     ents = leaves[0]
     for extra in leaves[1:]:
         ents = ents.unionByName(extra)
-    path_txt = F.array_join(F.transform("path", lambda x: F.lpad(x.cast("string"), 9, "0")), ".")
+    path_txt = F.array_join(F.transform("path", lambda x: F.lpad(x.cast("string"), 10, "0")), ".")
     return ents.select(
         _sha(F.col("block_id"), path_txt).alias("entity_id"), "block_id", "page_id",
         path_txt.alias("entity_path"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # User agent the crawler announces (fixed value).
-DEFAULT_USER_AGENT = "json-schemer"
+DEFAULT_USER_AGENT = "markup-probe"
 
 
 def _js_trim(col):

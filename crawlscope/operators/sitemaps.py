@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlscope.functions import urls as FU
+from crawlscope.operators import extract as FX
 from crawlscope.session import materialize
 
 # Fixed messages.
@@ -28,6 +29,8 @@ MSG_ROOT = "Sitemap XML must contain urlset or sitemapindex"
 MSG_INVALID_PREFIX = "Invalid sitemap XML: "
 MSG_MALFORMED = "document is not well-formed"
 MSG_TOO_LARGE = "Sitemap response exceeds size limit"
+MSG_FAILED_PREFIX = "Sitemap fetch failed: "
+MSG_TIMEOUT = "Sitemap fetch timed out"
 MSG_NO_DOCUMENT = "Sitemap fetch failed: no captured response"
 MSG_REDIRECT_LIMIT = "Redirect limit exceeded"
 
@@ -37,40 +40,60 @@ _ROOT_RE = ("^\\s*(?:<\\?xml[^>]*\\?>\\s*)?(?:<!--.*?-->\\s*)*(?:<!DOCTYPE[^>]*>
             "<(?:[A-Za-z_][\\w.-]*:)?([A-Za-z_][\\w.-]*)")
 
 
-def _pad(col, width: int = 9):
-    return F.lpad(col.cast("string"), width, "0")
+def _pad(col):
+    """Ten digits hold every int, so the texts sort like the numbers."""
+    return F.lpad(col.cast("string"), 10, "0")
 
 
-def fetch_outcomes(docs: DataFrame, max_bytes: int = 5_000_000) -> DataFrame:
-    """SM-9: outcome of each captured sitemap response.
+def fetch_outcomes(docs: DataFrame) -> DataFrame:
+    """SM-9: outcome of each captured response, but for its size.
 
-    docs: scan_id, url, http_status, location, body.  Adds ``fetch_error``
-    (NULL when the body is usable): 3xx without Location -> ``HTTP n``;
-    other non-2xx -> ``HTTP n``; body above ``max_bytes`` -> size message.
-    3xx with a Location is followed by ``resolve_redirects``.
+    docs: scan_id, url, http_status, location, body and, where captured, error
+    (text of a transport failure; ``timeout`` for a timed-out fetch).  Adds
+    ``fetch_error`` (NULL when the body is usable): transport failure; 3xx
+    without Location -> ``HTTP n``; other non-2xx -> ``HTTP n``.  3xx with a
+    Location is followed by ``resolve_redirects``.
     """
     s = F.col("http_status")
-    err = (F.when((s >= 300) & (s < 400) & (F.coalesce("location", F.lit("")) == ""),
-                  F.concat(F.lit("HTTP "), s.cast("string")))
+    failure = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
+    err = (F.when(failure == "timeout", F.lit(MSG_TIMEOUT))
+           .when(failure.isNotNull(), F.concat(F.lit(MSG_FAILED_PREFIX), failure))
+           .when((s >= 300) & (s < 400) & (F.coalesce("location", F.lit("")) == ""),
+                 F.concat(F.lit("HTTP "), s.cast("string")))
            .when((s >= 300) & (s < 400), F.lit(None))
-           .when((s < 200) | (s >= 300), F.concat(F.lit("HTTP "), s.cast("string")))
-           .when(F.octet_length("body") > max_bytes, F.lit(MSG_TOO_LARGE)))
+           .when((s < 200) | (s >= 300), F.concat(F.lit("HTTP "), s.cast("string"))))
     return docs.withColumn("fetch_error", err)
 
 
-def parse_documents(docs: DataFrame, max_bytes: int = 5_000_000, decode_entities: bool = False) -> DataFrame:
+def limit_documents(parsed: DataFrame, scans: DataFrame) -> DataFrame:
+    """SM-9: a usable body above its scan's ``max_response_bytes`` is an error.
+    Only the parsed rows meet the settings, never the bodies."""
+    p = parsed.join(scans.select("scan_id", "max_response_bytes"), "scan_id", "left")
+    large = F.col("body_read") & (F.col("body_bytes") > F.col("max_response_bytes"))
+    large = F.coalesce(large, F.lit(False))
+    return p.select("scan_id", "doc_key", F.when(large, "error").otherwise(F.col("kind")).alias("kind"),
+                    F.when(~large, F.col("locs")).alias("locs"), "location",
+                    F.when(large, MSG_TOO_LARGE).otherwise(F.col("error")).alias("error"))
+
+
+def parse_documents(docs: DataFrame, decode_entities: bool = False) -> DataFrame:
     """SM-1, SM-2, SM-9: one row per captured document with its verdict.
 
     Output: scan_id, doc_key (canonical URL), kind ('urlset' / 'index' /
-    'redirect' / 'error'), locs (array<string>), location, error.
+    'redirect' / 'error'), locs (array<string>), location, error, body_bytes,
+    body_read (the body is what the verdict rests on).
     ``decode_entities=False`` keeps ``&amp;`` undecoded in locations (the
     reference parser does not process entities).
     """
-    d = fetch_outcomes(docs, max_bytes)
+    d = fetch_outcomes(docs)
     d = FU.with_url(d, "url", "_u").withColumn("doc_key", F.coalesce(F.col("_u.href_nofrag"), F.col("url")))
     body = F.coalesce(F.col("body"), F.lit(""))
     checked = F.from_xml(body, _XML_SCHEMA, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
-    to_parse = body if decode_entities else F.replace(body, F.lit("&"), F.lit("&amp;"))
+    # Outside CDATA sections, whose text is literal, every & stays undecoded.
+    pieces = F.split(body, "(?=<!\\[CDATA\\[)|(?<=\\]\\]>)")
+    literal = F.array_join(F.transform(pieces, lambda x: F.when(x.startswith("<![CDATA["), x)
+                                       .otherwise(F.replace(x, F.lit("&"), F.lit("&amp;")))), "")
+    to_parse = body if decode_entities else literal
     parsed = F.from_xml(to_parse, _XML_SCHEMA, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
     root = F.regexp_extract(body, _ROOT_RE, 1)
     empty_root = body.rlike("^\\s*(?:<\\?xml[^>]*\\?>\\s*)?(?:<!--.*?-->\\s*)*<(?:[\\w.-]+:)?(urlset|sitemapindex)\\b[^>]*"
@@ -95,40 +118,44 @@ def parse_documents(docs: DataFrame, max_bytes: int = 5_000_000, decode_entities
     out_locs = (F.when(kind == "urlset", F.coalesce(locs(F.col("_doc.url")), F.array().cast("array<string>")))
                 .when(kind == "index", F.coalesce(locs(F.col("_doc.sitemap")), F.array().cast("array<string>"))))
     return d.select("scan_id", "doc_key", kind.alias("kind"), out_locs.alias("locs"), "location",
-                    error.alias("error"))
+                    error.alias("error"), F.octet_length(body).cast("long").alias("body_bytes"),
+                    (F.col("fetch_error").isNull() & ~is_redirect).alias("body_read"))
 
 
 MSG_OUTSIDE = "URL is outside the target origin"
 
 
-def resolve_redirects(parsed: DataFrame, max_redirects: int = 5, same_origin_only: bool = True) -> DataFrame:
+def resolve_redirects(parsed: DataFrame, scans: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """SM-9: follow captured 3xx sitemap responses to their final document.
 
-    A chain follows at most ``max_redirects`` hops (the next redirect is
-    ``Redirect limit exceeded``); targets must pass the URL policy and, with
-    ``same_origin_only``, stay on the first document's origin.  Each round is
+    A chain follows at most its scan's ``max_redirects`` hops (the next
+    redirect is ``Redirect limit exceeded``); targets must pass the URL policy,
+    where the scan asks for it stay on the first document's origin, and
+    resolve to public addresses, in this order.  Each round is
     a join of the pending redirects with the parsed documents, checkpointed;
     the loop ends when no chain is pending.  Returns ``parsed`` with redirect
     rows replaced by their final outcome.
     """
     docs = parsed.select("scan_id", F.col("doc_key").alias("cur_key"), "kind", "locs", "error", "location")
     start = parsed.filter(F.col("kind") == "redirect").select("scan_id", "doc_key")
-    start = FU.with_url(start, "doc_key", "_d").select("scan_id", "doc_key", F.col("doc_key").alias("cur_key"),
-                                                        F.col("_d.origin").alias("init_origin"),
-                                                        F.lit(0).alias("hops"))
+    settings = scans.select("scan_id", "max_redirects", "same_origin_only")
+    start = FU.with_url(start, "doc_key", "_d").join(settings, "scan_id", "left").select(
+        "scan_id", "doc_key", F.col("doc_key").alias("cur_key"), F.col("_d.origin").alias("init_origin"),
+        F.lit(0).alias("hops"), "max_redirects", "same_origin_only")
     frontier = materialize(start)
     finals = []
     while not frontier.isEmpty():
         j = frontier.join(docs, ["scan_id", "cur_key"], "left")
         j = FU.with_url(j, "cur_key", "_c").withColumn("_abs", FU.resolve_reference("location", "_c"))
-        j = FU.with_url(j, "_abs", "_n")
+        j = FX.with_address_check(FU.with_url(j, "_abs", "_n"), "_n", verdicts)
         is_redirect = F.coalesce(F.col("kind") == "redirect", F.lit(False))
         reason = (F.when(~is_redirect, F.lit(None))
-                  .when(F.col("hops") >= max_redirects, F.lit(MSG_REDIRECT_LIMIT))
+                  .when(F.col("hops") >= F.col("max_redirects"), F.lit(MSG_REDIRECT_LIMIT))
                   .when(FU.policy_reason(F.col("_n")).isNotNull(), FU.policy_reason(F.col("_n")))
-                  .when(F.lit(same_origin_only) & (F.col("_n.origin") != F.col("init_origin")), F.lit(MSG_OUTSIDE)))
+                  .when(F.col("same_origin_only") & (F.col("_n.origin") != F.col("init_origin")), F.lit(MSG_OUTSIDE))
+                  .otherwise(F.col("_n_address")))
         step = materialize(j.select(
-            "scan_id", "doc_key", "init_origin", "hops", "kind", "locs", "error",
+            "scan_id", "doc_key", "init_origin", "hops", "max_redirects", "same_origin_only", "kind", "locs", "error",
             F.when(is_redirect & reason.isNull(), F.lit("next")).otherwise(F.lit("done")).alias("_step"),
             reason.alias("_reason"), F.col("_n.href_nofrag").alias("_next")))
         finals.append(step.filter(F.col("_step") == "done").select(
@@ -140,23 +167,36 @@ def resolve_redirects(parsed: DataFrame, max_redirects: int = 5, same_origin_onl
             F.when(F.col("_reason").isNotNull(), F.col("_reason"))
             .when(F.col("kind").isNull(), F.lit(MSG_NO_DOCUMENT)).otherwise(F.col("error")).alias("error")))
         frontier = step.filter(F.col("_step") == "next").select(
-            "scan_id", "doc_key", F.col("_next").alias("cur_key"), "init_origin", (F.col("hops") + 1).alias("hops"))
+            "scan_id", "doc_key", F.col("_next").alias("cur_key"), "init_origin", (F.col("hops") + 1).alias("hops"),
+            "max_redirects", "same_origin_only")
     out = parsed.filter(F.col("kind") != "redirect").select("scan_id", "doc_key", "kind", "locs", "error")
     for f in finals:
         out = out.unionByName(f)
     return out.withColumn("location", F.lit(None).cast("string"))
 
 
-def candidates(scans: DataFrame, robots_sitemaps: DataFrame, robots_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(scans: DataFrame, robots_sitemaps: DataFrame, robots_docs: DataFrame,
+               verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """SM-3, SM-4: initial queue per scan, and robots errors.
 
     With a direct ``sitemap_url`` the queue is just that URL; otherwise it is
     ``/sitemap.xml``, ``/sitemap_index.xml`` and then the robots-declared
-    sitemaps in file order.  A missing robots document is recorded as an
-    error; discovery continues.
+    sitemaps in file order.  A robots file that its host's addresses forbid,
+    that was not captured, answered with another status than 2xx or is larger
+    than the scan allows is an error and declares nothing; discovery continues.
     Returns (queue: scan_id, source, pos), (errors: scan_id, source, message).
     """
-    s = FU.with_url(scans, "target_url", "_t").select("scan_id", "sitemap_url", F.col("_t.origin").alias("origin"))
+    t = FX.with_address_check(FU.with_url(scans, "target_url", "_t"), "_t", verdicts)
+    status = F.col("http_status") if "http_status" in robots_docs.columns else F.lit(200)
+    captured = robots_docs.select("scan_id", F.lit(True).alias("_have"), status.alias("_status"),
+                                  F.octet_length("body").alias("_bytes")).dropDuplicates(["scan_id"])
+    t = t.join(captured, "scan_id", "left")
+    limit = F.col("max_response_bytes") if "max_response_bytes" in scans.columns else F.lit(None).cast("long")
+    message = (F.when(F.col("_t_address").isNotNull(), F.col("_t_address"))
+               .when(F.col("_have").isNull(), F.lit(MSG_NO_DOCUMENT))
+               .when((F.col("_status") < 200) | (F.col("_status") >= 300), F.concat(F.lit("HTTP "), F.col("_status").cast("string")))
+               .when(F.col("_bytes") > limit, F.lit(MSG_TOO_LARGE)))
+    s = t.select("scan_id", "sitemap_url", F.col("_t.origin").alias("origin"), message.alias("message"))
     direct = s.filter(F.col("sitemap_url").isNotNull()).select(
         "scan_id", F.col("sitemap_url").alias("source"), F.lit(0).alias("pos"))
     auto = s.filter(F.col("sitemap_url").isNull())
@@ -164,11 +204,10 @@ def candidates(scans: DataFrame, robots_sitemaps: DataFrame, robots_docs: DataFr
         F.struct(F.concat("origin", F.lit("/sitemap.xml")).alias("source"), F.lit(0).alias("pos")),
         F.struct(F.concat("origin", F.lit("/sitemap_index.xml")).alias("source"), F.lit(1).alias("pos"))))
         .alias("c")).select("scan_id", "c.source", "c.pos")
-    declared = robots_sitemaps.join(auto.select("scan_id"), "scan_id", "left_semi").select(
+    declared = robots_sitemaps.join(auto.filter(F.col("message").isNull()).select("scan_id"), "scan_id", "left_semi").select(
         "scan_id", F.col("url").alias("source"), (F.lit(2) + F.col("pos")).alias("pos"))
-    robots_err = auto.join(robots_docs.select("scan_id"), "scan_id", "left_anti").select(
-        "scan_id", F.concat("origin", F.lit("/robots.txt")).alias("source"),
-        F.lit(MSG_NO_DOCUMENT).alias("message"))
+    robots_err = auto.filter(F.col("message").isNotNull()).select(
+        "scan_id", F.concat("origin", F.lit("/robots.txt")).alias("source"), "message")
     return direct.unionByName(defaults).unionByName(declared), robots_err
 
 
@@ -177,32 +216,36 @@ class Discovery(NamedTuple):
     errors: DataFrame   # scan_id, source, message, order_key
 
 
-def discover(queue: DataFrame, parsed: DataFrame, max_redirects: int = 5) -> Discovery:
+def discover(queue: DataFrame, parsed: DataFrame, scans: DataFrame, dns: DataFrame | None = None) -> Discovery:
     """SM-5, SM-6 (+URL-7): breadth-first traversal of sitemap sources.
 
     ``queue``: scan_id, source, pos (initial candidates).  Sources are
     de-duplicated on their canonical URL (fragment dropped, raw text when
     unparseable): the first occurrence in queue order is visited, later ones
-    are skipped, so cycles end.  Policy failures, missing documents and bad
-    XML become errors; traversal continues.
+    are skipped, so cycles end.  Policy failures (URL rule, then resolved
+    addresses), missing documents, documents above the scan's byte limit and
+    bad XML become errors; traversal continues.
     """
+    verdicts = materialize(FX.dns_verdicts(dns)) if dns is not None else None
+    parsed = materialize(limit_documents(parsed, scans))  # bodies are parsed once
     frontier = queue.select("scan_id", "source", F.lit(0).alias("level"),
                             F.array(F.col("pos").cast("int")).alias("path"))
     visited = None
     url_parts, err_parts = [], []
-    docs = resolve_redirects(parsed, max_redirects).select(
+    docs = resolve_redirects(parsed, scans, verdicts).select(
         "scan_id", F.col("doc_key").alias("canonical"), "kind", "locs", "error")
     level = 0
     while True:
         f = FU.with_url(frontier, "source", "_s")
         f = f.withColumn("canonical", F.coalesce(F.col("_s.href_nofrag"), F.col("source")))
-        f = f.withColumn("reason", FU.policy_reason(F.col("_s"))).drop("_s")
+        f = FX.with_address_check(f, "_s", verdicts)
+        f = f.withColumn("reason", F.coalesce(FU.policy_reason(F.col("_s")), F.col("_s_address"))).drop("_s", "_s_address")
         w = Window.partitionBy("scan_id", "canonical").orderBy("path")
         f = f.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
         if visited is not None:
             f = f.join(visited, ["scan_id", "canonical"], "left_anti")
         f = materialize(f.join(docs, ["scan_id", "canonical"], "left"))
-        key = F.concat(_pad(F.col("level"), 4), F.lit("."), F.array_join(F.transform("path", lambda x: _pad(x)), "."))
+        key = F.concat(_pad(F.col("level")), F.lit("."), F.array_join(F.transform("path", lambda x: _pad(x)), "."))
         message = (F.when(F.col("reason").isNotNull(), F.col("reason"))
                    .when(F.col("kind").isNull(), F.lit(MSG_NO_DOCUMENT))
                    .when(F.col("kind") == "error", F.col("error")))
@@ -213,7 +256,7 @@ def discover(queue: DataFrame, parsed: DataFrame, max_redirects: int = 5) -> Dis
             "scan_id", "source", key.alias("_k"), F.posexplode("locs").alias("_p", "url"))
             .select("scan_id", "url", "source", F.concat("_k", F.lit(":"), _pad(F.col("_p"))).alias("order_key")))
         seen = f.select("scan_id", "canonical")
-        visited = materialize(seen if visited is None else visited.unionByName(seen).distinct())
+        visited = seen if visited is None else visited.unionByName(seen)  # f is materialised: only new keys are added
         nxt = ok.filter(F.col("kind") == "index").select(
             "scan_id", F.posexplode("locs").alias("_p", "source"), "path").select(
             "scan_id", "source", F.lit(level + 1).alias("level"),
@@ -231,6 +274,14 @@ def discover(queue: DataFrame, parsed: DataFrame, max_redirects: int = 5) -> Dis
     return Discovery(urls, errors)
 
 
+def discover_scans(scans: DataFrame, robots_sitemaps: DataFrame, robots_docs: DataFrame, sitemap_docs: DataFrame,
+                   dns: DataFrame | None = None) -> tuple[Discovery, DataFrame]:
+    """SM-1..SM-9 for all scans: (discovery, robots errors)."""
+    verdicts = FX.dns_verdicts(dns) if dns is not None else None
+    queue, robots_errors = candidates(scans, robots_sitemaps, robots_docs, verdicts)
+    return discover(queue, parse_documents(sitemap_docs), scans, dns), robots_errors
+
+
 def scan_sitemap_url(scans: DataFrame, urls: DataFrame) -> DataFrame:
     """SM-8 / ST-14: a scan's sitemap_url is the given one, else the first
     non-empty source (discovery order) that yielded URLs."""

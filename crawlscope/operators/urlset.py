@@ -30,7 +30,8 @@ def _snake(name: str) -> str:
     return "".join("_" + ch.lower() if ch.isupper() else ch for ch in name)
 
 
-def filter_sitemap_urls(discovered: DataFrame, scans: DataFrame, order_col: str = "seq") -> DataFrame:
+def filter_sitemap_urls(discovered: DataFrame, scans: DataFrame, order_col: str = "seq",
+                        bound: int = MAX_URLS_BOUND) -> DataFrame:
     """URL-4..URL-7, SM-7: normalise against each scan's target origin, skip
     entries failing policy or outside the origin, keep the first occurrence of
     each normalised URL (with its source), and cap at ``max_urls`` in
@@ -41,10 +42,14 @@ def filter_sitemap_urls(discovered: DataFrame, scans: DataFrame, order_col: str
     The dedup is a hash aggregate on (scan_id, url) - fine-grained keys, no
     hot group; the cap is a top-k per scan with a literal bound, which Spark
     plans as a WindowGroupLimit (partial top-k before the shuffle), so a scan
-    holding most URLs sends at most ``MAX_URLS_BOUND`` rows per task.
+    holding most URLs sends at most ``bound`` rows per task.  ``bound`` must
+    cover every scan's ``max_urls`` (a larger one fails the job); a scan
+    without ``max_urls`` gets the default.
     """
+    cap = F.coalesce("max_urls", F.lit(SETTINGS_RANGES["maxUrls"][2]))
+    cap = F.when(cap > bound, F.raise_error(F.lit(f"a scan's max_urls exceeds the bound {bound}")).cast("int")).otherwise(cap)
     targets = FU.with_url(scans.select("scan_id", "target_url", "max_urls"), "target_url", "_tgt").select(
-        "scan_id", "max_urls", F.col("_tgt.origin").alias("target_origin"))
+        "scan_id", cap.alias("max_urls"), F.col("_tgt.origin").alias("target_origin"))
     d = FU.with_url(discovered.join(targets, "scan_id"), "url", "_u")
     d = d.filter(FU.policy_reason(F.col("_u")).isNull() & (F.col("_u.origin") == F.col("target_origin")))
     firsts = d.groupBy("scan_id", F.col("_u.href_nofrag").alias("url")).agg(
@@ -52,8 +57,8 @@ def filter_sitemap_urls(discovered: DataFrame, scans: DataFrame, order_col: str
         F.min_by("source", order_col).alias("source"),
         F.first("max_urls").alias("max_urls"))
     w = Window.partitionBy("scan_id").orderBy("first_seq", "url")
-    ranked = firsts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_URLS_BOUND)
-    return ranked.filter(F.col("rank") <= F.least(F.col("max_urls"), F.lit(MAX_URLS_BOUND))).drop("max_urls")
+    ranked = firsts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= bound)
+    return ranked.filter(F.col("rank") <= F.col("max_urls")).drop("max_urls")
 
 
 def url_counts(capped: DataFrame) -> DataFrame:

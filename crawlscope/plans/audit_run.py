@@ -55,10 +55,10 @@ def write_artifacts(spark: SparkSession, scans: DataFrame, t: ScanTables, root:
 
 
 def _md_keys(texts: DataFrame) -> DataFrame:
-    lines = texts.select("artifact", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    lines = A.outside_fences(texts).select("artifact", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     w = Window.partitionBy("artifact").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("url", F.last(F.when(F.col("line").startswith("## "),
-                                                  F.substring("line", 4, 1 << 20)), ignorenulls=True).over(w))
+                                                  F.expr("substring(line, 4)")), ignorenulls=True).over(w))
     nxt = Window.partitionBy("artifact").orderBy("pos")
     lines = lines.withColumn("status_line", F.lead("line", 2).over(nxt))
     blocks = lines.filter(F.col("line").startswith("### JSON-LD block ")).select(
@@ -66,7 +66,7 @@ def _md_keys(texts: DataFrame) -> DataFrame:
         F.regexp_extract("line", "([0-9]+)$", 1).cast("int").alias("ordinal"),
         F.when(F.col("status_line") == "Valid JSON-LD", "valid").otherwise("invalid").alias("parse_status"))
     pages = lines.filter(F.col("line").startswith("## ")).select(
-        F.replace(F.substring("line", 4, 1 << 20), F.lit("\\|"), F.lit("|")).alias("url"),
+        F.replace(F.expr("substring(line, 4)"), F.lit("\\|"), F.lit("|")).alias("url"),
         F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("parse_status"))
     return blocks.unionByName(pages)
 

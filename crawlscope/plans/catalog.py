@@ -139,16 +139,14 @@ def rob_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _discovery(spark: SparkSession, sf: str) -> tuple[S.Discovery, DataFrame]:
-    scans = C.scans(spark, sf)
     robots = C.robots_docs(spark, sf)
-    queue, robots_err = S.candidates(scans, R.sitemaps(robots), robots)
-    parsed = S.parse_documents(C.sitemap_docs(spark, sf))
-    return S.discover(queue, parsed), robots_err
+    return S.discover_scans(C.scans(spark, sf), R.sitemaps(robots), robots, C.sitemap_docs(spark, sf), C.dns(spark, sf))
 
 
 def sm_parse_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """SM-1, SM-2, SM-9: classify sitemap documents and project locations."""
-    p = S.parse_documents(C.sitemap_docs(spark, sf))
+    """SM-1, SM-2, SM-9: classify sitemap documents under their scan's byte
+    limit and project locations."""
+    p = S.limit_documents(S.parse_documents(C.sitemap_docs(spark, sf)), C.scans(spark, sf))
     return p.select("scan_id", "doc_key", "kind", F.size(F.coalesce("locs", F.array())).alias("n_locs"),
                     F.array_join(F.coalesce("locs", F.array().cast("array<string>")), " ").alias("locs"), "error")
 
@@ -264,7 +262,7 @@ def _streamed_pages(spark: SparkSession, sf: str) -> DataFrame:
     from crawlscope.streaming import pipeline as SP
     reqs = C.page_requests(spark, sf)
     req_dir = SP.scratch(spark, "requests")
-    reqs.repartition(4, "url").write.parquet(req_dir)
+    reqs.repartition("url").write.parquet(req_dir)
     sink = SP.stream_pages(spark, req_dir, reqs.schema, C.responses(spark, sf), C.scans(spark, sf),
                            C.dns(spark, sf), C.control_events(spark, sf), SP.scratch(spark, "pages"))
     return spark.read.parquet(sink)
@@ -281,7 +279,7 @@ def str_progress_counters(spark: SparkSession, sf: str) -> DataFrame:
     from crawlscope.streaming import pipeline as SP
     pages = _streamed_pages(spark, sf).drop("batch_id")
     pdir = SP.scratch(spark, "page-files")
-    pages.repartition(3, "url").write.parquet(pdir)
+    pages.repartition("url").write.parquet(pdir)
     sink = SP.stream_progress(spark, pdir, pages.schema, SP.scratch(spark, "progress"))
     return spark.read.parquet(sink).select("scan_id", "completed", "successful", "failed")
 
@@ -294,7 +292,7 @@ def str_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     events = SP.page_events(pages).unionByName(
         C.control_events(spark, sf).withColumn("status", F.lit(None).cast("string")))
     edir = SP.scratch(spark, "events")
-    events.repartition(3, "scan_id", "seq").write.parquet(edir)
+    events.repartition("scan_id", "seq").write.parquet(edir)
     sink = SP.stream_lifecycle(spark, edir, events.schema, SP.scratch(spark, "lifecycle"))
     return spark.read.parquet(sink).select("scan_id", "status", "error", "completed", "successful", "failed")
 

@@ -16,8 +16,7 @@ from crawlscope.operators import urlset as U
 def run_scans(scans: DataFrame, robots_docs: DataFrame, sitemap_docs: DataFrame, responses: DataFrame,
               dns: DataFrame | None = None, with_entities: bool = True) -> tuple[X.ScanTables, DataFrame]:
     """Returns the scan tables and the scans with their discovered sitemap_url (SM-8)."""
-    queue, _robots_errors = S.candidates(scans, R.sitemaps(robots_docs), robots_docs)
-    disc = S.discover(queue, S.parse_documents(sitemap_docs))
+    disc, _robots_errors = S.discover_scans(scans, R.sitemaps(robots_docs), robots_docs, sitemap_docs, dns)
     capped = U.filter_sitemap_urls(disc.urls.withColumnRenamed("order_key", "seq"), scans)
     requests = capped.select("scan_id", "url", F.col("first_seq").alias("seq"),
                              F.col("source").alias("sitemap_source"))

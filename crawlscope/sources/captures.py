@@ -64,7 +64,7 @@ base AS (
               WHEN s.page_id % 2 = 0 THEN '/moved/' || CAST(s.page_id AS STRING)
               ELSE o.url END AS location,
          CASE WHEN s.page_id % 11 = 7 THEN '' ELSE s.body END AS body,
-         CAST(NULL AS STRING) AS error,
+         CASE WHEN s.page_id % 23 = 6 AND s.page_id % 11 <> 7 THEN 'Request timed out' END AS error,
          CAST((s.page_id * 37) % 1000 AS INT) AS duration_ms
   FROM src s LEFT JOIN {pages} o ON o.page_id = s.page_id - 7
 ),
@@ -119,10 +119,12 @@ UNION ALL SELECT scan_id, 'error', 11, 'Storage write failed for ' || scan_id FR
 # One scan per origin; settings vary with the origin so caps, byte limits,
 # redirect limits and the same-origin flag are all exercised.
 SCANS_SQL = """
-SELECT origin AS scan_id, origin || '/' AS target_url, CAST(NULL AS STRING) AS sitemap_url,
+SELECT origin AS scan_id, origin || '/' AS target_url,
+       CASE WHEN length(origin) % 6 = 1 THEN origin || '/sitemaps/part-1.xml' END AS sitemap_url,
        CASE WHEN length(origin) % 4 = 0 THEN 3 ELSE 500 END AS max_urls,
        4 AS concurrency, 250 AS delay_ms, 15000 AS timeout_ms,
-       CASE WHEN length(origin) % 5 = 0 THEN 9000 ELSE 5000000 END AS max_response_bytes,
+       CASE WHEN length(origin) % 10 = 3 THEN 700 WHEN length(origin) % 5 = 0 THEN 9000
+            ELSE 5000000 END AS max_response_bytes,
        CASE WHEN length(origin) % 3 = 0 THEN 1 ELSE 5 END AS max_redirects,
        true AS respect_robots,
        length(origin) % 7 <> 0 AS same_origin_only,
@@ -139,7 +141,9 @@ WITH h AS (
 )
 SELECT host, CASE WHEN length(host) % 9 = 4 THEN '10.1.2.' ELSE '203.0.113.' END
              || CAST(length(host) AS STRING) AS address
-FROM h WHERE length(host) % 9 <> 2
+FROM h WHERE length(host) % 9 NOT IN (2, 7)
+UNION ALL
+SELECT host, CAST(NULL AS STRING) AS address FROM h WHERE length(host) % 9 = 7
 UNION ALL
 SELECT host, '192.168.7.' || CAST(length(host) AS STRING) AS address FROM h WHERE length(host) % 9 = 6
 """
@@ -147,13 +151,14 @@ SELECT host, '192.168.7.' || CAST(length(host) AS STRING) AS address FROM h WHER
 # robots.txt per origin, built from the origin's own paths.
 ROBOTS_SQL = """
 SELECT origin AS scan_id, origin || '/robots.txt' AS url,
+       CASE WHEN length(origin) % 8 = 5 THEN 503 ELSE 200 END AS http_status,
        '# robots for ' || origin || chr(10) ||
        'User-agent: *' || chr(10) ||
        'Disallow: /' || min_lang || '/' || chr(10) ||
        'Allow: /' || min_lang || '/' || CAST(min_id % 10 AS STRING) || chr(10) ||
        chr(10) ||
        'User-agent: crawlscope' || chr(10) ||
-       'User-agent: json-schemer' || chr(13) || chr(10) ||
+       'User-agent: markup-probe' || chr(13) || chr(10) ||
        'Disallow: /' || max_lang || '/' || CAST(max_id % 10 AS STRING) || '  # private' || chr(10) ||
        'Crawl-delay: 5' || chr(10) ||
        'User-agent: other-bot' || chr(10) ||

@@ -38,7 +38,7 @@ def claimable(requests: DataFrame, control: DataFrame) -> DataFrame:
 
 
 def stream_pages(spark: SparkSession, request_dir: str, request_schema, responses: DataFrame, scans: DataFrame,
-                 dns: DataFrame | None, control: DataFrame, sink: str, files_per_trigger: int = 1) -> str:
+                 dns: DataFrame | None, control: DataFrame, sink: str, files_per_trigger: int = 16) -> str:
     """STR-1: process page requests incrementally; returns the sink path."""
     stream = (spark.readStream.schema(request_schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(request_dir))
@@ -111,12 +111,12 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def stream_lifecycle(spark: SparkSession, events_dir: str, events_schema, sink: str,
-                     scan_id: str | None = None) -> str:
+                     scan_id: str | None = None, files_per_trigger: int = 16) -> str:
     """STR-3..STR-6: streaming fold in update mode; every micro-batch
     replaces the changed scans' rows of the state table (latest wins), which
     is the snapshot a reconnecting subscriber reads first.  ``scan_id``
     narrows the stream to one scan (STR-5)."""
-    ev = spark.readStream.schema(events_schema).option("maxFilesPerTrigger", 1).parquet(events_dir)
+    ev = spark.readStream.schema(events_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(events_dir)
     if scan_id is not None:
         ev = ev.filter(F.col("scan_id") == scan_id)
     folded = fold_events(ev)
@@ -130,9 +130,9 @@ def stream_lifecycle(spark: SparkSession, events_dir: str, events_schema, sink:
     return sink
 
 
-def stream_progress(spark: SparkSession, pages_dir: str, pages_schema, sink: str) -> str:
+def stream_progress(spark: SparkSession, pages_dir: str, pages_schema, sink: str, files_per_trigger: int = 16) -> str:
     """STR-2: running counters per scan over the page sink, update mode."""
-    pages = spark.readStream.schema(pages_schema).option("maxFilesPerTrigger", 1).parquet(pages_dir)
+    pages = spark.readStream.schema(pages_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pages_dir)
     counters = pages.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("completed"),
         F.count(F.when(F.col("status") == "success", 1)).alias("successful"),

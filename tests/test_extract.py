@@ -55,8 +55,8 @@ def test_flattening_and_projections(spark):
     blocks = spark.createDataFrame([("b", "p", 0, raw, None)],
                                    "block_id string, page_id string, ordinal int, raw_text string, parse_error string")
     out = X.entities_from_blocks(blocks).orderBy("entity_path").collect()
-    assert [r.entity_path for r in out] == ["000000000", "000000001.000000000", "000000001.000000001.000000000",
-                                            "000000002"]
+    assert [r.entity_path for r in out] == ["0000000000", "0000000001.0000000000", "0000000001.0000000001.0000000000",
+                                            "0000000002"]
     assert out[0].context == "https://schema.org" and out[0].types == ["WebPage"]
     assert out[1].context is None and out[1].types == ["Product", "Thing"]
     assert out[2].context == '{"v":1}' and out[2].types == ["Offer"]

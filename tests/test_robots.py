@@ -1,85 +1,63 @@
-"""Robots grouping and precedence (cases restated from the reference's robots tests)."""
+"""Robots grouping, precedence and path verdicts on robots files of our own."""
 
-from pyspark.sql import functions as F
+import pytest
 
 from crawlscope.operators import robots as R
 
-UA = "json-schemer/1.0"
+AGENT = "Harvest-Robot/2.3 (+https://harvest.example/info)"
 
 
-def verdict(spark, text, path, ua=UA):
-    docs = spark.createDataFrame([("s", text)], "scan_id string, body string")
-    targets = spark.createDataFrame([("s", path)], "scan_id string, path string")
+def verdict(spark, text, path, ua=AGENT):
+    docs = spark.createDataFrame([("site", text)], "scan_id string, body string")
+    targets = spark.createDataFrame([("site", path)], "scan_id string, path string")
     return R.verdicts(targets, docs, "path", ua).select("allowed").first()[0]
 
 
-def test_longest_agent_wins(spark):
-    text = "User-agent: *\nDisallow: /\n\nUser-agent: json\nDisallow: /private\n\nUser-agent: json-schemer\nAllow: /\n"
-    assert verdict(spark, text, "/private/x") is True
-
-
-def test_same_agent_groups_merge(spark):
-    text = "User-agent: json-schemer\nDisallow: /a\n\nUser-agent: json-schemer\nDisallow: /b\n"
-    assert verdict(spark, text, "/a/1") is False
-    assert verdict(spark, text, "/b/1") is False
-
-
-def test_blank_line_ends_group(spark):
-    text = "User-agent: json-schemer\n\nDisallow: /x\n"
-    assert verdict(spark, text, "/x") is True
-
-
-def test_star_fallback_and_repeated_star(spark):
-    text = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /a\n\nUser-agent: *\nDisallow: /b\n"
-    assert verdict(spark, text, "/a") is False
-    assert verdict(spark, text, "/b") is False
-    assert verdict(spark, text, "/c") is True
-
-
-def test_shared_rules_comments_whitespace(spark):
-    text = "  User-agent: foo  # c\nUser-agent: json-schemer\n   Disallow: /shared  # why\n"
-    assert verdict(spark, text, "/shared/1") is False
-
-
-def test_empty_agent_does_not_override_star(spark):
-    text = "User-agent:\nDisallow: /\n\nUser-agent: *\nAllow: /\n"
-    assert verdict(spark, text, "/x") is True
-
-
-def test_empty_text_allows(spark):
-    assert verdict(spark, "", "/anything") is True
-
-
-def test_longest_path_and_tie_allow(spark):
-    text = "User-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow: /a/b/c\n"
-    assert verdict(spark, text, "/a/b/c/d") is False
-    assert verdict(spark, text, "/a/b/x") is True
-    tie = "User-agent: *\nDisallow: /p\nAllow: /p\n"
-    assert verdict(spark, tie, "/p") is True
-
-
-def test_unsupported_directive_closes_agent_list(spark):
-    text = "User-agent: other\nCrawl-delay: 5\nUser-agent: json-schemer\nDisallow: /z\n"
-    agents, rules = R.groups(spark.createDataFrame([("s", text)], "scan_id string, body string"))
-    groups = {r.agent: r.group_id for r in agents.collect()}
-    assert groups["other"] != groups["json-schemer"]
-    assert verdict(spark, text, "/z") is False
-
-
-def test_comment_only_line_ends_group(spark):
-    text = "User-agent: json-schemer\n# note\nDisallow: /x\n"
-    assert verdict(spark, text, "/x") is True
-
-
-def test_sitemaps_dedup_first_seen(spark):
-    text = "Sitemap: https://a/s1.xml\nSitemap:\nUser-agent: *\nSitemap: https://a/s2.xml\nSitemap: https://a/s1.xml\n"
-    docs = spark.createDataFrame([("s", text)], "scan_id string, body string")
-    got = [r.url for r in R.sitemaps(docs).orderBy("pos").collect()]
-    assert got == ["https://a/s1.xml", "https://a/s2.xml"]
-
-
-def test_malformed_lines_ignored(spark):
-    text = "User-agent: *\nnonsense line\n:\nDisallow:\nDisallow: /q\n"
-    assert verdict(spark, text, "/q") is False
-    assert verdict(spark, text, "/r") is True
-    assert F is not None
+def lines(*rows):
+    return "\n".join(rows) + "\n"
+
+
+@pytest.mark.parametrize("text,path,allowed", [
+    # the agent name that matches most characters decides
+    (lines("User-agent: harvest", "Disallow: /", "", "User-agent: Harvest-Robot", "Disallow: /drafts/"), "/news/7", True),
+    (lines("User-agent: harvest", "Disallow: /", "", "User-agent: Harvest-Robot", "Disallow: /drafts/"), "/drafts/7", False),
+    # two groups of one agent count as one
+    (lines("User-agent: harvest-robot", "Disallow: /cart", "", "User-agent: harvest-robot", "Disallow: /login"), "/cart/3", False),
+    (lines("User-agent: harvest-robot", "Disallow: /cart", "", "User-agent: harvest-robot", "Disallow: /login"), "/login", False),
+    # a blank line, or one that only holds a comment, ends a group
+    (lines("User-agent: harvest-robot", "", "Disallow: /archive"), "/archive", True),
+    (lines("User-agent: harvest-robot", "   # nothing here", "Disallow: /archive"), "/archive", True),
+    # without a group of its own the agent obeys every * group
+    (lines("User-agent: nobody", "Disallow: /", "", "User-agent: *", "Disallow: /tmp", "", "User-agent: *", "Disallow: /old"), "/tmp/1", False),
+    (lines("User-agent: nobody", "Disallow: /", "", "User-agent: *", "Disallow: /tmp", "", "User-agent: *", "Disallow: /old"), "/old/1", False),
+    (lines("User-agent: nobody", "Disallow: /", "", "User-agent: *", "Disallow: /tmp", "", "User-agent: *", "Disallow: /old"), "/new", True),
+    # comments and space around names and values, agents that share rules
+    (lines("\tUser-agent:   reader # first", "USER-AGENT: harvest-robot", "  disallow :  /inbox  # mail"), "/inbox/2", False),
+    # an agent line without a name is no * group
+    (lines("User-agent:", "Disallow: /", "", "User-agent: *", "Allow: /"), "/page", True),
+    # a directive between agent lines ends their list
+    (lines("User-agent: reader", "Crawl-delay: 9", "User-agent: harvest-robot", "Disallow: /lab"), "/lab", False),
+    # the longest rule decides, Allow among equals
+    (lines("User-agent: *", "Disallow: /shop", "Allow: /shop/public", "Disallow: /shop/public/hidden"), "/shop/public/hidden/1", False),
+    (lines("User-agent: *", "Disallow: /shop", "Allow: /shop/public", "Disallow: /shop/public/hidden"), "/shop/public/1", True),
+    (lines("User-agent: *", "Disallow: /same", "Allow: /same"), "/same", True),
+    # lines that say nothing
+    (lines("User-agent: *", "what is this", ":", "Disallow:", "Disallow: /stop"), "/go", True),
+    (lines("User-agent: *", "what is this", ":", "Disallow:", "Disallow: /stop"), "/stop", False),
+    ("", "/anywhere", True),
+])
+def test_verdicts(spark, text, path, allowed):
+    assert verdict(spark, text, path) is allowed
+
+
+def test_agent_lists_are_groups(spark):
+    text = lines("User-agent: reader", "Crawl-delay: 9", "User-agent: harvest-robot", "User-agent: indexer", "Disallow: /lab")
+    agents, _ = R.groups(spark.createDataFrame([("site", text)], "scan_id string, body string"))
+    group = {r.agent: r.group_id for r in agents.collect()}
+    assert group["harvest-robot"] == group["indexer"] != group["reader"]
+
+
+def test_sitemaps_keep_their_first_place(spark):
+    text = lines("Sitemap: https://m.example/b.xml", "User-agent: *", "Sitemap:", "sitemap: https://m.example/a.xml", "Sitemap: https://m.example/b.xml")
+    docs = spark.createDataFrame([("site", text)], "scan_id string, body string")
+    assert [r.url for r in R.sitemaps(docs).orderBy("pos").collect()] == ["https://m.example/b.xml", "https://m.example/a.xml"]
