@@ -76,9 +76,9 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     leaves = state.join(messages.select("t", F.col("parent").alias("node")).where("node is not null").distinct(), ["t", "node"], "left_anti")
     order = Window.partitionBy("t").orderBy(F.desc(F.col("total") / F.col("depth")), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    path = chosen.select("t", F.col("node").alias("leaf"), "node")
+    path = save(chosen.select("t", F.col("node").alias("leaf"), "node"), "path")
     for level in levels:
-        path = path.unionByName(path.join(level, ["t", "node"]).select("t", "leaf", F.col("jump").alias("node")))
+        path = save(path.unionByName(path.join(level, ["t", "node"]).select("t", "leaf", F.col("jump").alias("node"))), "path")
     return path.join(state.select("t", "node", "depth"), ["t", "node"])
 
 
