@@ -1,14 +1,14 @@
 """Toxicity by weak supervision (operator 9).
 
 1. Lexicon and pattern mining: document frequencies of words, word beginnings
-   and symbol runs by class over at most about ``SAMPLE`` labelled rows; the
-   ``ENTRIES`` entries of highest log-odds are dealt into lexicons.
+   and symbol runs by class over at most about ``SAMPLE`` labelled rows (copies left out); the
+   ``ENTRIES`` entries of strongest evidence are dealt into lexicons.
 2. Voters: each lexicon votes "toxic" where one of its entries occurs and
    abstains otherwise; one voter says "clean" where no lexicon has an entry.
-3. Generative label model: the votes of all documents are counted by pattern,
-   and expectation-maximisation over that table estimates each voter's
-   accuracy.  Voters that stay correlated within a class are joined into one
-   factor with a joint table, and the model is fitted again.
+3. Generative label model: the votes of all documents are counted by pattern.
+   Voters whose votes are correlated within the classes (as the labelled rows
+   suggest them) are joined into one factor with a joint table, and
+   expectation-maximisation over the patterns estimates the factors' tables.
 4. A linear classifier over the entries' frequencies is trained on the
    posterior labels of a bounded sample of documents and scores whole texts.
 
@@ -185,12 +185,10 @@ class LabelModel:
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, voters: int, start: np.ndarray, rounds: int = 60):
         self.bits = (patterns[:, None] >> np.arange(voters)) & 1
         self.patterns, self.n = patterns, counts.astype(float)
-        factors = [[v] for v in range(voters)]
-        posterior = self._fit(factors, start, rounds)
-        joined = self._join(posterior, voters)
-        if len(joined) < voters:
-            posterior = self._fit(joined, posterior, rounds)
-        self.factors, self.posterior = joined, posterior
+        # Correlations are taken under the starting posterior: a model fitted
+        # without them would take a pair of copied voters for the class itself.
+        self.factors = self._join(start, voters)
+        self.posterior = self._fit(self.factors, start, rounds)
 
     def _cells(self, factor):
         return self.bits[:, factor] @ (1 << np.arange(len(factor)))
