@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope.llm.linkage import components_of_shared, shared_keys
-from crawlscope.llm.store import prepare, save
+from crawlscope.llm.store import only_members, prepare, save
 from crawlscope.llm.words import byte_values, chunks, class_table, mix, string_buffers, words_of
 from crawlscope.session import ship_with_tasks
 
@@ -187,7 +187,8 @@ class Sets:
     def only(self, ids: DataFrame) -> None:
         """Keep at hand the texts of these nodes (one document each)."""
         chosen = self.nodes.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("node", "doc_id")
-        text = _plain(self.docs).join(chosen, "doc_id").select("node", "text")
+        text = only_members(_plain(self.docs).where("doc_id is not null"), "doc_id", chosen.select("doc_id"))
+        text = text.join(chosen, "doc_id").select("node", "text")
         self.texts = save(text.dropDuplicates(["node"]), "texts")
 
     def _side(self, side: str) -> DataFrame:
@@ -231,6 +232,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without those linked to a smaller doc_id; of rows
+    that repeat a doc_id one stays.  Rows with a null doc_id stay."""
+    found = save(near_duplicates(docs, size, percent).where("doc_id is not null"), "components")
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    kept = docs.where(F.col("doc_id").isNotNull()).join(firsts, F.col("doc_id").cast("long") == F.col("__first")).drop("__first")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Operator 7 over the whole ``documents`` table."""
     from crawlscope.sources.tables import load

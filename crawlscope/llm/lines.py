@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope.llm.linkage import components_of_shared, shared_keys
-from crawlscope.llm.store import prepare, save
+from crawlscope.llm.store import may_belong, membership, prepare, save
 from crawlscope.llm.words import mix, powers
 from crawlscope.session import ship_with_tasks
 
@@ -206,14 +206,16 @@ class Lines:
 
     def only(self, ids: DataFrame) -> None:
         """Keep at hand the texts of these lines."""
-        least = self.least
+        least, members = self.least, membership(ids)
 
         def run(batches):
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 for points, start, end, row, number in line_chunks(texts):
                     keep = np.flatnonzero(end - start >= least)
-                    node, at = np.unique(line_nodes(Hashes(points), start[keep], end[keep]), return_index=True)
+                    node = line_nodes(Hashes(points), start[keep], end[keep])
+                    keep = keep[may_belong(members.value, node)]
+                    node, at = np.unique(node[may_belong(members.value, node)], return_index=True)
                     chosen = [points[start[k]:end[k]].tobytes().decode("utf-32-le", "surrogatepass") for k in keep[at]]
                     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(chosen, pa.string())], names=["node", "line"])
         rows = self._plain().mapInArrow(run, "node long, line string")

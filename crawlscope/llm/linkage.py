@@ -31,9 +31,9 @@ def connected(edges: DataFrame) -> DataFrame:
     is connected with.  Alternates large-star and small-star steps."""
     e = save(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
-        roots = e.select(F.col("v").alias("u")).distinct()
-        n, heads = e.count(), e.select("u").distinct().count()
-        if n == heads and not e.join(roots, "u", "left_semi").limit(1).count():
+        roots = e.select(F.col("v").alias("u"), F.lit(1).alias("root")).distinct()
+        n, heads, inner = e.join(roots, "u", "left").agg(F.count("*"), F.count_distinct("u"), F.count("root")).first()
+        if n == heads and not inner:  # every id has one edge, to an id that has none: stars
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -97,15 +97,18 @@ def components_of_shared(shared: DataFrame, compare: Callable[[DataFrame], DataF
     near = (pairs.where("not linked")
             .join(span.select(F.col("comp").alias("a"), F.col("reach").alias("reach_a"), F.col("radius").alias("radius_a")), "a")
             .join(span.select(F.col("comp").alias("b"), F.col("reach").alias("reach_b"), F.col("radius").alias("radius_b")), "b")
-            .withColumn("slack", F.col("low") - F.least("reach_a", "reach_b"))
-            .where("(radius_a > 0 or radius_b > 0) and slack <= radius_a + radius_b").select("a", "b", "slack"))
+            .select("a", "b", "low", "radius_a", "radius_b", F.least("reach_a", "reach_b").alias("reach"))
+            .where("radius_a > 0 or radius_b > 0").where("low - reach <= radius_a + radius_b"))
     near = save(near, "near")
+    # the bound was cheap; with the exact distance few pairs stay
+    near = save(near.join(distance(near.select("a", "b")), ["a", "b"]).withColumn("slack", F.col("far") - F.col("reach"))
+                .where("slack <= radius_a + radius_b").drop("far", "low", "reach"), "near")
     at = rows.join(spread, ["comp", "id"], "left").select("key", "id", "comp", F.coalesce("far", F.lit(0)).alias("far"))
-    at = save(at.join(near.select(F.col("a").alias("comp")).unionByName(near.select(F.col("b").alias("comp"))).distinct(),
-                      "comp", "left_semi"), "at")
     left = at.select("key", F.col("id").alias("i"), F.col("comp").alias("a"), F.col("far").alias("far_i"))
     right = at.select("key", F.col("id").alias("j"), F.col("comp").alias("b"), F.col("far").alias("far_j"))
-    detail = (left.join(near, "a").join(right, ["key", "b"]).where("far_i + far_j >= slack")
+    left = left.join(near, "a").where("far_i + radius_b >= slack").select("key", "b", "a", "i", "far_i", "slack")
+    right = right.join(near, "b").where("far_j + radius_a >= slack").select("key", "b", "a", "j", "far_j")
+    detail = (left.join(right, ["key", "a", "b"]).where("far_i + far_j >= slack")
               .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
     found = save(compare(detail), "found").where("linked").select("a", "b")
     return connected(links.unionByName(pairs.where("linked").select("a", "b")).unionByName(found))

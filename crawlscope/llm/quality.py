@@ -156,7 +156,7 @@ class Network:
 
     def _adam(self, x, y, rng, passes: int = 40, size: int = 128, rate: float = 3e-3, decay: float = 1e-4):
         m, v, t = [np.zeros_like(p) for p in self.w], [np.zeros_like(p) for p in self.w], 0
-        steps = max(passes * len(y) // size, 400)
+        steps = max(passes * len(y) // size, 1500)
         order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-steps * size // len(y)))])
         for i in range(steps):
             k = order[i * size:(i + 1) * size]
@@ -216,6 +216,18 @@ def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, rows.drop("__scored").schema.add("score", "double"))
 
 
+def keep_good(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``."""
+    prepare(docs.sparkSession)
+    vectors, network = model
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(network.score(pool(batch.column(at), vectors.value)) >= threshold, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Operator 2 over all ``documents``, fitted on ``labels.quality`` of rows
     whose fold (crc32 of doc_id modulo 5) is not 0."""

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crawlscope.session import checkpoint_dir
+from crawlscope.session import checkpoint_dir, ship_with_tasks
+
+ship_with_tasks(sys.modules[__name__])
+
+MEMBER_BITS = 1 << 27  # 16 MB, whatever the data
+_PAGE = 32768          # bits of one bitmap_construct_agg result
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,3 +42,35 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def membership(ids: DataFrame):
+    """Broadcast bitmap of the ids (one long column) modulo MEMBER_BITS.
+
+    It lets a scan drop rows that a join on these ids would drop anyway, before
+    they are shuffled.  Its size is fixed: with very many ids it fills up and
+    drops less, and the join, which always follows, does all the work."""
+    h = F.pmod(F.col(ids.columns[0]), F.lit(MEMBER_BITS))
+    pages = (ids.select((h / _PAGE).cast("long").alias("page"), (h % _PAGE).alias("place"))
+             .groupBy("page").agg(F.bitmap_construct_agg("place").alias("bits")).toArrow())
+    bits = np.zeros(MEMBER_BITS // 8, dtype=np.uint8)
+    for page, raw in zip(pages.column("page").to_pylist(), pages.column("bits").to_pylist()):
+        bits[page * _PAGE // 8:(page + 1) * _PAGE // 8] = np.frombuffer(raw, dtype=np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def may_belong(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids the bitmap admits: all members, and a few others."""
+    h = ids.view(np.uint64) & np.uint64(MEMBER_BITS - 1)
+    return (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def only_members(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose ``column`` (long, never null) is not
+    among ``ids``."""
+    shared = membership(ids)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_belong(shared.value, batch.column(column).to_numpy()), pa.bool_()))
+    return rows.mapInArrow(run, rows.schema)
