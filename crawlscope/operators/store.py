@@ -1,13 +1,16 @@
 """Stored scan tables and their queries (ST-1..ST-16, SNK-4..SNK-7).
 
-Tables: scans, pages, jsonld_blocks, schema_entities.  Writes are dynamic
-partition overwrites by ``scan_id`` (parquet has no MERGE), so a rewrite of
-one scan never touches the others and a retried task rewrites the same
-partition.  Reads prune on ``scan_id``.
+Tables: scans, pages, jsonld_blocks, schema_entities.  Each write is a run of
+its own: its files lie under the run's id and become visible, for all its
+tables at once, with the marker that is written last.  A reader takes for each
+scan and table the latest run that has a marker, so a rewrite with fewer
+children leaves none behind and a half-written run is never seen.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,25 +149,69 @@ def site_documents(pages: DataFrame, blocks: DataFrame, entities: DataFrame) ->
             .withColumn("entities", F.coalesce("entities", F.array().cast(e.schema["entities"].dataType))))
 
 
-def write_scan_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
-    """SNK-4 / SNK-5 / SNK-6: dynamic partition overwrite per scan.
+BUCKETS = 64  # folders of a run and table: scans by hash
 
-    Child tables carry ``scan_id`` so every table partitions the same way;
-    rewriting a scan replaces exactly its partitions.  A ``_commit`` marker
-    row per scan is written last, so readers can ignore half-written scans.
-    """
+
+def write_scan_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
+    """SNK-4 / SNK-5 / SNK-6: write ``tables`` (by name, each with scan_id) as
+    one run that replaces the scans of its ``scans`` or ``pages`` table; a table
+    that is not given keeps its rows.  Rows are dealt to a fixed number of
+    folders and rebalanced, so a large scan is written by many tasks and many
+    small ones share files.  Returns the run's id."""
+    run = f"r{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(f"{root}/{name}")
-    scans = tables.get("scans")
-    if scans is not None:
-        scans.select("scan_id", F.current_timestamp().alias("committed_at")).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(f"{root}/_commit")
-
-
-def read_scan_tables(spark: SparkSession, root: str, committed_only: bool = True) -> dict[str, DataFrame]:
-    """SRC-3: read stored tables back with their schemas; only committed scans."""
-    out = {name: spark.read.parquet(f"{root}/{name}") for name in TABLES}
-    if committed_only:
-        ok = spark.read.parquet(f"{root}/_commit").select("scan_id")
-        out = {k: v.join(ok, "scan_id", "left_semi") for k, v in out.items()}
+        rows = df.withColumn("bucket", F.pmod(F.xxhash64("scan_id"), F.lit(BUCKETS)).cast("int"))
+        (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "scan_id")
+         .write.partitionBy("bucket").parquet(f"{root}/{name}/run={run}"))
+    scans = tables["scans"] if "scans" in tables else tables["pages"]
+    marks = scans.select("scan_id").distinct().withColumn("name", F.explode(F.array(*[F.lit(n) for n in tables])))
+    marks.withColumn("seq", F.lit(_last_run(spark, root) + 1)).write.parquet(f"{root}/_commit/run={run}")
+    return run
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _last_run(spark: SparkSession, root: str) -> int:
+    if not _stored(spark, f"{root}/_commit"):
+        return 0
+    return spark.read.parquet(f"{root}/_commit").agg(F.max("seq")).first()[0] or 0
+
+
+def read_scan_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """SRC-3: the stored tables with their schemas, each scan by its latest
+    committed run."""
+    latest = spark.read.parquet(f"{root}/_commit").groupBy("scan_id", "name").agg(F.max_by("run", "seq").alias("run"))
+    out = {}
+    for name in TABLES:
+        if _stored(spark, f"{root}/{name}"):
+            runs = latest.filter(F.col("name") == name).select("scan_id", "run")
+            out[name] = spark.read.parquet(f"{root}/{name}").join(runs, ["scan_id", "run"], "left_semi").drop("run", "bucket")
     return out
+
+
+def persist_pages(spark: SparkSession, root: str, pages: DataFrame, blocks: DataFrame, entities: DataFrame) -> str:
+    """ST-4..ST-6, SNK-4: store page snapshots (pages with seq and created_seq;
+    children with scan_id) as one run.
+
+    Snapshots with foreign or repeated children are refused as a whole; pages
+    are merged on their natural key, the children of rewritten pages replaced,
+    all others kept, and the scans concerned are published together."""
+    refused = [r.page_id for r in ownership_rejects(pages, blocks, entities).limit(5).collect()]
+    if refused:
+        raise ValueError(f"blocks or entities do not belong to their page: {', '.join(refused)}")
+    if _stored(spark, f"{root}/_commit"):
+        scans = pages.select("scan_id").distinct()
+        old = {k: v.join(scans, "scan_id", "left_semi") for k, v in read_scan_tables(spark, root).items() if k != "scans"}
+        merged = upsert_pages(old["pages"], pages)
+        kept = merged.select("scan_id", "normalized_url", F.col("page_id").alias("kept_id"))
+        ids = pages.select("page_id", "scan_id", "normalized_url").join(kept, ["scan_id", "normalized_url"]).select("page_id", "kept_id")
+
+        def under_kept(children):
+            return children.join(ids, "page_id").withColumn("page_id", F.col("kept_id")).drop("kept_id")
+        rewritten = ids.select(F.col("kept_id").alias("page_id")).distinct()
+        blocks, entities = replace_children(old["jsonld_blocks"], old["schema_entities"], rewritten, under_kept(blocks), under_kept(entities))
+        pages = merged
+    return write_scan_tables(spark, root, {"pages": pages, "jsonld_blocks": blocks, "schema_entities": entities})

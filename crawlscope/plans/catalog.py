@@ -18,6 +18,7 @@ from crawlscope.operators import store as ST
 from crawlscope.operators import robots as R
 from crawlscope.operators import sitemaps as S
 from crawlscope.operators import urlset as U
+from crawlscope.session import materialize
 from crawlscope.sources import captures as C
 
 
@@ -298,26 +299,29 @@ def str_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def st_persist_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-4..SNK-6, SRC-3: write scans/pages/blocks/entities as scan_id
-    partitions with a commit marker per scan, read them back (committed scans
-    only) and count rows per scan and table."""
+    """ST-4..ST-6, SNK-4..SNK-6, SRC-3: store all scans, store the pages whose
+    URL has a length divisible by three again without their first block, read
+    back each page with its blocks' ordinals and texts and its entities."""
     import uuid
 
     from crawlscope.session import checkpoint_dir
     t = _scan_tables(spark, sf)
-    scans = C.scans(spark, sf)
-    blocks = t.blocks.join(t.pages.select("page_id", "scan_id"), "page_id")
-    ents = t.entities.join(t.pages.select("page_id", "scan_id"), "page_id")
+    pages = t.pages.withColumn("created_seq", F.col("seq"))
+    blocks = materialize(t.blocks.join(pages.select("page_id", "scan_id"), "page_id"))
+    ents = materialize(t.entities.join(pages.select("page_id", "scan_id"), "page_id"))
     root = f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
-    ST.write_scan_tables(spark, root, {"pages": t.pages, "jsonld_blocks": blocks, "schema_entities": ents,
-                                       "scans": scans})
+    ST.write_scan_tables(spark, root, {"scans": C.scans(spark, sf), "pages": pages, "jsonld_blocks": blocks, "schema_entities": ents})
+    again = pages.filter(F.length("url") % 3 == 0).withColumn("seq", F.col("seq") + 1_000_000_000)
+    fewer = blocks.filter("ordinal > 0").join(again.select("page_id"), "page_id", "left_semi")
+    ST.persist_pages(spark, root, again, fewer, ents.join(fewer.select("block_id"), "block_id", "left_semi"))
     back = ST.read_scan_tables(spark, root)
-    counts = [back[name].groupBy("scan_id").agg(F.count(F.lit(1)).alias(name)) for name in
-              ("pages", "jsonld_blocks", "schema_entities")]
-    out = back["scans"].select("scan_id")
-    for c in counts:
-        out = out.join(c, "scan_id", "left")
-    return out.fillna(0)
+    b = back["jsonld_blocks"].groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "raw_text"))).alias("b"))
+    e = back["schema_entities"].groupBy("page_id").agg(F.count(F.lit(1)).alias("n_entities"))
+    out = back["pages"].join(back["scans"].select("scan_id"), "scan_id", "left_semi").join(b, "page_id", "left").join(e, "page_id", "left")
+    return out.select("scan_id", "url", "status",
+                      F.coalesce(F.array_join(F.transform("b.ordinal", lambda x: x.cast("string")), ","), F.lit("")).alias("ordinals"),
+                      F.md5(F.coalesce(F.array_join("b.raw_text", "|"), F.lit(""))).alias("texts"),
+                      F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities"))
 
 
 def st_cascade_delete(spark: SparkSession, sf: str) -> DataFrame:

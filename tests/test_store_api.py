@@ -69,6 +69,20 @@ def test_write_read_commit_marker(spark, tables):
     back = ST.read_scan_tables(spark, root)
     got = {(r.scan_id, r.status) for r in back["pages"].collect()}
     assert ("s2", "success") in got and ("s1", "x") in got and ("s1", "success") not in got
+    assert back["jsonld_blocks"].count() == blocks.count()  # tables that a run does not write keep their rows
+    none = {"pages": pages.filter("scan_id = 's1'"), "jsonld_blocks": blocks.limit(0), "schema_entities": ents.limit(0)}
+    ST.write_scan_tables(spark, root, none)
+    back = ST.read_scan_tables(spark, root)
+    assert {r.scan_id for r in back["jsonld_blocks"].collect()} == {r.scan_id for r in back["schema_entities"].collect()} == {"s2"}
+    assert {r.scan_id for r in back["scans"].collect()} == {"s1", "s2"}
+
+
+def test_persist_refuses_foreign_children(spark, tables):
+    import pytest
+    _, pages, blocks, ents = tables
+    root = tempfile.mkdtemp(prefix="crawlscope-store-")
+    with pytest.raises(ValueError, match="do not belong"):
+        ST.persist_pages(spark, root, pages.filter("page_id = 'p1'"), blocks, ents)
 
 
 def test_scope_and_report_helpers(spark, tables):
