@@ -171,7 +171,8 @@ def _verifier(size: int):
                 for _, sets in shingle_sets(batch.column(name), size):
                     both[side].extend(sets)
             far = [len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*both)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far, pa.int64())], names=["a", "b", "far"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("most"), pa.array(far, pa.int64())],
+                                             names=["a", "b", "most", "far"])
     return run
 
 
@@ -197,16 +198,19 @@ class Sets:
     def _text(self, side: str) -> DataFrame:
         return self.texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
 
+    def _measured(self, pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(self._text("a"), "a").join(self._text("b"), "b").select("a", "b", "most", "text_a", "text_b")
+        return joined.mapInArrow(_verifier(self.size), "a long, b long, most long, far long")
+
     def distance(self, pairs: DataFrame) -> DataFrame:
-        joined = pairs.select("a", "b").join(self._text("a"), "a").join(self._text("b"), "b").select("a", "b", "text_a", "text_b")
-        return joined.mapInArrow(_verifier(self.size), "a long, b long, far long")
+        return self._measured(pairs.select("a", "b", F.lit(0).cast("long").alias("most"))).select("a", "b", "far")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         close = save(pairs.join(self._side("a"), "a").join(self._side("b"), "b")
                      .select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum"), apart.cast("long").alias("low"),
-                             most_apart(self.percent, F.col("n_a"), F.col("n_b")).alias("most")), "close")
-        exact = self.distance(close.where("low <= most")).join(close.select("a", "b", "most"), ["a", "b"])
+                             most_apart(self.percent, F.col("n_a"), F.col("n_b")).cast("long").alias("most")), "close")
+        exact = self._measured(close.where("low <= most").select("a", "b", "most"))
         return (close.where("low > most").select("a", "b", "low", F.lit(False).alias("linked"))
                 .unionByName(exact.select("a", "b", F.col("far").alias("low"), (F.col("far") <= F.col("most")).alias("linked"))))
 

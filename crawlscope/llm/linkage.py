@@ -9,7 +9,8 @@ links are looked for in two rounds:
 2. what remains are keys whose members lie in different components.  Two
    components are compared by their smallest members first, and by the triangle
    inequality dropped together where even their closest members are too far
-   apart; only members of the pairs left are compared one by one.
+   apart; of the pairs left, those members are compared one by one that are
+   far enough from their own smallest member to reach the other component.
 
 Both rounds verify exactly, so the components are those of the full join.
 """
@@ -76,8 +77,7 @@ def components_of_shared(shared: DataFrame, compare: Callable[[DataFrame], DataF
     rows = shared.join(first, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
     rows = save(rows.join(mixed, "key"), "mixed")
-    rows = save(_ask_twice(rows) if agreements > 1 else rows, "mixed")
-    met = rows.select("key", "comp").distinct()
+    met = (_ask_twice(rows) if agreements > 1 else rows).select("key", "comp").distinct()
     pairs = (met.select("key", F.col("comp").alias("a")).join(met.select("key", F.col("comp").alias("b")), "key")
              .where("a < b").select("a", "b").distinct())
     known = star.select("a", "b", "low", "linked")
@@ -103,12 +103,15 @@ def components_of_shared(shared: DataFrame, compare: Callable[[DataFrame], DataF
     # the bound was cheap; with the exact distance few pairs stay
     near = save(near.join(distance(near.select("a", "b")), ["a", "b"]).withColumn("slack", F.col("far") - F.col("reach"))
                 .where("slack <= radius_a + radius_b").drop("far", "low", "reach"), "near")
-    at = rows.join(spread, ["comp", "id"], "left").select("key", "id", "comp", F.coalesce("far", F.lit(0)).alias("far"))
-    left = at.select("key", F.col("id").alias("i"), F.col("comp").alias("a"), F.col("far").alias("far_i"))
-    right = at.select("key", F.col("id").alias("j"), F.col("comp").alias("b"), F.col("far").alias("far_j"))
-    left = left.join(near, "a").where("far_i + radius_b >= slack").select("key", "b", "a", "i", "far_i", "slack")
-    right = right.join(near, "b").where("far_j + radius_a >= slack").select("key", "b", "a", "j", "far_j")
-    detail = (left.join(right, ["key", "a", "b"]).where("far_i + far_j >= slack")
+    # members that may reach the other component; a pair of them is looked at
+    # once, however many keys it shares
+    every = members.select("comp", "id").unionByName(used.join(members.select("comp"), "comp", "left_anti").select("comp", F.col("comp").alias("id")))
+    every = every.join(spread, ["comp", "id"], "left").select("comp", "id", F.coalesce("far", F.lit(0)).alias("far"))
+    left = (every.join(near, every["comp"] == near["a"]).where("far + radius_b >= slack")
+            .select("a", "b", F.col("id").alias("i"), F.col("far").alias("far_i"), "slack"))
+    right = (every.join(near, every["comp"] == near["b"]).where("far + radius_a >= slack")
+             .select("a", "b", F.col("id").alias("j"), F.col("far").alias("far_j")))
+    detail = (left.join(right, ["a", "b"]).where("far_i + far_j >= slack")
               .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
     found = save(compare(detail), "found").where("linked").select("a", "b")
     return connected(links.unionByName(pairs.where("linked").select("a", "b")).unionByName(found))
