@@ -6,7 +6,9 @@ hashes, a 64-bit parity sketch: two sets whose symmetric difference is at most
 D can differ in D blocks only, so with D + 2 + E blocks they agree in 2 + E at
 least, and documents that agree in a block (same band, block and XOR) become
 candidates.  Blocks of one hash or none say little; a document with at most E
-of them leaves them out, which still leaves two agreements.  Candidates are
+of them leaves them out, else, with at most E empty ones, those; as no document
+leaves out more than E blocks, and what one leaves out holds no more than what
+the other may leave out, two agreements stay.  Candidates are
 filtered by the Hamming distance of a 2048-bit parity sketch, a lower bound of
 the symmetric difference, and verified on the whole sets.
 
@@ -87,7 +89,7 @@ def block_counts(percent: int, first: int, following: int) -> tuple[int, int]:
     differ = (100 - percent) * (most + most * 100 // percent) // (100 + percent)
     if not differ:
         return 0, 0
-    spare = differ // 12 + 1
+    spare = max(2, differ // 12 + 1)
     return differ + 2 + spare, spare
 
 
@@ -110,8 +112,11 @@ def block_keys(s: np.ndarray, percent: int) -> list[np.ndarray]:
         parity[sorted_at[first]] = np.bitwise_xor.reduceat(s[order], first)
         count = np.bincount(at, minlength=blocks)
         keys = mix(parity ^ mix(np.arange(blocks, dtype=np.uint64) + np.uint64(band << 32)))
-        light = count <= 1
-        out.append(keys[~light] if light.sum() <= spare else keys)
+        if (count <= 1).sum() <= spare:
+            keys = keys[count > 1]
+        elif (count == 0).sum() <= spare:
+            keys = keys[count > 0]
+        out.append(keys)
     return out
 
 
