@@ -96,8 +96,10 @@ def json_checks(docs: DataFrame, progress: DataFrame | None = None) -> DataFrame
                           F.col("_corrupt_record"), "Rows in a malformed region cannot be checked",
                           "Re-export the artifact; do not infer absence from omitted rows"))
     good = docs.filter(F.col("_corrupt_record").isNull())
-    missing = (F.col("formatVersion").isNull() | (F.col("formatVersion") != 1) | F.col("scan.id").isNull()
-               | F.col("page.url").isNull() | F.col("page.status").isNull() | F.col("page.page_id").isNull())
+    missing = F.col("formatVersion").isNull() | (F.col("formatVersion") != 1) | F.col("scan.id").isNull()
+    for field in ("url", "status", "page_id"):
+        if field in good.schema["page"].dataType.names:
+            missing = missing | F.col(f"page.{field}").isNull()
     parts.append(_finding(good.filter(missing), "AU-1", DEFECT, F.col("artifact"), F.coalesce("page.url", F.lit("?")),
                           F.concat(F.lit("formatVersion="), F.coalesce(F.col("formatVersion").cast("string"),
                                                                        F.lit("missing"))),
