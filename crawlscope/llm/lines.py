@@ -36,7 +36,8 @@ ship_with_tasks(sys.modules[__name__])
 
 EDITS = 2
 LEAST = 24
-BAND = 8  # distances are exact up to this many edits
+BAND = 8  # links are decided, and most distances measured, within this many edits
+WIDE = 31  # further distances are exact up to this many edits
 CHUNK_CHARS = 1 << 20
 
 
@@ -150,7 +151,7 @@ def _banded(short: list[str], long_: list[str], band: int) -> np.ndarray:
     pattern, text = _matrix(short, width, -1, band + 1), _matrix(long_, width, -2, 0)
     size = np.array([len(x) for x in long_])
     more = size - np.array([len(x) for x in short])
-    word = np.uint32
+    word = np.uint32 if band < 16 else np.uint64  # 2 band + 1 bits, and one for the carry
     mask = word((1 << (2 * band + 1)) - 1)
     one = word(1)
     plus = np.full(len(short), int(mask) & ~((1 << band) - 1), dtype=word)
@@ -170,6 +171,17 @@ def _banded(short: list[str], long_: list[str], band: int) -> np.ndarray:
     return np.minimum(d, band + 1)
 
 
+def distance_bounds(first: list[str], second: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(near, far): both the edit distance up to WIDE; beyond, bounds that it
+    cannot leave: WIDE + 1 or the difference in length, and the longer length."""
+    near = banded_distance(first, second)
+    size = np.array([[len(a), len(b)] for a, b in zip(first, second)], dtype=np.int64).reshape(-1, 2)
+    rest = np.flatnonzero(near > BAND)
+    near[rest] = banded_distance([first[k] for k in rest], [second[k] for k in rest], WIDE)
+    far = np.where(near <= WIDE, near, size.max(axis=1))
+    return np.where(near <= WIDE, near, np.maximum(near, np.abs(size[:, 0] - size[:, 1]))), far
+
+
 class Lines:
     """Edit distances between the distinct lines of a corpus."""
 
@@ -225,23 +237,21 @@ class Lines:
         return (self.docs.where("doc_id is not null and text is not null")
                 .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
-    def _measured(self, pairs: DataFrame) -> DataFrame:
+    def _measured(self, pairs: DataFrame, measure, names: list[str]) -> DataFrame:
         def run(batches):
             for batch in batches:
-                first, second = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
-                d = banded_distance(first, second)
-                most = np.array([max(len(a), len(b)) for a, b in zip(first, second)], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d), pa.array(most)], names=["a", "b", "d", "most"])
+                found = measure(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *map(pa.array, found)], names=["a", "b", *names])
         sides = [self.texts.select(F.col("node").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab"]
         joined = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "line_a", "line_b")
-        return joined.mapInArrow(run, "a long, b long, d long, most long")
+        return joined.mapInArrow(run, ", ".join(f"{x} long" for x in ["a", "b", *names]))
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        return self._measured(pairs).select("a", "b", F.col("d").alias("low"), (F.col("d") <= self.edits).alias("linked"))
+        return (self._measured(pairs, lambda first, second: [banded_distance(first, second)], ["low"])
+                .select("a", "b", "low", (F.col("low") <= self.edits).alias("linked")))
 
     def distance(self, pairs: DataFrame) -> DataFrame:
-        """Exact up to BAND; beyond, the longer length, which it cannot exceed."""
-        return self._measured(pairs).select("a", "b", F.when(F.col("d") <= BAND, F.col("d")).otherwise(F.col("most")).alias("far"))
+        return self._measured(pairs, distance_bounds, ["near", "far"])
 
     def reach(self, ids: DataFrame) -> DataFrame:
         return ids.withColumn("reach", F.lit(self.edits).cast("long"))

@@ -67,7 +67,9 @@ def components_of_shared(shared: DataFrame, compare: Callable[[DataFrame], DataF
 
     ``shared``: rows of ``shared_keys``; every linked pair shares at least ``agreements``
     keys.  ``compare``: (a, b) pairs -> (a, b, low, linked), where low is a
-    lower bound of their distance.  ``distance``: pairs -> (a, b, far), exact.
+    lower bound of their distance.  ``distance``: pairs -> (a, b, far), exact,
+    or (a, b, near, far), a lower and an upper bound of it: what is dropped
+    must be too far apart by ``near``, members stretch as far as ``far``.
     ``reach``: (id) -> (id, reach), the distance up to which an id may be
     linked to anything.
     """
@@ -100,9 +102,11 @@ def components_of_shared(shared: DataFrame, compare: Callable[[DataFrame], DataF
             .select("a", "b", "low", "radius_a", "radius_b", F.least("reach_a", "reach_b").alias("reach"))
             .where("radius_a > 0 or radius_b > 0").where("low - reach <= radius_a + radius_b"))
     near = save(near, "near")
-    # the bound was cheap; with the exact distance few pairs stay
-    near = save(near.join(distance(near.select("a", "b")), ["a", "b"]).withColumn("slack", F.col("far") - F.col("reach"))
-                .where("slack <= radius_a + radius_b").drop("far", "low", "reach"), "near")
+    # the bound was cheap; with the distance, or a closer bound, few pairs stay
+    apart = distance(near.select("a", "b"))
+    apart = apart.select("a", "b", F.col("near" if "near" in apart.columns else "far").alias("apart"))
+    near = save(near.join(apart, ["a", "b"]).withColumn("slack", F.col("apart") - F.col("reach"))
+                .where("slack <= radius_a + radius_b").drop("apart", "low", "reach"), "near")
     # members that may reach the other component; a pair of them is looked at
     # once, however many keys it shares
     every = members.select("comp", "id").unionByName(used.join(members.select("comp"), "comp", "left_anti").select("comp", F.col("comp").alias("id")))
