@@ -18,8 +18,8 @@ fingerprint of the set.
 
 Defined cases: null and empty texts, and texts without words, have the empty
 set, link with nothing and are their own component; fewer words than a shingle
-has make one shingle; repeated rows are copies; a null doc_id takes part in
-links but is never a component_id unless its whole component has none.  Extra
+has make one shingle; repeated rows are copies, rows that share a doc_id have
+texts of their own; a null doc_id takes part in links but is never a component_id unless its whole component has none.  Extra
 columns are ignored.
 """
 
@@ -127,7 +127,7 @@ def filter_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def profile(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, node, sketch) per document."""
+    """(doc_id, row, n, node, sketch) per document."""
     def run(batches):
         for batch in batches:
             n = np.zeros(batch.num_rows, dtype=np.int64)
@@ -137,10 +137,10 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
                 for r, s in enumerate(sets, a):
                     n[r], node[r], sketch[r] = len(s), fingerprint(s), filter_sketch(s)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(node),
+                [batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(node),
                  pa.ListArray.from_arrays(np.arange(0, sketch.size + 1, WORDS, dtype=np.int32), pa.array(sketch.ravel()))],
-                names=["doc_id", "n", "node", "sketch"])
-    return _plain(docs).mapInArrow(run, "doc_id long, n long, node long, sketch array<long>")
+                names=["doc_id", "row", "n", "node", "sketch"])
+    return _plain(docs).withColumn("row", _row()).mapInArrow(run, "doc_id long, row long, n long, node long, sketch array<long>")
 
 
 def keys_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -163,6 +163,11 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _row():
+    """Hash that tells rows apart, also where they share a doc_id or have none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def most_apart(percent: int, a, b):
     """Largest symmetric difference of linked sets of sizes a and b."""
     return F.floor((a + b) * (100 - percent) / (100 + percent))
@@ -186,15 +191,15 @@ class Sets:
 
     def __init__(self, docs: DataFrame, profiles: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
-        self.nodes = save(profiles.where("n > 0 and doc_id is not null").groupBy("node")
-                          .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "nodes")
+        self.nodes = save(profiles.where("n > 0").groupBy("node")
+                          .agg(F.min("row").alias("row"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "nodes")
         self.texts = None
 
     def only(self, ids: DataFrame) -> None:
         """Keep at hand the texts of these nodes (one document each)."""
-        chosen = self.nodes.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("node", "doc_id")
-        text = only_members(_plain(self.docs).where("doc_id is not null"), "doc_id", chosen.select("doc_id"))
-        text = text.join(chosen, "doc_id").select("node", "text")
+        chosen = self.nodes.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("node", "row")
+        text = only_members(_plain(self.docs).select(_row().alias("row"), "text"), "row", chosen.select("row"))
+        text = text.join(chosen, "row").select("node", "text")
         self.texts = save(text.dropDuplicates(["node"]), "texts")
 
     def _side(self, side: str) -> DataFrame:
@@ -226,30 +231,36 @@ class Sets:
             "id", most_apart(self.percent, n, F.floor(n * 100 / self.percent)).alias("reach"))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, row, n_shingles, comp, component_id) for every row of ``docs``;
+    comp is a number of the row's component."""
     prepare(docs.sparkSession)
     profiles = save(profile(docs, size), "profile")
     sets = Sets(docs, profiles, size, percent)
     shared = save(shared_keys(keys_of(docs, size, percent)).join(sets.nodes.select(F.col("node").alias("id")), "id", "left_semi"), "shared")
     sets.only(shared.select("id").distinct())
     found = save(components_of_shared(shared, sets.compare, sets.distance, sets.reach, agreements=2), "components")
-    rows = profiles.select("doc_id", "n", F.col("node").alias("id")).join(found, "id", "left").select(
-        "doc_id", "n", F.coalesce("comp", "id").alias("comp"))
-    lowest = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = rows.where("n > 0").join(lowest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rows = profiles.select("doc_id", "row", "n", F.col("node").alias("id")).join(found, "id", "left").select(
+        "doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("comp"))
+    lowest = rows.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    linked = rows.where("n_shingles > 0").join(lowest, "comp").select("doc_id", "row", "n_shingles", "comp", "component_id")
+    return linked.unionByName(rows.where("n_shingles = 0").withColumn("comp", F.col("row")).withColumn("component_id", F.col("doc_id")))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    return _labelled(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those linked to a smaller doc_id; of rows
-    that repeat a doc_id one stays.  Rows with a null doc_id stay."""
-    found = save(near_duplicates(docs, size, percent).where("doc_id is not null"), "components")
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(firsts, F.col("doc_id").cast("long") == F.col("__first")).drop("__first")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` without those linked to a smaller doc_id; of linked
+    rows that share a doc_id one stays.  Rows with a null doc_id stay."""
+    found = save(_labelled(docs, size, percent).where("doc_id = component_id").select("doc_id", "comp", "row"), "components")
+    firsts = found.groupBy("doc_id", "comp").agg(F.min("row").alias("__first")).select("__first").distinct()
+    kept = docs.where(F.col("doc_id").isNotNull()).withColumn("__row", _row()).join(firsts, F.col("__row") == F.col("__first")).drop("__row")
+    if found.groupBy("row").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__first"])
+    return kept.drop("__first").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ Of each class only the first line (smallest doc_id, then line number) stays.
 
 Defined cases: null texts have no lines, an empty text has one empty line;
 lines are split at line feeds only and compared as they stand; shorter lines
-are never removed; rows that share a doc_id count as one document; rows with a
+are never removed; rows that share a doc_id count as one document, each
+loses lines of its own text (``mark``, a hash, tells texts apart); rows with a
 null doc_id take no part and keep their text.  Extra columns are kept.
 """
 
@@ -189,7 +190,7 @@ class Lines:
         self.docs, self.edits, self.least, self.texts = docs, edits, least, None
 
     def occurrences(self) -> DataFrame:
-        """(doc_id, line, node) of the lines that take part."""
+        """(doc_id, mark, line, node) of the lines that take part."""
         least = self.least
 
         def run(batches):
@@ -197,9 +198,9 @@ class Lines:
                 for points, start, end, row, number in line_chunks(batch.column("text").to_pylist()):
                     keep = np.flatnonzero(end - start >= least)
                     node = line_nodes(Hashes(points), start[keep], end[keep])
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[keep])), pa.array(number[keep].astype(np.int32)),
-                                                      pa.array(node)], names=["doc_id", "line", "node"])
-        return self._plain().mapInArrow(run, "doc_id long, line int, node long")
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[keep])) for c in ("doc_id", "mark")),
+                                                      pa.array(number[keep].astype(np.int32)), pa.array(node)], names=["doc_id", "mark", "line", "node"])
+        return self._plain().withColumn("mark", F.hash("text")).mapInArrow(run, "doc_id long, mark int, line int, node long")
 
     def keys(self) -> DataFrame:
         """(key, id) rows; each distinct line of a chunk once."""
@@ -258,33 +259,35 @@ class Lines:
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(doc_id, line, first_doc, first_line) of every line of ``least``
-    characters or more: the first line of its class."""
+    """(doc_id, mark, line, first_doc, first_mark, first_line) of every line of
+    ``least`` characters or more: the first line of its class."""
     prepare(docs.sparkSession)
     lines = Lines(docs, edits, least)
     shared = save(shared_keys(lines.keys()), "shared")
     lines.only(shared.select("id").distinct())
     found = save(components_of_shared(shared, lines.compare, lines.distance, lines.reach), "classes")
     rows = save(lines.occurrences(), "lines").join(found, F.col("node") == F.col("id"), "left").select(
-        "doc_id", "line", F.coalesce("comp", "node").alias("class"))
-    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        "doc_id", "mark", "line", F.coalesce("comp", "node").alias("class"))
+    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "line", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
     return (rows.join(first, "class", "left")
-            .select("doc_id", "line", F.coalesce("first.doc_id", "doc_id").alias("first_doc"), F.coalesce("first.line", "line").alias("first_line")))
+            .select("doc_id", "mark", "line", F.coalesce("first.doc_id", "doc_id").alias("first_doc"),
+                    F.coalesce("first.mark", "mark").alias("first_mark"), F.coalesce("first.line", "line").alias("first_line")))
 
 
 def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(doc_id, removed, first_docs): per document that loses lines, their
+    """(doc_id, mark, removed, first_docs): per document that loses lines, their
     numbers and the documents that keep them, in line order."""
-    gone = line_classes(docs, edits, least).where("doc_id != first_doc or line != first_line").distinct()
-    listed = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "first_doc"))).alias("gone"))
-    return listed.select("doc_id", F.col("gone.line").alias("removed"), F.col("gone.first_doc").alias("first_docs"))
+    gone = line_classes(docs, edits, least).where("doc_id != first_doc or line != first_line or mark != first_mark").distinct()
+    listed = gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("line", "first_doc"))).alias("gone"))
+    return listed.select("doc_id", "mark", F.col("gone.line").alias("removed"), F.col("gone.first_doc").alias("first_docs"))
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """``docs`` without the removed lines, plus removed and first_docs (null
     where a document keeps all its lines)."""
-    gone = save(removals(docs, edits, least), "removals").withColumnRenamed("doc_id", "__id")
-    joined = docs.drop("removed", "first_docs").join(gone, docs["doc_id"].cast("long") == gone["__id"], "left").drop("__id")
+    gone = save(removals(docs, edits, least), "removals").withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
+    same = (docs["doc_id"].cast("long") == gone["__id"]) & (F.hash(docs["text"].cast("string")) == gone["__mark"])
+    joined = docs.drop("removed", "first_docs").join(gone, same, "left").drop("__id", "__mark")
     at, was = joined.columns.index("text"), joined.columns.index("removed")
 
     def cut(batches):
