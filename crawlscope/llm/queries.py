@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import chat, decontaminate, jaccard, lines, packing, quality, suffix, topk, toxicity, urlfilter
+from crawlscope.llm import (chat, decontaminate, filteraudit, jaccard, lines, packing, quality, suffix, topk, toxicity,
+                            urlfilter)
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op12_filter_interaction_audit": filteraudit.op12_filter_interaction_audit,
 }
 
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op6_url_filters": urlfilter.ORACLE_SQL,
     "op7_ngram_jaccard": jaccard.ORACLE_SQL,
     "op8_exact_topk": topk.ORACLE_SQL,
+    "op12_filter_interaction_audit": filteraudit.ORACLE_SQL,
 }
