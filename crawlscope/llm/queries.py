@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import (chat, decontaminate, filteraudit, jaccard, lines, packing, quality, suffix, topk, toxicity,
-                            urlfilter)
+from crawlscope.llm import (chat, decontaminate, filteraudit, jaccard, lines, packing, quality, repair, suffix, topk,
+                            toxicity, urlfilter)
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op12_filter_interaction_audit": filteraudit.op12_filter_interaction_audit,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op7_ngram_jaccard": jaccard.ORACLE_SQL,
     "op8_exact_topk": topk.ORACLE_SQL,
     "op12_filter_interaction_audit": filteraudit.ORACLE_SQL,
+    "op13_conversation_repair": repair.ORACLE_SQL,
 }
