@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crawlscope.llm import (chat, decontaminate, filteraudit, jaccard, lines, packing, quality, repair, suffix, topk,
-                            toxicity, urlfilter)
+                            toxicity, urlfilter, warc)
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_warc": warc.op11_warc,
     "op12_filter_interaction_audit": filteraudit.op12_filter_interaction_audit,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
@@ -26,6 +27,7 @@ ORACLES = {
     "op6_url_filters": urlfilter.ORACLE_SQL,
     "op7_ngram_jaccard": jaccard.ORACLE_SQL,
     "op8_exact_topk": topk.ORACLE_SQL,
+    "op11_warc": warc.ORACLE_SQL,
     "op12_filter_interaction_audit": filteraudit.ORACLE_SQL,
     "op13_conversation_repair": repair.ORACLE_SQL,
 }
