@@ -66,6 +66,44 @@ def parse_error(raw) -> Column:
     ).otherwise(F.lit(PARSE_ERROR_PREFIX + MSG_INVALID_JSON))
 
 
+# Stands before the digits of a number that is carried as a string (a private
+# use character).
+_MARK = "\ue000"
+_PIECES_RE = '"(?:[^"\\\\]++|\\\\.)*+"|[^"]++'
+_NUMBER_RE = "-?[0-9][0-9.eE+-]*+"
+
+
+def carried(raw) -> Column:
+    """A JSON text whose numbers are strings that start with a mark, so that no
+    parser reformats them; a text that holds the mark already stays as it is."""
+    r = _c(raw)
+    pieces = F.transform(F.regexp_extract_all(r, F.lit(_PIECES_RE), 0), lambda x: F.when(x.startswith('"'), x).otherwise(
+        F.regexp_replace(x, _NUMBER_RE, f'"{_MARK}$0"')))
+    return F.when(F.lower(r).rlike(f"{_MARK}|\\\\ue000"), r).otherwise(F.array_join(pieces, ""))
+
+
+def uncarried(text) -> Column:
+    """The JSON text behind ``carried``."""
+    return F.regexp_replace(_c(text), f'"{_MARK}({_NUMBER_RE})"', "$1")
+
+
+def member_texts(text, kind) -> Column:
+    """Texts of the members of a carried array, or of an object's ``@graph``:
+    compact, keys in source order, strings without their quotes."""
+    t = _c(text)
+    return F.when(_c(kind) == "array", F.from_json(t, "array<string>")).otherwise(
+        F.from_json(t, "struct<`@graph`:array<string>>")["@graph"])
+
+
+def compact_json(raw) -> Column:
+    """A valid JSON text without blanks between its tokens: keys keep their
+    order, numbers their spelling."""
+    r = _c(raw)
+    whole = F.element_at(F.from_json(F.concat(F.lit("["), carried(r), F.lit("]")), "array<string>"), 1)
+    v = F.try_parse_json(r)
+    return F.when(variant_kind(v).isin("array", "object"), uncarried(whole)).otherwise(F.to_json(v))
+
+
 def variant_kind(v) -> Column:
     """'array', 'object', 'string', 'null' or 'other' for a VARIANT value."""
     s = F.schema_of_variant(_c(v))
@@ -73,13 +111,17 @@ def variant_kind(v) -> Column:
             .when(s == "STRING", "string").when(s == "VOID", "null").otherwise("other"))
 
 
-def context_text(obj) -> Column:
-    """LD-4: string @context as is, absent/null -> NULL, else compact JSON."""
+def context_text(obj, text=None) -> Column:
+    """LD-4: string @context as is, absent/null -> NULL, else compact JSON, as
+    it stands in the object's carried ``text`` if that is given."""
     ctx = F.try_variant_get(_c(obj), '$["@context"]', "variant")
     k = variant_kind(ctx)
+    whole = F.to_json(ctx)
+    if text is not None:
+        whole = F.when(k.isin("array", "object"), uncarried(F.from_json(_c(text), "struct<`@context`:string>")["@context"])).otherwise(whole)
     return (F.when(ctx.isNull() | (k == "null"), F.lit(None).cast("string"))
             .when(k == "string", F.try_variant_get(ctx, "$", "string"))
-            .otherwise(F.to_json(ctx)))
+            .otherwise(whole))
 
 
 def types_array(obj) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlscope.functions.jsonld import variant_kind
+
 # Fixed vocabulary.
 DEFECT = "export/data defect"
 OBSERVATION = "schema/site observation"
@@ -24,6 +26,8 @@ CSV_STATUSES = ["valid", "invalid", ""]
 # Required properties per schema type (fixed audit rule table).
 REQUIRED_PROPERTIES = [("Product", "name"), ("Product", "image"), ("Product", "offers"),
                        ("Offer", "price"), ("Offer", "availability")]
+# Type, property that holds objects, type whose rules those objects follow.
+NESTED_TYPES = [("Product", "offers", "Offer")]
 # Default severity per check (our mapping onto the five levels).
 CHECK_SEVERITY = {
     "AU-1": "critical", "AU-17": "critical", "AU-3": "high", "AU-4": "high", "AU-5": "high", "AU-9": "high",
@@ -236,6 +240,39 @@ def cross_format(json_keys: DataFrame, csv_keys: DataFrame, md_keys: DataFrame)
 
 # ------------------------------------------------------------------ observations
 
+def _properties(nodes: DataFrame) -> DataFrame:
+    """One row per property of each object ``v``: its key, value and whether the
+    value is empty (null or a blank string).  Keys are data, never paths, so
+    dots and quotes in them mean nothing."""
+    rows = nodes.sparkSession.sql("SELECT n.*, p.key, p.value FROM {nodes} n, LATERAL variant_explode(n.v) p", nodes=nodes)
+    kind = variant_kind("value")
+    return rows.withColumn("empty", F.coalesce(
+        (kind == "null") | ((kind == "string") & (F.trim(F.try_variant_get("value", "$", "string")) == "")), F.lit(True)))
+
+
+def _nested_nodes(props: DataFrame) -> DataFrame:
+    """Objects below a property that NESTED_TYPES names, alone or in an array."""
+    rules = props.sparkSession.createDataFrame(NESTED_TYPES, "rtype string, key string, child string")
+    held = props.join(F.broadcast(rules), ["rtype", "key"])  # fixed table
+    members = F.when(variant_kind("value") == "array", F.try_variant_get("value", "$", "array<variant>")).otherwise(F.array("value"))
+    held = held.select("url", "node", "key", "child", F.posexplode(members).alias("i", "v")).filter(variant_kind("v") == "object")
+    return held.select("url", F.format_string("%s/%s[%d]", "node", "key", "i").alias("node"), F.col("child").alias("rtype"), "v")
+
+
+def _required(nodes: DataFrame, props: DataFrame) -> DataFrame:
+    """AU-14: required properties that a node lacks or leaves empty."""
+    rules = nodes.sparkSession.createDataFrame(REQUIRED_PROPERTIES, "rtype string, prop string")
+    key = ["url", "node", "rtype"]
+    have = props.groupBy(*key).agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("empty"), F.col("key"))).alias("blank"))
+    need = nodes.select(*key).join(have, key, "left").join(F.broadcast(rules), "rtype")  # fixed table
+    absent = ~F.coalesce(F.array_contains("keys", F.col("prop")), F.lit(False))
+    empty = ~absent & F.array_contains("blank", F.col("prop"))
+    return _finding(need.filter(absent | empty), "AU-14", OBSERVATION, F.lit("entities"), F.concat_ws("#", "url", "node"),
+                    F.concat(F.col("rtype"), F.when(empty, F.lit(" empty ")).otherwise(F.lit(" no ")), F.col("prop")),
+                    "Incomplete values limit rich results", "Fill the required property",
+                    severity=F.when(empty, F.lit("medium")).otherwise(F.lit("low")))
+
+
 def observation_checks(pages: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFrame:
     """AU-13, AU-14, AU-15, AU-22 over page / block / entity tables."""
     e = entities.join(pages.select("page_id", "url"), "page_id")
@@ -249,42 +286,10 @@ def observation_checks(pages: DataFrame, blocks: DataFrame, entities: DataFrame)
         _finding(e.filter(F.size("types") == 0), "AU-13", OBSERVATION, F.lit("entities"), loc,
                  F.lit("missing @type"), "Entity type is unknown", "Declare @type"),
     ]
-    rules = e.sparkSession.createDataFrame(REQUIRED_PROPERTIES, "rtype string, prop string")
-    typed = e.select("url", "entity_path", "serialized", F.explode("types").alias("rtype"))
-    need = typed.join(F.broadcast(rules), "rtype")  # fixed five-row rule table
-    keys = F.json_object_keys("serialized")
-    val = F.expr("get_json_object(serialized, concat('$.', prop))")
-    absent = ~F.array_contains(keys, F.col("prop"))
-    empty = ~absent & (F.trim(F.coalesce(val, F.lit(""))) == "")
-    parts.append(_finding(need.filter(absent | empty), "AU-14", OBSERVATION, F.lit("entities"),
-                          F.concat(F.col("url"), F.lit("#"), F.col("entity_path")),
-                          F.concat(F.col("rtype"), F.lit(" "), F.when(empty, F.lit("empty ")).otherwise(F.lit("no ")),
-                                   F.col("prop")),
-                          "Incomplete values limit rich results", "Fill the required property",
-                          severity=F.when(empty, F.lit("medium")).otherwise(F.lit("low"))))
-    # Offers nested in a Product (object or array under "offers") must carry
-    # the Offer properties too.
-    offer_props = [p for t, p in REQUIRED_PROPERTIES if t == "Offer"]
-    prod = typed.filter(F.col("rtype") == "Product").withColumn(
-        "_o", F.try_variant_get(F.try_parse_json("serialized"), "$.offers", "variant"))
-    offers = prod.filter(F.col("_o").isNotNull()).select(
-        "url", "entity_path", F.posexplode(F.when(F.schema_of_variant("_o").startswith("ARRAY"),
-                                                  F.try_variant_get("_o", "$", "array<variant>"))
-                                           .otherwise(F.array("_o"))).alias("i", "o"))
-    offers = offers.filter(F.schema_of_variant("o").startswith("OBJECT")).withColumn("oj", F.to_json("o"))
-    nested = offers.select("url", "entity_path", "i", "oj", F.explode(F.array(*[F.lit(x) for x in offer_props]))
-                           .alias("prop"))
-    okeys = F.json_object_keys("oj")
-    oval = F.expr("get_json_object(oj, concat('$.', prop))")
-    o_absent = ~F.array_contains(okeys, F.col("prop"))
-    o_empty = ~o_absent & (F.trim(F.coalesce(oval, F.lit(""))) == "")
-    parts.append(_finding(nested.filter(o_absent | o_empty), "AU-14", OBSERVATION, F.lit("entities"),
-                          F.concat(F.col("url"), F.lit("#"), F.col("entity_path"), F.lit("/offers["),
-                                   F.col("i").cast("string"), F.lit("]")),
-                          F.concat(F.lit("Offer "), F.when(o_empty, F.lit("empty ")).otherwise(F.lit("no ")),
-                                   F.col("prop")),
-                          "Incomplete values limit rich results", "Fill the required property",
-                          severity=F.when(o_empty, F.lit("medium")).otherwise(F.lit("low"))))
+    typed = e.select("url", F.col("entity_path").alias("node"), F.explode("types").alias("rtype"), F.try_parse_json("serialized").alias("v"))
+    props = _properties(typed)
+    nested = _nested_nodes(props)
+    parts += [_required(typed, props), _required(nested, _properties(nested))]
     failed = pages.filter(~F.col("status").isin("success", "no_jsonld"))
     parts.append(_finding(failed, "AU-15", OBSERVATION, F.lit("pages"), F.col("url"),
                           F.concat(F.lit("status "), F.col("status"), F.lit(": "), F.coalesce("error", F.lit(""))),
@@ -296,8 +301,7 @@ def observation_checks(pages: DataFrame, blocks: DataFrame, entities: DataFrame)
     no_ent = pages.filter(F.col("status") == "success").join(entities.select("page_id"), "page_id", "left_anti")
     parts.append(_finding(no_ent, "AU-15", OBSERVATION, F.lit("pages"), F.col("url"), F.lit("page without entities"),
                           "Valid JSON-LD carries no entity", "Add typed objects"))
-    inv = typed.withColumn("k", F.explode(keys)).groupBy("url", "rtype").agg(
-        F.array_join(F.array_sort(F.collect_set("k")), ",").alias("props"))
+    inv = props.groupBy("url", "rtype").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("props"))
     parts.append(_finding(inv, "AU-22", OBSERVATION, F.lit("entities"), F.concat(F.col("url"), F.lit(" "), F.col("rtype")),
                           F.col("props"), "Evidence for usefulness review", "Review against the page content"))
     return _union(parts)

@@ -224,7 +224,7 @@ def blocks_from_pages(pages: DataFrame) -> DataFrame:
     return b.select(
         _sha(F.col("page_id"), F.col("ordinal").cast("string")).alias("block_id"),
         "page_id", F.col("ordinal").cast("int").alias("ordinal"), "raw_text",
-        F.when(err.isNull(), F.to_json(F.try_parse_json("raw_text"))).alias("parsed_json"),
+        F.when(err.isNull(), FJ.compact_json("raw_text")).alias("parsed_json"),
         err.alias("parse_error"))
 
 
@@ -235,26 +235,29 @@ def entities_from_blocks(blocks: DataFrame) -> DataFrame:
     is replaced by its members; any other object is one entity; scalars and
     null yield none.  Each round explodes one container level (a narrow
     operation); the loop ends when no container is left.  ``entity_path``
-    records positions, so ordering by it is document order.
+    records positions, so ordering by it is document order.  ``serialized`` is
+    the entity as the source has it, without blanks between tokens: keys in
+    their order, numbers in their spelling.
     """
     items = blocks.filter(F.col("parse_error").isNull()).select(
-        "block_id", "page_id", F.array().cast("array<int>").alias("path"),
-        F.try_parse_json("raw_text").alias("v"))
+        "block_id", "page_id", F.array().cast("array<int>").alias("path"), FJ.carried("raw_text").alias("text"))
     leaves = []
     while True:
+        value = F.try_parse_json(FJ.uncarried("text"))
+        tagged = items.withColumn("v", value)
         kind = FJ.variant_kind("v")
-        graph = F.try_variant_get("v", '$["@graph"]', "variant")
-        graph_container = (kind == "object") & (FJ.variant_kind(graph) == "array")
-        tagged = items.withColumn("_k", F.when(kind == "array", "array")
-                                  .when(graph_container, "graph").when(kind == "object", "entity"))
-        leaves.append(tagged.filter(F.col("_k") == "entity").select("block_id", "page_id", "path", "v"))
+        graph = (kind == "object") & (FJ.variant_kind(F.try_variant_get("v", '$["@graph"]', "variant")) == "array")
+        tagged = tagged.withColumn("_k", F.when(kind == "array", "array").when(graph, "graph").when(kind == "object", "entity"))
+        leaves.append(tagged.filter(F.col("_k") == "entity").select("block_id", "page_id", "path", "text", "v"))
         containers = tagged.filter(F.col("_k").isin("array", "graph"))
-        members = F.when(F.col("_k") == "array", F.try_variant_get("v", "$", "array<variant>")) \
+        # Kinds come from the value (a string may look like an object), texts from the source.
+        values = F.when(F.col("_k") == "array", F.try_variant_get("v", "$", "array<variant>")) \
             .otherwise(F.try_variant_get("v", '$["@graph"]', "array<variant>"))
-        nxt = containers.select("block_id", "page_id", "path", F.posexplode(members).alias("_pos", "v")) \
-            .select("block_id", "page_id", F.concat("path", F.array(F.col("_pos").cast("int"))).alias("path"), "v")
-        nxt = materialize(nxt.select("block_id", "page_id", "path", F.to_json("v").alias("_j"))) \
-            .select("block_id", "page_id", "path", F.try_parse_json("_j").alias("v"))
+        members = F.arrays_zip(F.transform(values, FJ.variant_kind).alias("kind"), FJ.member_texts("text", "_k").alias("text"))
+        nxt = (containers.select("block_id", "page_id", "path", F.posexplode(members).alias("_pos", "m"))
+               .filter(F.col("m.kind").isin("array", "object"))
+               .select("block_id", "page_id", F.concat("path", F.array(F.col("_pos").cast("int"))).alias("path"), F.col("m.text").alias("text")))
+        nxt = materialize(nxt)
         if nxt.isEmpty():
             break
         items = nxt
@@ -265,9 +268,9 @@ def entities_from_blocks(blocks: DataFrame) -> DataFrame:
     return ents.select(
         _sha(F.col("block_id"), path_txt).alias("entity_id"), "block_id", "page_id",
         path_txt.alias("entity_path"),
-        FJ.context_text("v").alias("context"),
+        FJ.context_text("v", "text").alias("context"),
         FJ.types_array("v").alias("types"),
-        F.to_json("v").alias("serialized"))
+        FJ.compact_json(FJ.uncarried("text")).alias("serialized"))
 
 
 class ScanTables(NamedTuple):

@@ -24,13 +24,14 @@ from crawlscope.sources.tables import load
 _ORIGIN = "regexp_extract({t}.url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
 
 # JSON-LD injected before </head>, chosen by page_id % 8 (and % 16 for
-# variants).  Object keys are written in sorted order.
+# variants).  Keys are in no order, numbers in spellings that a parser would
+# rewrite, and some names hold dots and quotes.
 _INJECT = """
 CASE p.page_id % 8
   WHEN 1 THEN CASE WHEN p.page_id % 16 = 1
-    THEN '<script type="application/ld+json">{{"@context":{{"@vocab":"https://schema.org/"}},"@type":"Product","brand":"' || q.p_brand || '","name":"' || q.p_name || '","sku":"' || CAST(p.page_id AS STRING) || '"}}</script>'
-    ELSE '<SCRIPT type=''application/ld+json''>{{"@context":"https://schema.org","@type":"Product","name":"' || q.p_name || '","sku":"' || CAST(p.page_id AS STRING) || '"}}</SCRIPT>' END
-  WHEN 2 THEN '<script type="application/ld+json">[{{"@context":"https://schema.org","@type":"WebPage","name":"' || q.p_name || '"}},{{"@context":"https://schema.org","@graph":[{{"@type":"Product","name":"' || q.p_name || '"}},{{"@type":["Offer",7],"price":"' || CAST(q.p_size AS STRING) || '"}}]}}]</script>'
+    THEN '<script type="application/ld+json">{{"sku":"' || CAST(p.page_id AS STRING) || '","name":"' || q.p_name || '", "@type" : "Product","weight":1.0,"brand":"' || q.p_brand || '","@context":{{"url":"x", "@vocab":"https://schema.org/"}},"offers":[{{"price":"","@type":"Offer"}},7,{{"availability":"InStock","price":1e2}}]}}</script>'
+    ELSE '<SCRIPT type=''application/ld+json''>{{"name":"' || q.p_name || '","gtin":12345678901234567890123,"sku":"' || CAST(p.page_id AS STRING) || '","a.b":1e2,"q' || chr(92) || '"t":[],"@type":"Product","offers":{{"price":' || CAST(q.p_size AS STRING) || '.50}},"image":" ","@context":"https://schema.org"}}</SCRIPT>' END
+  WHEN 2 THEN '<script type="application/ld+json">[{{"name":"' || q.p_name || '","@type":"WebPage","@context":"https://schema.org"}},"plain",{{"@graph":[{{"name":"' || q.p_name || '","@type":"Product"}},{{"price":"' || CAST(q.p_size AS STRING) || '","@type":["Offer",7]}}],"@context":"https://schema.org"}}]</script>'
   WHEN 3 THEN '<script type="application/ld+json">{{"@context":"https://schema.org","@type":"Product","name":"' || q.p_name || '"</script>'
   WHEN 4 THEN '<script type="application/ld+json">{{"@type":"Organization","name":"' || q.p_brand || '"}}</script><script type="application/ld+json">{{"@type":</script>'
   WHEN 5 THEN '<script type="application/json">{{"@type":"Thing"}}</script>'
