@@ -132,7 +132,7 @@ _BLOCK_STRUCT = ["ordinal", "block_id", "raw_text", "parsed_json", "parse_error"
 _ENTITY_STRUCT = ["ordinal", "entity_path", "entity_id", "block_id", "context", "types", "serialized"]
 
 
-def site_documents(pages: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFrame:
+def site_documents(pages: DataFrame, blocks: DataFrame, entities: DataFrame, block_columns: list[str] | None = None) -> DataFrame:
     """ST-12 / ST-13: one nested document row per page.
 
     Blocks and entities are grouped per page (hash aggregate keyed by the
@@ -141,7 +141,7 @@ def site_documents(pages: DataFrame, blocks: DataFrame, entities: DataFrame) ->
     structs (VARIANT is not orderable).
     """
     b = blocks.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct(*_BLOCK_STRUCT))).alias("blocks"))
+        F.array_sort(F.collect_list(F.struct(*(block_columns or _BLOCK_STRUCT)))).alias("blocks"))
     e = (entities.join(blocks.select("block_id", "ordinal"), "block_id")
          .groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*_ENTITY_STRUCT))).alias("entities")))
     doc = pages.join(b, "page_id", "left").join(e, "page_id", "left")

@@ -259,6 +259,28 @@ def au_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return findings.groupBy("check_id", "severity", "category").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def _export_input(spark: SparkSession, sf: str) -> tuple[DataFrame, X.ScanTables]:
+    """Scans with state, times and counters, and their tables, for exports."""
+    t = _scan_tables(spark, sf)
+    scans = C.scans(spark, sf)
+    pages = t.pages.join(scans.select("scan_id", "created_ms"), "scan_id").withColumn("created_ms", F.col("created_ms") + F.col("seq"))
+    counters = P.scan_counters(t.pages).withColumns({"discovered": F.col("completed"), "queued": F.col("completed")})
+    state = P.scan_status(C.control_events(spark, sf))
+    scans = (scans.join(state, "scan_id").join(counters, "scan_id", "left")
+             .withColumn("updated_ms", F.col("created_ms") + F.col("last_seq") * 1000))
+    return materialize(scans), X.ScanTables(materialize(pages), materialize(t.blocks), materialize(t.entities))
+
+
+def snk_export_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-1..3, SNK-8, SNK-9, EX-8, AG-5: every exportable scan in all formats,
+    written in parts, put together again and hashed, under its file name."""
+    from crawlscope.operators import artifact as AR
+    from crawlscope.streaming.pipeline import scratch
+    folder = scratch(spark, "exports")
+    manifest, _ = AR.export_scans(*_export_input(spark, sf), folder)
+    return AR.artifact_digests(manifest, folder)
+
+
 def _streamed_pages(spark: SparkSession, sf: str) -> DataFrame:
     from crawlscope.streaming import pipeline as SP
     reqs = C.page_requests(spark, sf)
@@ -371,6 +393,7 @@ QUERIES = {
     "ag_scan_summary": ag_scan_summary,
     "au_observations": au_observations,
     "au_export_roundtrip": au_export_roundtrip,
+    "snk_export_artifacts": snk_export_artifacts,
     "st_persist_roundtrip": st_persist_roundtrip,
     "st_cascade_delete": st_cascade_delete,
     "str_incremental_pages": str_incremental_pages,
