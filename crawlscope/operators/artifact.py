@@ -126,13 +126,15 @@ def json_element(docs: DataFrame) -> Column:
 
 
 def json_head(scans: DataFrame) -> Column:
-    """The JSON export up to the first page: all fields of the scan."""
+    """The JSON export up to the first page: all fields of the scan.  ``scans``
+    has n_pages, null for a scan without pages."""
     settings = _object([(name, _plain(F.col(column))) for column, name in SETTINGS_FIELDS], 4)
     scan = _object([("id", quoted(F.col("scan_id"))), ("targetUrl", quoted(F.col("target_url"))), ("sitemapUrl", quoted(F.col("sitemap_url"))),
                     ("settings", settings), ("status", quoted(F.col("status"))), ("createdAt", quoted(iso_time("created_ms"))),
                     ("updatedAt", quoted(iso_time("updated_ms")))]
                    + [(c, _plain(F.coalesce(F.col(c), F.lit(0)))) for c in COUNTER_FIELDS] + [("error", quoted(F.col("error")))], 2)
-    return F.concat(F.lit('{\n  "formatVersion": 1,\n  "scan": '), scan, F.lit(',\n  "pages": ['))
+    return F.concat(F.lit('{\n  "formatVersion": 1,\n  "scan": '), scan, F.lit(',\n  "pages": ['),
+                    F.when(F.col("n_pages").isNull(), F.lit("")).otherwise(F.lit("\n")))
 
 
 def documents(t: ScanTables) -> DataFrame:
@@ -145,14 +147,15 @@ def documents(t: ScanTables) -> DataFrame:
 
 def export_rows(scans: DataFrame, t: ScanTables, formats=FORMATS) -> DataFrame:
     """The rows of every artifact: scan_id, format, their place (rank, url,
-    ordinal, path) and their text, line ends included.
+    ordinal, path) and their text, line ends included: a row starts where a line
+    starts.
 
     scans: scan_id, target_url, sitemap_url, settings, status, created_ms,
     updated_ms, counters, error; only those in a terminal state are exported
     (SNK-8).  Pages with created_ms."""
     gate, _ = EX.export_gate(scans)
     pages = t.pages.join(gate.select("scan_id"), "scan_id", "left_semi")
-    counts = pages.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_pages"), F.min(F.struct("url", "page_id")).alias("first"))
+    counts = pages.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_pages"), F.max(F.struct("url", "page_id")).alias("last"))
     heads = gate.join(counts, "scan_id", "left")
     none = F.col("n_pages").isNull()
     parts = []
@@ -163,11 +166,11 @@ def export_rows(scans: DataFrame, t: ScanTables, formats=FORMATS) -> DataFrame:
                          lit(ordinal, "int").alias("ordinal"), lit(path, "string").alias("path"), text.alias("text"))
     if "json" in formats:
         docs = documents(ScanTables(pages, t.blocks, t.entities)).join(
-            counts.select("scan_id", F.col("first.page_id").alias("first_page")), "scan_id")
-        lead = F.when(F.col("page_id") == F.col("first_page"), F.lit("\n")).otherwise(F.lit(",\n"))
+            counts.select("scan_id", F.col("last.page_id").alias("last_page")), "scan_id")
+        tail = F.when(F.col("page_id") == F.col("last_page"), F.lit("\n")).otherwise(F.lit(",\n"))
         parts += [row(heads, "json", HEADER, json_head(heads)),
-                  row(docs, "json", BODY, F.concat(lead, json_element(docs)), "url", None, "page_id"),
-                  row(heads, "json", FOOTER, F.when(none, F.lit("]\n}")).otherwise(F.lit("\n  ]\n}")))]
+                  row(docs, "json", BODY, F.concat(json_element(docs), tail), "url", None, "page_id"),
+                  row(heads, "json", FOOTER, F.when(none, F.lit("]\n}")).otherwise(F.lit("  ]\n}")))]
     if "csv" in formats:
         lines = EX.csv_rows(pages, t.blocks, t.entities).join(pages.select("page_id", "scan_id"), "page_id")
         parts += [row(heads, "csv", HEADER, F.lit(EX.CSV_HEADER + "\n")),

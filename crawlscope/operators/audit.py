@@ -1,20 +1,24 @@
 """Rule-based audit of JSON / CSV / Markdown exports (AU-1..AU-22, SRC-4).
 
-Every check is a DataFrame job producing finding rows
-``(check_id, severity, category, artifact, location, evidence, impact,
-recommendation)``.  Artifacts are read back with Spark's own readers (JSON
-lines, multi-line CSV with a corrupt-record column, whole-text Markdown), so
-each artifact file is a parallel unit and no artifact passes through the
-driver.
+Artifacts are read in byte ranges (``ranges``), so none is ever whole in a task
+or on the driver.  Checks are DataFrame jobs over their records and produce
+finding rows ``(check_id, severity, category, artifact, location, evidence,
+impact, recommendation)``; an artifact is named ``format:scan``.  What a damaged
+or missing artifact leaves unknown is a coverage row, never a finding.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlscope.functions.jsonld import variant_kind
+from crawlscope.functions.jsonld import strict_json_valid, variant_kind
+from crawlscope.operators import ranges as RG
+from crawlscope.operators.artifact import COUNTER_FIELDS, FORMATS, SETTINGS_FIELDS
+from crawlscope.session import materialize
 
 # Fixed vocabulary.
 DEFECT = "export/data defect"
@@ -31,7 +35,7 @@ NESTED_TYPES = [("Product", "offers", "Offer")]
 # Default severity per check (our mapping onto the five levels).
 CHECK_SEVERITY = {
     "AU-1": "critical", "AU-17": "critical", "AU-3": "high", "AU-4": "high", "AU-5": "high", "AU-9": "high",
-    "AU-16": "high", "AU-2": "medium", "AU-6": "medium", "AU-7": "medium", "AU-8": "medium", "AU-10": "medium",
+    "AU-16": "high", "AU-2": "medium", "AU-6": "medium", "AU-7": "medium", "AU-8": "medium", "AU-10": "medium", "AU-11": "medium",
     "AU-12": "medium", "AU-13": "low", "AU-14": "low", "AU-15": "low", "AU-19": "info", "AU-21": "info",
     "AU-22": "info",
 }
@@ -56,188 +60,335 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-# ------------------------------------------------------------------ readers (SRC-4)
-
-def read_json_pages(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON-lines export: one page document per line; malformed lines are kept
-    in ``_corrupt_record`` (AU-17) instead of being dropped."""
-    s = T.StructType(list(schema.fields))
-    if "_corrupt_record" not in s.fieldNames():
-        s = s.add("_corrupt_record", T.StringType())
-    return (spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-            .json(path).withColumn("artifact", F.input_file_name()))
+# ------------------------------------------------------------------ artifacts (SRC-4)
+
+_SETTINGS = "struct<" + ",".join(f"{name}:string" for _, name in SETTINGS_FIELDS) + ">"
+_HEAD = ("formatVersion string, scan struct<id:string,targetUrl:string,sitemapUrl:string,settings:" + _SETTINGS
+         + ",status:string,createdAt:string,updatedAt:string," + ",".join(f"{c}:long" for c in COUNTER_FIELDS) + ",error:string>")
+_ELEMENT = ("page struct<id:string,scanId:string,url:string,normalizedUrl:string,sitemapSource:string,status:string,httpStatus:int,"
+            "contentType:string,durationMs:int,error:string,createdAt:string>, "
+            "blocks array<struct<id:string,pageId:string,ordinal:int,rawText:string,parsed:string,parseError:string>>, "
+            "entities array<struct<id:string,blockId:string,context:string,types:array<string>,serialized:string>>")
+# Fields that every export has (fixed names); the others may be null.
+_SCAN_FIELDS = ["id", "targetUrl", "settings", "status", "createdAt", "updatedAt", *COUNTER_FIELDS]
+_PAGE_FIELDS = ["id", "scanId", "url", "normalizedUrl", "status", "createdAt"]
+
+
+class Artifacts(NamedTuple):
+    """What was read: artifacts (a row each), their damaged places (scan_id,
+    format, location, reason), and per format the records in sound places."""
+
+    files: DataFrame
+    damage: DataFrame
+    heads: DataFrame      # scan_id, formatVersion, scan
+    pages: DataFrame      # scan_id, page, blocks, entities
+    rows: DataFrame       # scan_id, record, the six CSV cells
+    csv_heads: DataFrame  # scan_id, text
+    md_heads: DataFrame   # scan_id, target, status, declared
+    sections: DataFrame   # scan_id, url, declared, blocks (ordinal, status)
+
+
+def _of(df: DataFrame, fmt: str) -> DataFrame:
+    return df.filter(F.col("format") == fmt)
+
+
+def read_artifacts(ranges: DataFrame) -> Artifacts:
+    """Artifacts from ``ranges.part_ranges`` or ``ranges.file_ranges``."""
+    starts = materialize(RG.true_starts(ranges))
+    files, recs = materialize(RG.artifacts(starts)), materialize(RG.records(starts))
+    damage = []
+
+    def damaged(df, fmt, location, reason):
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        damage.append(df.select("scan_id", F.lit(fmt).alias("format"), lit(location).alias("location"), lit(reason).alias("reason")))
+    numbered = F.concat(F.lit("record "), F.col("record").cast("string"))
+    long_ones = recs.filter("text is null")
+    for fmt in FORMATS:
+        damaged(_of(long_ones, fmt), fmt, numbered, F.concat(F.lit("longer than a record may be: "), F.col("bytes").cast("string"), F.lit(" bytes")))
+    recs = recs.filter("text is not null")
+
+    # JSON: the head is the text before the first page; the foot closes the last.
+    json = _of(recs, "json").withColumn("text", F.regexp_replace("text", "\\s+\\z", ""))
+    last = json.groupBy("scan_id").agg(F.max_by("text", "record").alias("text"))
+    damaged(last.filter(~F.col("text").rlike("(\\n  \\]|\\[\\])\\n\\}\\z")), "json", "end of file", "the document is not closed")
+    head = json.filter("record = 0")
+    body = F.when(F.col("text").endswith("["), F.concat("text", F.lit("]}"))).otherwise(F.col("text"))
+    head = head.withColumn("h", F.from_json(body, _HEAD + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    sound = F.col("h._bad").isNull() & F.col("h").isNotNull()
+    damaged(head.filter(~sound), "json", "head", "not JSON")
+    heads = head.filter(sound).select("scan_id", "h.formatVersion", "h.scan")
+    page = json.filter("record > 0").withColumn("text", F.regexp_replace("text", "(?:,|\\n  \\](?:\\n\\})?)\\z", ""))
+    page = page.withColumn("p", F.from_json("text", _ELEMENT + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    sound = F.col("text").endswith("\n    }") & F.col("p._bad").isNull() & F.col("p.page").isNotNull()
+    damaged(page.filter(~sound), "json", numbered, F.when(F.col("text").endswith("\n    }"), F.lit("not JSON")).otherwise(F.lit("the page is not closed")))
+    pages = page.filter(sound).select("scan_id", "p.page", F.coalesce("p.blocks", F.array().cast("array<" + _block_type() + ">")).alias("blocks"),
+                                      F.coalesce("p.entities", F.array().cast("array<" + _entity_type() + ">")).alias("entities"))
+
+    # CSV: the first record is the header.
+    csv = _of(recs, "csv")
+    damaged(_of(files, "csv").filter("state = 1"), "csv", "end of file", "a quote is never closed")
+    cells = ", ".join(f"{c} string" for c in CSV_HEADER)
+    parsed = F.from_csv("text", F.lit(cells + ", _bad string"), {
+        "columnNameOfCorruptRecord": "_bad", "escape": '"', "quote": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1", "lineSep": "\u0001", "emptyValue": "", "nullValue": ""})
+    rows = csv.filter("record > 1").withColumn("c", parsed)
+    rows = rows.select("scan_id", "record", "text", *[F.coalesce(f"c.{c}", F.lit("")).alias(c) for c in CSV_HEADER], F.col("c._bad").alias("_bad"))
+
+    # Markdown.
+    md = _of(recs, "markdown")
+    damaged(_of(files, "markdown").filter("state > 0"), "markdown", "end of file", "a code fence is never closed")
+    md_heads = md.filter("record = 0").select(
+        "scan_id", "text", *[F.nullif(F.regexp_extract("text", f"(?m)^{w}: (.*)$", 1), F.lit("")).alias(c)
+                             for w, c in (("Target", "target"), ("Status", "status"), ("Pages", "declared"))])
+    outside = F.col("outside")
+    found = F.regexp_extract_all(outside, F.lit("(?m)^### JSON-LD block [0-9]+\\n\\n(?:Valid JSON-LD|Parse error: )"), 0)
+    blocks = F.transform(found, lambda m: F.struct(F.regexp_extract(m, "block ([0-9]+)", 1).cast("int").alias("ordinal"),
+                                                   F.when(m.endswith("Valid JSON-LD"), F.lit("valid")).otherwise(F.lit("invalid")).alias("status")))
+    sections = md.filter("record > 0").withColumn("outside", outside_fences(F.col("text"))).select(
+        "scan_id", F.replace(F.regexp_extract("text", "\\A## (.*)", 1), F.lit("\\|"), F.lit("|")).alias("url"),
+        F.regexp_extract(outside, "(?m)^- JSON-LD blocks: ([0-9]+)$", 1).alias("declared"), blocks.alias("blocks"))
+    return Artifacts(files, materialize(_union(damage)), materialize(heads), materialize(pages), materialize(rows),
+                     csv.filter("record = 1").select("scan_id", "text"), materialize(md_heads), materialize(sections))
+
+
+def _block_type() -> str:
+    return "struct<id:string,pageId:string,ordinal:int,rawText:string,parsed:string,parseError:string>"
+
+
+def _entity_type() -> str:
+    return "struct<id:string,blockId:string,context:string,types:array<string>,serialized:string>"
+
+
+def outside_fences(text: Column) -> Column:
+    """A Markdown text without its fenced code: a fence ends at the line that
+    repeats its run of backticks, whatever stands between."""
+    return F.regexp_replace(text, "(?ms)^(`{3,})(?!`)[^\\n]*\\n(?:.*?\\n)??\\1[ \\t]*$", "")
 
 
-def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV export with quoted newlines; cells keep their blanks.  The header
-    line is skipped positionally (its exact text is checked from the whole
-    file by ``csv_checks``), so a wrong header is a finding, not a read error."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in CSV_HEADER]
-                          + [T.StructField("_corrupt_record", T.StringType())])
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("enforceSchema", True).csv(path).withColumn("artifact", F.input_file_name()))
+def _named(fmt: str) -> Column:
+    return F.concat(F.lit(f"{fmt}:"), F.col("scan_id"))
 
 
-def read_text_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole-file text per artifact (for header and fence checks)."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("artifact"), "value")
+def damage_findings(a: Artifacts) -> DataFrame:
+    """AU-17: every damaged place of every artifact."""
+    return _finding(a.damage, "AU-17", DEFECT, F.concat_ws(":", "format", "scan_id"), F.col("location"), F.col("reason"),
+                    "What stands in the damaged place cannot be checked", "Export the artifact again; do not infer absence from it")
 
 
 # ------------------------------------------------------------------ JSON checks
 
-def json_checks(docs: DataFrame, progress: DataFrame | None = None) -> DataFrame:
-    """AU-1..AU-9 and AU-17 over JSON page documents.
-
-    docs: artifact, formatVersion, scan (struct with id), page (struct),
-    blocks (array<struct>), entities (array<struct>), _corrupt_record.
-    """
-    parts = []
-    bad = docs.filter(F.col("_corrupt_record").isNotNull())
-    # (a data column is referenced too: Spark rejects reads of the corrupt column alone)
-    parts.append(_finding(bad, "AU-17", DEFECT, F.col("artifact"), F.coalesce(F.col("page.url"), F.lit("line")),
-                          F.col("_corrupt_record"), "Rows in a malformed region cannot be checked",
-                          "Re-export the artifact; do not infer absence from omitted rows"))
-    good = docs.filter(F.col("_corrupt_record").isNull())
-    missing = F.col("formatVersion").isNull() | (F.col("formatVersion") != 1) | F.col("scan.id").isNull()
-    for field in ("url", "status", "page_id"):
-        if field in good.schema["page"].dataType.names:
-            missing = missing | F.col(f"page.{field}").isNull()
-    parts.append(_finding(good.filter(missing), "AU-1", DEFECT, F.col("artifact"), F.coalesce("page.url", F.lit("?")),
-                          F.concat(F.lit("formatVersion="), F.coalesce(F.col("formatVersion").cast("string"),
-                                                                       F.lit("missing"))),
-                          "Consumers cannot trust the document shape", "Export with formatVersion 1 and all fields"))
-    # by scan, so that repeats in different part files are found
-    dup = good.groupBy(F.col("scan.id").alias("scan"), F.col("page.url").alias("url")).count().filter("count > 1")
-    parts.append(_finding(dup, "AU-2", DEFECT, F.col("scan"), F.col("url"),
-                          F.concat(F.lit("page URL appears "), F.col("count").cast("string"), F.lit(" times")),
+def _missing(struct: str, fields: list[str]) -> Column:
+    return F.filter(F.array(*[F.when(F.col(f"{struct}.{f}").isNull(), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+
+
+def json_checks(a: Artifacts) -> DataFrame:
+    """AU-1..AU-9 over the JSON exports' heads and pages."""
+    parts, me = [], _named("json")
+    version = F.coalesce("formatVersion", F.lit("missing"))
+    parts.append(_finding(a.heads.filter(version != "1"), "AU-1", DEFECT, me, "formatVersion", version,
+                          "Consumers cannot trust the document shape", "Export with formatVersion 1"))
+    lacking = _missing("scan", _SCAN_FIELDS)
+    parts.append(_finding(a.heads.filter(F.size(lacking) > 0), "AU-1", DEFECT, me, "scan", F.array_join(lacking, ","),
+                          "Consumers cannot trust the document shape", "Export all fields of the scan"))
+    url = F.col("page.url")
+    lacking = _missing("page", _PAGE_FIELDS)
+    parts.append(_finding(a.pages.filter(F.size(lacking) > 0), "AU-1", DEFECT, me, F.coalesce(url, F.lit("?")), F.array_join(lacking, ","),
+                          "Consumers cannot trust the document shape", "Export all fields of the page"))
+    repeated = a.pages.groupBy("scan_id", url.alias("url")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts.append(_finding(repeated, "AU-2", DEFECT, me, F.col("url"), F.concat(F.lit("page URL appears "), F.col("n").cast("string"), F.lit(" times")),
                           "Page counts are inflated", "De-duplicate pages on normalized URL"))
-    parts.append(_finding(good.filter(F.col("page.scan_id") != F.col("scan.id")), "AU-3", DEFECT,
-                          F.col("artifact"), F.col("page.url"), F.concat(F.lit("page scan "), F.col("page.scan_id")),
-                          "Page attributed to the wrong scan", "Rebuild the export from one scan"))
-    blocks = good.select("artifact", F.col("page.url").alias("url"), F.col("page.page_id").alias("pid"),
-                         F.explode("blocks").alias("b"))
-    parts.append(_finding(blocks.filter(F.col("b.page_id") != F.col("pid")), "AU-4", DEFECT, F.col("artifact"),
-                          F.col("url"), F.concat(F.lit("block of page "), F.col("b.page_id")),
-                          "Block shown under a page it does not belong to", "Nest blocks by page id"))
-    ents = good.select("artifact", F.col("page.url").alias("url"), F.col("page.page_id").alias("pid"),
-                       F.transform("blocks", lambda b: b["block_id"]).alias("bids"), F.explode("entities").alias("e"))
-    parts.append(_finding(ents.filter(~F.array_contains("bids", F.col("e.block_id"))), "AU-5", DEFECT,
-                          F.col("artifact"), F.col("url"), F.concat(F.lit("orphan entity of block "), F.col("e.block_id")),
-                          "Entity cannot be traced to its JSON-LD block", "Export entities with their blocks"))
-    w = Window.partitionBy("artifact", "url").orderBy("ord")
-    ords = blocks.select("artifact", "url", F.col("b.ordinal").alias("ord")).withColumn("prev", F.lag("ord").over(w))
-    gap = ords.filter((F.col("prev").isNull() & (F.col("ord") != 0)) | (F.col("ord") - F.col("prev") > 1))
-    dupo = ords.filter(F.col("ord") == F.col("prev"))
-    parts.append(_finding(gap, "AU-6", DEFECT, F.col("artifact"), F.col("url"),
-                          F.concat(F.lit("ordinal gap before "), F.col("ord").cast("string")),
-                          "Blocks are missing from the export", "Export every block"))
-    parts.append(_finding(dupo, "AU-6", DEFECT, F.col("artifact"), F.col("url"),
-                          F.concat(F.lit("duplicate ordinal "), F.col("ord").cast("string")),
-                          "Blocks are duplicated", "Keep one block per ordinal"))
-    parts.append(_finding(blocks.filter(F.col("b.parse_error").isNotNull() & F.col("b.parsed_json").isNotNull()),
-                          "AU-7", DEFECT, F.col("artifact"), F.col("url"),
-                          F.concat(F.lit("block "), F.col("b.ordinal").cast("string"), F.lit(" has parseError and parsed")),
-                          "Invalid block presented as parsed", "Null parsed when parseError is set"))
-    from crawlscope.functions.jsonld import strict_json_valid
-    parts.append(_finding(ents.filter(~F.coalesce(strict_json_valid(F.col("e.serialized")), F.lit(False))), "AU-8",
-                          DEFECT, F.col("artifact"), F.col("url"), F.col("e.serialized"),
-                          "Entity text is not JSON", "Serialize entities with a JSON encoder"))
-    if progress is not None:
-        counted = good.groupBy(F.col("scan.id").alias("scan_id")).agg(
-            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("page.status") == "success").alias("ok"),
-            F.count_if(F.col("page.status") == "no_jsonld").alias("none"))
-        j = progress.join(counted, "scan_id", "left")
-        bad_counts = ((F.col("successful") + F.col("failed") + F.coalesce("none", F.lit(0)) != F.col("completed"))
-                      | (F.col("completed") != F.coalesce("rows", F.lit(0))) | (F.col("completed") > F.col("discovered"))
-                      | ((F.col("status") == "completed") & (F.col("completed") != F.col("discovered"))))
-        parts.append(_finding(j.filter(bad_counts), "AU-9", DEFECT, F.lit("progress"), F.col("scan_id"),
-                              F.concat_ws(" ", F.lit("completed"), F.col("completed").cast("string"), F.lit("rows"),
-                                          F.coalesce("rows", F.lit(0)).cast("string")),
-                              "Progress counters disagree with exported pages", "Recompute counters from pages"))
+    owned = a.pages.join(a.heads.select("scan_id", F.col("scan.id").alias("own")), "scan_id")
+    parts.append(_finding(owned.filter(F.col("page.scanId") != F.col("own")), "AU-3", DEFECT, me, url,
+                          F.concat(F.lit("page scan "), F.col("page.scanId")), "Page attributed to the wrong scan", "Rebuild the export from one scan"))
+    block = a.pages.select("scan_id", url.alias("url"), F.col("page.id").alias("pid"), F.explode("blocks").alias("b"))
+    place = F.concat_ws("#", "url", F.col("b.ordinal").cast("string"))
+    parts.append(_finding(block.filter(F.col("b.pageId") != F.col("pid")), "AU-4", DEFECT, me, place,
+                          F.concat(F.lit("block of page "), F.col("b.pageId")), "Block shown under a page it does not belong to", "Nest blocks by page id"))
+    held = F.transform("blocks", lambda b: b["id"])
+    entity = a.pages.select("scan_id", url.alias("url"), held.alias("held"), F.posexplode("entities").alias("k", "e"))
+    place_e = F.concat_ws(" entity ", "url", F.col("k").cast("string"))
+    parts.append(_finding(entity.filter(~F.array_contains("held", F.col("e.blockId"))), "AU-5", DEFECT, me, place_e,
+                          F.concat(F.lit("no block "), F.col("e.blockId")), "Entity cannot be traced to its JSON-LD block", "Export entities with their blocks"))
+    # Ordinals of one page, compared with their neighbours in order.
+    ordinals = F.array_sort(F.transform("blocks", lambda b: b["ordinal"]))
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col("o")).alias("before"), F.concat(F.col("o"), F.array(F.lit(None).cast("int"))).alias("own"))
+    neighbours = a.pages.select("scan_id", url.alias("url"), ordinals.alias("o")).select("scan_id", "url", F.explode(pairs).alias("p")).select("scan_id", "url", "p.*")
+    own = F.col("own").cast("string")
+    parts.append(_finding(neighbours.filter(F.col("own") - F.col("before") > 1), "AU-6", DEFECT, me, F.col("url"),
+                          F.concat(F.lit("ordinal gap before "), own), "Blocks are missing from the export", "Export every block"))
+    parts.append(_finding(neighbours.filter(F.col("own") == F.col("before")), "AU-6", DEFECT, me, F.col("url"),
+                          F.concat(F.lit("duplicate ordinal "), own), "Blocks are duplicated", "Keep one block per ordinal"))
+    parts.append(_finding(block.filter(F.col("b.parseError").isNotNull() & F.col("b.parsed").isNotNull()), "AU-7", DEFECT, me, place,
+                          F.lit("parseError and parsed are both set"), "Invalid block presented as parsed", "Null parsed when parseError is set"))
+    parts.append(_finding(entity.filter(~F.coalesce(strict_json_valid(F.col("e.serialized")), F.lit(False))), "AU-8", DEFECT, me, place_e,
+                          F.col("e.serialized"), "Entity text is not JSON", "Serialize entities with a JSON encoder"))
+    parts.append(progress_findings(a))
     return _union(parts)
 
 
+def progress_findings(a: Artifacts) -> DataFrame:
+    """AU-9: the scan's counters against its exported pages, for artifacts in
+    which every page could be read."""
+    sound = a.heads.join(_of(a.damage, "json").select("scan_id").distinct(), "scan_id", "left_anti").select(
+        "scan_id", "scan.status", *[f"scan.{c}" for c in COUNTER_FIELDS])
+    seen = a.pages.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("page.status") == "success").alias("good"),
+                                          F.count_if(F.col("page.status") == "no_jsonld").alias("none"))
+    j = sound.join(seen, "scan_id", "left").na.fill(0, ["n", "good", "none"])
+    bad = ((F.col("completed") != F.col("n")) | (F.col("successful") != F.col("good"))
+           | (F.col("successful") + F.col("failed") + F.col("none") != F.col("completed")) | (F.col("completed") > F.col("discovered"))
+           | ((F.col("status") == "completed") & (F.col("completed") != F.col("discovered"))))
+    text = F.format_string("discovered %d, completed %d, successful %d, failed %d; pages %d, successful %d, without JSON-LD %d",
+                           "discovered", "completed", "successful", "failed", "n", "good", "none")
+    return _finding(j.filter(bad), "AU-9", DEFECT, _named("json"), "scan", text, "Progress counters disagree with exported pages",
+                    "Recompute counters from pages")
+
+
 # ------------------------------------------------------------------ CSV / Markdown checks
 
-def csv_checks(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """AU-10, AU-11: exact header, 6 cells per row, quoting, trailing newline,
-    parse_status in {valid, invalid, ''}.  Placeholder rows, multi-entity
-    rows and raw-block rows are legitimate shapes, not defects."""
-    parts = []
-    first_line = F.substring_index("value", "\n", 1)
-    parts.append(_finding(texts.filter(first_line != ",".join(CSV_HEADER)), "AU-10", DEFECT, F.col("artifact"),
-                          F.lit("header"), first_line, "Columns are misread",
-                          "Write the fixed six-column header"))
-    parts.append(_finding(texts.filter(~F.col("value").endswith("\n")), "AU-10", DEFECT, F.col("artifact"),
-                          F.lit("end of file"), F.lit("missing trailing newline"), "Last row may be truncated",
-                          "Terminate the file with a newline"))
-    parts.append(_finding(rows.filter(F.col("_corrupt_record").isNotNull()), "AU-10", DEFECT, F.col("artifact"),
-                          F.coalesce("page_url", F.lit("?")), F.col("_corrupt_record"),
-                          "Row width is not 6 (unquoted comma, quote or newline)", "Quote cells per RFC 4180"))
-    st = F.coalesce("parse_status", F.lit(""))
-    parts.append(_finding(rows.filter(F.col("_corrupt_record").isNull() & ~st.isin(*CSV_STATUSES)), "AU-10", DEFECT,
-                          F.col("artifact"), F.col("page_url"), F.concat(F.lit("parse_status="), st),
-                          "Unknown parse status", "Use valid, invalid or empty"))
+def csv_checks(a: Artifacts) -> DataFrame:
+    """AU-10, AU-11: exact header, six cells per row, closed quotes, line end at
+    the end of the file, known statuses.  A placeholder, several rows of one
+    block and a raw block's row are legitimate shapes."""
+    me = _named("csv")
+    header = ",".join(CSV_HEADER)
+    numbered = F.concat(F.lit("row "), (F.col("record") - 1).cast("string"))
+    sound = a.rows.filter("_bad is null")
+    # (another column is read too: Spark refuses queries of the corrupt record alone)
+    parts = [
+        _finding(a.csv_heads.filter(F.col("text") != header), "AU-10", DEFECT, me, "header", F.col("text"), "Columns are misread",
+                 "Write the fixed six-column header"),
+        _finding(_of(a.files, "csv").filter(~F.col("ended")), "AU-10", DEFECT, me, "end of file", "missing trailing newline",
+                 "Last row may be truncated", "Terminate the file with a newline"),
+        _finding(a.rows.filter("_bad is not null"), "AU-10", DEFECT, me, numbered, F.col("text"),
+                 "Row width is not 6 (unquoted comma, quote or newline)", "Quote cells per RFC 4180"),
+        _finding(sound.filter(~F.col("parse_status").isin(*CSV_STATUSES)), "AU-10", DEFECT, me, numbered,
+                 F.concat(F.lit("parse_status="), F.col("parse_status")), "Unknown parse status", "Use valid, invalid or empty"),
+        _finding(sound.filter(F.col("parse_status").isin(*CSV_STATUSES) & ((F.col("block_index") == "") != (F.col("parse_status") == ""))),
+                 "AU-11", DEFECT, me, numbered, F.col("text"), "Row is neither a placeholder nor a block's", "Write one of the row shapes"),
+    ]
     return _union(parts)
 
 
-def outside_fences(texts: DataFrame) -> DataFrame:
-    """Markdown texts without their fenced code: a fence ends at the line that
-    repeats its run of backticks, whatever stands between."""
-    fenced = "(?ms)^(`{3,})(?!`)[^\\n]*\\n(?:.*?\\n)??\\1[ \\t]*$"
-    return texts.withColumn("value", F.regexp_replace("value", fenced, ""))
-
-
-def markdown_checks(texts: DataFrame, headers: DataFrame | None = None) -> DataFrame:
-    """AU-12: fence integrity per file (every opening fence closed by the same
-    run) and, with ``headers``, declared page count per scan vs sections found
-    across the scan's files."""
-    outside = outside_fences(texts)
-    left = outside.select("artifact", F.posexplode(F.regexp_extract_all("value", F.lit("(?m)^(`{3,}.*)$"), 1)).alias("k", "fence"))
-    parts = [_finding(left, "AU-12", DEFECT,
-                      F.col("artifact"), F.concat(F.lit("fence "), F.col("fence")),
-                      F.lit("unclosed or mismatched code fence"), "Later sections render as code",
-                      "Close each fence with the same backtick run")]
-    if headers is not None:
-        scan_of = F.regexp_extract("artifact", "scan_id=([^/]*)/", 1)
-        declared = headers.select(scan_of.alias("scan"),
-                                  F.regexp_extract("value", "(?m)^Pages: ([0-9]+)$", 1).cast("int").alias("d"))
-        found = outside.select(scan_of.alias("scan"), F.size(F.regexp_extract_all("value", F.lit("(?m)^## "), 0))
-                             .alias("n")).groupBy("scan").agg(F.sum("n").alias("n"))
-        cmp = declared.join(found, "scan", "full_outer")
-        parts.append(_finding(cmp.filter(F.coalesce("d", F.lit(-1)) != F.coalesce("n", F.lit(0))), "AU-12", DEFECT,
-                              F.col("scan"), F.lit("Pages"),
-                              F.concat(F.lit("declared "), F.coalesce(F.col("d").cast("string"), F.lit("none")),
-                                       F.lit(", sections "), F.coalesce("n", F.lit(0)).cast("string")),
-                              "Pages are missing from the report", "Render one section per page"))
+def markdown_checks(a: Artifacts) -> DataFrame:
+    """AU-12: fences closed, blocks declared and shown per page, pages declared
+    and shown per scan (where every section could be read)."""
+    me = _named("markdown")
+    open_ = _of(a.files, "markdown").filter("state > 0")
+    n = F.size("blocks").cast("string")
+    parts = [
+        _finding(open_, "AU-12", DEFECT, me, "end of file", F.concat(F.lit("unclosed code fence of "), F.col("state").cast("string"), F.lit(" backticks")),
+                 "Later sections render as code", "Close each fence with the same backtick run"),
+        _finding(a.sections.filter((F.col("declared") != "") & (F.col("declared") != n)), "AU-12", DEFECT, me, F.col("url"),
+                 F.concat(F.lit("declared blocks "), F.col("declared"), F.lit(", shown "), n), "Blocks are missing from the report",
+                 "Render one section per block"),
+        _finding(_of(a.files, "markdown").filter(~F.col("ended")), "AU-12", DEFECT, me, "end of file", "missing trailing newline",
+                 "The report may be truncated", "Terminate the file with a newline"),
+    ]
+    shown = a.sections.groupBy("scan_id").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    counted = (a.md_heads.join(_of(a.damage, "markdown").select("scan_id").distinct(), "scan_id", "left_anti")
+               .join(shown, "scan_id", "left").withColumn("n", F.coalesce("n", F.lit("0"))))
+    parts.append(_finding(counted.filter(F.coalesce("declared", F.lit("none")) != F.col("n")), "AU-12", DEFECT, me, "Pages",
+                          F.concat(F.lit("declared "), F.coalesce("declared", F.lit("none")), F.lit(", sections "), F.col("n")),
+                          "Pages are missing from the report", "Render one section per page"))
     return _union(parts)
 
 
-def cross_format(json_keys: DataFrame, csv_keys: DataFrame, md_keys: DataFrame) -> DataFrame:
-    """AU-16: compare page URL sets and (url, ordinal, parse status) triples
-    across formats; only fields all formats carry are compared.
-    Inputs: (url, ordinal, parse_status) rows per format (ordinal NULL for a
-    page without blocks)."""
+# ------------------------------------------------------------------ comparison of formats
+
+def block_rows(a: Artifacts) -> DataFrame:
+    """What all formats say of a block: scan_id, format, url, ordinal, status,
+    types (sorted; null in Markdown, which has none).  A page without blocks is
+    a row with null ordinal."""
+    def entity_types(b):
+        found = F.transform(F.filter("entities", lambda e: e["blockId"] == b["id"]), lambda e: F.array_join(e["types"], "|"))
+        return F.array_join(F.array_sort(F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)), ",")
+    status = lambda b: F.when(b["parseError"].isNull(), F.lit("valid")).otherwise(F.lit("invalid"))
+    j = a.pages.select("scan_id", F.col("page.url").alias("url"), F.explode_outer(F.transform("blocks", lambda b: F.struct(
+        b["ordinal"].alias("ordinal"), status(b).alias("status"), entity_types(b).alias("types")))).alias("b"))
+    j = j.select("scan_id", F.lit("json").alias("format"), "url", "b.*")
+    c = (a.rows.filter("_bad is null").groupBy("scan_id", F.col("page_url").alias("url"), F.col("block_index").try_cast("int").alias("ordinal"))
+         .agg(F.max(F.nullif("parse_status", F.lit(""))).alias("status"), F.array_join(F.array_sort(F.collect_list("type")), ",").alias("types")))
+    c = c.select("scan_id", F.lit("csv").alias("format"), "url", "ordinal", "status", F.when(F.col("ordinal").isNotNull(), F.col("types")).alias("types"))
+    m = a.sections.select("scan_id", F.lit("markdown").alias("format"), "url", F.explode_outer("blocks").alias("b"))
+    m = m.select("scan_id", "format", "url", "b.ordinal", "b.status", F.lit(None).cast("string").alias("types"))
+    return j.unionByName(c).unionByName(m)
+
+
+def _signature(*columns) -> list[Column]:
+    """Order-free signature of rows: count, sum and xor of their hashes."""
+    h = F.xxhash64(*columns)
+    return [F.count("ordinal"), F.sum(F.when(F.col("ordinal").isNotNull(), h.bitwiseAND(F.lit(0xFFFFFFFF)))),
+            F.bit_xor(F.when(F.col("ordinal").isNotNull(), h))]
+
+
+def cross_format(a: Artifacts) -> DataFrame:
+    """AU-16: formats of one scan compared in what they all carry.
+
+    Pages meet in one grouping by (scan, url), as signatures; only pages whose
+    signatures differ are opened.  A page that one format lacks is a finding
+    only if that format's artifact is there and undamaged."""
+    rows = materialize(block_rows(a))
+    signed = rows.groupBy("scan_id", "url", "format").agg(
+        F.struct(*_signature("ordinal", "status")).alias("blocks"), F.struct(*_signature("ordinal", "status", "types")).alias("typed"))
+
+    def of(fmt, column):
+        return F.max(F.when(F.col("format") == fmt, F.col(column)))
+    pages = signed.groupBy("scan_id", "url").agg(
+        *[of(f, "blocks").alias(f) for f in FORMATS], of("json", "typed").alias("json_typed"), of("csv", "typed").alias("csv_typed"))
+    bad = a.damage.select("scan_id", "format").distinct()
+    whole = a.files.select("scan_id", "format").join(bad, ["scan_id", "format"], "left_anti").groupBy("scan_id").agg(
+        F.collect_set("format").alias("whole"))
+    pages = materialize(pages.join(whole, "scan_id", "left"))
     parts = []
-    for name_a, a, name_b, b in (("json", json_keys, "csv", csv_keys), ("csv", csv_keys, "json", json_keys),
-                                 ("json", json_keys, "markdown", md_keys), ("markdown", md_keys, "json", json_keys)):
-        diff = a.select("url").distinct().exceptAll(b.select("url").distinct())
-        parts.append(_finding(diff, "AU-16", DEFECT, F.lit(f"{name_a} vs {name_b}"), F.col("url"),
-                              F.lit(f"page in {name_a} but not in {name_b}"), "Formats disagree on the page set",
-                              "Export all formats from one snapshot"))
-    trip = json_keys.filter(F.col("ordinal").isNotNull()).select("url", "ordinal", "parse_status").distinct()
-    for name_b, b in (("csv", csv_keys), ("markdown", md_keys)):
-        other = b.filter(F.col("ordinal").isNotNull()).select("url", "ordinal", "parse_status").distinct()
-        d = trip.exceptAll(other).join(other.select("url").distinct(), "url", "left_semi")
-        parts.append(_finding(d, "AU-16", DEFECT, F.lit(f"json vs {name_b}"),
-                              F.concat("url", F.lit("#"), F.col("ordinal").cast("string")),
-                              F.concat(F.lit("parse status "), F.col("parse_status"), F.lit(f" differs in {name_b}")),
+
+    def lacks(fmt):
+        return F.col(fmt).isNull() & F.coalesce(F.array_contains("whole", fmt), F.lit(False))
+    for fmt in FORMATS:
+        others = F.concat_ws(" and ", *[F.when(F.col(f).isNotNull(), F.lit(f)) for f in FORMATS if f != fmt])
+        parts.append(_finding(pages.filter(lacks(fmt)), "AU-16", DEFECT, _named(fmt), F.col("url"), F.concat(F.lit("page only in "), others),
+                              "Formats disagree on the page set", "Export all formats from one snapshot"))
+    differ = ((F.col("json") != F.col("csv")) | (F.col("json") != F.col("markdown")) | (F.col("csv") != F.col("markdown"))
+              | (F.col("json_typed") != F.col("csv_typed")))
+    opened = pages.filter(differ).select("scan_id", "url", *[F.col(f).isNotNull().alias(f"in_{f}") for f in FORMATS])
+    blocks = rows.filter("ordinal is not null").join(opened, ["scan_id", "url"])
+    b = blocks.groupBy("scan_id", "url", "ordinal").agg(
+        *[F.first(f"in_{f}").alias(f"in_{f}") for f in FORMATS], *[of(f, "status").alias(f) for f in FORMATS],
+        of("json", "types").alias("json_types"), of("csv", "types").alias("csv_types"))
+    place = F.concat_ws("#", "url", F.col("ordinal").cast("string"))
+    for fmt in FORMATS:
+        parts.append(_finding(b.filter(F.col(fmt).isNull() & F.col(f"in_{fmt}")), "AU-16", DEFECT, _named(fmt), place, "block is missing",
+                              "Formats disagree on the blocks of a page", "Export all formats from one snapshot"))
+    for fmt, other in (("csv", "json"), ("markdown", "json"), ("markdown", "csv")):
+        # csv against markdown only where json has no say
+        alone = F.lit(True) if other == "json" else F.col("json").isNull()
+        parts.append(_finding(b.filter((F.col(fmt) != F.col(other)) & alone), "AU-16", DEFECT, _named(fmt), place,
+                              F.concat(F.lit("parse status "), F.col(fmt), F.lit(f", in {other} "), F.col(other)),
                               "Formats disagree on block validity", "Export all formats from one snapshot"))
+    parts.append(_finding(b.filter(F.col("csv_types") != F.col("json_types")), "AU-16", DEFECT, _named("csv"), place,
+                          F.concat(F.lit("types "), F.col("csv_types"), F.lit(", in json "), F.col("json_types")),
+                          "Formats disagree on the entities of a block", "Export all formats from one snapshot"))
+    parts.append(_page_counts(a, whole))
+    both = a.heads.select("scan_id", F.col("scan.targetUrl").alias("t"), F.col("scan.status").alias("s")).join(a.md_heads, "scan_id")
+    escaped = F.replace(F.replace(F.col("t"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    for field, here, there in (("target", F.col("target"), escaped), ("status", F.col("status"), F.col("s"))):
+        parts.append(_finding(both.filter(~here.eqNullSafe(there)), "AU-16", DEFECT, _named("markdown"), field,
+                              F.concat(F.coalesce(here, F.lit("none")), F.lit(", in json "), F.coalesce(there, F.lit("none"))),
+                              "Formats disagree on the scan", "Export all formats from one snapshot"))
     return _union(parts)
 
 
+def _page_counts(a: Artifacts, whole: DataFrame) -> DataFrame:
+    """AU-2, AU-16: the number of pages in each undamaged format."""
+    counts = [df.groupBy("scan_id").agg(F.countDistinct(c) if c == "page_url" else F.count(F.lit(1)).alias("n")).toDF("scan_id", "n").withColumn("format", F.lit(f))
+              for f, df, c in (("json", a.pages, None), ("csv", a.rows.filter("_bad is null"), "page_url"), ("markdown", a.sections, None))]
+    here = whole.select("scan_id", F.explode("whole").alias("format")).join(_union(counts), ["scan_id", "format"], "left")
+    n = here.withColumn("n", F.coalesce("n", F.lit(0))).groupBy("scan_id").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "format", F.col("n").cast("string")))), ", ").alias("text"))
+    return _finding(n.filter(F.col("least") != F.col("most")), "AU-16", DEFECT, F.concat(F.lit("all:"), F.col("scan_id")), "page counts", F.col("text"),
+                    "Formats disagree on the number of pages", "Export all formats from one snapshot")
+
+
 # ------------------------------------------------------------------ observations
 
 def _properties(nodes: DataFrame) -> DataFrame:
@@ -317,29 +468,43 @@ def severity_summary(findings: DataFrame) -> DataFrame:
         "severity", "rank", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
-def artifact_inventory(texts: DataFrame) -> DataFrame:
-    """AU-21: format, scope and apparent completeness per artifact file.
-
-    ``texts``: artifact (path), value (whole text).  Format from the folder
-    or extension, scope ``page`` for page exports, complete when the file ends
-    with a newline and (JSON) every line is an object."""
-    path = F.col("artifact")
-    fmt = (F.when(path.rlike("(?i)(/json/|\\.json$)"), "json").when(path.rlike("(?i)(/csv/|\\.csv$)"), "csv")
-           .when(path.rlike("(?i)(/markdown|\\.md$)"), "markdown").otherwise("unknown"))
-    scope = F.when(path.rlike("schema-page"), "page").otherwise("site")
-    lines = F.filter(F.split(F.col("value"), "\n"), lambda x: x != "")
-    json_ok = F.forall(lines, lambda x: x.startswith("{") & x.endswith("}"))
-    complete = F.col("value").endswith("\n") & F.when(fmt == "json", json_ok).otherwise(F.lit(True))
-    return texts.select("artifact", fmt.alias("format"), scope.alias("scope"), complete.alias("complete"))
-
-
-def coverage(artifacts: DataFrame, checks_by_format: dict[str, list[str]]) -> DataFrame:
-    """AU-19, AU-21: artifact inventory (format, scope, completeness) crossed
-    with the checks that apply to each format (a fixed small table)."""
-    spark = artifacts.sparkSession
-    rows = [(fmt, c) for fmt, cs in checks_by_format.items() for c in cs]
-    table = spark.createDataFrame(rows, "format string, check_id string")
-    return artifacts.join(F.broadcast(table), "format", "left")
+def artifact_inventory(a: Artifacts) -> DataFrame:
+    """AU-21: format, scope, size and apparent completeness per artifact."""
+    bad = a.damage.select("scan_id", "format").distinct().withColumn("bad", F.lit(True))
+    complete = F.col("bad").isNull() & ((F.col("format") == "json") | F.col("ended"))
+    return a.files.join(bad, ["scan_id", "format"], "left").select(
+        "scan_id", "format", "name", F.when(F.col("name").contains("schema-page"), F.lit("page")).otherwise(F.lit("site")).alias("scope"),
+        "bytes", complete.alias("complete"))
+
+
+# What a check needs (fixed table): the artifacts it reads, and whether it can
+# judge records one by one or only a whole artifact.
+CHECK_INPUTS = ([(f"AU-{k}", "json", "records") for k in (1, 2, 3, 4, 5, 6, 7, 8, 13, 14, 15, 22)] + [("AU-9", "json", "whole")]
+                + [(f"AU-{k}", "csv", "records") for k in (10, 11)] + [("AU-12", "markdown", "whole")]
+                + [("AU-16", f, "whole") for f in FORMATS])
+# What a format does not represent (fixed table).
+LIMITS = [("csv", "scan metadata, page status, HTTP metadata, block and entity ids, parsed objects"),
+          ("markdown", "scan settings, ids, entities, parsed objects")]
+
+
+def coverage(a: Artifacts) -> DataFrame:
+    """AU-17, AU-19: for every scan, check and format it needs: ``checked``,
+    ``partial`` (some records could not be read), ``unavailable`` (with the
+    reason) or ``limit`` (not represented in the format)."""
+    spark = a.files.sparkSession
+    needs = F.broadcast(spark.createDataFrame(CHECK_INPUTS, "check_id string, format string, needs string"))  # fixed table
+    scans = a.files.select("scan_id").distinct()
+    here = a.files.select("scan_id", "format", F.lit(True).alias("here")).distinct()
+    why = a.damage.groupBy("scan_id", "format").agg(
+        F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("why"))
+    every = scans.withColumn("format", F.explode(F.array(*[F.lit(f) for f in FORMATS])))
+    state = every.join(here, ["scan_id", "format"], "left").join(why, ["scan_id", "format"], "left").join(needs, "format")
+    word = (F.when(F.col("here").isNull(), F.lit("unavailable")).when(F.col("why").isNull(), F.lit("checked"))
+            .when(F.col("needs") == "whole", F.lit("unavailable")).otherwise(F.lit("partial")))
+    rows = state.select("scan_id", "check_id", "format", word.alias("state"),
+                        F.when(F.col("here").isNull(), F.lit("no artifact")).otherwise(F.coalesce("why", F.lit(""))).alias("reason"))
+    limits = F.broadcast(spark.createDataFrame(LIMITS, "format string, reason string"))  # fixed table
+    return rows.unionByName(here.join(limits, "format").select("scan_id", F.lit("").alias("check_id"), "format", F.lit("limit").alias("state"), "reason"))
 
 
 def render_report(findings: DataFrame) -> DataFrame:

@@ -1,104 +1,34 @@
-"""Export every scan in all three formats, read the artifacts back and audit
-them (SNK-1..3 write side, SRC-4 read side, AU-1..AU-22).
-
-Artifacts go to the shared checkpoint folder named by the cluster
-(``spark.checkpoint.dir``), partitioned by ``scan_id``; each part file is one
-parallel unit for the readers and checks.
-"""
+"""Export every scan in all three formats, read the artifacts back in ranges
+and audit them (SNK-1..3, SRC-4, AU-1..AU-22)."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from crawlscope.operators import artifact as AR
 from crawlscope.operators import audit as A
-from crawlscope.operators import exports as EX
-from crawlscope.operators import store as ST
+from crawlscope.operators import ranges as RG
 from crawlscope.operators.extract import ScanTables
-from crawlscope.session import checkpoint_dir, materialize
-
-CHECKS_BY_FORMAT = {
-    "json": ["AU-1", "AU-2", "AU-3", "AU-4", "AU-5", "AU-6", "AU-7", "AU-8", "AU-9", "AU-17"],
-    "csv": ["AU-10", "AU-11", "AU-16"],
-    "markdown": ["AU-12", "AU-16"],
-}
-
+from crawlscope.session import checkpoint_dir
 
-def write_artifacts(spark: SparkSession, scans: DataFrame, t: ScanTables, root: str) -> dict:
-    """Write JSON lines, CSV and Markdown exports per scan under ``root``."""
-    docs = ST.site_documents(t.pages, t.blocks, t.entities)
-    # Every artifact is range-partitioned and sorted by (scan_id, url): part
-    # files concatenated in name order give the reference's page order, and a
-    # scan holding most pages is still split across many tasks by URL range.
-    def ordered(df, *keys):
-        return df.repartitionByRange("scan_id", *keys).sortWithinPartitions("scan_id", *keys)
 
-    jl = ordered(EX.json_page_documents(docs, scans).withColumn("_u", F.col("page.url")), "_u").drop("_u")
-    paths = {f: f"{root}/{f}" for f in ("json", "csv", "markdown")}
-    jl.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("scan_id").json(paths["json"])
-    paths["json_schema"] = jl.schema
-    # CSV: Spark's writer quotes like RFC 4180 (doubled quotes), writes the
-    # fixed header into every part file, and keeps blanks; no repartition, so
-    # a scan holding most rows is still written by many tasks.
-    ordered(EX.csv_cells(t.pages, t.blocks, t.entities), "page_url", "_o", "_e").drop("_o", "_e") \
-        .write.mode("overwrite").partitionBy("scan_id").options(
-        header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False, lineSep="\n").csv(paths["csv"])
-    # Markdown: one header file per scan, page sections in the input's own partitioning.
-    EX.md_header(scans, t.pages).select("scan_id", F.col("header").alias("value")) \
-        .write.mode("overwrite").partitionBy("scan_id").text(paths["markdown"] + "_header")
-    ordered(EX.md_sections(t.pages, t.blocks), "url").select("scan_id", F.col("section").alias("value")) \
-        .write.mode("overwrite").partitionBy("scan_id").text(paths["markdown"])
-    return paths
+def audit_artifacts(a: A.Artifacts) -> tuple[DataFrame, DataFrame]:
+    """Findings of all artifact checks, and their coverage."""
+    findings = A.damage_findings(a)
+    for part in (A.json_checks(a), A.csv_checks(a), A.markdown_checks(a), A.cross_format(a)):
+        findings = findings.unionByName(part)
+    return findings, A.coverage(a)
 
 
-def _md_keys(texts: DataFrame) -> DataFrame:
-    lines = A.outside_fences(texts).select("artifact", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("artifact").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("url", F.last(F.when(F.col("line").startswith("## "),
-                                                  F.expr("substring(line, 4)")), ignorenulls=True).over(w))
-    nxt = Window.partitionBy("artifact").orderBy("pos")
-    lines = lines.withColumn("status_line", F.lead("line", 2).over(nxt))
-    blocks = lines.filter(F.col("line").startswith("### JSON-LD block ")).select(
-        F.replace("url", F.lit("\\|"), F.lit("|")).alias("url"),
-        F.regexp_extract("line", "([0-9]+)$", 1).cast("int").alias("ordinal"),
-        F.when(F.col("status_line") == "Valid JSON-LD", "valid").otherwise("invalid").alias("parse_status"))
-    pages = lines.filter(F.col("line").startswith("## ")).select(
-        F.replace(F.expr("substring(line, 4)"), F.lit("\\|"), F.lit("|")).alias("url"),
-        F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("parse_status"))
-    return blocks.unionByName(pages)
+def export_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
 
 
-def audit_exports(spark: SparkSession, scans: DataFrame, t: ScanTables, progress: DataFrame | None = None,
-                  root: str | None = None) -> DataFrame:
-    """Write, read back and audit; returns all findings."""
-    root = root or f"{checkpoint_dir(spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
-    paths = write_artifacts(spark, scans, t, root)
-    # Read back with the schema the documents were written with (no inference
-    # scan); malformed lines land in _corrupt_record.
-    jdocs = A.read_json_pages(spark, paths["json"], paths.pop("json_schema"))
-    # Parsed artifacts are checkpointed once: checks then read the corrupt-record
-    # column freely (Spark rejects raw-file queries on that column alone).
-    jdocs = materialize(jdocs)
-    csv_rows = materialize(A.read_csv_rows(spark, paths["csv"]))
-    csv_texts = A.read_text_artifacts(spark, paths["csv"])
-    md_texts = A.read_text_artifacts(spark, paths["markdown"])
-    md_heads = A.read_text_artifacts(spark, paths["markdown"] + "_header")
-    findings = [A.json_checks(jdocs, progress), A.csv_checks(csv_rows, csv_texts)]
-    findings.append(A.markdown_checks(md_texts, md_heads))
-    jkeys = jdocs.filter(F.col("_corrupt_record").isNull()).select(
-        F.col("page.url").alias("url"), F.explode_outer("blocks").alias("b")).select(
-        "url", F.col("b.ordinal").cast("int").alias("ordinal"),
-        F.when(F.col("b.ordinal").isNull(), F.lit(None).cast("string"))
-        .when(F.col("b.parse_error").isNull(), F.lit("valid")).otherwise(F.lit("invalid")).alias("parse_status"))
-    ckeys = csv_rows.filter(F.col("_corrupt_record").isNull()).select(
-        F.col("page_url").alias("url"), F.nullif(F.col("block_index"), F.lit("")).cast("int").alias("ordinal"),
-        F.nullif(F.col("parse_status"), F.lit("")).alias("parse_status"))
-    findings.append(A.cross_format(jkeys, ckeys, _md_keys(md_texts)))
-    findings.append(A.observation_checks(t.pages, t.blocks, t.entities))
-    out = findings[0]
-    for f in findings[1:]:
-        out = out.unionByName(f)
-    return out
+def audit_exports(spark: SparkSession, scans: DataFrame, t: ScanTables, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Exports, reads back and audits: (findings, coverage)."""
+    folder = folder or export_folder(spark)
+    manifest, _ = AR.export_scans(scans, t, folder)
+    findings, coverage = audit_artifacts(A.read_artifacts(RG.part_ranges(manifest, folder)))
+    return findings.unionByName(A.observation_checks(t.pages, t.blocks, t.entities)), coverage

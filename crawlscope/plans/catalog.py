@@ -251,11 +251,10 @@ def au_observations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def au_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-1..3 + SRC-4 + AU-1..AU-17: export JSON/CSV/Markdown per scan, read
+    """SNK-1..3 + SRC-4 + AU-1..AU-22: export JSON/CSV/Markdown per scan, read
     the artifacts back and audit them; findings counted per check."""
     from crawlscope.plans.audit_run import audit_exports
-    scans = C.scans(spark, sf).join(P.scan_status(C.control_events(spark, sf)).select("scan_id", "status"), "scan_id")
-    findings = audit_exports(spark, scans, _scan_tables(spark, sf))
+    findings, _ = audit_exports(spark, *_export_input(spark, sf))
     return findings.groupBy("check_id", "severity", "category").agg(F.count(F.lit(1)).alias("findings"))
 
 
