@@ -88,6 +88,18 @@ class Artifacts(NamedTuple):
     sections: DataFrame   # scan_id, url, declared, blocks (ordinal, status)
 
 
+_WIDTH = "not six cells"
+
+
+def _open_ended(recs: DataFrame, files: DataFrame, fmt: str, open_: str) -> tuple[DataFrame, DataFrame]:
+    """Records of a format, and apart from them the last record of artifacts
+    that end in the state ``open_``: it swallowed what came after it."""
+    mine = _of(recs, fmt)
+    ends = (mine.join(_of(files, fmt).filter(open_).select("scan_id"), "scan_id", "left_semi")
+            .groupBy("scan_id").agg(F.max("record").alias("record")))
+    return mine.join(ends, ["scan_id", "record"], "left_anti"), ends
+
+
 def _of(df: DataFrame, fmt: str) -> DataFrame:
     return df.filter(F.col("format") == fmt)
 
@@ -102,13 +114,19 @@ def read_artifacts(ranges: DataFrame) -> Artifacts:
         lit = lambda x: F.lit(x) if isinstance(x, str) else x
         damage.append(df.select("scan_id", F.lit(fmt).alias("format"), lit(location).alias("location"), lit(reason).alias("reason")))
     numbered = F.concat(F.lit("record "), F.col("record").cast("string"))
-    long_ones = recs.filter("text is null")
-    for fmt in FORMATS:
-        damaged(_of(long_ones, fmt), fmt, numbered, F.concat(F.lit("longer than a record may be: "), F.col("bytes").cast("string"), F.lit(" bytes")))
-    recs = recs.filter("text is not null")
+    row = F.concat(F.lit("row "), (F.col("record") - 1).cast("string"))
+    csv, no_quote = _open_ended(recs, files, "csv", "state = 1")
+    md, no_fence = _open_ended(recs, files, "markdown", "state > 0")
+    damaged(no_quote, "csv", row, "a quote is never closed")
+    damaged(no_fence, "markdown", numbered, "a code fence is never closed")
+    json = _of(recs, "json")
+    too_long = F.concat(F.lit("longer than a record may be: "), F.col("bytes").cast("string"), F.lit(" bytes"))
+    for fmt, mine in (("json", json), ("csv", csv), ("markdown", md)):
+        damaged(mine.filter("text is null"), fmt, numbered, too_long)
+    json, csv, md = (mine.filter("text is not null") for mine in (json, csv, md))
 
     # JSON: the head is the text before the first page; the foot closes the last.
-    json = _of(recs, "json").withColumn("text", F.regexp_replace("text", "\\s+\\z", ""))
+    json = json.withColumn("text", F.regexp_replace("text", "\\s+\\z", ""))
     last = json.groupBy("scan_id").agg(F.max_by("text", "record").alias("text"))
     damaged(last.filter(~F.col("text").rlike("(\\n  \\]|\\[\\])\\n\\}\\z")), "json", "end of file", "the document is not closed")
     head = json.filter("record = 0")
@@ -125,18 +143,15 @@ def read_artifacts(ranges: DataFrame) -> Artifacts:
                                       F.coalesce("p.entities", F.array().cast("array<" + _entity_type() + ">")).alias("entities"))
 
     # CSV: the first record is the header.
-    csv = _of(recs, "csv")
-    damaged(_of(files, "csv").filter("state = 1"), "csv", "end of file", "a quote is never closed")
     cells = ", ".join(f"{c} string" for c in CSV_HEADER)
     parsed = F.from_csv("text", F.lit(cells + ", _bad string"), {
         "columnNameOfCorruptRecord": "_bad", "escape": '"', "quote": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false",
-        "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1", "lineSep": "\u0001", "emptyValue": "", "nullValue": ""})
+        "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1", "emptyValue": "", "nullValue": ""})
     rows = csv.filter("record > 1").withColumn("c", parsed)
-    rows = rows.select("scan_id", "record", "text", *[F.coalesce(f"c.{c}", F.lit("")).alias(c) for c in CSV_HEADER], F.col("c._bad").alias("_bad"))
+    rows = materialize(rows.select("scan_id", "record", "text", *[F.coalesce(f"c.{c}", F.lit("")).alias(c) for c in CSV_HEADER], F.col("c._bad").alias("_bad")))
+    damaged(rows.filter("_bad is not null"), "csv", row, _WIDTH)
 
     # Markdown.
-    md = _of(recs, "markdown")
-    damaged(_of(files, "markdown").filter("state > 0"), "markdown", "end of file", "a code fence is never closed")
     md_heads = md.filter("record = 0").select(
         "scan_id", "text", *[F.nullif(F.regexp_extract("text", f"(?m)^{w}: (.*)$", 1), F.lit("")).alias(c)
                              for w, c in (("Target", "target"), ("Status", "status"), ("Pages", "declared"))])
@@ -147,7 +162,7 @@ def read_artifacts(ranges: DataFrame) -> Artifacts:
     sections = md.filter("record > 0").withColumn("outside", outside_fences(F.col("text"))).select(
         "scan_id", F.replace(F.regexp_extract("text", "\\A## (.*)", 1), F.lit("\\|"), F.lit("|")).alias("url"),
         F.regexp_extract(outside, "(?m)^- JSON-LD blocks: ([0-9]+)$", 1).alias("declared"), blocks.alias("blocks"))
-    return Artifacts(files, materialize(_union(damage)), materialize(heads), materialize(pages), materialize(rows),
+    return Artifacts(files, materialize(_union(damage)), materialize(heads), materialize(pages), rows,
                      csv.filter("record = 1").select("scan_id", "text"), materialize(md_heads), materialize(sections))
 
 
@@ -170,8 +185,9 @@ def _named(fmt: str) -> Column:
 
 
 def damage_findings(a: Artifacts) -> DataFrame:
-    """AU-17: every damaged place of every artifact."""
-    return _finding(a.damage, "AU-17", DEFECT, F.concat_ws(":", "format", "scan_id"), F.col("location"), F.col("reason"),
+    """AU-17: every damaged place of every artifact (CSV rows of a wrong width
+    are AU-10)."""
+    return _finding(a.damage.filter(F.col("reason") != _WIDTH), "AU-17", DEFECT, F.concat_ws(":", "format", "scan_id"), F.col("location"), F.col("reason"),
                     "What stands in the damaged place cannot be checked", "Export the artifact again; do not infer absence from it")
 
 
@@ -253,6 +269,8 @@ def csv_checks(a: Artifacts) -> DataFrame:
     header = ",".join(CSV_HEADER)
     numbered = F.concat(F.lit("row "), (F.col("record") - 1).cast("string"))
     sound = a.rows.filter("_bad is null")
+    no_block = F.col("block_index") == ""
+    odd_shape = (no_block != (F.col("parse_status") == "")) | (no_block & (F.concat("context", "type", "serialized_json") != ""))
     # (another column is read too: Spark refuses queries of the corrupt record alone)
     parts = [
         _finding(a.csv_heads.filter(F.col("text") != header), "AU-10", DEFECT, me, "header", F.col("text"), "Columns are misread",
@@ -263,7 +281,7 @@ def csv_checks(a: Artifacts) -> DataFrame:
                  "Row width is not 6 (unquoted comma, quote or newline)", "Quote cells per RFC 4180"),
         _finding(sound.filter(~F.col("parse_status").isin(*CSV_STATUSES)), "AU-10", DEFECT, me, numbered,
                  F.concat(F.lit("parse_status="), F.col("parse_status")), "Unknown parse status", "Use valid, invalid or empty"),
-        _finding(sound.filter(F.col("parse_status").isin(*CSV_STATUSES) & ((F.col("block_index") == "") != (F.col("parse_status") == ""))),
+        _finding(sound.filter(F.col("parse_status").isin(*CSV_STATUSES) & odd_shape),
                  "AU-11", DEFECT, me, numbered, F.col("text"), "Row is neither a placeholder nor a block's", "Write one of the row shapes"),
     ]
     return _union(parts)

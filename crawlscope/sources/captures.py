@@ -32,7 +32,7 @@ CASE p.page_id % 8
     THEN '<script type="application/ld+json">{{"sku":"' || CAST(p.page_id AS STRING) || '","name":"' || q.p_name || '", "@type" : "Product","weight":1.0,"brand":"' || q.p_brand || '","@context":{{"url":"x", "@vocab":"https://schema.org/"}},"offers":[{{"price":"","@type":"Offer"}},7,{{"availability":"InStock","price":1e2}}]}}</script>'
     ELSE '<SCRIPT type=''application/ld+json''>{{"name":"' || q.p_name || '","gtin":12345678901234567890123,"sku":"' || CAST(p.page_id AS STRING) || '","a.b":1e2,"q' || chr(92) || '"t":[],"@type":"Product","offers":{{"price":' || CAST(q.p_size AS STRING) || '.50}},"image":" ","@context":"https://schema.org"}}</SCRIPT>' END
   WHEN 2 THEN '<script type="application/ld+json">[{{"name":"' || q.p_name || '","@type":"WebPage","@context":"https://schema.org"}},"plain",{{"@graph":[{{"name":"' || q.p_name || '","@type":"Product"}},{{"price":"' || CAST(q.p_size AS STRING) || '","@type":["Offer",7]}}],"@context":"https://schema.org"}}]</script>'
-  WHEN 3 THEN '<script type="application/ld+json">{{"@context":"https://schema.org","@type":"Product","name":"' || q.p_name || '"</script>'
+  WHEN 3 THEN '<script type="application/ld+json">{{"@context":"https://schema.org","@type":"Product","name":"' || q.p_name || '"' || chr(10) || '```' || chr(10) || ',"x" | y</script>'
   WHEN 4 THEN '<script type="application/ld+json">{{"@type":"Organization","name":"' || q.p_brand || '"}}</script><script type="application/ld+json">{{"@type":</script>'
   WHEN 5 THEN '<script type="application/json">{{"@type":"Thing"}}</script>'
   WHEN 6 THEN '<!-- <script type="application/ld+json">{{"@type":"Thing"}}</script> -->'

@@ -93,7 +93,3 @@ def test_scope_and_report_helpers(spark, tables):
     assert summary == {s: 0 for s in A.SEVERITIES}
     head = A.render_report(empty).orderBy("rank").first().line
     assert "No export/data defects found." in head
-    arts = spark.createDataFrame([("f.csv", "csv", "site", True)], "artifact string, format string, scope string, "
-                                 "complete boolean")
-    cov = A.coverage(arts, {"csv": ["AU-10", "AU-16"]})
-    assert cov.count() == 2

@@ -51,20 +51,6 @@ def test_lifecycle_fold(spark):
     assert got == {"a": ("canceled", None), "b": ("failed", "boom"), "c": ("discovering", None)}
 
 
-def test_audit_detects_defects(spark):
-    docs = spark.createDataFrame([
-        ("f", 1, ("s",), ("p1", "s", "https://a/1"), [("b1", "p1", 0, None, None), ("b2", "p1", 2, "{}", "err")],
-         [("e1", "b9", '{"a":1}')], None),
-        ("f", None, ("s",), ("p2", "s", "https://a/1"), [], [], None),
-        ("f", None, None, None, None, None, "{truncated")],
-        "artifact string, formatVersion int, scan struct<id:string>, "
-        "page struct<page_id:string,scan_id:string,url:string>, "
-        "blocks array<struct<block_id:string,page_id:string,ordinal:int,parsed_json:string,parse_error:string>>, "
-        "entities array<struct<entity_id:string,block_id:string,serialized:string>>, _corrupt_record string")
-    checks = {r.check_id for r in A.json_checks(docs).collect()}
-    assert {"AU-1", "AU-2", "AU-5", "AU-6", "AU-7", "AU-17"} <= checks
-
-
 def test_audit_required_properties(spark):
     pages = spark.createDataFrame([("p", "https://a/", "success", None)], "page_id string, url string, status string, error string")
     blocks = spark.createDataFrame([("b", "p", 0, None)], "block_id string, page_id string, ordinal int, parse_error string")
