@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crawlscope.functions import content as FC
 from crawlscope.functions import jsonld as FJ
@@ -40,14 +41,16 @@ def summarize_responses(responses: DataFrame, scans: DataFrame) -> DataFrame:
     The HTML body is consumed by a narrow map first (byte length + script
     texts, only for 2xx HTML responses); only that compact row meets the
     per-scan settings, so no join or shuffle ever carries HTML.
-    Output: scan_id, url_key (normalised URL without fragment), http_status,
+    Output: scan_id, url_key (normalised URL without fragment), capture_seq,
+    capture (a hash that tells captures of one moment apart), http_status,
     content_type (normalised), location, duration_ms, fetch_status, message,
     scripts (array<string>, NULL unless fetch_status = 'ok').
     """
     ct = FC.normalize_content_type("content_type")
     html_2xx = (FC.http_status_class("http_status") == "ok") & ct.contains("html") & F.col("error").isNull()
+    seq = F.col("seq").cast("long") if "seq" in responses.columns else F.lit(None).cast("long")
     compact = responses.select(
-        "scan_id", "url", F.when(F.col("error").isNull(), F.col("http_status")).alias("http_status"),  # a failed transfer has no status
+        "scan_id", "url", F.coalesce(seq, F.lit(_ALWAYS)).alias("capture_seq"), F.when(F.col("error").isNull(), F.col("http_status")).alias("http_status"),  # a failed transfer has no status
         "content_type", "content_length", "location", "duration_ms", "error",
         F.octet_length("body").alias("body_bytes"),
         F.when(html_2xx, FJ.ld_json_scripts("body")).alias("scripts"))
@@ -59,7 +62,8 @@ def summarize_responses(responses: DataFrame, scans: DataFrame) -> DataFrame:
     r = r.withColumn("_o", outcome)
     return r.select(
         "scan_id",
-        F.coalesce(F.col("_u.href_nofrag"), F.col("url")).alias("url_key"),
+        F.coalesce(F.col("_u.href_nofrag"), F.col("url")).alias("url_key"), "capture_seq",
+        F.xxhash64("http_status", ct, "location", "duration_ms", "_o", "scripts").alias("capture"),
         "http_status", ct.alias("content_type"), "location", "duration_ms",
         F.col("_o.fetch_status").alias("fetch_status"),
         F.col("_o.message").alias("message"),
@@ -67,6 +71,30 @@ def summarize_responses(responses: DataFrame, scans: DataFrame) -> DataFrame:
     )
 
 
+_ALWAYS, _NEVER = -(1 << 63), (1 << 63) - 1  # sequence numbers before and after all others
+
+
+def capture_versions(summaries: DataFrame) -> DataFrame:
+    """FE-6: captures of a URL follow one another: each holds from its own
+    sequence number up to the next one's (``until``), so a request meets exactly
+    one.  Of captures with one number the last by hash holds.  Texts are left
+    out: they are fetched by ``capture`` once the final capture is known."""
+    order = Window.partitionBy("scan_id", "url_key").orderBy("capture_seq", "capture")
+    narrow = summaries.drop("scripts").withColumn("until", F.coalesce(F.lead("capture_seq").over(order), F.lit(_NEVER)))
+    return narrow.filter((F.col("until") > F.col("capture_seq")) | (F.col("until") == _NEVER))
+
+
+def as_of(requests: DataFrame) -> Column:
+    """The sequence number up to which a request sees captures: ``as_of`` where
+    requests have it, else their own number; where that is no number (a place in
+    the discovery order), all captures."""
+    if "as_of" in requests.columns:
+        return F.col("as_of").cast("long")
+    if isinstance(requests.schema["seq"].dataType, T.IntegralType):
+        return F.col("seq").cast("long")
+    return F.lit(_NEVER)
+
+
 def dns_verdicts(dns: DataFrame) -> DataFrame:
     """URL-3 per captured host: NULL when allowed, else the rejection message
     (no address at all counts as private, a host without a row as unresolved)."""
@@ -96,11 +124,15 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
     request with normalized_url, final fetch_status / message / http_status /
     content_type, summed duration_ms and the final capture's ``scripts``.
 
+    Every hop sees the latest capture at or before the request's sequence
+    number (``as_of``).
+
     Hop loop: round k joins the still-redirecting requests to the narrow
-    capture summaries, decides done / failed / next for every row in one
+    capture versions, decides done / failed / next for every row in one
     projection and checkpoints that result; the next frontier holds only the
     rows that follow another hop, so the loop ends after the longest chain
-    (at most ``max_redirects`` + 1 rounds).
+    (at most ``max_redirects`` + 1 rounds).  Script texts meet only finished
+    requests, in one join.
     """
     verdicts = materialize(dns_verdicts(dns)) if dns is not None else None
     settings = scans.select("scan_id", *SETTINGS_COLS)
@@ -108,10 +140,11 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
     req = with_address_check(FU.with_url(req, "url", "_t"), "_t", verdicts)
     req = req.withColumn("_t_reason", F.coalesce(FU.policy_reason(F.col("_t")), F.col("_t_address")))
     req = req.withColumn("normalized_url", F.coalesce(F.col("_t.href_nofrag"), F.col("url")))
-    narrow = summaries.select("scan_id", F.col("url_key").alias("cur_key"), "http_status", "content_type",
-                              "location", "duration_ms", "fetch_status", "message", "scripts")
+    narrow = materialize(capture_versions(summaries).select(
+        "scan_id", F.col("url_key").alias("cur_key"), "capture_seq", "until", "capture", "http_status", "content_type", "location", "duration_ms",
+        "fetch_status", "message"))
     state = materialize(req.select(
-        "scan_id", "url", "seq", "sitemap_source", "normalized_url",
+        "scan_id", "url", "seq", "sitemap_source", "normalized_url", as_of(requests).alias("as_of"),
         F.col("_t_reason").alias("reject"),
         F.col("_t.origin").alias("init_origin"),
         F.col("normalized_url").alias("cur_key"),
@@ -119,25 +152,29 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
         F.coalesce("max_redirects", F.lit(5)).alias("max_redirects"),
         F.coalesce("same_origin_only", F.lit(True)).alias("same_origin_only")))
     out_cols = ["scan_id", "url", "seq", "sitemap_source", "normalized_url", "final_key", "fetch_status",
-                "message", "http_status", "content_type", "duration_ms", "scripts"]
+                "message", "http_status", "content_type", "duration_ms", "capture_seq", "capture"]
+    no_capture = [F.lit(None).cast("long").alias("capture_seq"), F.lit(None).cast("long").alias("capture")]
     rejected = state.filter(F.col("reject").isNotNull()).select(
         "scan_id", "url", "seq", "sitemap_source", "normalized_url",
         F.col("cur_key").alias("final_key"),
         F.lit("fetch_error").alias("fetch_status"), F.col("reject").alias("message"),
         F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("content_type"),
-        F.lit(0).alias("duration_ms"), F.lit(None).cast("array<string>").alias("scripts"))
+        F.lit(0).alias("duration_ms"), *no_capture)
     frontier = state.filter(F.col("reject").isNull()).drop("reject")
 
     finished = [rejected]
     while True:
-        j = frontier.join(narrow, ["scan_id", "cur_key"], "left")
+        f, n = frontier.alias("f"), narrow.alias("n")
+        meets = ((F.col("f.scan_id") == F.col("n.scan_id")) & (F.col("f.cur_key") == F.col("n.cur_key"))
+                 & (F.col("f.as_of") >= F.col("n.capture_seq")) & ((F.col("f.as_of") < F.col("n.until")) | (F.col("n.until") == _NEVER)))
+        j = f.join(n, meets, "left").select("f.*", *[f"n.{c}" for c in narrow.columns if c not in ("scan_id", "cur_key")])
         j = j.withColumn("dur_acc", F.col("dur_acc") + F.coalesce("duration_ms", F.lit(0)))
         is_redirect = F.coalesce(FC.http_status_class("http_status") == "redirect", F.lit(False))
         loc_missing = F.coalesce(F.col("location"), F.lit("")) == ""
         limit_hit = is_redirect & (loc_missing | (F.col("hops") >= F.col("max_redirects")))
         follow = is_redirect & ~limit_hit
         j = j.withColumn("_follow", follow).withColumn("_limit", limit_hit)
-        keep = ["scan_id", "url", "seq", "sitemap_source", "normalized_url", "init_origin", "hops",
+        keep = ["scan_id", "url", "seq", "sitemap_source", "normalized_url", "as_of", "init_origin", "hops",
                 "max_redirects", "same_origin_only", F.col("cur_key").alias("final_key")]
         # Terminal rows (the vast majority) never reach the URL helper or DNS join.
         stay = j.filter(~F.col("_follow"))
@@ -151,7 +188,7 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
             .alias("message"),
             F.when(errored, F.lit(None).cast("int")).otherwise(F.col("http_status")).alias("http_status"),
             F.when(errored, F.lit(None).cast("string")).otherwise(F.col("content_type")).alias("content_type"),
-            F.when(~errored & (F.col("fetch_status") == "ok"), F.col("scripts")).alias("scripts"))
+            *[F.when(~errored & (F.col("fetch_status") == "ok"), F.col(c)).alias(c) for c in ("capture_seq", "capture")])
         hop = FU.with_url(j.filter(F.col("_follow")), "cur_key", "_cur")
         hop = hop.withColumn("_next_abs", FU.resolve_reference("location", "_cur"))
         hop = with_address_check(FU.with_url(hop, "_next_abs", "_n"), "_n", verdicts)
@@ -173,25 +210,29 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
             F.col("_n.href_nofrag").alias("next_key"),
             F.lit("fetch_error").alias("fetch_status"),
             F.when(self_loop, F.lit(FC.MSG_REDIRECT_LIMIT)).otherwise(reason).alias("message"),
-            F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("content_type"),
-            F.lit(None).cast("array<string>").alias("scripts"))
+            F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("content_type"), *no_capture)
         step = stay.unionByName(hop)
         step = materialize(step)
         finished.append(step.filter(F.col("_step") == "done").select(
             *[c if c != "duration_ms" else F.col("dur_acc").alias("duration_ms") for c in out_cols]))
         nxt = step.filter(F.col("_step") == "next").select(
-            "scan_id", "url", "seq", "sitemap_source", "normalized_url", "init_origin",
+            "scan_id", "url", "seq", "sitemap_source", "normalized_url", "as_of", "init_origin",
             F.col("next_key").alias("cur_key"), (F.col("hops") + 1).alias("hops"), "dur_acc",
             "max_redirects", "same_origin_only")
         if nxt.isEmpty():
             break
         frontier = nxt
 
-    # Script texts travel with each hop's join, so no final re-join is needed.
     resolved = finished[0]
     for part in finished[1:]:
         resolved = resolved.unionByName(part)
-    return resolved
+    key = ["scan_id", "final_key", "capture_seq", "capture"]
+    texts = (summaries.filter("scripts IS NOT NULL").withColumnRenamed("url_key", "final_key")
+             .groupBy(*key).agg(F.first("scripts").alias("scripts")))  # captures that repeat another in all are one
+    ok = F.col("capture").isNotNull()
+    with_texts = resolved.filter(ok).join(texts, key, "left")
+    without = resolved.filter(~ok).withColumn("scripts", F.lit(None).cast("array<string>"))
+    return with_texts.unionByName(without).drop("capture_seq", "capture")
 
 
 def pages_from_resolved(resolved: DataFrame) -> DataFrame:

@@ -65,10 +65,21 @@ def fetch_outcomes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fetch_error", err)
 
 
+def latest_documents(parsed: DataFrame, scans: DataFrame) -> DataFrame:
+    """SM-5, SM-9: of a document captured more than once, the latest capture at
+    or before the scan's ``as_of`` (without one: the latest)."""
+    if "as_of" in scans.columns:
+        bound = scans.select("scan_id", F.col("as_of").alias("_as_of"))
+        parsed = parsed.join(bound, "scan_id", "left").filter(F.coalesce(F.col("seq") <= F.col("_as_of"), F.lit(True))).drop("_as_of")
+    rest = [c for c in parsed.columns if c not in ("scan_id", "doc_key")]
+    last = parsed.groupBy("scan_id", "doc_key").agg(F.max(F.struct("seq", "kind", *[c for c in rest if c not in ("seq", "kind")])).alias("_last"))
+    return last.select("scan_id", "doc_key", "_last.*").drop("seq")
+
+
 def limit_documents(parsed: DataFrame, scans: DataFrame) -> DataFrame:
-    """SM-9: a usable body above its scan's ``max_response_bytes`` is an error.
-    Only the parsed rows meet the settings, never the bodies."""
-    p = parsed.join(scans.select("scan_id", "max_response_bytes"), "scan_id", "left")
+    """SM-9: a usable body above its scan's ``max_response_bytes`` is an error;
+    of several captures the one that counts is taken first.  Only the parsed rows meet the settings, never the bodies."""
+    p = latest_documents(parsed, scans).join(scans.select("scan_id", "max_response_bytes"), "scan_id", "left")
     large = F.col("body_read") & (F.col("body_bytes") > F.col("max_response_bytes"))
     large = F.coalesce(large, F.lit(False))
     return p.select("scan_id", "doc_key", F.when(large, "error").otherwise(F.col("kind")).alias("kind"),
@@ -117,7 +128,8 @@ def parse_documents(docs: DataFrame, decode_entities: bool = False) -> DataFrame
              .when(empty_root | ~F.col("_root").isin("urlset", "sitemapindex"), F.lit(MSG_ROOT)))
     out_locs = (F.when(kind == "urlset", F.coalesce(locs(F.col("_doc.url")), F.array().cast("array<string>")))
                 .when(kind == "index", F.coalesce(locs(F.col("_doc.sitemap")), F.array().cast("array<string>"))))
-    return d.select("scan_id", "doc_key", kind.alias("kind"), out_locs.alias("locs"), "location",
+    seq = F.col("seq").cast("long") if "seq" in docs.columns else F.lit(0).cast("long")
+    return d.select("scan_id", "doc_key", seq.alias("seq"), kind.alias("kind"), out_locs.alias("locs"), "location",
                     error.alias("error"), F.octet_length(body).cast("long").alias("body_bytes"),
                     (F.col("fetch_error").isNull() & ~is_redirect).alias("body_read"))
 
@@ -188,8 +200,9 @@ def candidates(scans: DataFrame, robots_sitemaps: DataFrame, robots_docs: DataFr
     """
     t = FX.with_address_check(FU.with_url(scans, "target_url", "_t"), "_t", verdicts)
     status = F.col("http_status") if "http_status" in robots_docs.columns else F.lit(200)
-    captured = robots_docs.select("scan_id", F.lit(True).alias("_have"), status.alias("_status"),
-                                  F.octet_length("body").alias("_bytes")).dropDuplicates(["scan_id"])
+    order = F.col("seq").cast("long") if "seq" in robots_docs.columns else F.lit(0).cast("long")
+    captured = robots_docs.select("scan_id", order.alias("_seq"), status.alias("_status"), F.octet_length("body").alias("_bytes")).groupBy(
+        "scan_id").agg(F.max(F.struct("_seq", "_status", "_bytes")).alias("_r")).select("scan_id", F.lit(True).alias("_have"), "_r._status", "_r._bytes")
     t = t.join(captured, "scan_id", "left")
     limit = F.col("max_response_bytes") if "max_response_bytes" in scans.columns else F.lit(None).cast("long")
     message = (F.when(F.col("_t_address").isNotNull(), F.col("_t_address"))

@@ -42,7 +42,8 @@ CASE p.page_id % 8
 
 # Captured responses: one row per requested URL.  Pages with page_id % 11 = 7
 # answer 302: even ids move to a captured same-origin /moved/<id> URL, odd ids
-# point at another page's URL, ids divisible by 7 point at themselves.
+# point at another page's URL, ids divisible by 7 point at themselves.  Some
+# URLs were captured again: before their request (a failure) or after it.
 RESPONSES_SQL = """
 WITH src AS (
   SELECT p.page_id, p.url, """ + _ORIGIN.format(t="p") + """ AS origin,
@@ -71,12 +72,20 @@ base AS (
 ),
 moved AS (
   SELECT s.origin AS scan_id, s.page_id, s.origin || '/moved/' || CAST(s.page_id AS STRING) AS url,
-         s.page_id * 2 + 1 AS seq, 200 AS http_status, 'text/html' AS content_type,
+         s.page_id * 2 AS seq, 200 AS http_status, 'text/html' AS content_type,
          CAST(NULL AS STRING) AS content_length, CAST(NULL AS STRING) AS location,
          s.body, CAST(NULL AS STRING) AS error, CAST((s.page_id * 41) % 1000 AS INT) AS duration_ms
   FROM src s WHERE s.page_id % 11 = 7 AND s.page_id % 2 = 0 AND s.page_id % 7 <> 0
+),
+again AS (
+  SELECT s.origin AS scan_id, s.page_id, s.url, s.page_id * 2 + v.later AS seq, v.status AS http_status, 'text/html' AS content_type,
+         CAST(NULL AS STRING) AS content_length, CAST(NULL AS STRING) AS location, v.text AS body, CAST(NULL AS STRING) AS error,
+         CAST(s.page_id % 100 AS INT) AS duration_ms
+  FROM src s CROSS JOIN (VALUES (-1, 503, '', 2), (10, 200, '<script type="application/ld+json">{{"@type":"Later"}}</script>', 2),
+                                (10, 200, '<p>later</p>', 6)) AS v(later, status, text, rest)
+  WHERE s.page_id % 12 = v.rest
 )
-SELECT * FROM base UNION ALL SELECT * FROM moved
+SELECT * FROM base UNION ALL SELECT * FROM moved UNION ALL SELECT * FROM again
 """
 
 # The URL list of each scan: every driver page, in page order.
@@ -129,6 +138,7 @@ SELECT origin AS scan_id, origin || '/' AS target_url,
        CASE WHEN length(origin) % 3 = 0 THEN 1 ELSE 5 END AS max_redirects,
        true AS respect_robots,
        length(origin) % 7 <> 0 AS same_origin_only,
+       15 AS as_of,
        CAST(1767225600000 + min_id * 1000 AS BIGINT) AS created_ms
 FROM (SELECT """ + _ORIGIN.format(t="p") + """ AS origin, min(p.page_id) AS min_id
       FROM {pages} p GROUP BY 1) o
@@ -177,8 +187,10 @@ FROM (SELECT """ + _ORIGIN.format(t="p") + """ AS origin,
 # Sitemap documents per origin: an index listing chunk sitemaps (page_id % 4
 # within blocks of 40,000 ids, so one document never lists over 10,000 URLs),
 # itself (a cycle), a fragment duplicate and a private URL; chunk 3 is
-# truncated XML for some origins; /sitemap.xml answers 404.  Locations are
-# written with XML escaping (&amp;).
+# truncated XML for some origins; /sitemap.xml answers 404 or points at the
+# index; further listed documents point to another origin, at themselves or
+# nowhere.  Chunks were captured before and after the scan (``as_of``), too.
+# Locations are written with XML escaping (&amp;).
 SITEMAPS_SQL = """
 WITH u AS (
   SELECT """ + _ORIGIN.format(t="p") + """ AS origin, p.page_id, p.url,
@@ -196,16 +208,20 @@ idx AS (
   FROM chunks GROUP BY origin
 )
 SELECT origin AS scan_id, origin || '/sitemap_index.xml' AS url, 200 AS http_status,
-       CAST(NULL AS STRING) AS location,
+       CAST(NULL AS STRING) AS location, 10 AS seq,
        '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) ||
        '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || entries ||
        '<sitemap><loc>' || origin || '/sitemap_index.xml</loc></sitemap>' ||
        '<sitemap><loc>' || origin || '/sitemaps/part-0.xml#again</loc></sitemap>' ||
        '<sitemap><loc>http://127.0.0.1/sitemap.xml</loc></sitemap>' ||
+       '<sitemap><loc>' || origin || '/sitemaps/away.xml</loc></sitemap>' ||
+       '<sitemap><loc>' || origin || '/sitemaps/loop.xml</loc></sitemap>' ||
+       '<sitemap><loc>' || origin || '/sitemaps/nowhere.xml</loc></sitemap>' ||
+       '<sitemap><loc>' || origin || '/sitemaps/twice.xml</loc></sitemap>' ||
        '</sitemapindex>' AS body
 FROM idx
 UNION ALL
-SELECT origin, origin || '/sitemaps/part-' || CAST(chunk AS STRING) || '.xml', 200, CAST(NULL AS STRING),
+SELECT origin, origin || '/sitemaps/part-' || CAST(chunk AS STRING) || '.xml', 200, CAST(NULL AS STRING), 10,
        CASE WHEN chunk = 3 AND length(origin) % 2 = 0
             THEN '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || entries
             ELSE '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) ||
@@ -213,7 +229,15 @@ SELECT origin, origin || '/sitemaps/part-' || CAST(chunk AS STRING) || '.xml', 2
                  '<url><loc>http://localhost/admin</loc></url></urlset>' END
 FROM chunks
 UNION ALL
-SELECT origin, origin || '/sitemap.xml', 404, CAST(NULL AS STRING), '' FROM idx
+SELECT origin, origin || '/sitemap.xml', CASE WHEN length(origin) % 5 = 1 THEN 302 ELSE 404 END,
+       CASE WHEN length(origin) % 5 = 1 THEN '/sitemap_index.xml' END, 10, '' FROM idx
+UNION ALL
+SELECT origin, origin || '/sitemaps/part-' || CAST(chunk AS STRING) || '.xml', v.status, CAST(NULL AS STRING), v.seq, '<urlset></urlset>'
+FROM chunks CROSS JOIN (VALUES (503, 5), (200, 20)) AS v(status, seq) WHERE chunk % 2 = 1
+UNION ALL
+SELECT origin, origin || '/sitemaps/' || v.name, 301, CASE WHEN v.target LIKE '/%' THEN origin || v.target ELSE v.target END, 10, ''
+FROM idx CROSS JOIN (VALUES ('away.xml', 'https://elsewhere.example.com/s.xml'), ('loop.xml', '/sitemaps/loop.xml'), ('nowhere.xml', NULL),
+                            ('twice.xml', '/sitemaps/once.xml'), ('once.xml', '/sitemaps/gone.xml')) AS v(name, target)
 """
 
 # Raw scan requests (target text + settings JSON text) for request validation

@@ -91,3 +91,16 @@ def test_script_inside_attribute_is_not_a_tag(spark):
     html = ('<div title="<script type=\'application/ld+json\'>{&quot;x&quot;:1}</script>">t</div>'
             '<script type="application/ld+json">{"real":1}</script>')
     assert scripts(spark, html) == ['{"real":1}']
+
+
+def test_entities_keep_the_source_text(spark):
+    raw = ('[ {"z": 1.0, "a" : 1e2, "n":12345678901234567890123, "@graph" : [ {"x":"q\\" 1.0, 2", "@context":{"v":2.50,"b":[ 1 ]}, "@type":["T",7]} , 3 ,'
+           ' "{\\"fake\\":1}" ]}, "str 5", 5, null, [1, {"b":-2E+3, "a.b\\"": {}}], true]')
+    df = spark.createDataFrame([("p", [raw, '"s"', '{"k":"\ue000 1", "d":1.0}'])], "page_id string, scripts array<string>")
+    blocks = X.blocks_from_pages(df)
+    got = {r.entity_path: (r.serialized, r.context, r.types) for r in X.entities_from_blocks(blocks.filter("ordinal = 0")).collect()}
+    assert got == {"0000000000.0000000000": ('{"x":"q\\" 1.0, 2","@context":{"v":2.50,"b":[1]},"@type":["T",7]}', '{"v":2.50,"b":[1]}', ["T"]),
+                   "0000000004.0000000001": ('{"b":-2E+3,"a.b\\"":{}}', None, [])}
+    parsed = [r.parsed_json for r in blocks.orderBy("ordinal").collect()]
+    assert parsed[0].startswith('[{"z":1.0,"a":1e2,"n":12345678901234567890123,"@graph":[') and parsed[1] == '"s"'
+    assert parsed[2] == '{"k":"\ue000 1","d":1.0}'

@@ -23,13 +23,15 @@ def test_readers(spark):
     assert d.scan_id == "s1" and d.body.startswith("User-agent")
 
 
-def test_inventory(spark):
-    texts = spark.createDataFrame([("/o/json/scan_id=s/p.json", '{"a":1}\n'), ("/o/csv/x.csv", "h\nrow"),
-                                   ("/o/json/b.json", '{"a":1}\n{"tr')], "artifact string, value string")
-    got = {r.artifact: (r.format, r.complete) for r in A.artifact_inventory(texts).collect()}
-    assert got == {"/o/json/scan_id=s/p.json": ("json", True), "/o/csv/x.csv": ("csv", False),
-                   "/o/json/b.json": ("json", False)}
-
+def test_inventory(spark, tmp_path):
+    from crawlscope.operators import ranges as RG
+    doc = '{\n  "formatVersion": 1,\n  "scan": {},\n  "pages": []\n}'
+    for name, text in (("a-schema-scan.json", doc), ("b-x-schema-page.json", doc[:-4]), ("c.csv", "h\nrow"), ("d.csv", "h\nrow\n"), ("e.txt", "x")):
+        (tmp_path / name).write_text(text)
+    found = A.artifact_inventory(A.read_artifacts(RG.file_ranges(spark, str(tmp_path), 8))).collect()
+    got = {r.name: (r.format, r.scope, r.complete) for r in found}
+    assert got == {"a-schema-scan.json": ("json", "site", True), "b-x-schema-page.json": ("json", "page", False),
+                   "c.csv": ("csv", "site", False), "d.csv": ("csv", "site", False)}  # no row of six cells
 
 def test_typed_events(spark):
     ctl = spark.createDataFrame([("a", "started", 1, None), ("a", "error", 3, "boom")],
