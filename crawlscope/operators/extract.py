@@ -116,12 +116,14 @@ def with_address_check(df: DataFrame, parsed: str, verdicts: DataFrame | None) -
     return df.withColumn(out, resolved).drop("_host", "_known", "dns_reason")
 
 
-def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame,
-                     dns: DataFrame | None = None) -> DataFrame:
+def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame, dns: DataFrame | None = None,
+                     verdicts: DataFrame | None = None, versions: DataFrame | None = None) -> DataFrame:
     """Resolve each requested URL to its final capture (FE-5..FE-7, URL-1, URL-3).
 
     ``requests``: scan_id, url, seq, sitemap_source.  Output: one row per
-    request with normalized_url, final fetch_status / message / http_status /
+    request (``verdicts`` and ``versions``, made of ``dns`` and ``summaries``,
+    may be given by callers that resolve many batches) with normalized_url, final
+    fetch_status / message / http_status /
     content_type, summed duration_ms and the final capture's ``scripts``.
 
     Every hop sees the latest capture at or before the request's sequence
@@ -134,15 +136,18 @@ def resolve_requests(requests: DataFrame, summaries: DataFrame, scans: DataFrame
     (at most ``max_redirects`` + 1 rounds).  Script texts meet only finished
     requests, in one join.
     """
-    verdicts = materialize(dns_verdicts(dns)) if dns is not None else None
+    if verdicts is None and dns is not None:
+        verdicts = materialize(dns_verdicts(dns))
     settings = scans.select("scan_id", *SETTINGS_COLS)
     req = requests.join(settings, "scan_id", "left")
     req = with_address_check(FU.with_url(req, "url", "_t"), "_t", verdicts)
     req = req.withColumn("_t_reason", F.coalesce(FU.policy_reason(F.col("_t")), F.col("_t_address")))
     req = req.withColumn("normalized_url", F.coalesce(F.col("_t.href_nofrag"), F.col("url")))
-    narrow = materialize(capture_versions(summaries).select(
+    if versions is None:
+        versions = materialize(capture_versions(summaries))
+    narrow = versions.select(
         "scan_id", F.col("url_key").alias("cur_key"), "capture_seq", "until", "capture", "http_status", "content_type", "location", "duration_ms",
-        "fetch_status", "message"))
+        "fetch_status", "message")
     state = materialize(req.select(
         "scan_id", "url", "seq", "sitemap_source", "normalized_url", as_of(requests).alias("as_of"),
         F.col("_t_reason").alias("reject"),

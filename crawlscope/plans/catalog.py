@@ -299,71 +299,181 @@ def au_damaged_exports(spark: SparkSession, sf: str) -> DataFrame:
         "check_id", F.concat_ws(":", "format", "scan_id").alias("artifact"), F.col("state").alias("location"), F.col("reason").alias("evidence")))
 
 
-def _streamed_pages(spark: SparkSession, sf: str) -> DataFrame:
+def _stream_input(spark: SparkSession, sf: str, files: int) -> tuple:
+    """Arguments of ``stream_pages`` over all page requests, as ``files`` files."""
     from crawlscope.streaming import pipeline as SP
     reqs = C.page_requests(spark, sf)
     req_dir = SP.scratch(spark, "requests")
-    reqs.repartition("url").write.parquet(req_dir)
-    sink = SP.stream_pages(spark, req_dir, reqs.schema, C.responses(spark, sf), C.scans(spark, sf),
-                           C.dns(spark, sf), C.control_events(spark, sf), SP.scratch(spark, "pages"))
-    return spark.read.parquet(sink)
+    reqs.repartition(files, "url").write.parquet(req_dir)
+    return (spark, req_dir, reqs.schema, C.responses(spark, sf), C.scans(spark, sf), C.dns(spark, sf), C.control_events(spark, sf),
+            SP.scratch(spark, "stream-store"), SP.scratch(spark, "ckpt-pages"))
+
+
+def _streamed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    from crawlscope.streaming import pipeline as SP
+    return ST.read_scan_tables(spark, SP.stream_pages(*_stream_input(spark, sf, 8)))["pages"]
+
+
+def _event_files(spark: SparkSession, sf: str) -> tuple[str, object]:
+    """Control and page events as arriving files: (folder, schema)."""
+    from crawlscope.streaming import pipeline as SP
+    events = SP.page_events(_streamed_pages(spark, sf)).unionByName(
+        C.control_events(spark, sf).withColumn("status", F.lit(None).cast("string")))
+    edir = SP.scratch(spark, "events")
+    events.repartition(8, "scan_id", "seq").write.parquet(edir)
+    return edir, events.schema
 
 
 def str_incremental_pages(spark: SparkSession, sf: str) -> DataFrame:
     """STR-1, STR-8: page requests processed micro-batch by micro-batch
-    (idempotent per batch_id); claims after a cancel are not processed."""
+    (idempotent per batch); claims after a cancel are not processed."""
     return _streamed_pages(spark, sf).select("scan_id", "url", "status", "http_status", "error")
 
 
+def str_replayed_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-1, SNK-4, SNK-5, ST-4, ST-5: the second micro-batch dies after it
+    has written half of its run; the stream is started again, replays it, and
+    the store holds every page with its blocks and entities once."""
+    from crawlscope.streaming import pipeline as SP
+    arguments = _stream_input(spark, sf, 12)
+    root = arguments[7]
+
+    def dies(spark, root, pages, blocks, entities, run):
+        if run.endswith("-1"):
+            half = pages.withColumn("status", F.lit("half")).withColumn("bucket", F.lit(0))
+            half.write.partitionBy("bucket").parquet(f"{root}/pages/run={run}")
+            raise RuntimeError("executor lost")
+        return ST.persist_pages(spark, root, pages, blocks, entities, run)
+    try:
+        SP.stream_pages(*arguments, files_per_trigger=4, persist=dies)
+    except Exception as error:
+        if "executor lost" not in str(error):
+            raise
+    SP.stream_pages(*arguments, files_per_trigger=4)
+    t = ST.read_scan_tables(spark, root)
+    b = t["jsonld_blocks"].groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "raw_text"))).alias("b"))
+    e = t["schema_entities"].groupBy("page_id").agg(F.count(F.lit(1)).alias("n_entities"))
+    out = t["pages"].join(b, "page_id", "left").join(e, "page_id", "left")
+    return out.select("scan_id", "url", "status", F.md5(F.coalesce(F.array_join("b.raw_text", "|"), F.lit(""))).alias("texts"),
+                      F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities"))
+
+
 def str_progress_counters(spark: SparkSession, sf: str) -> DataFrame:
     """STR-2, STR-7: running counters per scan (streaming aggregate, update mode)."""
     from crawlscope.streaming import pipeline as SP
-    pages = _streamed_pages(spark, sf).drop("batch_id")
+    pages = _streamed_pages(spark, sf)
     pdir = SP.scratch(spark, "page-files")
-    pages.repartition("url").write.parquet(pdir)
+    pages.repartition(8, "url").write.parquet(pdir)
     sink = SP.stream_progress(spark, pdir, pages.schema, SP.scratch(spark, "progress"))
-    return spark.read.parquet(sink).select("scan_id", "completed", "successful", "failed")
+    return ST.read_scan_tables(spark, sink)["state"].select("scan_id", "completed", "successful", "failed")
 
 
 def str_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-3..STR-6, AG-3: streaming status fold over control and page events;
+    """STR-3, STR-7, AG-3: streaming status fold over control and page events;
     the state table is the reconnect snapshot."""
     from crawlscope.streaming import pipeline as SP
-    pages = _streamed_pages(spark, sf)
-    events = SP.page_events(pages).unionByName(
-        C.control_events(spark, sf).withColumn("status", F.lit(None).cast("string")))
-    edir = SP.scratch(spark, "events")
-    events.repartition("scan_id", "seq").write.parquet(edir)
-    sink = SP.stream_lifecycle(spark, edir, events.schema, SP.scratch(spark, "lifecycle"))
-    return spark.read.parquet(sink).select("scan_id", "status", "error", "completed", "successful", "failed")
+    sink = SP.stream_lifecycle(spark, *_event_files(spark, sf), SP.scratch(spark, "lifecycle"))
+    return ST.read_scan_tables(spark, sink)["state"].select("scan_id", "status", "error", "completed", "successful", "failed")
 
 
-def st_persist_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-4..ST-6, SNK-4..SNK-6, SRC-3: store all scans, store the pages whose
-    URL has a length divisible by three again without their first block, read
-    back each page with its blocks' ordinals and texts and its entities."""
-    import uuid
+def str_typed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-4..STR-6: the typed event stream of all scans, and what a subscriber
+    of the scan with the longest name gets: the snapshot, then its events."""
+    from crawlscope.streaming import pipeline as SP
+    edir, schema = _event_files(spark, sf)
+    scan_id = C.scans(spark, sf).orderBy(F.desc(F.length("scan_id")), "scan_id").first().scan_id
+    state = ST.read_scan_tables(spark, SP.stream_lifecycle(spark, edir, schema, SP.scratch(spark, "lifecycle")), scan_id)["state"]
+    snapshot = SP.subscribe(state, scan_id).select(
+        F.lit("snapshot").alias("stream"), "scan_id", F.lit(0).cast("long").alias("seq"), F.col("type").alias("event"),
+        F.format_string("%s %d %d %d", "status", "completed", "successful", "failed").alias("message"))
+    out = snapshot
+    for stream, only in (("all", None), ("subscriber", scan_id)):
+        sink = SP.stream_events(spark, edir, schema, SP.scratch(spark, "typed-events"), only)
+        events = spark.read.parquet(sink).select(F.lit(stream).alias("stream"), "scan_id", F.col("seq").cast("long").alias("seq"), "event", "message")
+        out = out.unionByName(events)
+    return out
+
+
+def _with_scan(t: X.ScanTables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, blocks and entities as the store takes them."""
+    pages = materialize(t.pages.withColumn("created_seq", F.col("seq")))
+    owner = pages.select("page_id", "scan_id")
+    return pages, materialize(t.blocks.join(owner, "page_id")), materialize(t.entities.join(owner, "page_id"))
 
-    from crawlscope.session import checkpoint_dir
-    t = _scan_tables(spark, sf)
-    pages = t.pages.withColumn("created_seq", F.col("seq"))
-    blocks = materialize(t.blocks.join(pages.select("page_id", "scan_id"), "page_id"))
-    ents = materialize(t.entities.join(pages.select("page_id", "scan_id"), "page_id"))
-    root = f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
-    ST.write_scan_tables(spark, root, {"scans": C.scans(spark, sf), "pages": pages, "jsonld_blocks": blocks, "schema_entities": ents})
+
+def st_persist_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-4..ST-6, SNK-4..SNK-6, SRC-3: store the pages, those with a URL of
+    even length in two snapshots of which the first has other children and
+    comes with another id; store the pages whose URL has a length divisible by
+    three again without their first block and all entities, remove old runs,
+    and read back each page with its blocks' ordinals and texts and its
+    entities."""
+    from crawlscope.streaming.pipeline import scratch
+    pages, blocks, ents = _with_scan(_scan_tables(spark, sf))
+    root = scratch(spark, "store")
+    ST.write_scan_tables(spark, root, {"scans": C.scans(spark, sf)})
+    earlier = pages.filter(F.length("url") % 2 == 0).withColumns(
+        {"page_id": F.concat(F.lit("old-"), "page_id"), "seq": F.col("seq") - 1_000_000_000, "status": F.lit("fetch_error")})
+    stale = earlier.select(F.concat(F.lit("block-"), "page_id").alias("block_id"), "page_id", F.lit(0).alias("ordinal"), F.lit("{}").alias("raw_text"),
+                           F.lit("{}").alias("parsed_json"), F.lit(None).cast("string").alias("parse_error"), "scan_id")
+    ST.persist_pages(spark, root, pages.unionByName(earlier), blocks.unionByName(stale), ents)
     again = pages.filter(F.length("url") % 3 == 0).withColumn("seq", F.col("seq") + 1_000_000_000)
     fewer = blocks.filter("ordinal > 0").join(again.select("page_id"), "page_id", "left_semi")
-    ST.persist_pages(spark, root, again, fewer, ents.join(fewer.select("block_id"), "block_id", "left_semi"))
+    ST.persist_pages(spark, root, again, fewer, ents.limit(0))
+    ST.compact(spark, root)
     back = ST.read_scan_tables(spark, root)
     b = back["jsonld_blocks"].groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "raw_text"))).alias("b"))
     e = back["schema_entities"].groupBy("page_id").agg(F.count(F.lit(1)).alias("n_entities"))
     out = back["pages"].join(back["scans"].select("scan_id"), "scan_id", "left_semi").join(b, "page_id", "left").join(e, "page_id", "left")
-    return out.select("scan_id", "url", "status",
+    return out.select("scan_id", "url", "page_id", "created_seq", "seq", "status",
                       F.coalesce(F.array_join(F.transform("b.ordinal", lambda x: x.cast("string")), ","), F.lit("")).alias("ordinals"),
                       F.md5(F.coalesce(F.array_join("b.raw_text", "|"), F.lit(""))).alias("texts"),
                       F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities"))
 
 
+def st_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-1, ST-3, ST-7..ST-11, ST-13 in the stored layout: the scan with most
+    pages and its first page, looked up by their keys."""
+    from crawlscope.streaming.pipeline import scratch
+    pages, blocks, ents = _with_scan(_scan_tables(spark, sf))
+    root = scratch(spark, "store")
+    ST.write_scan_tables(spark, root, {"scans": C.scans(spark, sf), "pages": pages, "jsonld_blocks": blocks, "schema_entities": ents})
+    scan_id = pages.groupBy("scan_id").count().orderBy(F.desc("count"), "scan_id").first().scan_id
+    t = ST.read_scan_tables(spark, root, scan_id)
+    page_id = ST.list_pages(t["pages"], scan_id).join(t["jsonld_blocks"].select("page_id"), "page_id", "left_semi").orderBy("url").first().page_id
+    page = ST.get_page(t["pages"], scan_id, page_id)
+    b, e = t["jsonld_blocks"].drop("scan_id"), t["schema_entities"].drop("scan_id", "page_id")
+    types = F.array_join("types", "|")
+    n = lambda c: F.col(c).cast("string")
+    doc = ST.site_documents(page, t["jsonld_blocks"], t["schema_entities"])
+
+    def rows(df, lookup, key, value):
+        return df.select(F.lit(lookup).alias("lookup"), key.alias("key"), value.alias("value"))
+    where = F.concat_ws("#", "url", n("ordinal"))
+    urls = t["pages"].select("page_id", "url")
+    parts = [
+        rows(ST.get_scan(t["scans"], scan_id), "ST-1", F.col("scan_id"), F.col("target_url")),
+        rows(ST.list_pages(t["pages"], scan_id), "ST-3", F.col("url"), F.col("status")),
+        rows(ST.list_pages(t["pages"], scan_id, "success"), "ST-3 success", F.col("url"), F.col("status")),
+        rows(page, "ST-7", F.col("page_id"), F.col("url")),
+        rows(ST.page_blocks(b, page_id), "ST-8", n("ordinal"), F.md5("raw_text")),
+        rows(ST.page_entities(e, b, page_id), "ST-9", F.concat_ws("/", n("ordinal"), "entity_path"), types),
+        rows(ST.scan_blocks(b, t["pages"]).join(urls, "page_id"), "ST-10", where, F.md5("raw_text")),
+        rows(ST.scan_entities(e, b, t["pages"].join(urls, ["page_id", "url"])).join(b.select("block_id", "page_id"), "block_id").join(urls, "page_id"),
+             "ST-11", F.concat_ws("/", where, "entity_path"), types),
+        rows(doc, "ST-13", F.col("url"), F.concat_ws(" ", F.size("blocks").cast("string"), F.size("entities").cast("string"))),
+    ]
+    for name, find in (("ST-1", lambda: ST.get_scan(t["scans"], "nope")), ("ST-7", lambda: ST.get_page(t["pages"], scan_id, "nope"))):
+        try:
+            find()
+        except ST.NotFound as error:
+            parts.append(rows(t["scans"].limit(1), name, F.lit("nope"), F.lit(str(error))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def st_cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     """ST-16: keep only terminal scans; pages, blocks and entities of the
     other scans are removed through the key chain."""
@@ -414,8 +524,11 @@ QUERIES = {
     "snk_export_artifacts": snk_export_artifacts,
     "au_damaged_exports": au_damaged_exports,
     "st_persist_roundtrip": st_persist_roundtrip,
+    "st_lookups": st_lookups,
     "st_cascade_delete": st_cascade_delete,
     "str_incremental_pages": str_incremental_pages,
     "str_progress_counters": str_progress_counters,
     "str_lifecycle": str_lifecycle,
+    "str_replayed_batch": str_replayed_batch,
+    "str_typed_events": str_typed_events,
 }

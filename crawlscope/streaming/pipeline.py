@@ -2,29 +2,37 @@
 
 * ``stream_pages`` (STR-1, STR-8): page requests arrive as files; each
   micro-batch is processed by the batch page pipeline inside ``foreachBatch``
-  and written with a dynamic partition overwrite keyed by ``batch_id``, so a
-  replayed batch rewrites the same partition (idempotent sink).  Requests
+  and its pages, blocks and entities are persisted as one run of the store,
+  named after the query's checkpoint and the batch, so a replayed batch
+  rewrites its own run, or does nothing if that was committed.  Requests
   claimed after their scan's cancel event are dropped by a stream-static
   anti join; claims made before the cancel still complete and count.
 * ``stream_progress`` (STR-2, STR-7): running per-scan counters as a
-  streaming aggregation over the page sink (update mode).
+  streaming aggregation over the persisted pages (update mode).
 * ``stream_lifecycle`` (STR-3..STR-6, AG-3): the order-tolerant status fold
   over control and page events as a streaming aggregation; the sink holds
   the latest state per scan, which is also the reconnect snapshot (STR-6).
+* ``stream_events`` (STR-4, STR-5): the typed event stream, of all scans or one.
 
-All checkpoints and sinks live under the shared checkpoint folder.
+State sinks are runs of the store too: the changed scans of a batch replace
+their rows in hash buckets, published at once.  All checkpoints and sinks live
+under the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlscope.operators import extract as X
+from crawlscope.operators import store as ST
 from crawlscope.session import checkpoint_dir, materialize
 
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -37,32 +45,57 @@ def claimable(requests: DataFrame, control: DataFrame) -> DataFrame:
     return joined.filter(F.col("cancel_seq").isNull() | (F.col("seq") <= F.col("cancel_seq"))).drop("cancel_seq")
 
 
+def run_name(checkpoint: str, batch_id: int) -> str:
+    """The store's run of a micro-batch: the same for a replay."""
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{batch_id}"
+
+
 def stream_pages(spark: SparkSession, request_dir: str, request_schema, responses: DataFrame, scans: DataFrame,
-                 dns: DataFrame | None, control: DataFrame, sink: str, files_per_trigger: int = 16) -> str:
-    """STR-1: process page requests incrementally; returns the sink path."""
+                 dns: DataFrame | None, control: DataFrame, root: str, checkpoint: str, files_per_trigger: int = 16,
+                 persist: Callable = ST.persist_pages) -> str:
+    """STR-1: process page requests incrementally into the store ``root``,
+    which is returned.  Started again with the same ``checkpoint``, the stream
+    goes on with the first batch that was not finished."""
     stream = (spark.readStream.schema(request_schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(request_dir))
     stream = claimable(stream, control)
 
-    # Captures are static: classify and tokenise them once, not per batch.
+    # Captures and addresses are static: classify and tokenise them once, not per batch.
     summaries = materialize(X.summarize_responses(responses, scans))
+    versions = materialize(X.capture_versions(summaries))
+    verdicts = materialize(X.dns_verdicts(dns)) if dns is not None else None
 
     def process(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        pages = X.pages_from_resolved(X.resolve_requests(batch, summaries, scans, dns)).drop("scripts")
-        (pages.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+        resolved = X.resolve_requests(batch, summaries, scans, verdicts=verdicts, versions=versions)
+        pages = materialize(ST.latest_snapshots(X.pages_from_resolved(resolved)).withColumn("created_seq", F.col("seq")))
+        owner = pages.select("page_id", "scan_id")
+        blocks = materialize(X.blocks_from_pages(pages))
+        entities = X.entities_from_blocks(blocks)
+        persist(spark, root, pages.drop("scripts"), blocks.join(owner, "page_id"), materialize(entities.join(owner, "page_id")), run_name(checkpoint, batch_id))
 
     q = (stream.writeStream.foreachBatch(process)
-         .option("checkpointLocation", scratch(spark, "ckpt-pages")).trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return sink
+    return root
+
+
+def state_sink(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str) -> str:
+    """Update-mode rows by scan: each batch's scans replace their rows."""
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            ST.write_scan_tables(spark, root, {"state": batch}, run_name(checkpoint, batch_id))
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(upsert)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return root
 
 
 # Control event -> published event type (fixed mapping).
 EVENT_OF_CONTROL = {"started": "scan_state", "urls_listed": "progress", "completed": "scan_completed",
-                    "cancel": "scan_state", "error": "scan_error"}
+                    "cancel": "scan_state", "error": "scan_error", "page_completed": "page_completed"}
 
 
 def typed_events(control: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -113,21 +146,14 @@ def fold_events(events: DataFrame) -> DataFrame:
 def stream_lifecycle(spark: SparkSession, events_dir: str, events_schema, sink: str,
                      scan_id: str | None = None, files_per_trigger: int = 16) -> str:
     """STR-3..STR-6: streaming fold in update mode; every micro-batch
-    replaces the changed scans' rows of the state table (latest wins), which
+    replaces the changed scans' rows of the store's ``state`` table, which
     is the snapshot a reconnecting subscriber reads first.  ``scan_id``
     narrows the stream to one scan (STR-5)."""
     ev = spark.readStream.schema(events_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(events_dir)
     if scan_id is not None:
         ev = ev.filter(F.col("scan_id") == scan_id)
     folded = fold_events(ev)
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("scan_key", F.col("scan_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_key").parquet(sink)
-
-    q = (folded.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", scratch(spark, "ckpt-life")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sink
+    return state_sink(spark, folded, sink, scratch(spark, "ckpt-life"))
 
 
 def stream_progress(spark: SparkSession, pages_dir: str, pages_schema, sink: str, files_per_trigger: int = 16) -> str:
@@ -137,12 +163,17 @@ def stream_progress(spark: SparkSession, pages_dir: str, pages_schema, sink: str
         F.count(F.lit(1)).alias("completed"),
         F.count(F.when(F.col("status") == "success", 1)).alias("successful"),
         F.count(F.when(~F.col("status").isin("success", "no_jsonld"), 1)).alias("failed"))
+    return state_sink(spark, counters, sink, scratch(spark, "ckpt-progress"))
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("scan_key", F.col("scan_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_key").parquet(sink)
 
-    q = (counters.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", scratch(spark, "ckpt-progress")).trigger(availableNow=True).start())
+def stream_events(spark: SparkSession, events_dir: str, events_schema, sink: str, scan_id: str | None = None, files_per_trigger: int = 16) -> str:
+    """STR-4, STR-5: appends the typed events of arriving control and page
+    events (of ``scan_id`` only, if given) to ``sink``."""
+    ev = spark.readStream.schema(events_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(events_dir)
+    if scan_id is not None:
+        ev = ev.filter(F.col("scan_id") == scan_id)
+    q = (typed_events(ev).writeStream.format("parquet").option("checkpointLocation", scratch(spark, "ckpt-events"))
+         .trigger(availableNow=True).start(sink))
     q.awaitTermination()
     return sink
 
