@@ -3,7 +3,7 @@
 Tokenising is a narrow ``posexplode``; grouping is sessionisation by
 windows partitioned by document (a robots file is bounded in size, so one
 window partition never holds more than one file's lines); the path verdict
-is an equi-join on ``scan_id`` with a prefix residual, so AQE can split a
+is an equi-join on ``(scan_id, beginning of the path)``, so AQE can split a
 site that owns most pages.
 """
 
@@ -89,13 +89,18 @@ def verdicts(targets: DataFrame, docs: DataFrame, path_col: str = "path",
 
     Literal prefix match on the path, longest rule wins, equal length -> allow,
     no rule (or no robots document) -> allowed.
+
+    Every path is taken apart into its beginnings of the lengths that rules of
+    its scan have, and these meet the rules as equal keys: work grows with the
+    lengths that occur, not with rules times paths.
     """
-    eff = effective_rules(docs, user_agent).select(
-        "scan_id", F.col("path").alias("rule_path"), "allowed")
+    rules = effective_rules(docs, user_agent).groupBy("scan_id", F.col("path").alias("_begin")).agg(F.max("allowed").alias("_allow"))
+    lengths = rules.groupBy("scan_id").agg(F.collect_set(F.length("_begin")).alias("_lengths"))
+    path = F.col(path_col)
     keyed = targets.withColumn("_tid", F.sha2(F.concat_ws("|", "scan_id", path_col), 256))
-    hits = (keyed.select("_tid", "scan_id", F.col(path_col).alias("_p")).distinct()
-            .join(eff, "scan_id").filter(F.col("_p").startswith(F.col("rule_path")))
-            .groupBy("_tid").agg(F.max_by("allowed", F.length("rule_path") * 2 + F.col("allowed").cast("int"))
-                                 .alias("_allowed")))
+    begins = (keyed.select("_tid", "scan_id", path.alias("_p")).distinct().join(lengths, "scan_id")
+              .withColumn("_n", F.explode("_lengths")).filter(F.length("_p") >= F.col("_n"))
+              .select("_tid", "scan_id", "_n", F.substring("_p", F.lit(1), F.col("_n")).alias("_begin")))
+    hits = begins.join(rules, ["scan_id", "_begin"]).groupBy("_tid").agg(F.max_by("_allow", "_n").alias("_allowed"))
     return keyed.join(hits, "_tid", "left").withColumn("allowed", F.coalesce("_allowed", F.lit(True))) \
         .drop("_tid", "_allowed")

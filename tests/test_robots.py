@@ -61,3 +61,21 @@ def test_sitemaps_keep_their_first_place(spark):
     text = lines("Sitemap: https://m.example/b.xml", "User-agent: *", "Sitemap:", "sitemap: https://m.example/a.xml", "Sitemap: https://m.example/b.xml")
     docs = spark.createDataFrame([("site", text)], "scan_id string, body string")
     assert [r.url for r in R.sitemaps(docs).orderBy("pos").collect()] == ["https://m.example/b.xml", "https://m.example/a.xml"]
+
+
+def test_longest_beginning_wins_without_a_prefix_condition(spark):
+    import random
+
+    rng = random.Random(6)
+    some = lambda n: "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(n)))
+    files = [(f"s{k}", "User-agent: *\n" + "".join(f"{rng.choice(['Allow', 'Disallow'])}: {some(5)}\n" for _ in range(12))) for k in range(4)]
+    paths = [(f"s{k % 5}", some(9)) for k in range(300)]
+    docs = spark.createDataFrame(files, "scan_id string, body string")
+    out = R.verdicts(spark.createDataFrame(paths, "scan_id string, path string"), docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "StartsWith" not in plan and "startswith" not in plan
+    rules = {s: [(line.split(": ")[1], line.startswith("Allow")) for line in body.split("\n")[1:] if line] for s, body in files}
+    for r in out.collect():
+        fits = [(len(p), ok) for p, ok in rules.get(r.scan_id, []) if r.path.startswith(p)]
+        assert r.allowed == (max(fits)[1] if fits else True)
+    assert out.count() == len(paths)
