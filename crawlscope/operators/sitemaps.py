@@ -165,7 +165,9 @@ def resolve_redirects(parsed: DataFrame, scans: DataFrame, verdicts: DataFrame |
                   .when(F.col("hops") >= F.col("max_redirects"), F.lit(MSG_REDIRECT_LIMIT))
                   .when(FU.policy_reason(F.col("_n")).isNotNull(), FU.policy_reason(F.col("_n")))
                   .when(F.col("same_origin_only") & (F.col("_n.origin") != F.col("init_origin")), F.lit(MSG_OUTSIDE))
-                  .otherwise(F.col("_n_address")))
+                  .when(F.col("_n_address").isNotNull(), F.col("_n_address"))
+                  # A redirect to itself meets the limit, whatever that is.
+                  .when(F.col("_n.href_nofrag") == F.col("cur_key"), F.lit(MSG_REDIRECT_LIMIT)))
         step = materialize(j.select(
             "scan_id", "doc_key", "init_origin", "hops", "max_redirects", "same_origin_only", "kind", "locs", "error",
             F.when(is_redirect & reason.isNull(), F.lit("next")).otherwise(F.lit("done")).alias("_step"),
