@@ -4,8 +4,11 @@
 A group of mutual near copies would yield the square of its size in pairs, so
 links are looked for in two rounds:
 
-1. within each key every member is compared with the smallest one only (a
-   star); verified links are closed to first components;
+1. within each key every member is compared with the most central one only (a
+   star): the one whose keys have most members in all.  A text that many others
+   are edited from shares nearly all its keys with them, while each of them has
+   keys of its own, so most of a group is linked with it at once; verified links
+   are closed to first components;
 2. what remains are keys whose members lie in different components.  Two
    components are compared by their smallest members first, and by the triangle
    inequality dropped together where even their closest members are too far
@@ -53,12 +56,18 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, id, low) for keys that at least two different ids have; low is the
-    smallest of them.  One shuffle; as an id has many keys, no key can hold
+    """(key, id, n) for keys that at least two different ids have; n counts the
+    key's rows.  One shuffle; as an id has many keys, no key can hold
     more than a small share of the rows."""
     over = Window.partitionBy("key")
-    rows = keys.withColumn("low", F.min("id").over(over)).withColumn("high", F.max("id").over(over))
-    return rows.where("low != high").select("key", "id", "low").distinct()
+    rows = keys.withColumn("low", F.min("id").over(over)).withColumn("high", F.max("id").over(over)).withColumn("n", F.count("*").over(over))
+    return rows.where("low != high").select("key", "id", "n").distinct()
+
+
+def centres(shared: DataFrame) -> DataFrame:
+    """(key, centre): of each key's members the one whose keys have most members."""
+    central = shared.groupBy("id").agg(F.sum("n").alias("central"))
+    return shared.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("central", "id")).alias("c")).select("key", F.col("c.id").alias("centre"))
 
 
 def components_of_shared(shared: DataFrame, compare: Callable[[DataFrame], DataFrame], distance: Callable[[DataFrame], DataFrame],
@@ -73,7 +82,8 @@ def components_of_shared(shared: DataFrame, compare: Callable[[DataFrame], DataF
     ``reach``: (id) -> (id, reach), the distance up to which an id may be
     linked to anything.
     """
-    star = save(compare(shared.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()), "star")
+    spokes = shared.join(centres(shared), "key").where("id != centre")
+    star = save(compare(spokes.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()), "star")
     links = star.where("linked").select("a", "b")
     first = save(connected(links), "first")
     rows = shared.join(first, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
