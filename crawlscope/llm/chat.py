@@ -85,7 +85,8 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
 def format_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """One row per chosen path: tree_id, leaf, formatted, loss (array of start
     from 1 and length, in code points, of the assistant texts in it)."""
-    key = F.coalesce(F.col("tree_id").cast("string"), F.lit("null"))
+    name = F.col("tree_id").cast("string")
+    key = F.when(name.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), name))  # no tree's name is that of rows without one
     rows = (messages.groupBy(key.alias("t"), F.col("msg_id").alias("node"))
             .agg(F.min(F.struct(F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.col("parent_id").alias("parent"),
                                 F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
