@@ -133,8 +133,8 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     layout = spark.createDataFrame([(int(c), int(blocks[c]), -(-n // QUERY_BLOCK)) for c, n in asked.items()],
                                    "cell int, blocks int, parts int")  # MAX_PIVOTS rows at most
-    sent = sent.join(layout, "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("blocks", "parts")
-    data = (cells.join(layout, "cell").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    sent = sent.join(F.broadcast(layout), "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("blocks", "parts")
+    data = (cells.join(F.broadcast(layout), "cell").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("blocks", "parts"))
     width = pivots.shape[1]
 
