@@ -162,32 +162,57 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
         (F.size("spans") > 0).alias("contaminated"))
 
 
-def _cutter(windows: dict, text_col: str, schema_names: list[str], drop: bool):
-    def cut(batches):
+def _dropper(windows: dict):
+    """Leaves out the rows that hold a window."""
+    def run(batches):
         table, values = class_table("alnum"), byte_values(lower=True)
         for batch in batches:
-            data, offsets = string_buffers(batch.column(text_col))
-            texts: dict[int, str] = {}
+            data, offsets = string_buffers(batch.column("text"))
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for a, b in chunks(offsets):
+                _, owned = scan_batch(words_of(data, offsets, a, b, table, values), windows)
+                clean[[a + r for r, _ in owned]] = False
+            yield batch if clean.all() else batch.filter(pa.array(clean))
+    return run
+
+
+def _marker(windows: dict, spans_col: str):
+    """Adds the hit words' indexes to ``spans_col``; texts stay as they are."""
+    def run(batches):
+        table, values = class_table("alnum"), byte_values(lower=True)
+        for batch in batches:
+            data, offsets = string_buffers(batch.column("text"))
+            at = batch.schema.get_field_index(spans_col)
+            spans = batch.column(at).to_pylist()
             for a, b in chunks(offsets):
                 w = words_of(data, offsets, a, b, table, values)
                 covered, owned = scan_batch(w, windows)
-                if not owned:
-                    continue
-                flags = hit_flags(covered, len(w.hash))
+                flags = hit_flags(covered, len(w.hash)) if owned else None
                 for r in {r for r, _ in owned}:
-                    texts[a + r] = "" if drop else without_words(w, r, flags, offsets[a:b + 1] - offsets[a])
-            if not texts:
-                yield batch
-            elif drop:
-                yield batch.filter(pa.array([r not in texts for r in range(batch.num_rows)]))
-            else:
-                column = batch.column(text_col).to_pylist()
-                for r, t in texts.items():
-                    column[r] = t
-                k = batch.schema.get_field_index(text_col)
-                arrays = [pa.array(column, pa.string()) if i == k else batch.column(i) for i in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema_names)
-    return cut
+                    hit = np.flatnonzero(flags[w.first[r]:w.first[r + 1]]).tolist()
+                    spans[a + r] = sorted({*spans[a + r], *hit})
+            arrays = [pa.array(spans, pa.list_(pa.int64())) if k == at else batch.column(k) for k in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+    return run
+
+
+def _cutter(spans_col: str):
+    """Takes the marked words out of each text, and drops the marks."""
+    def run(batches):
+        table, values = class_table("alnum"), byte_values(lower=True)
+        for batch in batches:
+            column = batch.column("text")
+            data, offsets = string_buffers(column)
+            texts = column.to_pylist()
+            for r, spans in enumerate(batch.column(spans_col).to_pylist()):
+                if spans:
+                    w = words_of(data, offsets, r, r + 1, table, values)
+                    flags = np.zeros(len(w.hash), dtype=bool)
+                    flags[spans] = True
+                    texts[r] = without_words(w, 0, flags, offsets[r:r + 2] - offsets[r])
+            names = [n for n in batch.schema.names if n != spans_col]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+    return run
 
 
 def without_words(w, r: int, flags: np.ndarray, offsets: np.ndarray) -> str:
@@ -206,14 +231,24 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, whole: boo
            max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Drop the contaminated documents (``whole``), or cut their hit words.
 
-    Cutting works off one block of items after another; as a cut could only
-    hide later hits that overlap it, each block judges what is left.
+    What is hit is judged on the texts as given: all blocks of items mark their
+    words first, then each text is cut once, so the size of the blocks changes
+    nothing.
     """
     prepare(docs.sparkSession)
-    out = docs
+    if whole:
+        out = docs
+        for w in benchmark_blocks(benchmark, size, max_windows):
+            out = out.mapInArrow(_dropper(w), docs.schema)
+        return out
+    spans = "spans"
+    while spans in docs.columns:
+        spans += "_"
+    out = docs.withColumn(spans, F.array().cast("array<long>"))
+    marked = out.schema
     for w in benchmark_blocks(benchmark, size, max_windows):
-        out = out.mapInArrow(_cutter(w, "text", docs.columns, whole), docs.schema)
-    return out
+        out = out.mapInArrow(_marker(w, spans), marked)
+    return out.mapInArrow(_cutter(spans), docs.schema)
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,12 +17,13 @@ from .common import ODD, corpus, frame, words
 def test_reply_tree_takes_the_best_branch(spark):
     rows = [("t", 1, None, "user", "root", 1.0), ("t", 2, 1, "assistant", "a", 5.0), ("t", 3, 1, "assistant", "b", 1.0),
             ("t", 4, 2, "user", "deep", 0.0), ("t", 5, 4, "assistant", "end", 9.0), ("t", 6, 3, "user", "x", 2.0),
-            ("t", 6, 3, "user", "x", 2.0), ("u", 1, 99, None, None, None), (None, 1, None, "user", "null tree", 0.0),
+            ("t", 6, 3, "user", "x", 2.0), ("u", 1, 99, None, None, None), (None, 1, None, "user", "null tree", 0.0), ("null", 1, None, "user", "a name", 0.0),
             ("c", 1, 2, "user", "cycle", 0.0), ("c", 2, 1, "user", "cycle", 0.0)]
     messages = spark.createDataFrame(rows, "tree_id string, msg_id long, parent_id long, role string, text string, score double")
     got = {r.tree_id: r for r in chat.format_paths(messages).withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
     assert [(t.role, t.text) for t in got["t"].turns] == [("user", "root"), ("assistant", "a"), ("user", "deep"), ("assistant", "end")]
-    assert got["t"].leaf == 5 and set(got) == {"t", "u", None}
+    assert got["t"].leaf == 5 and set(got) == {"t", "u", None, "null"}
+    assert got[None].turns[0].text == "null tree" and got["null"].turns[0].text == "a name"
     assert [(t.role, t.text) for t in got["u"].turns] == [("", "")]
     both = chat.format_paths(messages, top=2).where("tree_id = 't'").count()
     assert both == 2
@@ -199,3 +200,18 @@ def test_sum_of_squares_takes_the_smallest_change():
         assert o == fill.get(b, 0) and o + s <= capacity
         fill[b] = o + s
         assert squares(fill) == min(choices)
+
+
+@pytest.mark.parametrize("blocks", [3, 14, 2_000_000])
+def test_cuts_do_not_depend_on_blocks(spark, blocks):
+    """Two items overlap: what one of them hits stays hit when the other's
+    words are gone."""
+    items = [(1, "a b c d e f g h i j"), (2, "f g h i j k l m n o"), (3, "q r s t u v w x y z")]
+    rows = [(1, "zz a b c d e f g h i j k l m n o p yy"), (2, "clean"), (3, None), (4, "Q r, s t u v w x y z!"), (None, "a b c d e f g h i j")]
+    docs = spark.createDataFrame([(*r, "s", [7]) for r in rows], "doc_id long, text string, source string, spans array<int>")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.remove(docs, bench, whole=False, max_windows=blocks).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "zz  p yy", 2: "clean", 3: None, 4: "!", None: ""}
+    assert all(r.spans == [7] and r.source == "s" for r in got)
+    left = decontaminate.remove(docs, bench, max_windows=blocks)
+    assert {r.doc_id for r in left.collect()} == {2, 3} and left.schema == docs.schema
