@@ -2,7 +2,7 @@
 
 1. Lexicon and pattern mining: document frequencies of words, word beginnings
    and symbol runs by class over at most about ``SAMPLE`` labelled rows (copies left out); the
-   ``ENTRIES`` entries of strongest evidence are dealt into lexicons.
+   entries with enough evidence, all of them, are dealt into lexicons.
 2. Voters: each lexicon votes "toxic" where one of its entries occurs and
    abstains otherwise; one voter says "clean" where no lexicon has an entry.
 3. Generative label model: the votes of all documents are counted by pattern.
@@ -38,12 +38,11 @@ from crawlscope.session import ship_with_tasks
 ship_with_tasks(sys.modules[__name__])
 
 SAMPLE = 20_000     # labelled rows that entries are mined from
-ENTRIES = 768
 LEXICONS = 2        # lexicons for each kind of entry: 2 ** 13 vote patterns at most
 BEGINNINGS = (4, 5, 6, 8)
 TRAINING = 20_000   # documents that the linear classifier is trained on
 LEAST = 4           # toxic sample documents that an entry must occur in
-EVIDENCE = 35.0     # least log-likelihood ratio of an entry (chance: about 3e-9)
+EVIDENCE = 14.0     # least log-likelihood ratio of an entry (chance: about 2e-4)
 JOIN_ABOVE = 0.3    # correlation within a class that joins two voters
 THRESHOLD = 0.3
 PRECISION = 0.75    # least share of an entry's sample documents that are toxic
@@ -71,7 +70,8 @@ def features(data, offsets, a, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def mine(docs: DataFrame, wanted: dict[int, int]) -> list[tuple[int, int, float]]:
-    """[(feature hash, kind, log-likelihood ratio)] of the best ``ENTRIES`` entries."""
+    """[(feature hash, kind, log-likelihood ratio)] of every entry
+    with enough evidence; the sample bounds their number."""
     prepare(docs.sparkSession)
     ids = np.array(sorted(wanted), dtype=np.int64)
     label = np.array([wanted[int(i)] for i in ids], dtype=bool)
@@ -100,7 +100,7 @@ def mine(docs: DataFrame, wanted: dict[int, int]) -> list[tuple[int, int, float]
             .where((F.col("yes") >= LEAST) & (F.col("yes") >= PRECISION * (F.col("yes") + F.col("no"))))
             .withColumn("g", 2 * (F.col("yes") * F.log(F.col("yes") / ((F.col("yes") + F.col("no")) * rate))
                                   + F.when(F.col("no") > 0, F.col("no") * F.log(F.col("no") / ((F.col("yes") + F.col("no")) * (1 - rate)))).otherwise(0.0)))
-            .where(F.col("g") > EVIDENCE).orderBy(F.desc("g"), "h").limit(ENTRIES).collect())
+            .where(F.col("g") > EVIDENCE).orderBy(F.desc("g"), "h").collect())
     return [(r.h, r.kind, r.g) for r in rows]
 
 

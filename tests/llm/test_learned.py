@@ -25,6 +25,18 @@ def test_held_out_accuracy(spark, query, column):
     assert (held.predicted == (held[column] > 0)).mean() >= 0.88
 
 
+SF_LARGER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.exists(SF_LARGER), reason="driver test data not present")
+def test_held_out_recall_of_toxic_documents(spark):
+    held = toxicity.op9_toxicity(spark, SF_LARGER).where("held_out").join(spark.read.parquet(f"{SF_LARGER}/labels.parquet"), "doc_id").toPandas()
+    toxic = held.toxic == 1
+    rank = held.score.rank()
+    area = (rank[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert held.predicted[toxic].mean() >= 0.9 and held.predicted[~toxic].mean() <= 0.03 and area >= 0.95
+
+
 def test_folds_use_the_decimal_id(spark):
     import zlib
 
