@@ -525,22 +525,37 @@ def coverage(a: Artifacts) -> DataFrame:
     return rows.unionByName(here.join(limits, "format").select("scan_id", F.lit("").alias("check_id"), "format", F.lit("limit").alias("state"), "reason"))
 
 
-def render_report(findings: DataFrame) -> DataFrame:
-    """AU-20: findings-first report as ordered text lines (rank, line).
+def render_report(findings: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """AU-20: findings-first report as ordered texts (rank, key, line).
 
-    Lines are globally sorted by severity rank and location (a distributed
-    sort), preceded by a headline that states the defect count - explicitly
-    "No export/data defects found." when there are none.  Write with
+    A headline (with "No export/data defects found." when there are none), a
+    section per finding by severity and place (a distributed sort), and what
+    was covered: checks that were unavailable or partial, with the number of
+    scans, and the counts per severity.  Write with
     ``orderBy('rank', 'key').select('line').write.text``.
     """
     rank = F.create_map(*[x for i, s in enumerate(SEVERITIES) for x in (F.lit(s), F.lit(i))])
-    lines = findings.select(F.element_at(rank, F.col("severity")).alias("rank"),
-                            F.concat_ws(" ", "check_id", "location").alias("key"),
-                            F.concat(F.lit("- ["), F.col("severity"), F.lit("] "), F.col("check_id"), F.lit(" "),
-                                     F.col("location"), F.lit(": "), F.col("evidence")).alias("line"))
-    n = findings.agg(F.count_if(F.col("category") == DEFECT).alias("n"))
-    head = n.select(F.lit(-1).alias("rank"), F.lit("").alias("key"),
-                    F.when(F.col("n") == 0, F.lit("# Export audit\n\nNo export/data defects found."))
-                    .otherwise(F.concat(F.lit("# Export audit\n\n"), F.col("n").cast("string"),
-                                        F.lit(" export/data defects."))).alias("line"))
-    return head.unionByName(lines)
+    section = F.concat_ws("\n", F.lit(""), F.concat(F.lit("### ["), F.col("severity"), F.lit("] "), F.col("check_id"), F.lit(": "), F.col("impact")),
+                          *[F.concat(F.lit(f"- {word}: "), F.coalesce(value, F.lit(""))) for word, value in (
+                              ("Category", F.col("category")), ("Location", F.concat_ws(" ", "artifact", "location")), ("Evidence", F.col("evidence")),
+                              ("Impact", F.col("impact")), ("Recommendation", F.col("recommendation")))])
+    lines = findings.select(F.element_at(rank, F.col("severity")).alias("rank"), F.concat_ws(" ", "check_id", "artifact", "location").alias("key"),
+                            section.alias("line"))
+    title = "# Export Audit\n\n## Findings"
+    head = findings.agg(F.count_if(F.col("category") == DEFECT).alias("n")).select(
+        F.lit(-1).alias("rank"), F.lit("").alias("key"),
+        F.when(F.col("n") == 0, F.lit(title + "\n\nNo export/data defects found."))
+        .otherwise(F.concat(F.lit(title + "\n\n"), F.col("n").cast("string"), F.lit(" export/data defects."))).alias("line"))
+    after = len(SEVERITIES)
+    words = F.concat_ws(", ", *[F.concat(F.lit(f"{s} "), F.count_if(F.col("severity") == s).cast("string")) for s in SEVERITIES])
+    foot = findings.agg(words.alias("w")).select(F.lit(after + 2).alias("rank"), F.lit("").alias("key"), F.concat(F.lit("- Summary: "), F.col("w")).alias("line"))
+    out = head.unionByName(lines).unionByName(foot)
+    if coverage is not None:
+        checked = coverage.filter("state != 'limit'").groupBy("format").agg(F.countDistinct(F.when(F.col("reason") != "no artifact", F.col("scan_id"))).alias("n"))
+        checked = checked.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "format", F.col("n").cast("string")))), ", ").alias("t")).select(
+            F.lit(after).alias("rank"), F.lit("").alias("key"), F.concat(F.lit("\n## Coverage\n- Artifacts checked: "), F.col("t")).alias("line"))
+        unknown = coverage.filter(F.col("state").isin("partial", "unavailable")).groupBy("check_id", "format", "state").agg(F.count(F.lit(1)).alias("n"))
+        unknown = unknown.select(F.lit(after + 1).alias("rank"), F.concat_ws(" ", "check_id", "format", "state").alias("key"),
+                                 F.format_string("- Check %s of %s %s for %d scans", "check_id", "format", "state", "n").alias("line"))
+        out = out.unionByName(checked).unionByName(unknown)
+    return out

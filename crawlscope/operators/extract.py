@@ -325,12 +325,30 @@ class ScanTables(NamedTuple):
     entities: DataFrame
 
 
-def process_pages(requests: DataFrame, responses: DataFrame, scans: DataFrame,
-                  dns: DataFrame | None = None, with_entities: bool = True) -> ScanTables:
-    """Full page step of a scan: requests + captures -> pages, blocks, entities."""
+def blocked_pages(requests: DataFrame, message: str) -> DataFrame:
+    """ROB-7: pages of requests that are not fetched, with the status ``blocked``."""
+    normalized = F.coalesce(F.col("_b.href_nofrag"), F.col("url"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return FU.with_url(requests, "url", "_b").select(
+        _sha(F.col("scan_id"), normalized).alias("page_id"), "scan_id", normalized.alias("url"), normalized.alias("normalized_url"), "sitemap_source",
+        F.lit("blocked").alias("status"), none("int").alias("http_status"), none("string").alias("content_type"), F.lit(0).alias("duration_ms"),
+        F.lit(message).alias("error"), F.lit(0).alias("block_count"), "seq", none("array<string>").alias("scripts"))
+
+
+def process_pages(requests: DataFrame, responses: DataFrame, scans: DataFrame, dns: DataFrame | None = None,
+                  with_entities: bool = True, robots_docs: DataFrame | None = None) -> ScanTables:
+    """Full page step of a scan: requests + captures -> pages, blocks, entities.
+    With ``robots_docs`` requests that robots files forbid are not fetched."""
+    blocked = None
+    if robots_docs is not None:
+        from crawlscope.operators import robots as R
+
+        requests, forbidden = R.split_blocked(requests, robots_docs, scans)
+        requests, blocked = materialize(requests), blocked_pages(forbidden, R.MSG_BLOCKED)
     summaries = materialize(summarize_responses(responses, scans))
     resolved = resolve_requests(requests, summaries, scans, dns)
-    pages = materialize(pages_from_resolved(resolved))
+    pages = pages_from_resolved(resolved)
+    pages = materialize(pages if blocked is None else pages.unionByName(blocked))
     blocks = blocks_from_pages(pages)
     entities = entities_from_blocks(materialize(blocks)) if with_entities else None
     return ScanTables(pages.drop("scripts"), blocks, entities)

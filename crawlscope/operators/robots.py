@@ -104,3 +104,18 @@ def verdicts(targets: DataFrame, docs: DataFrame, path_col: str = "path",
     hits = begins.join(rules, ["scan_id", "_begin"]).groupBy("_tid").agg(F.max_by("_allow", "_n").alias("_allowed"))
     return keyed.join(hits, "_tid", "left").withColumn("allowed", F.coalesce("_allowed", F.lit(True))) \
         .drop("_tid", "_allowed")
+
+
+MSG_BLOCKED = "Blocked by robots.txt"
+
+
+def split_blocked(requests: DataFrame, docs: DataFrame, scans: DataFrame, user_agent: str = DEFAULT_USER_AGENT) -> tuple[DataFrame, DataFrame]:
+    """ROB-7: (requests to fetch, requests that the robots file of a scan that
+    respects it forbids)."""
+    from crawlscope.functions import urls as FU
+
+    asked = FU.with_url(requests, "url", "_u").withColumn("_path", F.col("_u.path")).drop("_u")
+    judged = verdicts(asked, docs, "_path", user_agent).drop("_path").join(scans.select("scan_id", "respect_robots"), "scan_id", "left")
+    forbidden = F.coalesce(F.col("respect_robots"), F.lit(True)) & ~F.col("allowed")
+    judged = judged.withColumn("_forbidden", forbidden).drop("allowed", "respect_robots")
+    return judged.filter(~F.col("_forbidden")).drop("_forbidden"), judged.filter("_forbidden").drop("_forbidden")

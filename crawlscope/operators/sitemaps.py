@@ -297,10 +297,14 @@ def discover_scans(scans: DataFrame, robots_sitemaps: DataFrame, robots_docs: Da
     return discover(queue, parse_documents(sitemap_docs), scans, dns), robots_errors
 
 
-def scan_sitemap_url(scans: DataFrame, urls: DataFrame) -> DataFrame:
+def scan_sitemap_url(scans: DataFrame, urls: DataFrame, now_ms=None) -> DataFrame:
     """SM-8 / ST-14: a scan's sitemap_url is the given one, else the first
-    non-empty source (discovery order) that yielded URLs."""
+    non-empty source (discovery order) that yielded URLs; a scan that gets one
+    this way is updated at ``now_ms``."""
     first = urls.filter(F.length("source") > 0).groupBy("scan_id").agg(
         F.min_by("source", "order_key").alias("_first"))
-    return scans.join(first, "scan_id", "left").withColumn(
-        "sitemap_url", F.coalesce("sitemap_url", "_first")).drop("_first")
+    out = scans.join(first, "scan_id", "left")
+    if now_ms is not None:
+        found = F.col("sitemap_url").isNull() & F.col("_first").isNotNull()
+        out = out.withColumn("updated_ms", F.when(found, now_ms).otherwise(F.col("updated_ms")))
+    return out.withColumn("sitemap_url", F.coalesce("sitemap_url", "_first")).drop("_first")

@@ -139,6 +139,14 @@ def rob_verdicts(spark: SparkSession, sf: str) -> DataFrame:
                     F.when(F.col("respect_robots") & ~F.col("allowed"), F.lit("blocked")).alias("robots_status"))
 
 
+def rob_blocked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """ROB-7: page status where robots files are obeyed: forbidden pages are not
+    fetched and get ``blocked``."""
+    t = X.process_pages(C.page_requests(spark, sf), C.responses(spark, sf), C.scans(spark, sf), C.dns(spark, sf),
+                        with_entities=False, robots_docs=C.robots_docs(spark, sf))
+    return t.pages.select("scan_id", "url", "status", "http_status", "error", "block_count")
+
+
 def _discovery(spark: SparkSession, sf: str) -> tuple[S.Discovery, DataFrame]:
     robots = C.robots_docs(spark, sf)
     return S.discover_scans(C.scans(spark, sf), R.sitemaps(robots), robots, C.sitemap_docs(spark, sf), C.dns(spark, sf))
@@ -165,9 +173,11 @@ def sm_discovery_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sm_scan_sitemap_url(spark: SparkSession, sf: str) -> DataFrame:
-    """SM-8, ST-14: scan sitemap_url from the first source that yielded URLs."""
+    """SM-8, ST-14: scan sitemap_url from the first source that yielded URLs,
+    found five seconds after the scan was made."""
     disc, _ = _discovery(spark, sf)
-    return S.scan_sitemap_url(C.scans(spark, sf), disc.urls).select("scan_id", "sitemap_url")
+    scans = C.scans(spark, sf).withColumn("updated_ms", F.col("created_ms"))
+    return S.scan_sitemap_url(scans, disc.urls, F.col("created_ms") + 5000).select("scan_id", "sitemap_url", "updated_ms")
 
 
 def ex_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,25 +290,49 @@ def snk_export_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     return AR.artifact_digests(manifest, folder)
 
 
-def au_damaged_exports(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-4, AU-1..AU-12, AU-16, AU-17, AU-19: exports damaged in fifteen ways,
-    read in ranges and audited: every finding, and what could not be checked."""
+def _damaged(spark: SparkSession, sf: str):
+    """Artifacts of exports damaged in fifteen ways, read in small ranges."""
     from crawlscope.operators import artifact as AR
     from crawlscope.operators import audit as A
     from crawlscope.operators import ranges as RG
-    from crawlscope.plans.audit_run import audit_artifacts
     from crawlscope.sources import damage as D
     from crawlscope.streaming.pipeline import scratch
     scans, t = _export_input(spark, sf)
     folder = scratch(spark, "damaged")
     rows = materialize(D.damaged_rows(AR.export_rows(scans, t), scans))
     manifest = AR.write_artifacts(rows, AR.artifact_names(scans), folder)
-    findings, coverage = audit_artifacts(A.read_artifacts(RG.part_ranges(manifest, folder, 2000)))
+    return A.read_artifacts(RG.part_ranges(manifest, folder, 2000))
+
+
+def au_damaged_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-4, AU-1..AU-12, AU-16, AU-17, AU-19: exports damaged in fifteen ways,
+    read in ranges and audited: every finding, and what could not be checked."""
+    from crawlscope.plans.audit_run import audit_artifacts
+    findings, coverage = audit_artifacts(_damaged(spark, sf))
     unknown = coverage.filter(F.col("state").isin("partial", "unavailable"))
     return findings.select("check_id", "artifact", "location", "evidence").unionByName(unknown.select(
         "check_id", F.concat_ws(":", "format", "scan_id").alias("artifact"), F.col("state").alias("location"), F.col("reason").alias("evidence")))
 
 
+def au_report(spark: SparkSession, sf: str) -> DataFrame:
+    """AU-18, AU-20, AU-21: of the damaged exports the counts per severity, the
+    report's lines before and behind the findings, and the inventory."""
+    from crawlscope.operators import audit as A
+    from crawlscope.plans.audit_run import audit_artifacts
+    a = _damaged(spark, sf)
+    findings, coverage = audit_artifacts(a)
+    findings = materialize(findings)
+    n = lambda c: F.col(c).cast("string")
+    summary = A.severity_summary(findings).select(F.lit("severity").alias("part"), F.col("severity").alias("key"), n("findings").alias("value"))
+    report = A.render_report(findings, coverage)
+    frame = report.filter((F.col("rank") < 0) | (F.col("rank") >= len(A.SEVERITIES))).select(F.lit("report").alias("part"), "key", F.col("line").alias("value"))
+    sections = report.filter((F.col("rank") >= 0) & (F.col("rank") < len(A.SEVERITIES))).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("report").alias("part"), F.lit("sections").alias("key"), n("n").alias("value"))
+    files = A.artifact_inventory(a).groupBy("format", "scope", "complete").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("inventory").alias("part"), F.concat_ws(" ", "format", "scope", n("complete")).alias("key"), n("n").alias("value"))
+    return summary.unionByName(frame).unionByName(sections).unionByName(files)
+
+
 def _stream_input(spark: SparkSession, sf: str, files: int) -> tuple:
     """Arguments of ``stream_pages`` over all page requests, as ``files`` files."""
     from crawlscope.streaming import pipeline as SP
@@ -506,6 +540,7 @@ QUERIES = {
     "rob_rules": rob_rules,
     "rob_sitemaps": rob_sitemaps,
     "rob_verdicts": rob_verdicts,
+    "rob_blocked_pages": rob_blocked_pages,
     "sm_parse_documents": sm_parse_documents,
     "sm_discovered_urls": sm_discovered_urls,
     "sm_discovery_errors": sm_discovery_errors,
@@ -523,6 +558,7 @@ QUERIES = {
     "au_export_roundtrip": au_export_roundtrip,
     "snk_export_artifacts": snk_export_artifacts,
     "au_damaged_exports": au_damaged_exports,
+    "au_report": au_report,
     "st_persist_roundtrip": st_persist_roundtrip,
     "st_lookups": st_lookups,
     "st_cascade_delete": st_cascade_delete,
