@@ -334,15 +334,15 @@ def _merge(old: dict[str, DataFrame], pages: DataFrame, blocks: DataFrame, entit
         came = came.unionByName(stored.select(*key, "seq", F.col("page_id").alias("came_id"), F.lit(False).alias("new")))
     holds = came.groupBy(*key).agg(F.max(F.struct("seq", "new", "came_id")).alias("h")).select(*key, "h.*")
     holds = materialize(holds.join(merged.select(*key, "page_id"), key))
-    mine = holds.filter("new").select(F.col("came_id"), "page_id", "seq")
+    mine = holds.filter("new").select("came_id", F.col("page_id").alias("kept_id"), F.col("seq").alias("came_seq"))
     kept = holds.filter("NOT new").select("page_id")
 
     def under_kept(children: DataFrame) -> DataFrame:
-        cond = children["page_id"] == mine["came_id"]
+        cond = F.col("page_id") == F.col("came_id")
         if "seq" in children.columns:  # snapshots that share an id are told apart by their number
-            cond = cond & (children["seq"] == mine["seq"])
-        return children.join(mine, cond).select(mine["page_id"], *[children[c] for c in children.columns if c not in ("page_id", "seq")]).select(
-            *[c for c in children.columns if c != "seq"])
+            cond = cond & (F.col("seq") == F.col("came_seq"))
+        names = [c for c in children.columns if c != "seq"]
+        return children.join(mine, cond).select(*[F.col("kept_id").alias(c) if c == "page_id" else c for c in names])
     new_blocks = under_kept(blocks)
     out = {"pages": merged, "jsonld_blocks": new_blocks, "schema_entities": under_kept(entities)}
     if stored is not None:

@@ -127,3 +127,25 @@ def test_old_runs_are_removed(spark, tmp_path):
     ST.persist_pages(spark, root, *frames(spark, [page(f"p{n}", f"s{n}", "u", 10) for n in range(3)]))
     assert set(ST.compact(spark, root)) == {"last", runs[0], runs[1]}
     assert {v[1] for v in stored(spark, root)[0].values()} == {10} and F is not None
+
+
+def test_roundtrip_of_urls_requested_twice(spark, tmp_path):
+    """Two rows of one URL are two snapshots: the first gives the number, the
+    last the children; rows that come twice are one."""
+    import hashlib
+
+    from crawlscope.plans import catalog
+
+    base = "https://ab.example.org"
+    rows = [(k, base + path, f"<html><head><title>{k}</title></head></html>") for k, path in ((1, "/ab"), (10, "/ab"), (17, "/pag"), (34, "/pag"), (49, "/abcd"), (49, "/abcd"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, f"name {k}", "brand", k) for k in (1, 10, 17, 34, 49)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.url: r for r in catalog.st_persist_roundtrip(spark, str(tmp_path)).collect()}
+
+    def text(k):
+        return ('[{"name":"name %d","@type":"WebPage","@context":"https://schema.org"},"plain",{"@graph":[{"name":"name %d","@type":"Product"},'
+                '{"price":"%d","@type":["Offer",7]}],"@context":"https://schema.org"}]' % (k, k, k))
+    assert {u: (r.created_seq, r.seq, r.ordinals, r.n_entities) for u, r in got.items()} == {
+        base + "/ab": (2, 20, "0", 3), base + "/pag": (34, 68, "0", 3), base + "/abcd": (98, 1_000_000_098, "", 0)}
+    assert [got[base + u].texts for u in ("/ab", "/pag")] == [hashlib.md5(text(k).encode()).hexdigest() for k in (10, 34)]
+    assert got[base + "/pag"].page_id.startswith("old-") and not got[base + "/ab"].page_id.startswith("old-")
