@@ -224,6 +224,33 @@ class Sets:
         return (close.where("low > most").select("a", "b", "low", F.lit(False).alias("linked"))
                 .unionByName(exact.select("a", "b", F.col("far").alias("low"), (F.col("far") <= F.col("most")).alias("linked"))))
 
+    def parts(self, spokes: DataFrame) -> DataFrame:
+        """Hashes that a set or its centre has alone.  With d the most that
+        linked sets may differ by, sets p and q apart from the centre share
+        (p + q - d) / 2 of them; q is above what its size and the centre's
+        allow, or the set would be near."""
+        size, percent = self.size, self.percent
+
+        def run(batches):
+            for batch in batches:
+                both = [[], []]
+                for side, name in enumerate(("text_a", "text_b")):
+                    for _, sets in shingle_sets(batch.column(name), size):
+                        both[side].extend(sets)
+                alone = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(*both)]
+                p, at, n = (np.array([len(x) for x in z], dtype=np.int64) for z in (alone, *both))
+                share, whole = 100 - percent, 100 + percent
+                within = (n + n * 100 // percent) * share // whole
+                more = -(-(n - at) * share // whole)  # rounded up
+                need = np.maximum(1, np.maximum(-(-(p + 1 - more) // 2), p - within))
+                near = p <= (n + at) * share // whole
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a"), batch.column("b"), pa.array([x.tolist() for x in alone], pa.list_(pa.int64())), pa.array(near), pa.array(need), pa.array(within)],
+                    names=["centre", "id", "parts", "near", "need", "within"])
+        joined = (spokes.select(F.col("centre").alias("a"), F.col("id").alias("b")).join(self._text("a"), "a").join(self._text("b"), "b")
+                  .select("a", "b", "text_a", "text_b"))
+        return joined.mapInArrow(run, "centre long, id long, parts array<long>, near boolean, need long, within long")
+
     def reach(self, ids: DataFrame) -> DataFrame:
         """A set of n is linked to sets of at most n * 100 / percent."""
         n = F.col("n")
@@ -239,7 +266,7 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = Sets(docs, profiles, size, percent)
     shared = save(shared_keys(keys_of(docs, size, percent)).join(sets.nodes.select(F.col("node").alias("id")), "id", "left_semi"), "shared")
     sets.only(shared.select("id").distinct())
-    found = save(components_of_shared(shared, sets.compare, sets.distance, sets.reach, agreements=2), "components")
+    found = save(components_of_shared(shared, sets.compare, sets.distance, sets.reach, sets.parts), "components")
     rows = profiles.select("doc_id", "row", "n", F.col("node").alias("id")).join(found, "id", "left").select(
         "doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("comp"))
     lowest = rows.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

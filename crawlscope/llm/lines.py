@@ -38,6 +38,7 @@ ship_with_tasks(sys.modules[__name__])
 EDITS = 2
 LEAST = 24
 BAND = 8  # links are decided, and most distances measured, within this many edits
+GRAM = 4  # code points of the substrings that tell lines of one key apart
 WIDE = 31  # further distances are exact up to this many edits
 CHUNK_CHARS = 1 << 20
 
@@ -183,6 +184,19 @@ def distance_bounds(first: list[str], second: list[str]) -> tuple[np.ndarray, np
     return np.where(near <= WIDE, near, np.maximum(near, np.abs(size[:, 0] - size[:, 1]))), far
 
 
+def grams(line: str) -> np.ndarray:
+    """Sorted hashes of a line's substrings of GRAM code points, equal ones
+    numbered; an edit takes and adds at most GRAM of them."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if len(points) < GRAM:
+        return np.zeros(0, dtype=np.uint64)
+    start = np.arange(len(points) - GRAM + 1)
+    h = np.sort(mix(Hashes(points).of(start, np.full(len(start), GRAM))))
+    first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+    number = start - np.repeat(first, np.diff(np.append(first, len(h))))
+    return np.sort(mix(h + mix(number.astype(np.uint64))))
+
+
 class Lines:
     """Edit distances between the distinct lines of a corpus."""
 
@@ -233,6 +247,7 @@ class Lines:
                     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(chosen, pa.string())], names=["node", "line"])
         rows = self._plain().mapInArrow(run, "node long, line string")
         self.texts = save(rows.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+        members.destroy()
 
     def _plain(self) -> DataFrame:
         return (self.docs.where("doc_id is not null and text is not null")
@@ -254,6 +269,25 @@ class Lines:
     def distance(self, pairs: DataFrame) -> DataFrame:
         return self._measured(pairs, distance_bounds, ["near", "far"])
 
+    def parts(self, spokes: DataFrame) -> DataFrame:
+        """Substrings that a line or its centre has more often.  Linked lines
+        differ in ``within`` of them at most, so lines p and q apart from the
+        centre share (p + q - within) / 2; q is above ``within`` unless near."""
+        within = 2 * GRAM * self.edits
+
+        def run(batches):
+            for batch in batches:
+                alone = [np.setxor1d(grams(x), grams(y), assume_unique=True).view(np.int64)
+                         for x, y in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())]
+                p = np.array([len(x) for x in alone], dtype=np.int64)
+                need = np.maximum(1, np.maximum((p + 2) // 2, p - within))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a"), batch.column("b"), pa.array([x.tolist() for x in alone], pa.list_(pa.int64())), pa.array(p <= within), pa.array(need),
+                     pa.array(np.full(len(p), within, dtype=np.int64))], names=["centre", "id", "parts", "near", "need", "within"])
+        sides = [self.texts.select(F.col("node").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab"]
+        joined = spokes.select(F.col("centre").alias("a"), F.col("id").alias("b")).join(sides[0], "a").join(sides[1], "b").select("a", "b", "line_a", "line_b")
+        return joined.mapInArrow(run, "centre long, id long, parts array<long>, near boolean, need long, within long")
+
     def reach(self, ids: DataFrame) -> DataFrame:
         return ids.withColumn("reach", F.lit(self.edits).cast("long"))
 
@@ -265,7 +299,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
     lines = Lines(docs, edits, least)
     shared = save(shared_keys(lines.keys()), "shared")
     lines.only(shared.select("id").distinct())
-    found = save(components_of_shared(shared, lines.compare, lines.distance, lines.reach), "classes")
+    found = save(components_of_shared(shared, lines.compare, lines.distance, lines.reach, lines.parts), "classes")
     rows = save(lines.occurrences(), "lines").join(found, F.col("node") == F.col("id"), "left").select(
         "doc_id", "mark", "line", F.coalesce("comp", "node").alias("class"))
     first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "line", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -214,3 +214,79 @@ def test_empty_tables(spark):
     assert jaccard.near_duplicates(docs).count() == 0
     assert lines.deduplicate(docs).count() == 0
     assert suffix.remove_repeats(docs).count() == 0
+
+
+def _edited_copies(rng, base, n, most):
+    """Copies of a word list, each with up to ``most`` words of its own, every
+    third one a copy of an earlier copy with one word changed."""
+    out = [list(base)]
+    for k in range(n):
+        text = list(out[rng.integers(len(out))]) if k % 3 == 0 else list(base)
+        for _ in range(1 if k % 3 == 0 else rng.integers(1, most + 1)):
+            at = rng.integers(len(text))
+            text[at:at + rng.integers(0, 2)] = ["".join(rng.choice(list("abcdefgh"), 5))] * int(rng.integers(0, 2))
+        out.append(text)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_group_of_far_copies_loses_no_link(spark, monkeypatch, hot):
+    from crawlscope.llm import linkage
+
+    monkeypatch.setattr(linkage, "HOT", hot)
+    rng = np.random.default_rng(11)
+    texts = _edited_copies(rng, ["".join(rng.choice(list("ijklmnop"), 5)) for _ in range(60)], 90, 14)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} for w in words]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    want = closure(len(texts), [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == dict(enumerate(want))
+
+    lines_ = [t[:40] + t[k % 3 + 40:] for k, t in enumerate(texts)] + [t[:90] + "z" + t[91:] for t in texts[::4]]
+    docs = spark.createDataFrame(list(enumerate(lines_)), "doc_id long, text string")
+    pairs = [(a, b) for b in range(len(lines_)) for a in range(b)]
+    far = lines.banded_distance([lines_[a] for a, _ in pairs], [lines_[b] for _, b in pairs])
+    want = closure(len(lines_), [p for p, d in zip(pairs, far) if d <= 2])
+    assert {r.doc_id: r.first_doc for r in lines.line_classes(docs).collect()} == dict(enumerate(want))
+
+
+def test_pairs_of_a_group_of_far_copies_stay_few(spark, monkeypatch):
+    """Copies that are linked with no other one are not compared two by two."""
+    made = {}
+    for kind, op in (("op7", jaccard.Sets), ("op1", lines.Lines)):
+        def counted(self, pairs, kind=kind, plain=op.compare):
+            pairs = pairs.localCheckpoint()
+            made[kind] = made.get(kind, 0) + pairs.count()
+            return plain(self, pairs)
+        monkeypatch.setattr(op, "compare", counted)
+    rng = np.random.default_rng(5)
+    base, n = ["".join(rng.choice(list("ijklmnop"), 5)) for _ in range(80)], 300
+    texts = []
+    for _ in range(n):
+        text = list(base)
+        for at in rng.choice(80, 8, replace=False):
+            text[at] = "".join(rng.choice(list("abcdefgh"), 6))
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert jaccard.near_duplicates(docs).where("component_id = doc_id").count() == n
+    assert lines.line_classes(docs).where("first_doc = doc_id").count() == n
+    assert max(made.values()) < n * n / 20, made
+
+
+def test_save_leaves_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from crawlscope.llm.store import save
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_")}
+    before = shuffled()
+    out = save(spark.range(5000).repartition(4, "id").groupBy((F.col("id") % 50).alias("k")).count())
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.25)
+    assert not shuffled() - before and out.count() == 50
