@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope.llm.linkage import components_of_shared, shared_keys
-from crawlscope.llm.store import only_members, prepare, save
+from crawlscope.llm.store import membership, only_members, prepare, save
 from crawlscope.llm.words import byte_values, chunks, class_table, mix, string_buffers, words_of
 from crawlscope.session import ship_with_tasks
 
@@ -65,6 +65,15 @@ def shingle_sets(column, size: int):
         yield a, sets
 
 
+def sets_of(column, size: int) -> list[np.ndarray]:
+    """The set of each row; equal texts are taken apart once."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    known = column.dictionary_encode()
+    sets = [s for _, part in shingle_sets(known.dictionary, size) for s in part]
+    return [sets[k] for k in known.indices.to_pylist()]
+
+
 def fingerprint(s: np.ndarray) -> int:
     """Signed 64-bit fingerprint of a set of hashes."""
     with np.errstate(over="ignore"):
@@ -176,10 +185,7 @@ def most_apart(percent: int, a, b):
 def _verifier(size: int):
     def run(batches):
         for batch in batches:
-            both = [[], []]
-            for side, name in enumerate(("text_a", "text_b")):
-                for _, sets in shingle_sets(batch.column(name), size):
-                    both[side].extend(sets)
+            both = [sets_of(batch.column(name), size) for name in ("text_a", "text_b")]
             far = [len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*both)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("most"), pa.array(far, pa.int64())],
                                              names=["a", "b", "most", "far"])
@@ -198,9 +204,11 @@ class Sets:
     def only(self, ids: DataFrame) -> None:
         """Keep at hand the texts of these nodes (one document each)."""
         chosen = self.nodes.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("node", "row")
-        text = only_members(_plain(self.docs).select(_row().alias("row"), "text"), "row", chosen.select("row"))
+        members = membership(chosen.select("row"))
+        text = only_members(_plain(self.docs).select(_row().alias("row"), "text"), "row", chosen.select("row"), members)
         text = text.join(chosen, "row").select("node", "text")
         self.texts = save(text.dropDuplicates(["node"]), "texts")
+        members.destroy()
 
     def _side(self, side: str) -> DataFrame:
         return self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
@@ -233,10 +241,7 @@ class Sets:
 
         def run(batches):
             for batch in batches:
-                both = [[], []]
-                for side, name in enumerate(("text_a", "text_b")):
-                    for _, sets in shingle_sets(batch.column(name), size):
-                        both[side].extend(sets)
+                both = [sets_of(batch.column(name), size) for name in ("text_a", "text_b")]
                 alone = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(*both)]
                 p, at, n = (np.array([len(x) for x in z], dtype=np.int64) for z in (alone, *both))
                 share, whole = 100 - percent, 100 + percent

@@ -290,3 +290,58 @@ def test_save_leaves_no_shuffle_files(spark):
     while shuffled() - before and time.time() < until:
         time.sleep(0.25)
     assert not shuffled() - before and out.count() == 50
+
+
+def test_a_cluster_and_its_far_neighbours_are_not_compared_member_by_member(spark, monkeypatch):
+    """A few far copies meet a cluster in a few keys only; the members that
+    reach out of the cluster are not all compared with them."""
+    made = []
+
+    def counted(self, pairs, plain=jaccard.Sets.compare):
+        pairs = pairs.localCheckpoint()
+        made.append(pairs.count())
+        return plain(self, pairs)
+    monkeypatch.setattr(jaccard.Sets, "compare", counted)
+    rng = np.random.default_rng(8)
+    base, texts = ["".join(rng.choice(list("ijklmnop"), 5)) for _ in range(80)], []
+    for k in range(172):
+        text = list(base)
+        for at in rng.choice(80, 0 if k == 0 else 1 if k < 160 else 3, replace=False):
+            text[at] = "".join(rng.choice(list("abcdefgh"), 6))
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i:i + 4]) for i in range(77)} for t in texts]
+    want = closure(172, [(a, b) for b in range(172) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == dict(enumerate(want))
+    assert sum(made) < 4 * 172, made
+
+
+def test_ranges_of_many_runs_are_found_at_once(monkeypatch):
+    """Whatever the batches and the slices that are merged at once, and not run by run."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcd") for _ in range(150)) for _ in range(4)]
+    rows = []
+    for d in range(60):
+        text = rng.choice(base)[rng.randrange(40):] + str(d)
+        at = rng.randrange(len(text))
+        rows.append((d, text[:at] + "-" * (d % 3) + text[at:]))
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows]), pa.array([d for d, _ in rows]), pa.array(np.zeros(60, np.int32))], names=["text", "doc_id", "mark"])
+    found = pa.Table.from_batches(list(suffix._runs_of(batch, lambda _, h: np.ones(len(h), dtype=bool)))).sort_by("key")
+    calls = []
+    monkeypatch.setattr(suffix, "covered", lambda *a, plain=suffix.covered: calls.append(1) or plain(*a))
+    want = {d: (removed, spans, kept) for d, _, removed, spans, kept in brute_repeats(rows)}
+    for merged, step in ((suffix.MERGED, 1000), (300, 7)):
+        monkeypatch.setattr(suffix, "MERGED", merged)
+        out = pa.Table.from_batches(list(suffix._merge_task(iter(found.to_batches(max_chunksize=step)))))
+        ranges = {}
+        for r in out.to_pylist():
+            ranges.setdefault(r["doc_id"], []).append({"a": r["a"], "b": r["b"]})
+        texts = pa.RecordBatch.from_arrays(
+            [pa.array(list(ranges)), pa.array([len(rows[d][1]) for d in ranges]), pa.array([rows[d][1] for d in ranges]),
+             pa.array(list(ranges.values()), pa.list_(pa.struct({"a": pa.int64(), "b": pa.int64()})))], names=["doc_id", "size", "text", "ranges"])
+        got = {r["doc_id"]: (r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for b in suffix._apply([texts]) for r in b.to_pylist()}
+        assert got == {d: w for d, w in want.items() if w[0]} and len(got) > 30
+        if step == 1000:
+            assert len(calls) < 5
