@@ -40,7 +40,7 @@ LEAST = 24
 BAND = 8  # links are decided, and most distances measured, within this many edits
 GRAM = 4  # code points of the substrings that tell lines of one key apart
 WIDE = 31  # further distances are exact up to this many edits
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 17
 
 
 def line_chunks(texts: list[str | None]):
@@ -160,8 +160,18 @@ def _banded(short: list[str], long_: list[str], band: int) -> np.ndarray:
     minus = np.zeros(len(short), dtype=word)
     follow = (band - more).astype(word)
     d = more.astype(np.int64)
+    out, left = np.full(len(short), band + 1, dtype=np.int64), np.arange(len(short))
     for j in range(width):
-        same = np.zeros(len(short), dtype=word)
+        if j % 16 == 15:  # pairs at their end, and beyond the band, as d never falls, are done
+            done = (size <= j) | (d > band)
+            if done.sum() >= len(d) / 4:
+                out[left[done]] = np.minimum(d[done], band + 1)
+                keep = np.flatnonzero(~done)
+                left, size, more, plus, minus, follow, d = (x[keep] for x in (left, size, more, plus, minus, follow, d))
+                if not len(left):
+                    break
+                pattern, text = np.ascontiguousarray(pattern[:, keep]), np.ascontiguousarray(text[:, keep])
+        same = np.zeros(len(d), dtype=word)
         for b in range(2 * band + 1):
             same |= (pattern[j + b + 1] == text[j]).astype(word) << word(b)
         diagonal = ((((same & plus) + plus) ^ plus) | same | minus) & mask
@@ -170,7 +180,8 @@ def _banded(short: list[str], long_: list[str], band: int) -> np.ndarray:
         d += ((j >= more) & (j < size) & ((diagonal >> follow) & one == 0))
         plus = (down | ~((diagonal >> one) | up)) & mask
         minus = (diagonal >> one) & up
-    return np.minimum(d, band + 1)
+    out[left] = np.minimum(d, band + 1)
+    return out
 
 
 def distance_bounds(first: list[str], second: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -277,8 +288,9 @@ class Lines:
 
         def run(batches):
             for batch in batches:
-                alone = [np.setxor1d(grams(x), grams(y), assume_unique=True).view(np.int64)
-                         for x, y in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())]
+                both = [batch.column(c).to_pylist() for c in ("line_a", "line_b")]
+                held = {x: grams(x) for x in {*both[0], *both[1]}}  # a centre meets many
+                alone = [np.setxor1d(held[x], held[y], assume_unique=True).view(np.int64) for x, y in zip(*both)]
                 p = np.array([len(x) for x in alone], dtype=np.int64)
                 need = np.maximum(1, np.maximum((p + 2) // 2, p - within))
                 yield pa.RecordBatch.from_arrays(
