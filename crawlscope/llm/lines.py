@@ -283,7 +283,8 @@ class Lines:
     def parts(self, spokes: DataFrame) -> DataFrame:
         """Substrings that a line or its centre has more often.  Linked lines
         differ in ``within`` of them at most, so lines p and q apart from the
-        centre share (p + q - within) / 2; q is above ``within`` unless near."""
+        centre share (p + q - within) / 2; q is above ``within`` unless near.
+        Near lines share one with each other if p + q is above ``within``."""
         within = 2 * GRAM * self.edits
 
         def run(batches):
@@ -292,7 +293,7 @@ class Lines:
                 held = {x: grams(x) for x in {*both[0], *both[1]}}  # a centre meets many
                 alone = [np.setxor1d(held[x], held[y], assume_unique=True).view(np.int64) for x, y in zip(*both)]
                 p = np.array([len(x) for x in alone], dtype=np.int64)
-                need = np.maximum(1, np.maximum((p + 2) // 2, p - within))
+                need = np.where(p <= within, 1, np.maximum((p + 2) // 2, p - within))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("a"), batch.column("b"), pa.array([x.tolist() for x in alone], pa.list_(pa.int64())), pa.array(p <= within), pa.array(need),
                      pa.array(np.full(len(p), within, dtype=np.int64))], names=["centre", "id", "parts", "near", "need", "within"])

@@ -345,3 +345,31 @@ def test_ranges_of_many_runs_are_found_at_once(monkeypatch):
         assert got == {d: w for d, w in want.items() if w[0]} and len(got) > 30
         if step == 1000:
             assert len(calls) < 5
+
+
+def test_near_members_meet_by_what_they_share(spark, monkeypatch):
+    """Lines that are near one line in substrings, but no two of them linked,
+    are not compared two by two; those that are linked are found."""
+    made = []
+
+    def counted(self, pairs, plain=lines.Lines.compare):
+        pairs = pairs.localCheckpoint()
+        made.append(pairs.count())
+        return plain(self, pairs)
+    monkeypatch.setattr(lines.Lines, "compare", counted)
+    rng = np.random.default_rng(21)
+    base = "".join(rng.choice(list("abcdefghijklmnop"), 240))
+    texts = [base]
+    for k in range(240):
+        at = int(rng.integers(237))
+        text = base[:at] + "".join(rng.choice(list("qrstuvwxyz"), 4)) + base[at + 4:]
+        texts.append(text)
+        if k % 40 == 0:  # one edit more
+            texts.append(text[:at + 2] + "0" + text[at + 3:])
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    near = lines.banded_distance([texts[a] for a, _ in pairs], [texts[b] for _, b in pairs]) <= lines.EDITS
+    want = closure(len(texts), [p for p, n in zip(pairs, near) if n])
+    assert 230 < len(set(want)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.first_doc for r in lines.line_classes(docs).collect()} == dict(enumerate(want))
+    assert sum(made) < len(texts) ** 2 / 20, made
