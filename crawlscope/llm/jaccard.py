@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope.llm.linkage import components_of_shared, shared_keys
-from crawlscope.llm.store import membership, only_members, prepare, save
+from crawlscope.llm.store import discard, membership, only_members, prepare, save
 from crawlscope.llm.words import byte_values, chunks, class_table, mix, string_buffers, words_of
 from crawlscope.session import ship_with_tasks
 
@@ -129,6 +129,20 @@ def block_keys(s: np.ndarray, percent: int) -> list[np.ndarray]:
     return out
 
 
+def least_agreements(n: int, percent: int) -> int:
+    """How many keys a set of n hashes shares, at least, with any set linked
+    with it: the blocks of the smaller one's band, less those left out and one
+    for each hash by which the two may differ."""
+    starts = bands(percent, max(1024, 2 * n))
+    own = int(np.searchsorted(starts, n, side="right")) - 1
+    least = []
+    for band, other in ((own, n * 100 // percent), (own - 1, starts[own] - 1)):
+        blocks, spare = block_counts(percent, starts[band], starts[band + 1]) if band >= 0 else (0, 0)
+        if blocks:
+            least.append(blocks - spare - (100 - percent) * (n + other) // (100 + percent))
+    return max(2, min(least, default=2))
+
+
 def filter_sketch(s: np.ndarray) -> np.ndarray:
     """WORDS signed 64-bit words; bit i is the parity of the hashes dealt to it."""
     bits = np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
@@ -256,6 +270,15 @@ class Sets:
                   .select("a", "b", "text_a", "text_b"))
         return joined.mapInArrow(run, "centre long, id long, parts array<long>, near boolean, need long, within long")
 
+    def agree(self, ids: DataFrame) -> DataFrame:
+        percent = self.percent
+
+        def run(batches):
+            for batch in batches:
+                least = [least_agreements(n, percent) for n in batch.column("n").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(least, pa.int64())], names=["id", "agree"])
+        return ids.join(self.nodes.select(F.col("node").alias("id"), "n"), "id").select("id", "n").mapInArrow(run, "id long, agree long")
+
     def reach(self, ids: DataFrame) -> DataFrame:
         """A set of n is linked to sets of at most n * 100 / percent."""
         n = F.col("n")
@@ -271,7 +294,9 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = Sets(docs, profiles, size, percent)
     shared = save(shared_keys(keys_of(docs, size, percent)).join(sets.nodes.select(F.col("node").alias("id")), "id", "left_semi"), "shared")
     sets.only(shared.select("id").distinct())
-    found = save(components_of_shared(shared, sets.compare, sets.distance, sets.reach, sets.parts), "components")
+    found = save(components_of_shared(shared, sets.compare, sets.distance, sets.reach, sets.parts, sets.agree), "components")
+    for done in (shared, sets.texts, sets.nodes):
+        discard(done)
     rows = profiles.select("doc_id", "row", "n", F.col("node").alias("id")).join(found, "id", "left").select(
         "doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("comp"))
     lowest = rows.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -373,3 +373,32 @@ def test_near_members_meet_by_what_they_share(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.first_doc for r in lines.line_classes(docs).collect()} == dict(enumerate(want))
     assert sum(made) < len(texts) ** 2 / 20, made
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_as_many_keys_as_said(percent):
+    rng = np.random.default_rng(31)
+    seen = set()
+    for _ in range(400):
+        n = int(rng.integers(8, 900))
+        pool = rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64)
+        m = int(rng.integers(n, n * 100 // percent + 1))
+        most = (100 - percent) * (n + m) // (100 + percent)
+        taken = int(rng.integers(0, (most - (m - n)) // 2 + 1)) if most >= m - n else 0
+        a, b = np.unique(pool[:n]), np.unique(pool[taken:taken + m])
+        if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)) or len(np.setxor1d(a, b)) == 0:
+            continue
+        shared = len(set(np.concatenate(jaccard.block_keys(a, percent)).tolist()) & set(np.concatenate(jaccard.block_keys(b, percent)).tolist()))
+        least = max(jaccard.least_agreements(len(s), percent) for s in (a, b))
+        assert shared >= least >= 2
+        seen.add(least)
+    assert max(seen) > 5
+
+
+def test_ids_with_too_few_keys_leave(spark):
+    from crawlscope.llm import linkage
+
+    rows = [(1, 10, 10), (1, 11, 11), (2, 10, 10), (2, 11, 11), (2, 12, 12), (3, 12, 12), (3, 13, 13), (4, 14, 14), (4, 15, 15), (5, 14, 14)]
+    rows = spark.createDataFrame(rows, "key long, id long, comp long")
+    left = linkage._agreeing(rows, lambda ids: ids.selectExpr("id", "2L as agree"))
+    assert sorted((r.key, r.id) for r in left.collect()) == [(1, 10), (1, 11), (2, 10), (2, 11)]
