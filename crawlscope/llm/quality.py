@@ -103,11 +103,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     context = np.stack([rows.column(f"c{j}").to_numpy() for j in range(DIM)], axis=1)
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
     position, sign = index_vectors()
-    own = np.zeros((BUCKETS, DIM))
+    own = np.zeros((BUCKETS, DIM), dtype=np.float32)  # small whole numbers
     for k in range(NONZERO):
         np.add.at(own, (np.arange(BUCKETS), position[:, k]), sign[:, k])
     share = rows.column("seen").to_numpy() / max(1, rows.column("seen").to_numpy().sum())
-    out[at] = (context + own[at]) * (1e-3 / (1e-3 + share))[:, None]
+    context += own[at]
+    context *= (1e-3 / (1e-3 + share))[:, None]
+    out[at] = context
     return out
 
 
@@ -138,7 +140,8 @@ class Network:
             self.constant = 0.5
             return
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        x = (x - self.mean) / self.scale
+        x = x - self.mean
+        x /= self.scale
         aside = rng.random(len(y)) < 0.2
         fit = ~aside if len(set(y[~aside].tolist())) == 2 else np.ones(len(y), dtype=bool)
         self.w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN),
@@ -178,6 +181,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def vectors_of(column, width: int) -> np.ndarray:
+    """Rows x ``width`` doubles of a column of lists, none of them null: taken
+    from its buffers, as Python numbers would take twelve times their room."""
+    return np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in column.chunks)]).reshape(-1, width)
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str, allowed, sample: int = SAMPLE):
     """(word vectors, network) from all texts of ``docs`` and a bounded sample
     of the rows of ``labels`` that ``allowed`` admits."""
@@ -197,9 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, allowed, sample: int =
 
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .mapInArrow(training, "doc_id long, x array<float>").groupBy("doc_id").agg(F.max("x").alias("x")).orderBy("doc_id").toArrow())
-    x = np.array(rows.column("x").to_pylist(), dtype=np.float64).reshape(-1, POOLED)
     y = np.array([wanted[d] for d in rows.column("doc_id").to_pylist()], dtype=np.int64)
-    return shared, Network(x, y)
+    return shared, Network(vectors_of(rows.column("x"), POOLED), y)
 
 
 def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:

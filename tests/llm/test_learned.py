@@ -86,3 +86,64 @@ def test_label_model_finds_accuracies_and_joins_copies():
     model = toxicity.LabelModel(pattern, n, 4, start)
     assert [0, 3] in model.factors
     assert ((model.posterior[back] > 0.5) == y).mean() > 0.92
+
+
+def test_training_rows_come_from_buffers():
+    """The driver takes the pooled texts without a Python number for each entry."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from crawlscope.llm.quality import vectors_of
+
+    x = np.random.default_rng(1).normal(size=(3000, 48)).astype(np.float32)
+    whole = pa.array(list(x), pa.list_(pa.float32()))
+    column = pa.chunked_array([whole[:7], whole[7:7], whole[7:2000], whole[2000:]])
+    tracemalloc.start()
+    found = vectors_of(column, 48)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.dtype == np.float64 and (found == x).all()
+    assert peak < 2 * found.nbytes
+    assert vectors_of(pa.chunked_array([], pa.list_(pa.float32())), 48).shape == (0, 48)
+
+
+class _Driver:
+    """A session whose driver has a heap of 900; ``after``: what is left of it
+    once its garbage is collected."""
+
+    def __init__(self, after):
+        self.now, self.after, self.collected, self.applicationId = 200, after, 0, "driver of a test"
+        self.sparkContext = self._jvm = self.java = self.lang = self.Runtime = self
+
+    def getRuntime(self):
+        return self
+
+    def totalMemory(self):
+        return self.now
+
+    def maxMemory(self):
+        return 900
+
+    def gc(self):
+        self.now, self.collected = self.after, self.collected + 1
+
+
+def test_drivers_heap_is_collected_where_it_has_grown(monkeypatch):
+    from crawlscope.llm import store
+
+    monkeypatch.setattr(store, "_settled", {})
+    driver = _Driver(320)
+    for now, collected in ((200, 0), (299, 0), (310, 1), (320, 1), (350, 1), (370, 2), (900, 3), (330, 3)):
+        driver.now = now
+        store.release(driver)
+        assert driver.collected == collected
+
+
+def test_every_save_releases_what_the_driver_holds(spark, monkeypatch):
+    from crawlscope.llm import store
+
+    seen = []
+    monkeypatch.setattr(store, "release", seen.append)
+    assert store.save(spark.range(3)).count() == 3
+    assert seen == [spark]
