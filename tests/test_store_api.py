@@ -1,7 +1,9 @@
 """Stored-table API: lookups, listings, child replacement, cascade, partitioned
 write/read with commit markers, scope, and audit report helpers."""
 
+import hashlib
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,46 @@ def test_scope_and_report_helpers(spark, tables):
     assert summary == {s: 0 for s in A.SEVERITIES}
     head = A.render_report(empty).orderBy("rank").first().line
     assert "No export/data defects found." in head
+
+
+def lookups(spark, folder, rows):
+    """Rows of st_lookups over pages (page_id, url), how often each comes."""
+    from crawlscope.plans import catalog
+    pages = [(k, url, f"<html><head><title>{k}</title></head></html>") for k, url in rows]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    parts = [(k, f"name {k}", "brand", k) for k in sorted({k for k, _ in rows})]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{folder}/part.parquet")
+    return Counter(tuple(r) for r in catalog.st_lookups(spark, str(folder)).collect())
+
+
+NOPE = [("ST-1", "nope", "Scan not found: nope"), ("ST-7", "nope", "Page not found: nope")]
+
+
+def test_lookups_of_a_scan_without_blocks(spark, tmp_path):
+    """The host of most pages has a private address, so none of them has blocks;
+    pages without URL belong to no scan."""
+    base, other = "https://a.example.org", "https://ab.example.org"
+    got = lookups(spark, tmp_path / "rejected", [(1, base + "/x"), (2, base + "/y"), (10, other + "/z"), (3, None), (4, None), (5, None)])
+    assert got == Counter([("ST-1", base, base + "/"), ("ST-3", base + "/x", "fetch_error"), ("ST-3", base + "/y", "fetch_error"), ("ST-13", None, "0 0"), *NOPE])
+    assert lookups(spark, tmp_path / "no_url", [(3, None)]) == lookups(spark, tmp_path / "empty", []) == Counter([("ST-13", None, "0 0"), *NOPE])
+
+
+def test_lookups_of_urls_requested_twice(spark, tmp_path):
+    """The last snapshot of a URL is its page; each block and entity is found once."""
+    base = "https://ab.example.org"
+    got = lookups(spark, tmp_path, [(1, base + "/ab"), (10, base + "/ab"), (17, base + "/pag"), (26, base + "/pag#top"), (34, base + "/pag"), (48, base + "/q"), (48, base + "/q")])
+    paths = (("0000000000", "WebPage"), ("0000000002.0000000000", "Product"), ("0000000002.0000000001", "Offer"))
+
+    def text(k):
+        return ('[{"name":"name %d","@type":"WebPage","@context":"https://schema.org"},"plain",{"@graph":[{"name":"name %d","@type":"Product"},'
+                '{"price":"%d","@type":["Offer",7]}],"@context":"https://schema.org"}]' % (k, k, k))
+
+    def md5(x):
+        return hashlib.md5(x.encode()).hexdigest()
+    statuses = [("/ab", "success"), ("/pag", "success"), ("/q", "no_jsonld")]
+    assert got == Counter([
+        ("ST-1", base, base + "/"), *[("ST-3", base + u, s) for u, s in statuses], *[("ST-3 success", base + u, s) for u, s in statuses if s == "success"],
+        ("ST-7", hashlib.sha256(f"{base}|{base}/ab".encode()).hexdigest(), base + "/ab"),
+        ("ST-8", "0", md5(text(10))), *[("ST-9", f"0/{p}", kind) for p, kind in paths],
+        ("ST-10", base + "/ab#0", md5(text(10))), ("ST-10", base + "/pag#0", md5(text(34))),
+        *[("ST-11", f"{base}{u}#0/{p}", kind) for u in ("/ab", "/pag") for p, kind in paths], ("ST-13", base + "/ab", "1 3"), *NOPE])
